@@ -280,6 +280,25 @@ def overlap_measures(left: Column, right: Column) -> dict[str, Column]:
     }
 
 
+def set_overlap(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, both, either, left_only, right_only, ratio) of two item sets per key.
+
+    Works on (key, item) rows and never gathers a set, so a key may hold any number of items.
+    """
+    sides = left.select(key, item, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(key, item, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+    merged = sides.groupBy(key, item).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    both = F.sum(F.col("_l") * F.col("_r"))
+    return merged.groupBy(key).agg(
+        both.alias("both"),
+        F.count(F.lit(1)).alias("either"),
+        F.sum(F.col("_l") * (1 - F.col("_r"))).alias("left_only"),
+        F.sum(F.col("_r") * (1 - F.col("_l"))).alias("right_only"),
+        (both / F.count(F.lit(1))).alias("ratio"),
+    )
+
+
 def mismatch_items(pairs: DataFrame, threshold: float = 0.6, lookup: dict[str, str] | None = None) -> DataFrame:
     """Review rows from (product_code, permit_no, item_text, permit_text).
 

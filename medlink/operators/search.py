@@ -119,10 +119,10 @@ def members_of(items: DataFrame, code_col: str, prefix: str, group_col: str, gro
 
 
 def nested_lists(
-    children: DataFrame, keys: Sequence[str], order: Sequence[Column], item: Column, out: str, band: Column | None = None
+    children: DataFrame, keys: Sequence[str], order: Sequence[Column], item: Column, out: str, band: Column | None = None, chunk: int = 1000
 ) -> DataFrame:
     """Ordered child lists per parent in bounded chunks (chunk 0 is the whole list for ordinary parents)."""
-    return chunked_lists(positions(children, keys, order, "_pos", band), keys, "_pos", item, out)
+    return chunked_lists(positions(children, keys, order, "_pos", band), keys, "_pos", item, out, chunk)
 
 
 def product_details(
