@@ -6,7 +6,7 @@ import importlib
 
 from medlink.catalog import registry
 
-MODULES = ("text_queries", "matching_queries", "curation_queries")
+MODULES = ("text_queries", "matching_queries", "curation_queries", "case_queries")
 
 
 def load() -> tuple[dict, dict]:

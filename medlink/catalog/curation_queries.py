@@ -195,14 +195,14 @@ def review_pairs(spark: SparkSession, sf: str) -> DataFrame:
     b AS (SELECT DISTINCT product_code, {sql_compare_key(sql_strip_strength('x'))} AS k FROM pp),
     m AS (SELECT product_code, k, max(l) AS l, max(r) AS r FROM (SELECT product_code, k, 1 AS l, 0 AS r FROM a WHERE k <> '' UNION ALL
         SELECT product_code, k, 0, 1 FROM b WHERE k <> '') GROUP BY product_code, k),
-    s AS (SELECT product_code, sum(l) AS nl, sum(r) AS nr, sum(l * r) AS both, count(*) AS n, sum(r * (1 - l)) AS extra FROM m GROUP BY product_code),
+    s AS (SELECT product_code, sum(l) AS nl, sum(r) AS nr, sum(l * r) AS shared, count(*) AS n, sum(r * (1 - l)) AS extra FROM m GROUP BY product_code),
     c AS (SELECT product_code, string_agg(DISTINCT {sql_uuid(sql_norm('x'))}, ',' ORDER BY {sql_uuid(sql_norm('x'))}) AS candidates
         FROM (SELECT * FROM ip UNION ALL SELECT * FROM pp) GROUP BY product_code),
     pt AS (SELECT product_code, array_to_string(list_filter(list_transform(string_split(permit_text, ';;'), lambda x: trim(x)), lambda x: x <> ''), ' ;; ') AS ocr_text FROM raw)
-    SELECT product_code, permit_no, item_text AS input_text, ocr_text, candidates, CAST(both AS DOUBLE) / n AS confidence,
+    SELECT product_code, permit_no, item_text AS input_text, ocr_text, candidates, CAST(shared AS DOUBLE) / n AS confidence,
         'NHI ingredients: ' || item_text || '; TFDA ingredients: ' || ocr_text AS review_notes
     FROM raw JOIN s USING (product_code) JOIN c USING (product_code) JOIN pt USING (product_code)
-    WHERE nl > 0 AND nr > 0 AND extra > 0 AND CAST(both AS DOUBLE) / n < 0.6
+    WHERE nl > 0 AND nr > 0 AND extra > 0 AND CAST(shared AS DOUBLE) / n < 0.6
     """,
 )
 def _jaccard_review(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,8 +256,9 @@ def _review_merge(spark: SparkSession, sf: str) -> DataFrame:
 def _enriched_view(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
     item = F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderpriority")
+    band = K.hot_band(orders, ["o_custkey"], F.year("o_orderdate"))
     lists = R.nested_lists(
-        orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], item, "items", F.year("o_orderdate"), chunk=8
+        orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], item, "items", band, chunk=8
     )
     # Distinct names per parent: one of five priorities, so the set is small by nature.
     names = orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))

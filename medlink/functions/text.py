@@ -41,7 +41,7 @@ def normalize_text_sql(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Trim; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(col(c), r"^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(F.regexp_replace(col(c), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def canonical_name(c: Column | str) -> Column:
@@ -57,49 +57,56 @@ def parse_decimal(c: Column | str, strict: bool = True) -> Column:
 
 def parse_date(c: Column | str, strict: bool = True) -> Column:
     """Republic-era digits (6 or 7) first, then ISO, slashes and 8 digits."""
-    text = F.trim(col(c))
-    era = text.rlike(r"^\d{6,7}$")
-    year_digits = F.when(F.length(text) == 7, 3).otherwise(2)
-    year = F.when(era, F.substr(text, F.lit(1), year_digits).try_cast("int") + 1911)
-    era_iso = F.concat_ws(
-        "-",
-        year.cast("string"),
-        F.substr(text, year_digits + 1, F.lit(2)),
-        F.substr(text, year_digits + 3, F.lit(2)),
-    )
-    parsed = F.when(era, F.try_to_date(era_iso, "yyyy-MM-dd")).otherwise(
-        F.coalesce(
-            F.try_to_date(text, "yyyy-M-d"),
-            F.try_to_date(text, "yyyy/M/d"),
-            F.try_to_date(text, "yyyyMMdd"),
+    def parse(text: Column) -> Column:
+        era = text.rlike(r"^\d{6,7}$")
+        digits = F.length(text) - 4
+        year = F.substr(text, F.lit(1), digits).try_cast("int") + 1911
+        era_iso = F.concat_ws(
+            "-", year.cast("string"), F.substr(text, digits + 1, F.lit(2)), F.substr(text, digits + 3, F.lit(2))
         )
-    )
-    if not strict:
-        return parsed
-    bad = (F.coalesce(text, F.lit("")) != "") & parsed.isNull()
-    message = F.concat(F.lit("unsupported date: "), text)
-    return F.when(bad, F.raise_error(message).cast("date")).otherwise(parsed)
+        day = F.when(era, F.try_to_date(era_iso, "yyyy-MM-dd")).otherwise(
+            F.coalesce(*[F.try_to_date(text, shape) for shape in ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd")])
+        )
+        if not strict:
+            return day
+        message = F.concat(F.lit("unsupported date: "), text)
+        return F.when(text != "", F.coalesce(day, F.raise_error(message).cast("date")))
+
+    return let(F.trim(col(c)), parse)
 
 
 def _url_decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 
 
+def _filled(c: Column) -> Column:
+    """Blank text becomes null; the expression is evaluated once."""
+    return let(c, lambda v: F.when(v != "", v))
+
+
 def permit_token(c: Column | str) -> Column:
     """Permit number in a link: query value, else path pattern, else last path segment."""
-    url = F.trim(col(c))
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    values = [
-        F.nullif(F.regexp_extract(query, rf"(?:^|&){key}=([^&]*)", 1), F.lit(""))
-        for key in V.PERMIT_QUERY_KEYS
-    ]
-    from_query = F.trim(_url_decoded(F.coalesce(*values)))
-    raw_path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    raw_path = F.regexp_replace(F.regexp_replace(raw_path, r";[^/]*$", ""), r"\+", "%2B")
-    path = _url_decoded(raw_path)
-    pattern = F.nullif(F.regexp_extract(path, V.PERMIT_PATTERN, 0), F.lit(""))
-    segment = F.nullif(F.trim(_url_decoded(F.element_at(F.split(raw_path, "/"), -1))), F.lit(""))
-    return F.when(url != "", F.coalesce(from_query, pattern, segment))
+
+    def from_query(url: Column) -> Column:
+        def values(query: Column) -> Column:
+            shapes = F.array(*[F.lit(f"(?:^|&){key}=([^&]*)") for key in V.PERMIT_QUERY_KEYS])
+            found = F.transform(shapes, lambda shape: F.call_function("regexp_extract", query, shape, F.lit(1)))
+            return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
+
+        value = let(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), values)
+        return F.trim(let(value, _url_decoded))
+
+    def from_path(raw: Column) -> Column:
+        pattern = F.regexp_extract(_url_decoded(raw), V.PERMIT_PATTERN, 0)
+        segment = F.trim(let(F.element_at(F.split(raw, "/"), -1), _url_decoded))
+        return F.coalesce(_filled(pattern), _filled(segment))
+
+    def token(url: Column) -> Column:
+        path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+        path = F.regexp_replace(F.regexp_replace(path, r";[^/]*$", ""), r"\+", "%2B")
+        return F.when(url != "", F.coalesce(from_query(url), let(path, from_path)))
+
+    return let(F.trim(col(c)), token)
 
 
 def split_clean(c: Column | str, pattern: str) -> Column:

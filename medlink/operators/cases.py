@@ -217,7 +217,7 @@ def merge_case_groups(items: DataFrame, cases: DataFrame) -> DataFrame:
     cases(case_id, case_group_id, created_at); a case without a group is its own group.
     """
     keyed = items.join(
-        cases.select("case_id", F.coalesce("case_group_id", "case_id").alias("group_id"), "created_at"), "case_id"
+        cases.select("case_id", F.coalesce("case_group_id", F.col("case_id").cast("string")).alias("group_id"), "created_at"), "case_id"
     )
     matched = F.coalesce((F.col("match_status") == "matched") & F.col("ingredient_id").isNotNull(), F.lit(False))
     once = pick(

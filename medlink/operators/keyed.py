@@ -7,6 +7,7 @@ third of all rows reaches the shuffle as one row per task.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,33 +43,62 @@ def overlay(base: DataFrame, top: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(top, allowMissingColumns=True)
 
 
+HOT_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key: a combined count over the key columns, one number to the driver."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return int(top or 0)
+
+
+def hot_band(df: DataFrame, keys: Sequence[str], band: Column, limit: int = HOT_ROWS) -> Column | None:
+    """``band`` if some key is too large for one task, else None (then a plain window is cheaper)."""
+    return band if largest_group(df, keys) > limit else None
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the cluster's shared checkpoint folder, so later branches do not recompute."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     value: Column,
     out: str,
-    band: Column,
+    band: Column | None,
     how: str = "sum",
     include_current: bool = True,
 ) -> DataFrame:
     """Running sum or maximum of ``value`` along ``order`` inside each key.
 
-    ``band`` is any expression that never decreases along ``order``.  The rows of one
-    key are scanned band by band in separate tasks and combined with the total of the
-    earlier bands, so a hot key is not sorted in one place.  The band totals are a
-    map-side-combined aggregate with one row per (key, band).
+    Without ``band`` this is a plain window.  ``band`` is any expression that never
+    decreases along ``order``: the rows of one key are then scanned band by band in
+    separate tasks and combined with the total of the earlier bands, so a hot key is not
+    sorted in one place.  The band totals are a map-side-combined aggregate with one row
+    per (key, band).
     """
     combine = {"sum": F.sum, "max": F.max}[how]
+    until = Window.currentRow if include_current else -1
+    if band is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
+        return df.withColumn(out, combine(value).over(whole))
     banded = df.withColumns({"_band": band, "_value": value})
     before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     totals = banded.groupBy(*keys, "_band").agg(combine("_value").alias("_total"))
     earlier = totals.select(*keys, "_band", combine("_total").over(before).alias("_earlier"))
-    inside = (
-        Window.partitionBy(*keys, "_band")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1)
-    )
+    inside = Window.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
     here = combine("_value").over(inside)
     if how == "sum":
         merged = F.coalesce("_inside", F.lit(0)) + F.coalesce("_earlier", F.lit(0))

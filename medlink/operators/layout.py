@@ -18,15 +18,16 @@ from medlink.functions import fixed_values as V
 from medlink.functions import ocr_text as O
 from medlink.functions.patterns import ascii_bounds
 from medlink.functions.text import col
-from medlink.operators.keyed import positions, running
+from medlink.operators.keyed import checkpointed, hot_band, positions, running
 
 PAGE = ("page_id",)
 BAND_PIXELS = 512
+STRIP = F.floor(F.col("row_at") / BAND_PIXELS).cast("int")  # never decreases in reading order
 
 
-def _band() -> Column:
-    """Horizontal strip of a page: never decreases in reading order."""
-    return F.floor(F.col("row_at") / BAND_PIXELS).cast("int")
+def _strips(lines: DataFrame, keys: Sequence[str]) -> Column | None:
+    """Horizontal strips if some page is too large for one task, else None."""
+    return hot_band(lines, keys, STRIP)
 
 
 # --- boxes --------------------------------------------------------------------
@@ -162,16 +163,22 @@ def layout_text(elements: DataFrame, keys: Sequence[str] = PAGE, width: str = "p
     )
 
 
-def reading_order(lines: DataFrame, keys: Sequence[str] = PAGE, tolerance: float = V.READING_ROW_TOLERANCE) -> DataFrame:
+def reading_order(
+    lines: DataFrame,
+    keys: Sequence[str] = PAGE,
+    tolerance: float = V.READING_ROW_TOLERANCE,
+    strips: Column | None = None,
+) -> DataFrame:
     """Adds ``row_at`` and ``reading_no``: rows top to bottom, left to right inside a row.
 
-    A row holds lines at most ``tolerance`` below its first line, which makes the order total.
+    A row holds lines at most ``tolerance`` below its first line, which makes the order
+    total.  With ``strips`` a huge page is numbered strip by strip in separate tasks.
     """
     measured = lines.withColumn("_tol", F.lit(float(tolerance))).withColumn("_y", F.col("y").cast("double"))
     rows = cluster_positions(measured, "_y", "_tol", keys, running_mean=False)
     placed = measured.join(rows, [*keys, "_y"]).drop("_tol", "_y")
     order = [F.col("row_at"), F.col("x"), F.col("element_idx")]
-    return positions(placed, keys, order, "reading_no", _band())
+    return positions(placed, keys, order, "reading_no", strips)
 
 
 # --- sorted streaming folds ---------------------------------------------------------
@@ -201,11 +208,14 @@ def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     keys = list(keys)
     code = is_square_code("text", F.col("width").cast("double"), F.col("height").cast("double"))
     tall = lines.withColumn("_cy", F.col("y") + F.col("height") / 2.0)
-    text = reading_order(tall.where(~code), keys, 1.0)
+    strips = _strips(lines, keys)
+    text = reading_order(tall.where(~code), keys, 1.0, strips)
+    if strips is not None:
+        text = checkpointed(text)
     order = [F.col("reading_no")]
-    reached = running(text, keys, order, F.col("_cy"), "_reach", _band(), "max", include_current=False)
+    reached = running(text, keys, order, F.col("_cy"), "_reach", strips, "max", include_current=False)
     cut = F.coalesce(F.col("_cy") > F.col("_reach") + V.MERGE_ROW_TOLERANCE, F.lit(True)).cast("long")
-    cut_lines = running(reached, keys, order, cut, "_stretch", _band())
+    cut_lines = running(reached, keys, order, cut, "_stretch", strips)
     codes = lines.where(code)
     bridged = _bridged(cut_lines, codes, keys)
     columns = [*keys, "_stretch", "reading_no", "text", "x", "y", "width", "height", "_bridges"]
@@ -308,10 +318,10 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     their borders; lines meet regions through shared horizontal bands, not page-wide.
     """
     keys = list(keys)
-    detected = O.detection_form("text")
-    signal = detected.rlike(ascii_bounds(V.MEDICINE_SIGNAL))
-    inline = (detected.rlike(ascii_bounds(r"^medication\b")) | detected.rlike("^藥名")) & signal
-    filled = lines.where(F.trim("text") != "").withColumn("_inline", inline)
+    detected = F.col("_detected")
+    inline = detected.rlike(ascii_bounds(r"^medication\b")) | detected.rlike("^藥名")
+    filled = lines.where(F.trim("text") != "").withColumn("_detected", O.detection_form("text"))
+    filled = filled.withColumn("_inline", inline & detected.rlike(ascii_bounds(V.MEDICINE_SIGNAL)))
     tagged = filled.withColumn("_anchors", _anchor_keys(detected, F.col("_inline")))
     order = F.create_map(*[F.lit(v) for i, (k, _) in enumerate(V.SECTION_ANCHORS) for v in (k, i)])
     anchors = tagged.select(
@@ -366,9 +376,11 @@ def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     kept = cleaned.where((F.length("text") > 0) & ~O.is_label_noise("text") & ~O.is_quantity_only("text"))
     header = F.col("text").rlike(V.HEADER)
     # A header line always opens a group, so the lines between two headers fold on their own.
-    placed = running(
-        reading_order(kept, keys), keys, [F.col("reading_no")], header.cast("long"), "_stretch", _band()
-    )
+    strips = _strips(kept, keys)
+    ordered = reading_order(kept, keys, strips=strips)
+    if strips is not None:
+        ordered = checkpointed(ordered)
+    placed = running(ordered, keys, [F.col("reading_no")], header.cast("long"), "_stretch", strips)
     keys = [*keys, "_stretch"]
     ordered = placed.select(
         *keys,
