@@ -252,7 +252,7 @@ def case_items(spark: SparkSession, sf: str) -> DataFrame:
     lines = match_input(spark, sf).select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("input_index"), "input_text"
     ).distinct()
-    return G.detected_items(lines, M.match_lines(lines, dictionary(spark, sf)))
+    return G.detected_items(M.match_lines(lines, dictionary(spark, sf).materialised()))
 
 
 @query("case_items", CASE_CTE + " SELECT * FROM items")

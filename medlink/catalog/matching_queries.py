@@ -203,7 +203,7 @@ RESOLVED = """,
     """,
 )
 def _match_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_lines(match_input(spark, sf), dictionary(spark, sf)).drop("product_name")
+    return M.match_lines(match_input(spark, sf), dictionary(spark, sf).materialised()).drop("product_name")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlink.catalog.registry import (
@@ -96,18 +96,20 @@ def _split_ingredients(spark: SparkSession, sf: str) -> DataFrame:
 
 
 UNIT_SQL = "(?:MMOL|MEQ|MCG|MOL|MG|ML|IU|UG|GM|G|U|L|%)"
-STRENGTH_TEXT = F.concat(
-    "p_name",
-    F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" MG/ML + ")))
-    .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 mcg, ")))
-    .otherwise(F.lit(" 12 ")),
-    "p_type",
-    F.lit(" ("),
-    F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("EQ TO "), F.col("p_brand"), F.lit(" OR B = C"))).otherwise(
-        F.lit(" 5 MG ")
-    ),
-    F.lit(") IU"),
-)
+def strength_text() -> Column:
+    return F.concat(
+        "p_name",
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" MG/ML + ")))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 mcg, ")))
+        .otherwise(F.lit(" 12 ")),
+        "p_type",
+        F.lit(" ("),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("EQ TO "), F.col("p_brand"), F.lit(" OR B = C"))).otherwise(
+            F.lit(" 5 MG ")
+        ),
+        F.lit(") IU"),
+    )
+
 STRENGTH_SQL = """p_name || CASE p_partkey % 3 WHEN 0 THEN ' ' || p_size || ' MG/ML + ' WHEN 1 THEN ' ' || p_size || '.5 mcg, '
     ELSE ' 12 ' END || p_type || ' (' || CASE p_partkey % 2 WHEN 0 THEN 'EQ TO ' || p_brand || ' OR B = C' ELSE ' 5 MG ' END || ') IU'"""
 
@@ -140,17 +142,19 @@ def sql_strip_strength(e: str) -> str:
     f"WITH raw AS (SELECT p_partkey, {STRENGTH_SQL} AS t FROM part) SELECT p_partkey, {sql_strip_strength('t')} AS stripped FROM raw",
 )
 def _strip_strength(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", I.strip_strength(STRENGTH_TEXT).alias("stripped"))
+    return table(spark, sf, "part").select("p_partkey", I.strip_strength(strength_text()).alias("stripped"))
 
 
-COMPARE_TEXT = (
-    F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("DL-"), F.col("p_name"), F.lit(" (HCL) 100 MG")))
-    .when(F.col("p_partkey") % 6 == 1, F.concat(F.col("p_name"), F.lit(" (2HCL MONOHYDRATE) 5 MG")))
-    .when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("sulpyrin "), F.col("p_name")))
-    .when(F.col("p_partkey") % 6 == 3, F.concat(F.col("p_name"), F.lit(" di-hcl ("), F.col("p_type"), F.lit(" OR X)")))
-    .when(F.col("p_partkey") % 6 == 4, F.lit("HYOSCINE-N-BUTYLBROMIDE"))
-    .otherwise(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(" Sodium)")))
-)
+def compare_text() -> Column:
+    return (
+        F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("DL-"), F.col("p_name"), F.lit(" (HCL) 100 MG")))
+        .when(F.col("p_partkey") % 6 == 1, F.concat(F.col("p_name"), F.lit(" (2HCL MONOHYDRATE) 5 MG")))
+        .when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("sulpyrin "), F.col("p_name")))
+        .when(F.col("p_partkey") % 6 == 3, F.concat(F.col("p_name"), F.lit(" di-hcl ("), F.col("p_type"), F.lit(" OR X)")))
+        .when(F.col("p_partkey") % 6 == 4, F.lit("HYOSCINE-N-BUTYLBROMIDE"))
+        .otherwise(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(" Sodium)")))
+    )
+
 COMPARE_SQL = """CASE p_partkey % 6 WHEN 0 THEN 'DL-' || p_name || ' (HCL) 100 MG' WHEN 1 THEN p_name || ' (2HCL MONOHYDRATE) 5 MG'
     WHEN 2 THEN 'sulpyrin ' || p_name WHEN 3 THEN p_name || ' di-hcl (' || p_type || ' OR X)' WHEN 4 THEN 'HYOSCINE-N-BUTYLBROMIDE'
     ELSE p_name || ' (' || p_brand || ' Sodium)' END"""
@@ -196,7 +200,7 @@ ALIASES_SQL = """(VALUES ('ETHYLPHENYLEPHRINE','ETHYLPHENYLEPHRINE'), ('ETILEFRI
     """,
 )
 def _compare_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = F.array_join(F.array_sort(I.compare_tokens(COMPARE_TEXT)), "|")
+    tokens = F.array_join(F.array_sort(I.compare_tokens(compare_text())), "|")
     return table(spark, sf, "part").select("p_partkey", tokens.alias("tokens"))
 
 
@@ -244,7 +248,9 @@ def _plural_stem(spark: SparkSession, sf: str) -> DataFrame:
     return words.withColumn("stem", T.plural_stem("word"))
 
 
-CJK_LEAD = F.when(F.col("doc_id") % 3 == 0, F.lit("药剂胶囊 ")).when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.lit("錠"))
+def cjk_lead() -> Column:
+    return F.when(F.col("doc_id") % 3 == 0, F.lit("药剂胶囊 ")).when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.lit("錠"))
+
 CJK_LEAD_SQL = "CASE doc_id % 3 WHEN 0 THEN '药剂胶囊 ' WHEN 1 THEN '' ELSE '錠' END"
 
 
@@ -257,7 +263,7 @@ CJK_LEAD_SQL = "CASE doc_id % 3 WHEN 0 THEN '药剂胶囊 ' WHEN 1 THEN '' ELSE
     """,
 )
 def _language_tag(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(CJK_LEAD, F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(F.col("text")))
+    text = F.concat(cjk_lead(), F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", T.language_tag(text).alias("language"))
 
 
@@ -271,8 +277,8 @@ def _language_tag(spark: SparkSession, sf: str) -> DataFrame:
 def _cjk_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         "doc_id",
-        T.has_cjk(F.concat(CJK_LEAD, "text")).alias("has_cjk"),
-        T.extract_cjk(F.concat(CJK_LEAD, "text", F.lit("錠"))).alias("cjk"),
+        T.has_cjk(F.concat(cjk_lead(), "text")).alias("has_cjk"),
+        T.extract_cjk(F.concat(cjk_lead(), "text", F.lit("錠"))).alias("cjk"),
     )
 
 
@@ -284,7 +290,7 @@ def _cjk_extract(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def _cjk_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(CJK_LEAD, "text")
+    text = F.concat(cjk_lead(), "text")
     return table(spark, sf, "documents").select(
         "doc_id", T.normalize_cjk(text).alias("extended"), T.normalize_cjk(text, extended=False).alias("basic")
     )
@@ -321,14 +327,16 @@ def _concept_uuid5(spark: SparkSession, sf: str) -> DataFrame:
     return C.build_concepts(table(spark, sf, "part").select(F.col("p_name").alias("mention")))
 
 
-NOISY = F.concat(
-    F.when(F.col("l_linenumber") % 4 == 1, F.lit("十全")).otherwise(F.lit("")),
-    "p_name",
-    F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(". 5 mg tab 總量 3盒")))
-    .when(F.col("l_linenumber") % 4 == 1, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("m XYZ")))
-    .when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit(" ("), F.col("p_type"), F.lit(") 2. "), F.col("p_brand")))
-    .otherwise(F.lit(" PLATE, 總量 12 盒裝 end")),
-)
+def noisy() -> Column:
+    return F.concat(
+        F.when(F.col("l_linenumber") % 4 == 1, F.lit("十全")).otherwise(F.lit("")),
+        "p_name",
+        F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(". 5 mg tab 總量 3盒")))
+        .when(F.col("l_linenumber") % 4 == 1, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("m XYZ")))
+        .when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit(" ("), F.col("p_type"), F.lit(") 2. "), F.col("p_brand")))
+        .otherwise(F.lit(" PLATE, 總量 12 盒裝 end")),
+    )
+
 NOISY_SQL = """CASE WHEN l_linenumber % 4 = 1 THEN '十全' ELSE '' END || p_name || CASE l_linenumber % 4
     WHEN 0 THEN ' ' || CAST(l_quantity AS INTEGER) || '. 5 mg tab 總量 3盒' WHEN 1 THEN CAST(l_quantity AS INTEGER) || 'm XYZ'
     WHEN 2 THEN ' (' || p_type || ') 2. ' || p_brand ELSE ' PLATE, 總量 12 盒裝 end' END"""
@@ -338,7 +346,7 @@ NOISY_FROM = "lineitem JOIN part ON l_partkey = p_partkey"
 def noisy_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").alias("p_partkey"))
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    return lines.join(parts, "p_partkey").select("l_orderkey", "l_linenumber", "p_partkey", NOISY.alias("line"))
+    return lines.join(parts, "p_partkey").select("l_orderkey", "l_linenumber", "p_partkey", noisy().alias("line"))
 
 
 @query(
@@ -427,10 +435,12 @@ FORM_SQL = "(regexp_matches({l}, '(?i)\\b(tab|tablet|cap|capsule|syrup|inj|inhal
 HINT_SQL = "regexp_matches({l}, '\\(([A-Za-z][^)]+)\\)')"
 BOILER_SQL = "regexp_matches({l}, '(?i)\\b(prescription|quantity|dispensing|pharmacist|physician|warnings|warning|side effects|instruction|appearance|use before)\\b|領藥號|總量|用法|用途|外觀|警語|副作用|處方期限|調劑日期|藥師|醫師')"
 PHONE_SQL = "regexp_matches({l}, '(?:\\b\\d{{2,3}}\\d{{6,}}\\b|\\b\\d{{2,4}}-\\d{{3,4}}-\\d{{3,4}}\\b|^\\d{{3,}}$)')"
-PLANTED_LINE = F.concat(
-    "line",
-    F.when(F.col("line_no") % 5 == 0, F.lit(" 20mg Tab")).when(F.col("line_no") % 5 == 1, F.lit(" (Abc) 60 puff")).otherwise(F.lit("")),
-)
+def planted_line() -> Column:
+    return F.concat(
+        "line",
+        F.when(F.col("line_no") % 5 == 0, F.lit(" 20mg Tab")).when(F.col("line_no") % 5 == 1, F.lit(" (Abc) 60 puff")).otherwise(F.lit("")),
+    )
+
 PLANTED_LINE_SQL = "line || CASE line_no % 5 WHEN 0 THEN ' 20mg Tab' WHEN 1 THEN ' (Abc) 60 puff' ELSE '' END"
 PLANTED_LINES_SQL = f"WITH {DOC_LINES_SQL}, p AS (SELECT doc_id, line_no, {PLANTED_LINE_SQL} AS l FROM lines)"
 
@@ -447,7 +457,7 @@ PLANTED_LINES_SQL = f"WITH {DOC_LINES_SQL}, p AS (SELECT doc_id, line_no, {PLANT
     """,
 )
 def _line_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    lines = document_lines(spark, sf).withColumn("l", PLANTED_LINE)
+    lines = document_lines(spark, sf).withColumn("l", planted_line())
     return lines.select(
         "doc_id",
         "line_no",
@@ -470,7 +480,7 @@ def _line_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def _line_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    lines = document_lines(spark, sf).withColumn("l", PLANTED_LINE)
+    lines = document_lines(spark, sf).withColumn("l", planted_line())
     return lines.select("doc_id", "line_no", O.line_confidence("l").alias("confidence"))
 
 
@@ -557,11 +567,13 @@ def _english_spacing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QTY_TEXT = F.concat(
-    "p_name",
-    F.when(F.col("p_partkey") % 4 == 0, F.lit("，總量 3 盒")).when(F.col("p_partkey") % 4 == 1, F.lit(", quantity 12 tabs"))
-    .when(F.col("p_partkey") % 4 == 2, F.lit(" 總量5包裝  end")).otherwise(F.lit("  x")),
-)
+def quantity_text() -> Column:
+    return F.concat(
+        "p_name",
+        F.when(F.col("p_partkey") % 4 == 0, F.lit("，總量 3 盒")).when(F.col("p_partkey") % 4 == 1, F.lit(", quantity 12 tabs"))
+        .when(F.col("p_partkey") % 4 == 2, F.lit(" 總量5包裝  end")).otherwise(F.lit("  x")),
+    )
+
 
 
 @query(
@@ -582,7 +594,7 @@ def _quantity_strip(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(key % 4 == 0, "Quantity: ").when(key % 2 == 0, "用法 警語").otherwise(F.col("p_name"))
     return table(spark, sf, "part").select(
         "p_partkey",
-        O.strip_trailing_quantity(QTY_TEXT).alias("stripped"),
+        O.strip_trailing_quantity(quantity_text()).alias("stripped"),
         O.is_quantity_only(only).alias("quantity_only"),
         O.strip_inline_header(header).alias("headless"),
         O.is_label_noise(label).alias("label_noise"),

@@ -45,10 +45,8 @@ def clean_head(c: Column | str) -> Column:
 
 def trailing_code(c: Column | str) -> Column:
     """Last word in capitals when it looks like a 2-4 character code after another word."""
-    parts = F.split(F.trim(col(c)), " ")
-    last = F.upper(F.element_at(parts, -1))
-    looks = (F.size(parts) >= 2) & F.length(last).between(2, 4) & last.rlike("^[A-Z0-9]+$")
-    return F.when(looks, last)
+    shape = r"\S.* ([A-Za-z0-9]{2,4})$"
+    return F.upper(F.nullif(F.regexp_extract(F.trim(col(c)), shape, 1), F.lit("")))
 
 
 def clean_tail(c: Column | str, drop_code: Column) -> Column:
@@ -64,8 +62,10 @@ def clean_tail(c: Column | str, drop_code: Column) -> Column:
 def english_spacing(c: Column | str) -> Column:
     """Join neighbouring Latin fragments, left to right, three rounds, then fixed repairs."""
     text = col(c)
+    joined = text
     for _ in range(3):
-        text = let(text, _join_fragments)
+        joined = let(joined, _join_fragments)
+    text = F.when(text.rlike(r"[A-Za-z]{2}\s+[A-Za-z]{2}"), joined).otherwise(text)
     for pattern, replacement in V.OCR_WORD_FIXES:
         text = F.regexp_replace(text, pattern, replacement)
     return text
@@ -192,10 +192,12 @@ def group_text(c: Column | str) -> Column:
 
 
 def strip_inline_header(c: Column | str) -> Column:
-    text = group_text(c)
-    english = F.trim(F.regexp_extract(text, r"(?i)^(medication)\s+(.+)$", 2))
-    chinese = F.trim(F.regexp_extract(text, r"^(藥名)\s*(.+)$", 2))
-    return F.when(english != "", english).when(chinese != "", chinese).otherwise(text)
+    def strip(text: Column) -> Column:
+        english = F.trim(F.regexp_extract(text, r"(?i)^(medication)\s+(.+)$", 2))
+        chinese = F.trim(F.regexp_extract(text, r"^(藥名)\s*(.+)$", 2))
+        return F.when(english != "", english).when(chinese != "", chinese).otherwise(text)
+
+    return let(group_text(c), strip)
 
 
 def is_inline_header(c: Column | str) -> Column:
@@ -214,9 +216,11 @@ def is_quantity_only(c: Column | str) -> Column:
 
 
 def is_label_noise(c: Column | str) -> Column:
-    text = strip_inline_header(c)
-    rest = F.regexp_replace(F.regexp_replace(F.lower(text), V.LABEL_WORDS, ""), r"[:：,，.\-()/\s]", "")
-    return text.rlike(ascii_bounds(V.META_LINE)) | text.rlike(ascii_bounds(V.META_PREFIX)) | (rest == "")
+    def noise(text: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(F.lower(text), V.LABEL_WORDS, ""), r"[:：,，.\-()/\s]", "")
+        return text.rlike(ascii_bounds(V.META_LINE)) | text.rlike(ascii_bounds(V.META_PREFIX)) | (rest == "")
+
+    return let(strip_inline_header(c), noise)
 
 
 def starts_new_item(c: Column | str) -> Column:
@@ -231,18 +235,20 @@ def has_inline_detail(c: Column | str) -> Column:
 
 
 def is_continuation(c: Column | str) -> Column:
-    text = group_text(c)
-    size = F.length(text)
-    cjk = size - F.length(F.regexp_replace(text, r"[一-鿿]", ""))
-    mostly_cjk = (cjk / F.greatest(size, F.lit(1)) >= 0.5) & (size <= 25)
-    return (
-        text.startswith("(")
-        | text.rlike(ascii_bounds(V.DOSAGE))
-        | text.rlike(ascii_bounds(V.CONTAINER_WORD))
-        | ((size <= 10) & text.rlike(V.QUANTIFIER))
-        | mostly_cjk
-        | text.rlike(V.CJK_FORM)
-    )
+    def test(text: Column) -> Column:
+        size = F.length(text)
+        cjk = size - F.length(F.regexp_replace(text, r"[一-鿿]", ""))
+        mostly_cjk = (cjk / F.greatest(size, F.lit(1)) >= 0.5) & (size <= 25)
+        return (
+            text.startswith("(")
+            | text.rlike(ascii_bounds(V.DOSAGE))
+            | text.rlike(ascii_bounds(V.CONTAINER_WORD))
+            | ((size <= 10) & text.rlike(V.QUANTIFIER))
+            | mostly_cjk
+            | text.rlike(V.CJK_FORM)
+        )
+
+    return let(group_text(c), test)
 
 
 def strip_non_medication(c: Column | str) -> Column:

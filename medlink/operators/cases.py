@@ -6,7 +6,7 @@ case (or case group) of any size stays spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlink.functions import ocr_text as O
@@ -14,7 +14,7 @@ from medlink.functions import text as T
 from medlink.functions.case_fields import first_line
 from medlink.functions import fixed_values as V
 from medlink.functions.patterns import ascii_bounds
-from medlink.operators.keyed import chunked_lists, pick, positions
+from medlink.operators.keyed import checkpointed, chunked_lists, pick, positions
 
 ITEM = "case_id, input_index, raw_text, display_name, match_status, ingredient_id, match_method, confidence, product_code"
 
@@ -50,39 +50,58 @@ def brand_display(zh: Column | str, en: Column | str, fallback: Column | str) ->
 
 
 def detected_items(
-    lines: DataFrame,
     matches: DataFrame,
     brands: DataFrame | None = None,
     brand_map: DataFrame | None = None,
     medication_names: DataFrame | None = None,
 ) -> DataFrame:
-    """One card per (case, ingredient); cases without any match fall back to brands, then to one text card.
+    """One card per (case, ingredient); a case without any match gives brand cards, else one text card.
 
-    lines(case_id, input_index, input_text); matches as from ``match_lines`` with the same keys;
-    brands(case_id, input_index, input_text, product_id, product_name, match_method, confidence).
+    ``matches`` holds every line of every case, as ``match_lines`` returns them; they are
+    read once.  A single aggregate per (case, ingredient) keeps the first line of each
+    card and, where there is no ingredient, the longest line of the case.
     """
-    hit = matches.where((F.col("match_status") == "matched") & F.col("ingredient_id").isNotNull())
-    rows = hit.select(
+    matched = (F.col("match_status") == "matched") & F.col("ingredient_id").isNotNull()
+    rows = matches.select(
         "case_id",
         "input_index",
         F.col("input_text").alias("raw_text"),
         F.coalesce("product_name", "display_name", "input_text").alias("display_name"),
-        F.lit("matched").alias("match_status"),
-        "ingredient_id",
+        F.when(matched, "matched").otherwise("unmatched").alias("match_status"),
+        F.when(matched, F.col("ingredient_id")).alias("ingredient_id"),
         "match_method",
         "confidence",
         F.col("product_id").alias("product_code"),
     )
+    loose = F.col("ingredient_id").isNull()
     ties = [F.col(c) for c in ("input_index", "raw_text", "display_name", "match_method", "product_code")]
+    rows = rows.where(~loose | (F.length("raw_text") > 0))
+    best = pick(rows, ["case_id", "ingredient_id"], [F.when(loose, -F.length("raw_text")).otherwise(F.lit(0)), *ties])
+    any_match = F.max(~loose).over(Window.partitionBy("case_id"))
+    cards = best.withColumn("_any", any_match).where(~loose | ~F.col("_any"))
+    none = F.lit(None).cast("string")
+    as_text = lambda df: df.withColumns(
+        {
+            "display_name": F.col("raw_text"),
+            "match_method": none,
+            "confidence": F.lit(None).cast("double"),
+            "product_code": none,
+        }
+    )
     columns = ITEM.split(", ")
-    cards = pick(rows, ["case_id", "ingredient_id"], ties).select(columns)
-    out = cards
-    cases = lines.select("case_id").distinct()
-    open_cases = cases.join(cards.select("case_id").distinct(), "case_id", "left_anti")
+    if brands is None and medication_names is None:
+        text = lambda c: F.when(~loose, F.col(c))
+        shown = F.when(loose, F.col("raw_text")).otherwise(F.col("display_name"))
+        return cards.withColumns(
+            {"display_name": shown, **{c: text(c) for c in ("match_method", "confidence", "product_code")}}
+        ).select(columns)
+    cards = checkpointed(cards.drop("_any"))
+    out = cards.where(~loose).select(columns)
+    open_cases = cards.where(loose)
     if brands is not None and brand_map is not None:
         named = brands.where((F.col("match_status") == "matched") & F.col("product_id").isNotNull())
         of_brand = (
-            named.join(open_cases, "case_id", "left_semi")
+            named.join(open_cases.select("case_id"), "case_id", "left_semi")
             .withColumnRenamed("product_id", "product_code")
             .join(brand_map, "product_code")
             .select(
@@ -97,37 +116,17 @@ def detected_items(
                 "product_code",
             )
         )
-        cards = pick(of_brand, ["case_id", "ingredient_id"], ties).select(columns)
-        out = out.unionByName(cards)
-        open_cases = open_cases.join(cards.select("case_id").distinct(), "case_id", "left_anti")
-    longest = pick(
-        lines.where(F.length("input_text") > 0).join(open_cases, "case_id", "left_semi").select("case_id", "input_index", "input_text"),
-        ["case_id"],
-        [-F.length("input_text"), F.col("input_index"), F.col("input_text")],
-    )
-    if medication_names is None:
-        texts = longest.withColumn("raw_text", F.col("input_text"))
-    else:
+        brand_cards = pick(of_brand, ["case_id", "ingredient_id"], ties).select(columns)
+        out = out.unionByName(brand_cards)
+        open_cases = open_cases.join(brand_cards.select("case_id").distinct(), "case_id", "left_anti")
+    if medication_names is not None:
         names = medication_names.select("case_id", T.clean_text("medication_name").alias("_name"))
-        texts = (
-            open_cases.join(longest, "case_id", "left")
-            .join(names, "case_id", "left")
-            .withColumn("raw_text", F.coalesce("_name", "input_text"))
-            .where(F.col("raw_text").isNotNull())
+        open_cases = (
+            open_cases.join(names, "case_id", "left")
+            .withColumn("raw_text", F.coalesce("_name", "raw_text"))
+            .drop("_name")
         )
-    none = F.lit(None).cast("string")
-    card = texts.select(
-        "case_id",
-        F.coalesce("input_index", F.lit(0)).alias("input_index"),
-        "raw_text",
-        F.col("raw_text").alias("display_name"),
-        F.lit("unmatched").alias("match_status"),
-        none.alias("ingredient_id"),
-        none.alias("match_method"),
-        F.lit(None).cast("double").alias("confidence"),
-        none.alias("product_code"),
-    )
-    return out.unionByName(card)
+    return out.unionByName(as_text(open_cases).select(columns))
 
 
 def case_ingredients(matches: DataFrame) -> DataFrame:

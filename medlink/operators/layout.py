@@ -8,26 +8,25 @@ short running fold happens inside each such stretch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlink.functions import fixed_values as V
 from medlink.functions import ocr_text as O
 from medlink.functions.patterns import ascii_bounds
-from medlink.functions.text import col
+from medlink.functions.text import col, let
 from medlink.operators.keyed import checkpointed, hot_band, positions, running
 
 PAGE = ("page_id",)
 BAND_PIXELS = 512
-STRIP = F.floor(F.col("row_at") / BAND_PIXELS).cast("int")  # never decreases in reading order
 
 
 def _strips(lines: DataFrame, keys: Sequence[str]) -> Column | None:
     """Horizontal strips if some page is too large for one task, else None."""
-    return hot_band(lines, keys, STRIP)
+    return hot_band(lines, keys, F.floor(F.col("row_at") / BAND_PIXELS).cast("int"))
 
 
 # --- boxes --------------------------------------------------------------------
@@ -184,18 +183,26 @@ def reading_order(
 # --- sorted streaming folds ---------------------------------------------------------
 
 
-def _sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold, schema: str) -> DataFrame:
-    """Run a constant-memory fold over rows sorted by (keys, order).
+def _sorted_labels(
+    df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], make_step: Callable[[], Callable], out: str
+) -> DataFrame:
+    """Add a label per row from a constant-memory fold over rows sorted by (keys, order).
 
-    Rows stream through in Arrow batches, so no group is ever held whole; the state
-    restarts at each new key.
+    Rows stream through in Arrow batches, so no group is ever held whole; other columns
+    pass through untouched.  ``make_step()`` gives a function (key, order, *inputs) -> label.
     """
-    ready = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ready.mapInPandas(fold, schema)
+    keys, inputs = list(keys), list(inputs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make_step()
+        for batch in batches:
+            groups = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            values = [batch.column(c).to_pylist() for c in (order, *inputs)]
+            labels = pa.array([step(g, *v) for g, *v in zip(groups, *values, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, labels], names=[*batch.schema.names, out])
 
-def _fold_schema(df: DataFrame, extra: str) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + extra
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` long"
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -218,11 +225,10 @@ def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     cut_lines = running(reached, keys, order, cut, "_stretch", strips)
     codes = lines.where(code)
     bridged = _bridged(cut_lines, codes, keys)
-    columns = [*keys, "_stretch", "reading_no", "text", "x", "y", "width", "height", "_bridges"]
-    ready = bridged.select(*keys, "_stretch", "reading_no", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")], "_bridges")
-    labelled = _sorted_fold(
-        ready, [*keys, "_stretch"], ["reading_no"], _merge_labels(tuple(columns), (*keys, "_stretch")), _fold_schema(ready, "_box int")
-    )
+    sizes = [F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]
+    ready = bridged.select(*keys, "_stretch", "reading_no", "text", *sizes, "_bridges")
+    inputs = ["x", "y", "width", "height", "_bridges"]
+    labelled = _sorted_labels(ready, [*keys, "_stretch"], "reading_no", inputs, _box_step, "_box")
     boxes = labelled.groupBy(*keys, "_stretch", "_box").agg(
         F.array_sort(F.collect_list(F.struct("reading_no", "text"))).alias("_parts"),
         F.min("x").alias("x"),
@@ -263,41 +269,31 @@ def _bridged(lines: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
     return lines.join(found, [*keys, "reading_no"], "left")
 
 
-def _merge_labels(columns: tuple[str, ...], keys: tuple[str, ...]):
-    """Fold: number of the running box each line belongs to."""
+def _box_step() -> Callable:
+    """Label: reading number of the first line of the running box."""
+    group, box, label = None, None, -1
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, box, number = None, None, -1
-        for batch in batches:
-            labels = []
-            for row in batch.itertuples(index=False):
-                cell = dict(zip(columns, row, strict=True))
-                here = tuple(cell[k] for k in keys)
-                left, top = cell["x"], cell["y"]
-                right, bottom = left + cell["width"], top + cell["height"]
-                joins = False
-                if here == group:
-                    same_row = abs((top + bottom) / 2 - (box[1] + box[3]) / 2) <= V.MERGE_ROW_TOLERANCE
-                    bridges = cell["_bridges"] if cell["_bridges"] is not None else ()
-                    crossed = any(
-                        c["x"] > box[2] and min(c["bottom"], box[3]) - max(c["y"], box[1]) > 0 for c in bridges
-                    )
-                    joins = same_row and left - box[2] <= (V.MERGE_GAP_ACROSS_BLOB if crossed else V.MERGE_GAP)
-                if joins:
-                    box = (min(box[0], left), min(box[1], top), max(box[2], right), max(box[3], bottom))
-                else:
-                    number = 0 if here != group else number + 1
-                    group, box = here, (left, top, right, bottom)
-                labels.append(number)
-            yield batch.assign(_box=pd.Series(labels, index=batch.index, dtype="int32"))
-
-    return fold
+    def step(key, number, x, y, width, height, bridges) -> int:
+        nonlocal group, box, label
+        right, bottom = x + width, y + height
+        joins = False
+        if key == group:
+            crossed = any(c["x"] > box[2] and min(c["bottom"], box[3]) > max(c["y"], box[1]) for c in bridges or ())
+            level = abs((y + bottom) - (box[1] + box[3])) / 2 <= V.MERGE_ROW_TOLERANCE
+            joins = level and x - box[2] <= (V.MERGE_GAP_ACROSS_BLOB if crossed else V.MERGE_GAP)
+        if joins:
+            box = (min(box[0], x), min(box[1], y), max(box[2], right), max(box[3], bottom))
+        else:
+            group, box, label = key, (x, y, right, bottom), number
+        return label
+
+    return step
 
 
 # --- sections ------------------------------------------------------------------------
 
 
-def _anchor_keys(detected: Column, inline: Column) -> Column:
+def _anchor_keys(detected: Column, inline: Column, signal: Column) -> Column:
     hits = []
     for key, words in V.SECTION_ANCHORS:
         same, inside = F.lit(False), F.lit(False)
@@ -305,7 +301,7 @@ def _anchor_keys(detected: Column, inline: Column) -> Column:
             same = same | (detected == word)
             inside = inside | F.contains(detected, F.lit(word))
         if key != "medication":
-            inside = inside & ~detected.rlike(ascii_bounds(V.MEDICINE_SIGNAL))
+            inside = inside & ~signal
         hits.append(F.when(~inline & (same | inside), F.lit(key)))
     return F.array_compact(F.array(*hits))
 
@@ -318,15 +314,23 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     their borders; lines meet regions through shared horizontal bands, not page-wide.
     """
     keys = list(keys)
-    detected = F.col("_detected")
-    inline = detected.rlike(ascii_bounds(r"^medication\b")) | detected.rlike("^藥名")
-    filled = lines.where(F.trim("text") != "").withColumn("_detected", O.detection_form("text"))
-    filled = filled.withColumn("_inline", inline & detected.rlike(ascii_bounds(V.MEDICINE_SIGNAL)))
-    tagged = filled.withColumn("_anchors", _anchor_keys(detected, F.col("_inline")))
+    def read(detected: Column) -> Column:
+        starts = detected.rlike(ascii_bounds(r"^medication\b")) | detected.rlike("^藥名")
+        signal = detected.rlike(ascii_bounds(V.MEDICINE_SIGNAL))
+        facts = F.struct(detected.alias("text"), signal.alias("signal"), (starts & signal).alias("inline"))
+
+        def tag(s: Column) -> Column:
+            return F.struct(
+                s["inline"].alias("inline"), _anchor_keys(s["text"], s["inline"], s["signal"]).alias("anchors")
+            )
+
+        return let(facts, tag)
+
+    filled = lines.where(F.trim("text") != "").withColumn("_read", let(O.detection_form("text"), read))
+    tagged = filled.select("*", F.col("_read.inline").alias("_inline"), F.col("_read.anchors").alias("_anchors")).drop("_read")
+    anchors = tagged.select(*keys, "element_idx", "x", "y", F.explode("_anchors").alias("section"))
     order = F.create_map(*[F.lit(v) for i, (k, _) in enumerate(V.SECTION_ANCHORS) for v in (k, i)])
-    anchors = tagged.select(
-        *keys, "element_idx", "x", "y", F.explode("_anchors").alias("section")
-    ).withColumn("_no", F.element_at(order, F.col("section")))
+    anchors = anchors.withColumn("_no", F.element_at(order, F.col("section")))
     # Equal anchors of one spot give equal regions, so anchors are reduced to distinct spots first.
     spots = anchors.groupBy(*keys, "section", "_no", "x", "y").agg(F.min("element_idx").alias("element_idx"))
     bottoms = filled.groupBy(*keys).agg(F.max(F.col("y") + F.col("height")).alias("_bottom"))
@@ -376,7 +380,7 @@ def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     kept = cleaned.where((F.length("text") > 0) & ~O.is_label_noise("text") & ~O.is_quantity_only("text"))
     header = F.col("text").rlike(V.HEADER)
     # A header line always opens a group, so the lines between two headers fold on their own.
-    strips = _strips(kept, keys)
+    strips = _strips(lines, keys)
     ordered = reading_order(kept, keys, strips=strips)
     if strips is not None:
         ordered = checkpointed(ordered)
@@ -394,42 +398,34 @@ def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         O.has_inline_detail(O.strip_trailing_quantity("text")).alias("_detail"),
         O.starts_new_item("text").alias("_starts"),
     )
-    fold = _group_labels(tuple(ordered.columns), tuple(keys))
-    out = _sorted_fold(ordered, keys, ["reading_no"], fold, _fold_schema(ordered, "group_no long"))
+    inputs = ["x", "y", "width", "height", "_header", "_continues", "_detail", "_starts"]
+    out = _sorted_labels(ordered, keys, "reading_no", inputs, _group_step, "group_no")
     return out.drop("_stretch", "_header", "_continues", "_detail", "_starts")
 
 
-def _group_labels(columns: tuple[str, ...], keys: tuple[str, ...]):
-    """Fold: reading number of the first line of the group each line belongs to."""
+def _group_step() -> Callable:
+    """Label: reading number of the first line of the running group."""
+    group, box, detail, label = None, None, False, -1
 
-    def joins(box: tuple, detail: bool, c: dict) -> bool:
-        width, height = box[2] - box[0], box[3] - box[1]
-        gap = c["y"] - box[3]
-        shared = max(0.0, min(box[2], c["x"] + c["width"]) - max(box[0], c["x"]))
-        ratio = shared / max(1.0, min(width, c["width"]))
-        shift = abs(box[0] - c["x"])
+    def fits(x, y, width, starts) -> bool:
+        shared = max(0.0, min(box[2], x + width) - max(box[0], x))
+        ratio, shift = shared / max(1.0, min(box[2] - box[0], width)), abs(box[0] - x)
         aligned = ratio >= V.GROUP_OVERLAP or shift <= V.GROUP_ALIGN_TOLERANCE
         far = ratio < V.GROUP_FAR_OVERLAP and shift > V.GROUP_FAR_X
-        near = 0 <= gap <= max(24.0, 2.2 * height)
-        return bool(aligned and near and c["_continues"] and not far and not (detail and c["_starts"]))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, box, detail, number = None, None, False, -1
-        for batch in batches:
-            labels = []
-            for row in batch.itertuples(index=False):
-                c = dict(zip(columns, row, strict=True))
-                here = tuple(c[k] for k in keys)
-                own = (c["x"], c["y"], c["x"] + c["width"], c["y"] + c["height"])
-                if here == group and not c["_header"] and joins(box, detail, c):
-                    box = (min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3]))
-                    detail = detail or c["_detail"]
-                else:
-                    group, box, detail, number = here, own, c["_detail"], c["reading_no"]
-                labels.append(number)
-            yield batch.assign(group_no=pd.Series(labels, index=batch.index, dtype="int64"))
-
-    return fold
+        near = 0 <= y - box[3] <= max(24.0, 2.2 * (box[3] - box[1]))
+        return aligned and near and not far and not (detail and starts)
+
+    def step(key, number, x, y, width, height, header, continues, has_detail, starts) -> int:
+        nonlocal group, box, detail, label
+        own = (x, y, x + width, y + height)
+        if key == group and continues and not header and fits(x, y, width, starts):
+            box = (min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3]))
+            detail = detail or has_detail
+        else:
+            group, box, detail, label = key, own, has_detail, number
+        return label
+
+    return step
 
 
 def group_boxes(grouped: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

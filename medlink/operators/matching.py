@@ -26,6 +26,7 @@ from medlink.functions import fixed_values as V
 from medlink.functions import text as T
 from medlink.functions.ocr_text import clean_head, clean_tail, line_key, trailing_code
 from medlink.operators.curate import token_index, with_name_keys
+from medlink.operators.keyed import checkpointed, left_lookup
 
 PRODUCT_METHODS = ("product_exact", "ocr_product", "product_token_contain", "cjk_fuzzy")
 PRODUCT_IDS_ORDER = ("product_exact", "ocr_product", "cjk_fuzzy", "product_token_contain")
@@ -58,6 +59,15 @@ class Dictionary:
             "name_zh",
         )
 
+    def materialised(self) -> Dictionary:
+        """The same tables written once, for plans that read them many times.
+
+        Tables read from a release are files already and need no copy.
+        """
+        return Dictionary(
+            *[checkpointed(df) for df in (self.products, self.concepts, self.product_ingredients, self.variants)]
+        )
+
     def ingredient_tokens(self) -> DataFrame:
         return token_index(self.concepts, ["ingredient_id"], "canonical_name_normalized")
 
@@ -97,16 +107,10 @@ def line_keys(texts: DataFrame, normalize_han: bool = False) -> DataFrame:
 def ocr_cleaned(texts: DataFrame, known_tokens: DataFrame, upper: bool = False) -> DataFrame:
     """(input_text, cleaned): the last short code is dropped unless it is a known token."""
     headed = texts.withColumn("_head", clean_head("input_text")).withColumn("_code", trailing_code("_head"))
-    known = known_tokens.select(F.col("token").alias("_code")).distinct()
-    # Only texts with a code take part in the lookup, so the many without one share no null key.
-    coded = headed.where(F.col("_code").isNotNull())
-    unknown = coded.join(known, "_code", "left_anti").select("input_text", "_head", F.lit(True).alias("_drop"))
-    listed = coded.join(known, "_code", "left_semi").select("input_text", "_head", F.lit(False).alias("_drop"))
-    plain = headed.where(F.col("_code").isNull()).select("input_text", "_head", F.lit(False).alias("_drop"))
-    cleaned = clean_tail("_head", F.col("_drop"))
-    return unknown.unionByName(listed).unionByName(plain).select(
-        "input_text", (F.upper(cleaned) if upper else cleaned).alias("cleaned")
-    )
+    known = known_tokens.select(F.col("token").alias("_code")).distinct().withColumn("_known", F.lit(True))
+    flagged = left_lookup(headed, known, "_code", "input_text")
+    cleaned = clean_tail("_head", F.col("_code").isNotNull() & F.col("_known").isNull())
+    return flagged.select("input_text", (F.upper(cleaned) if upper else cleaned).alias("cleaned"))
 
 
 # --- exact passes ---------------------------------------------------------------
@@ -251,15 +255,46 @@ def product_stem_sets(d: Dictionary) -> DataFrame:
     )
 
 
+RARE_STEM_SETS = 16  # a stem in fewer stem sets than this identifies products by itself
+
+
+def contain_index(d: Dictionary) -> tuple[DataFrame, DataFrame]:
+    """(postings, frequency) for the ratio pass.
+
+    Names differ mostly in a few rare words, so postings are kept in two tiers.  A rare
+    stem lists the full stem sets that hold it, fewer than RARE_STEM_SETS of them.  A
+    common stem lists only the distinct *common parts* of stem sets, each with its
+    smallest product.  This is exact: a product none of whose rare stems is in the line
+    shares only common stems with it, and one with a rare stem in the line is reached
+    through that stem with its full count, which outranks its common part.
+    """
+    sets = product_stem_sets(d).withColumn("_id", F.array_join("stems", " "))
+    exploded = sets.select("_id", "product_id", "product_name", "has_ids", "stems", F.explode("stems").alias("stem"))
+    frequency = exploded.groupBy("stem").agg(F.count(F.lit(1)).alias("_df"))
+    tagged = exploded.join(frequency, "stem")
+    columns = ["stem", "stems", "product_id", "product_name", "has_ids"]
+    rare = tagged.where(F.col("_df") < RARE_STEM_SETS).select(columns)
+    parts = (
+        tagged.where(F.col("_df") >= RARE_STEM_SETS)
+        .groupBy("_id")
+        .agg(
+            F.array_sort(F.collect_set("stem")).alias("stems"),
+            F.min(F.struct("product_id", "product_name", "has_ids")).alias("_best"),
+        )
+        .groupBy("stems")
+        .agg(F.min("_best").alias("_best"))
+    )
+    common = parts.select(F.explode("stems").alias("stem"), "stems", "_best.*").select(columns)
+    return rare.unionByName(common), frequency
+
+
 def product_contain_hits(texts: DataFrame, d: Dictionary, ratio_percent: int = int(V.TOKEN_CONTAIN_RATIO * 100)) -> DataFrame:
     """The product sharing the most stems with the line, if they are at least 60 % of its tokens.
 
     A line with n tokens needs m = ceil(0.6 n) shared stems, so at least one of its
     (known stems - m + 1) rarest stems is shared: only those are joined.
     """
-    sets = product_stem_sets(d)
-    postings = sets.withColumn("stem", F.explode("stems"))
-    frequency = postings.groupBy("stem").agg(F.count(F.lit(1)).alias("_df"))
+    postings, frequency = contain_index(d)
     words = T.words(T.normalize_text_sql("input_text"))
     lines = texts.select(
         "input_text",
@@ -273,32 +308,23 @@ def product_contain_hits(texts: DataFrame, d: Dictionary, ratio_percent: int = i
         .agg(F.array_sort(F.collect_list(F.struct("_df", "stem"))).alias("_ranked"))
         .where(F.size("_ranked") >= F.col("_need"))
     )
-    probes = known.select(
-        "input_text",
-        "_need",
-        F.transform("_ranked", lambda x: x["stem"]).alias("_line"),
-        F.explode(F.slice("_ranked", F.lit(1), F.size("_ranked") - F.col("_need") + 1)).alias("_probe"),
-    ).select("input_text", "_need", "_line", F.col("_probe.stem").alias("stem"))
-    # One shared stem is enough: the answer per stem is known beforehand.
-    single = postings.groupBy("stem").agg(F.min(F.struct("product_id", "product_name", "has_ids")).alias("_best"))
-    of_one = (
-        probes.where(F.size("_line") == 1)
-        .join(single, "stem")
-        .select("input_text", F.lit(1).alias("_shared"), "_best.*")
-    )
-    of_many = (
-        probes.where(F.size("_line") > 1)
+    scored = (
+        known.select(
+            "input_text",
+            "_need",
+            F.transform("_ranked", lambda x: x["stem"]).alias("_line"),
+            F.explode(F.slice("_ranked", F.lit(1), F.size("_ranked") - F.col("_need") + 1)).alias("_probe"),
+        )
+        .withColumn("stem", F.col("_probe.stem"))
         .join(postings, "stem")
         .withColumn("_shared", F.size(F.array_intersect("stems", "_line")))
         .where(F.col("_shared") >= F.col("_need"))
-        .select("input_text", "_shared", "product_id", "product_name", "has_ids")
     )
     best = F.min_by(
-        F.struct("product_id", "product_name", "has_ids", "_shared"), F.struct(-F.col("_shared"), F.col("product_id"))
+        F.struct("product_id", "product_name", "has_ids"), F.struct(-F.col("_shared"), F.col("product_id"))
     ).alias("_best")
     return (
-        of_one.unionByName(of_many)
-        .groupBy("input_text")
+        scored.groupBy("input_text")
         .agg(best)
         .select("input_text", F.lit("product_token_contain").alias("method"), "_best.*")
     )
@@ -325,19 +351,21 @@ def ocr_clean_hits(
         ocr_cleaned(texts, tokens, upper)
         .select("input_text", F.explode(stems).alias("token_stem"))
         .join(listing, "token_stem")
-        .select("input_text", "ingredient_id")
-        .distinct()
     )
-    counted = found.groupBy("input_text").agg(
-        F.count("ingredient_id").alias("_n"), F.max(F.col("ingredient_id").isNull()).alias("_wide")
+    # At most ``limit`` ids per stem of one text reach this set.
+    per_text = found.groupBy("input_text").agg(
+        F.collect_set("ingredient_id").alias("_ids"), F.max(F.col("ingredient_id").isNull()).alias("_wide")
     )
-    fine = counted.where(~F.col("_wide") & (F.col("_n") <= limit)).select("input_text")
-    return found.join(fine, "input_text").select("input_text", F.lit("ocr_clean").alias("method"), "ingredient_id")
+    fine = per_text.where(~F.col("_wide") & (F.size("_ids") <= limit))
+    return fine.select("input_text", F.lit("ocr_clean").alias("method"), F.explode("_ids").alias("ingredient_id"))
 
 
 # --- CJK near match -----------------------------------------------------------------
 
 
+GRAM = 4
+
+
 def _grams(text: Column, size: int) -> Column:
     last = F.length(text) - size + 1
     return F.when(
@@ -358,9 +386,9 @@ def cjk_needles(texts: DataFrame) -> DataFrame:
 def cjk_hits(texts: DataFrame, d: Dictionary, limit: int = V.CJK_MAX_PRODUCTS) -> DataFrame:
     """Products whose CJK name contains a run of the line, one character may be missing.
 
-    Names are indexed by their grams of 0 to 3 characters.  A needle of up to three
-    characters is itself a gram; a longer one joins on its rarest trigram and is then
-    verified.  A needle found in more than ``limit`` products rules its line out, so
+    Names are indexed by their grams of 0 to GRAM characters.  A needle of up to GRAM
+    characters is itself a gram; a longer one joins on its rarest gram of that size and
+    is then verified.  A needle found in more than ``limit`` products rules its line out, so
     common grams are one marker row each.
     """
     names = (
@@ -370,14 +398,15 @@ def cjk_hits(texts: DataFrame, d: Dictionary, limit: int = V.CJK_MAX_PRODUCTS) -
         .join(d.named_products().select("product_id", "has_ids", "effective_start"), "product_id")
     )
     name = F.col("product_name")
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), _grams(name, 1), _grams(name, 2), _grams(name, 3)))
+    sizes = [_grams(name, n) for n in range(1, GRAM + 1)]
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *sizes))
     indexed = names.withColumn("gram", F.explode(grams))
     per_gram = indexed.groupBy("gram").agg(
         F.count_distinct("product_id").alias("_products"), F.count(F.lit(1)).alias("_names")
     )
     needles = cjk_needles(texts)
     distinct = needles.select("needle").distinct()
-    short = distinct.where(F.length("needle") <= 3).withColumnRenamed("needle", "gram")
+    short = distinct.where(F.length("needle") <= GRAM).withColumnRenamed("needle", "gram")
     short_counts = short.join(per_gram, "gram")
     short_rows = (
         short_counts.where(F.col("_products") <= limit)
@@ -388,8 +417,8 @@ def cjk_hits(texts: DataFrame, d: Dictionary, limit: int = V.CJK_MAX_PRODUCTS) -
     blank = {c: F.lit(None).cast(t) for c, t in names.dtypes}
     short_over = short_counts.where(F.col("_products") > limit).select(F.col("gram").alias("needle")).withColumns(blank)
     rarest = (
-        distinct.where(F.length("needle") > 3)
-        .select("needle", F.explode(_grams(F.col("needle"), 3)).alias("gram"))
+        distinct.where(F.length("needle") > GRAM)
+        .select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
         .join(per_gram.select("gram", "_names"), "gram", "left")
         .groupBy("needle")
         .agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), F.col("gram"))).alias("_min"))
@@ -491,12 +520,8 @@ def match_texts(texts: DataFrame, d: Dictionary, ids_policy: str = "mixed", **op
     owned = d.product_ingredients.select(
         F.col("product_code").alias("_ids_product"), F.col("ingredient_id").alias("_owned")
     ).distinct()
-    kept = ["input_text", "_method", "confidence", "product_id", "product_name"]
-    of_product = resolved.where(F.col("_ids_product").isNotNull()).join(owned, "_ids_product")
-    of_line = resolved.where(F.col("_ids_product").isNull())
-    listed = of_product.select(*kept, F.col("_owned").alias("ingredient_id")).unionByName(
-        of_line.select(*kept, F.explode_outer("_direct").alias("ingredient_id"))
-    )
+    ids = F.when(F.col("_owned").isNotNull(), F.array("_owned")).otherwise(F.col("_direct"))
+    listed = left_lookup(resolved, owned, "_ids_product", "input_text").withColumn("ingredient_id", F.explode_outer(ids))
     names = d.concepts.select("ingredient_id", "canonical_name")
     return listed.join(names, "ingredient_id", "left").select(
         "input_text",
@@ -515,7 +540,8 @@ def match_lines(lines: DataFrame, d: Dictionary, ids_policy: str = "mixed", **op
     The join back to the lines is an equi join on the text whose other side has only a
     few rows per text; adaptive skew handling splits a text repeated in many lines.
     """
-    matched = match_texts(distinct_texts(lines), d, ids_policy, **options)
+    texts = checkpointed(distinct_texts(lines))  # read by every pass
+    matched = match_texts(texts, d, ids_policy, **options)
     return lines.join(matched, "input_text", "left").withColumn(
         "match_status", F.when(F.col("match_method").isNotNull(), "matched").otherwise("unmatched")
     )
@@ -732,7 +758,7 @@ def match_brands(lines: DataFrame, d: Dictionary, key: str = "ocr", alias_key: s
     texts = distinct_texts(lines).select("input_text", text_key.alias("_key"))
     alias_text = F.col("_key") if alias_key == "ocr" else T.normalize_text_sql("input_text")
     texts = texts.withColumn("_alias_key", F.when(F.length("_key") >= 4, alias_text))
-    joined = texts.join(direct, "_key", "left").join(alias, "_alias_key", "left")
+    joined = left_lookup(texts.join(direct, "_key", "left"), alias, "_alias_key", "input_text")
     is_direct, is_alias = F.col("d_product").isNotNull(), F.col("a_product").isNotNull()
 
     def side_by(name: str) -> Column:

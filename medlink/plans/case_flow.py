@@ -9,6 +9,7 @@ from medlink.functions import ocr_text as O
 from medlink.functions.case_fields import text_lines
 from medlink.operators import cases as G
 from medlink.operators import interactions as D
+from medlink.operators.keyed import checkpointed
 from medlink.operators.matching import Dictionary, match_brands, match_lines
 
 
@@ -24,9 +25,9 @@ def case_lines(cases: DataFrame, merge: bool = True, max_lines: int | None = Non
 
 
 def case_flow(cases: DataFrame, d: Dictionary, pairs: DataFrame, templates: DataFrame) -> dict[str, DataFrame]:
-    lines = case_lines(cases)
-    matches = match_lines(lines, d)
+    lines, d = case_lines(cases), d.materialised()
+    matches = checkpointed(match_lines(lines, d))  # read by the cards and by the ingredient sets
     brands = match_brands(lines, d)
-    items = G.detected_items(lines, matches, brands, G.brand_ingredients(brands, d.product_ingredients))
+    items = G.detected_items(matches, brands, G.brand_ingredients(brands, d.product_ingredients))
     found = D.interactions(G.case_ingredients(matches), pairs, templates)
     return {"lines": lines, "matches": matches, "items": items, "interactions": found}
