@@ -172,8 +172,8 @@ def hot_key_join(
 def left_lookup(df: DataFrame, lookup: DataFrame, key: str, spread_by: str, copies: int = 1024) -> DataFrame:
     """Left join on ``key`` where many rows have no key: those are spread instead of sharing one null."""
     filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread_by), F.lit(copies)).cast("string"))
-    keyed = df.withColumn("_key", F.coalesce(F.col(key), filler))
-    return keyed.join(lookup.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+    keyed = df.withColumn("_lookup_key", F.coalesce(F.col(key), filler))
+    return keyed.join(lookup.withColumnRenamed(key, "_lookup_key"), "_lookup_key", "left").drop("_lookup_key")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -77,12 +77,13 @@ def parse_history(lines: DataFrame, line_col: str = "value") -> DataFrame:
     at = {name: (start, end) for name, start, end in V.HISTORY_SLICES}
     plain = {name: X.clean_text(cut(*span)) for name, span in at.items()}
     block = cut(at["name_en"][0], at["strength_text"][0])
-    # The last place where the block pattern matches re-cuts name, pack and ingredient.
+    # The last place where the block pattern matches re-cuts name, pack and ingredient; the
+    # pattern runs to the end of the block, so what precedes it is the name.
     last = F.element_at(F.regexp_extract_all(block, F.lit(V.HISTORY_BLOCK), F.lit(0)), -1)
     has_block = F.size(F.regexp_extract_all(block, F.lit(V.HISTORY_BLOCK), F.lit(0))) > 0
     part = lambda g: X.clean_text(F.regexp_extract(last, V.HISTORY_BLOCK, g))
     head = F.substr(block, F.lit(1), F.length(block) - F.length(last))
-    name = X.clean_text(F.when(F.endswith(block, last), head).otherwise(F.substring_index(block, last, 1)))
+    name = X.clean_text(head)
     dose = cut(at["strength_text"][0], at["manufacturer_short_name"][0])
     has_dose = dose.rlike(V.HISTORY_STRENGTH)
     dose_part = lambda g: X.clean_text(F.regexp_extract(dose, V.HISTORY_STRENGTH, g))
