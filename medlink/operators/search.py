@@ -20,25 +20,40 @@ def relevance(query: Column, name: Column) -> Column:
     return F.when(query == name, F.lit(EXACT)).when(name.startswith(query), F.lit(PREFIX)).otherwise(shared * OVERLAP)
 
 
-def matching_names(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query, name, score) over distinct normalised queries and names.
+def _first_by_name(keyed: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first ``limit`` names per key; Spark applies the limit before the shuffle as well."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_n"))
+    return keyed.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
-    Candidates share a word, or the query is the beginning of the name's first word.
+
+def _word_pairs(words: Column) -> Column:
+    ordered = F.array_sort(words)
+    pairs = F.transform(
+        ordered,
+        lambda a: F.transform(F.filter(ordered, lambda b: b > a), lambda b: F.concat(a, F.lit(" "), b)),
+    )
+    return F.flatten(pairs)
+
+
+def leading_names(queries: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """(query, name, score): names enough to hold the ``limit`` best of every query.
+
+    All names that begin with the query score alike, and so do all that share exactly one
+    given word with it, so per prefix and per word only the first ``limit`` by name can
+    be in a result.  Names that share two words or more are joined on word pairs.  A
+    word held by a third of all names therefore never meets all queries that use it.
     """
     asked = queries.select("_q").distinct().where(F.col("_q") != "")
     given = names.select("_n").distinct().where(F.col("_n") != "")
-    by_word = asked.withColumn("_w", F.explode(F.array_distinct(F.split("_q", " ")))).join(
-        given.withColumn("_w", F.explode(F.array_distinct(F.split("_n", " ")))), "_w"
-    )
-    single = asked.where(~F.contains("_q", F.lit(" ")))
-    first = F.substring_index("_n", " ", 1)
-    heads = given.select(first.alias("_first")).distinct()
-    starts = F.transform(F.sequence(F.lit(1), F.length("_first")), lambda i: F.substr("_first", F.lit(1), i))
-    by_start = (
-        single.join(heads.withColumn("_q", F.explode(starts)), "_q")
-        .join(given.withColumn("_first", first), "_first")
+    starts = F.transform(F.sequence(F.lit(1), F.length("_n")), lambda i: F.substr("_n", F.lit(1), i))
+    by_start = asked.join(_first_by_name(given.withColumn("_q", F.explode(starts)), "_q", limit), "_q")
+    query_words, name_words = F.array_distinct(F.split("_q", " ")), F.array_distinct(F.split("_n", " "))
+    listed = _first_by_name(given.withColumn("_w", F.explode(name_words)), "_w", limit)
+    by_word = asked.withColumn("_w", F.explode(query_words)).join(listed, "_w")
+    by_pair = asked.withColumn("_w", F.explode(_word_pairs(query_words))).join(
+        given.withColumn("_w", F.explode(_word_pairs(name_words))), "_w"
     )
-    pairs = by_word.select("_q", "_n").unionByName(by_start.select("_q", "_n")).distinct()
+    pairs = by_start.unionByName(by_word.drop("_w")).unionByName(by_pair.drop("_w")).distinct()
     return pairs.withColumn("score", relevance(F.col("_q"), F.col("_n")))
 
 
@@ -64,7 +79,7 @@ def ranked_search(
     in_name = F.row_number().over(Window.partitionBy("_n").orderBy("item_id"))
     few = named.where(F.col("_n") != "").distinct().withColumn("_k", in_name).where(F.col("_k") <= limit)
     # One item may carry several names: keep its best score per query.
-    scored = matching_names(asked, named).join(few, "_n")
+    scored = leading_names(asked, named, limit).join(few, "_n")
     best = scored.groupBy("_q", "item_id").agg(
         F.max("score").alias("score"), F.min_by("_n", F.struct(-F.col("score"), F.col("_n"))).alias("name")
     )
@@ -74,14 +89,26 @@ def ranked_search(
 
 
 def grouped_search(queries: DataFrame, items: DataFrame, query_col: str, name_col: str, group_cols: Sequence[str], brand_col: str) -> DataFrame:
-    """Per query and group: number of distinct brands among the items sharing a word.
+    """Per query and group: number of distinct brands among the items the query finds.
 
-    Items are first reduced to distinct (name, group, brand).
+    An item is found by a shared word, or by a one-word query that begins its first word.
+    Items are first reduced to distinct (search key, group, brand), so names never meet
+    queries one by one.
     """
     asked = queries.select(F.col(query_col).alias("query"), T.normalize_text(query_col).alias("_q")).distinct()
-    reduced = items.select(T.normalize_text(name_col).alias("_n"), *group_cols, brand_col).distinct()
-    found = matching_names(asked, reduced).join(reduced, "_n")
-    counts = found.groupBy("_q", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count"))
+    tagged = lambda tag, items: F.transform(items, lambda w: F.concat(F.lit(tag), w))
+    first = F.substring_index("_n", " ", 1)
+    starts = F.transform(F.sequence(F.lit(1), F.length(first)), lambda i: F.substr(first, F.lit(1), i))
+    named = items.select(T.normalize_text(name_col).alias("_n"), *group_cols, brand_col).where(F.col("_n") != "")
+    reduced = named.distinct().select(
+        F.explode(F.concat(tagged("w:", F.array_distinct(F.split("_n", " "))), tagged("p:", starts))).alias("_key"),
+        *group_cols,
+        brand_col,
+    ).distinct()
+    words = F.array_distinct(F.split("_q", " "))
+    keys = F.when(F.size(words) == 1, F.concat(tagged("w:", words), tagged("p:", words))).otherwise(tagged("w:", words))
+    probes = asked.where(F.col("_q") != "").select("_q", F.explode(keys).alias("_key")).distinct()
+    counts = probes.join(reduced, "_key").groupBy("_q", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count"))
     return asked.join(counts, "_q").drop("_q")
 
 

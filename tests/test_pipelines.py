@@ -278,3 +278,24 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.select("case_id", "input_index").distinct().count() == len(GOLDEN) + 1
+
+
+def test_search_limits_keep_the_best(spark):
+    """Many names share every word; the short lists must still give the exact top of a full scoring."""
+    from medlink.operators import search as R
+
+    names = [f"{a} {b} {c}" for a in ("RED", "HOT", "OLD") for b in ("RING", "ROD") for c in range(40)]
+    queries = ["red", "ring red", "ho", "rod hot 7", "old ring 39", "RED RING 5", "none"]
+    got = R.ranked_search(
+        spark.createDataFrame([(q,) for q in queries], "q string"), spark.createDataFrame(list(enumerate(names)), "id long, n string"), "q", "id", ["n"], 5
+    ).collect()
+
+    def score(q, n):
+        words = list(dict.fromkeys(q.split(" ")))
+        return 1.0 if q == n else 0.8 if n.startswith(q) else len(set(words) & set(n.split(" "))) / len(words) * 0.6
+
+    for query in queries:
+        q = query.upper()
+        ranked = sorted((-score(q, n), n, i) for i, n in enumerate(names) if score(q, n) > 0)[:5]
+        mine = sorted((r["rank"], r["item_id"]) for r in got if r["query"] == query)
+        assert [i for _, i in mine] == [i for *_, i in ranked], query
