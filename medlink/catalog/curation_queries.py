@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlink.catalog.registry import query, sql_name_key, sql_norm, sql_stem, sql_uuid, table
+from medlink.catalog.registry import query, spread, sql_name_key, sql_norm, sql_stem, sql_uuid, table
 from medlink.catalog.text_queries import sql_compare_key, sql_strip_strength
 from medlink.functions import text as T
 from medlink.operators import curate as C
@@ -176,7 +176,7 @@ def review_pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 4 == 0, F.concat(F.lower("p_type"), F.lit(" ;; "), "p_name")).when(key % 4 == 1, F.concat("p_brand", F.lit(";;")))
         .when(key % 4 == 2, F.concat("p_name", F.lit(" 10 MG ;; other ;; third"))).otherwise(F.col("p_name"))
     )
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         F.concat(F.lit("P"), key.cast("string")).alias("product_code"),
         F.concat(F.lit("L"), (key % 9).cast("string")).alias("permit_no"),
         item.alias("item_text"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medlink.functions import fixed_values as V
 from medlink.functions.patterns import unicode_bounds as ub
-from medlink.functions.text import col, normalize_text
+from medlink.functions.text import col, let, normalize_text
 
 UNIT = "(?:" + "|".join(V.STRENGTH_UNITS) + ")"
 SALT = ub(r"(?i)\b(?:" + "|".join(V.SALT_WORDS) + r")\b")
@@ -89,12 +89,14 @@ def compare_key(c: Column | str) -> Column:
 
 def base_and_flat_tokens(c: Column | str) -> Column:
     """The comparison keys of one ingredient before aliases are applied."""
-    text = strip_strength(c)
-    root = F.trim(F.substring_index(text, "(", 1))
-    base = compare_key(F.when(root != "", root).otherwise(text))
-    flat = flatten_salt_note(text)
-    keys = F.when(flat != text, F.array(base, compare_key(flat))).otherwise(F.array(base))
-    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+
+    def keys(text: Column) -> Column:
+        root = F.trim(F.substring_index(text, "(", 1))
+        base = compare_key(F.when(root != "", root).otherwise(text))
+        both = lambda flat: F.when(flat != text, F.array(base, compare_key(flat))).otherwise(F.array(base))
+        return let(flatten_salt_note(text), both)
+
+    return F.array_distinct(F.filter(let(strip_strength(c), keys), lambda k: k != ""))
 
 
 def alias_lookup(aliases: dict[str, list[str]] | None = None) -> dict[str, str]:

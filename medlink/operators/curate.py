@@ -307,19 +307,26 @@ def mismatch_items(pairs: DataFrame, threshold: float = 0.6, lookup: dict[str, s
     """
     item_parts = T.split_item_ingredients(I.strip_strength(F.coalesce("item_text", F.lit(""))))
     permit_parts = T.split_permit_ingredients("permit_text")
-    sides = pairs.select(
-        "product_code",
-        "permit_no",
-        "item_text",
-        item_parts.alias("_item"),
-        permit_parts.alias("_permit"),
-        _token_set(item_parts, lookup).alias("_a"),
-        _token_set(permit_parts, lookup).alias("_b"),
+    side = lambda parts: T.let(
+        parts, lambda p: F.struct(p.alias("parts"), _token_set(p, lookup).alias("keys"))
     )
-    m = overlap_measures(F.col("_a"), F.col("_b"))
-    open_rows = (
-        (F.size("_a") > 0) & (F.size("_b") > 0) & (m["right_only"] > 0) & (m["ratio"] < F.lit(float(threshold)))
+
+    def compare(s: Column) -> Column:
+        a, b = s["a"]["keys"], s["b"]["keys"]
+        m = overlap_measures(a, b)
+        differs = (F.size(a) > 0) & (F.size(b) > 0) & (m["right_only"] > 0)
+        return F.struct(
+            s["a"]["parts"].alias("item"),
+            s["b"]["parts"].alias("permit"),
+            (differs & (m["ratio"] < F.lit(float(threshold)))).alias("open"),
+            m["ratio"].alias("ratio"),
+        )
+
+    both = F.struct(side(item_parts).alias("a"), side(permit_parts).alias("b"))
+    sides = pairs.select(
+        "product_code", "permit_no", "item_text", F.inline(F.array(T.let(both, compare))).alias("_item", "_permit", "_open", "_ratio")
     )
+    open_rows = F.col("_open")
     permit_text = F.array_join("_permit", " ;; ")
     return sides.where(open_rows).select(
         T.name_uuid(F.concat_ws("|", F.lit("mismatch"), "product_code", "permit_no", "item_text", permit_text)).alias(
@@ -333,7 +340,7 @@ def mismatch_items(pairs: DataFrame, threshold: float = 0.6, lookup: dict[str, s
         F.array_sort(F.array_distinct(F.transform(F.concat("_item", "_permit"), mention_id))).alias(
             "candidate_ingredient_ids"
         ),
-        m["ratio"].alias("confidence"),
+        F.col("_ratio").alias("confidence"),
         F.lit("pending").alias("status"),
         F.concat(
             F.lit("NHI ingredients: "), F.col("item_text"), F.lit("; TFDA ingredients: "), permit_text
