@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlink.llm import ngram_join, packing, sharding, token_counts, warc
+from medlink.llm import ngram_join, packing, quality_mil, quality_rules, sharding, token_counts, warc
 from medlink.llm.common import shared_dir, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"))
+    return quality_mil.classify(docs, model, threshold=0.7)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), store=lambda df: stored(df, "figures"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_join": op2_ngram_join,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
