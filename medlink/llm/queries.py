@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlink.llm import ngram_join, packing, quality_mil, quality_rules, sharding, token_counts, warc
+from medlink.llm import ngram_join, packing, quality_mil, quality_rules, sharding, token_counts, toxicity, warc
 from medlink.llm.common import shared_dir, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model, threshold=0.3)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
