@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlink.llm import ngram_join, packing, quality_mil, quality_rules, sharding, token_counts, toxicity, warc
+from medlink.llm import ann, mixing, ngram_join, packing, quality_mil, quality_rules, sharding, token_counts, toxicity, warc
 from medlink.llm.common import shared_dir, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,28 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the tokens of the mixed corpus, by language.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.labelled_languages(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix_documents(docs, labelled, TARGETS, lambda df: stored(df, "members"))
+    shares = [F.col("posteriors")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.classify(docs, model, threshold=0.3)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -59,7 +75,9 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
