@@ -15,7 +15,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlink.llm.common import stored, text_blocks, uniform
@@ -167,11 +167,8 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         new = max(0, math.ceil(need / capacity))
         if not new and max(docs) > max(gaps, default=0) and least > max(gaps, default=0):
             new = 1
-        cut, share = _largest(docs, new)
-        opened = F.col("kind").eqNullSafe("doc") & (
-            (F.col("size") > cut) | ((F.col("size") == cut) & (uniform(F.col("item"), F.lit(number)) < share))
-        )
-        rows = state.where("kind = 'doc'").withColumn("opened", opened)
+        rows = state.where("kind = 'doc'")
+        rows = rows.withColumn("opened", _opened(rows, number, *_largest(docs, new)))
         old = state.where(f"kind = 'gap' and size >= {least}").select(F.lit(False).alias("is_doc"), F.col("seq").alias("id"), "size")
         begun = rows.where("opened").select(F.lit(False).alias("is_doc"), F.col("item").alias("id"), (capacity - F.col("size")).alias("size"))
         wait = rows.where("not opened").select(F.lit(True).alias("is_doc"), F.col("item").alias("id"), "size")
@@ -200,16 +197,28 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         placed.append(state.where("kind = 'gap' and item is not null").select("item", "seq", F.lit(2 * number).alias("round")))
 
 
-def _largest(docs: dict[int, int], wanted: int) -> tuple[int, float]:
-    """(cut, share): all sizes above the cut and that share of the cut's own hold about ``wanted`` documents, 1 at least."""
-    if not wanted:
-        return max(docs) + 1, 0.0
-    for size in sorted(docs, reverse=True):
+def _largest(docs: dict[int, int], wanted: int) -> tuple[int, int, int]:
+    """(cut, n, of): the ``wanted`` largest are all above the size cut, and n of the ``of`` documents of that size."""
+    for size in sorted(docs, reverse=True) if wanted else ():
         if docs[size] >= wanted:
-            # a few in hand may all miss a small share, so the last ones open together
-            return size, 1.0 if docs[size] < 30 * wanted and docs[size] < 100 else wanted / docs[size]
+            return size, wanted, docs[size]
         wanted -= docs[size]
-    return 0, 0.0
+    return (0, 0, 1) if wanted else (max(docs) + 1, 0, 1)
+
+
+#: So many documents of one size are picked one by one; for more, a hash picks about as many.
+PICKED = 200
+
+
+def _opened(rows: DataFrame, number: int, cut: int, n: int, of: int) -> Column:
+    """Whether a document opens a sequence in this round."""
+    chance = uniform(F.col("item"), F.lit(number))
+    if n <= PICKED:
+        equal = rows.where(F.col("size") == cut).select("item").orderBy(chance, "item").limit(n)
+        tie = F.col("item").isin([r["item"] for r in equal.collect()])
+    else:
+        tie = chance < n / of
+    return (F.col("size") > cut) | ((F.col("size") == cut) & tie)
 
 
 def _settle(swept: DataFrame, segments: list[tuple[int, int, int, int, int]]) -> DataFrame:
