@@ -38,11 +38,31 @@ def _ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.ranked_search(queries, items, "query", "p_partkey", ["name"])
 
 
+@query(
+    "ranked_search_names",
+    f"""
+    WITH q AS (SELECT DISTINCT w AS query, {sql_norm('w')} AS q FROM (SELECT p_name AS w FROM part UNION ALL SELECT left(p_name, 3) FROM part)),
+    n AS (SELECT p_partkey, {sql_norm("p_name || ' ' || p_brand")} AS n FROM part UNION SELECT p_partkey, {sql_norm("p_name || ' ' || p_type")} FROM part),
+    s AS (SELECT query, p_partkey, n, CASE WHEN q = n THEN 1.0 WHEN starts_with(n, q) THEN 0.8 ELSE
+        len(list_intersect(list_distinct(string_split(q, ' ')), string_split(n, ' '))) * 1.0::DOUBLE / len(list_distinct(string_split(q, ' '))) * 0.6::DOUBLE END::DOUBLE AS score FROM q JOIN n ON true),
+    b AS (SELECT query, p_partkey, max(score) AS score, arg_min(n, (-score, n)) AS n FROM s WHERE score > 0 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, n, p_partkey) AS rank FROM b)
+    SELECT query, rank, p_partkey AS item_id, n AS name, score FROM r WHERE rank <= 20
+    """,
+)
+def _ranked_search_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with two names each."""
+    part = table(spark, sf, "part")
+    queries = part.select(F.explode(F.array(F.col("p_name"), F.substring("p_name", 1, 3))).alias("query"))
+    names = [F.concat("p_name", F.lit(" "), c).alias(f"name_{c}") for c in ("p_brand", "p_type")]
+    return R.ranked_search(queries, part.select("p_partkey", *names), "query", "p_partkey", ["name_p_brand", "name_p_type"])
+
+
 @query(
     "place_search",
     f"""
-    WITH q AS (SELECT DISTINCT left(c_name, 17) AS query, {sql_norm('left(c_name, 17)')} AS q FROM customer),
-    n AS (SELECT s_suppkey, {sql_norm("replace(s_name, 'Supplier', 'Customer')")} AS n, s_name FROM supplier),
+    WITH q AS (SELECT DISTINCT c_name AS query, {sql_norm("replace(c_name, '#', ' ')")} AS q FROM customer),
+    n AS (SELECT s_suppkey, {sql_norm("replace(replace(s_name, 'Supplier', 'Customer'), '#', ' ')")} AS n, s_name FROM supplier),
     s AS (SELECT query, s_suppkey, n, CASE WHEN q = n THEN 1.0 WHEN starts_with(n, q) THEN 0.8 ELSE
         len(list_intersect(list_distinct(string_split(q, ' ')), string_split(n, ' '))) * 1.0::DOUBLE / len(list_distinct(string_split(q, ' '))) * 0.6::DOUBLE END::DOUBLE AS score FROM q JOIN n ON true),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, n, s_suppkey) AS rank FROM s WHERE score > 0)
@@ -50,7 +70,7 @@ def _ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def _place_search(spark: SparkSession, sf: str) -> DataFrame:
-    queries = table(spark, sf, "customer").select(F.substring("c_name", 1, 17).alias("query"))
+    queries = table(spark, sf, "customer").select(F.col("c_name").alias("query"))
     places = table(spark, sf, "supplier").select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
     return R.ranked_search(queries, places, "query", "s_suppkey", ["name"])
 
@@ -105,8 +125,8 @@ def _members_of(spark: SparkSession, sf: str) -> DataFrame:
     f"""
     WITH o AS (SELECT product_code, canonical_name, row_number() OVER (PARTITION BY product_code ORDER BY canonical_name) AS p
         FROM owned JOIN concepts USING (ingredient_id)),
-    i AS (SELECT product_code, string_agg(canonical_name || ':active:item', '|' ORDER BY p) AS ingredients FROM o GROUP BY 1)
-    SELECT product_code, name_en, name_zh, 'ATC ' || p_type AS atc_name, ingredients FROM products
+    i AS (SELECT product_code, CAST((p - 1) // 1000 AS INTEGER) AS chunk_no, string_agg(canonical_name || ':active:item', '|' ORDER BY p) AS ingredients FROM o GROUP BY 1, 2)
+    SELECT product_code, name_en, name_zh, 'ATC ' || p_type AS atc_name, chunk_no, ingredients, p_brand AS permits FROM products
         JOIN part ON product_code = 'P' || p_partkey LEFT JOIN i USING (product_code)
     """.replace("WITH o AS", CTE.rstrip() + ",\n    o AS", 1),
 )
@@ -124,8 +144,14 @@ def _detail_nested(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.array_join(
         F.transform("ingredients", lambda x: F.concat_ws(":", x["canonical_name"], x["role"], x["source"])), "|"
     )
-    lists = detail["ingredients"].select("product_code", shown.alias("ingredients"))
-    return detail["products"].join(lists, "product_code", "left").select("product_code", "name_en", "name_zh", "atc_name", "ingredients")
+    lists = detail["ingredients"].select("product_code", "chunk_no", shown.alias("ingredients"))
+    permits = detail["permits"].where("chunk_no = 0").select(
+        "product_code", F.array_join(F.transform("permits", lambda x: x["permit_no"]), "|").alias("permits")
+    )
+    return (
+        detail["products"].join(lists, "product_code", "left").join(permits, "product_code", "left")
+        .select("product_code", "name_en", "name_zh", "atc_name", "chunk_no", "ingredients", "permits")
+    )
 
 
 # --- lists --------------------------------------------------------------------------
@@ -218,17 +244,6 @@ def _ordered_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "ranked_sort",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END,
-    l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 500""",
-)
-def _ranked_sort(spark: SparkSession, sf: str) -> DataFrame:
-    rank = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf, "lineitem").orderBy(rank, F.desc("l_quantity"), *keys).limit(500).select(*keys)
-
-
 # --- cases ----------------------------------------------------------------------------
 
 CASE_CTE = (
@@ -363,14 +378,17 @@ def shared_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
 @query(
     "shared_summary",
     f"""
-    WITH {SHARED_CTE}, n AS (SELECT l_orderkey, count(*) AS n, string_agg(member_name, '|' ORDER BY l_linenumber, member_name) FILTER (member_name IS NOT NULL) AS names FROM m GROUP BY 1)
-    SELECT o_orderkey AS record_id, c_name AS owner_name, coalesce(n, 0) AS member_count, names AS member_names FROM shared JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON l_orderkey = o_orderkey
+    WITH {SHARED_CTE}, n AS (SELECT l_orderkey, count(*) AS n FROM m GROUP BY 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, member_name) AS p FROM m WHERE member_name IS NOT NULL),
+    l AS (SELECT l_orderkey, CAST((p - 1) // 1000 AS INTEGER) AS chunk_no, string_agg(member_name, '|' ORDER BY p) AS names FROM p GROUP BY 1, 2)
+    SELECT o_orderkey AS record_id, c_name AS owner_name, coalesce(n, 0) AS member_count, chunk_no, names AS member_names
+        FROM shared JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN l ON l.l_orderkey = o_orderkey
     """,
 )
 def _shared_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = G.shared_summary(*shared_tables(spark, sf))
-    names = out["names"].select("record_id", F.array_join("member_names", "|").alias("member_names"))
-    return out["summary"].join(names, "record_id", "left").select("record_id", "owner_name", "member_count", "member_names")
+    names = out["names"].select("record_id", "chunk_no", F.array_join("member_names", "|").alias("member_names"))
+    return out["summary"].join(names, "record_id", "left").select("record_id", "owner_name", "member_count", "chunk_no", "member_names")
 
 
 @query("shared_detail", f"WITH {SHARED_CTE} SELECT o_orderkey AS record_id, member_name, l_linenumber AS member_at FROM shared LEFT JOIN m ON l_orderkey = o_orderkey")
@@ -454,8 +472,10 @@ def _stored_fields(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "photo_combine",
     """
-    SELECT conv_id AS case_id, arg_min(role, turn) FILTER (role <> 'user') AS case_fields, count(*) AS photo_count,
-        string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (text <> '') AS text FROM conversations GROUP BY conv_id
+    WITH f AS (SELECT conv_id, arg_min(role, turn) FILTER (role <> 'user') AS case_fields, count(*) AS photo_count FROM conversations GROUP BY conv_id),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE text <> ''),
+    t AS (SELECT conv_id, CAST((p - 1) // 1000 AS INTEGER) AS chunk_no, string_agg(text, chr(10) || chr(10) ORDER BY p) AS text FROM p GROUP BY 1, 2)
+    SELECT conv_id AS case_id, case_fields, photo_count, chunk_no, text FROM f LEFT JOIN t USING (conv_id)
     """,
 )
 def _photo_combine(spark: SparkSession, sf: str) -> DataFrame:
@@ -464,18 +484,20 @@ def _photo_combine(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("role") != "user", F.col("role")).alias("case_fields"),
     )
     out = G.combine_photos(photos)
-    return out["fields"].join(out["texts"].select("case_id", "text"), "case_id", "left")
+    return out["fields"].join(out["texts"].select("case_id", "chunk_no", "text"), "case_id", "left")
 
 
 @query(
     "photo_cases",
     f"""SELECT {sql_uuid("'group|' || conv_id")} AS case_group_id, {sql_uuid("'case|' || conv_id || '|' || i")} AS case_id, CAST(i AS INTEGER) AS photo_index, role AS photo_path FROM
-    (SELECT conv_id, role, unnest([0, 1]) AS i FROM conversations WHERE turn = 0)""",
+    (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)""",
 )
 def _photo_cases(spark: SparkSession, sf: str) -> DataFrame:
-    photo = F.struct(F.col("role").alias("path"), F.col("text").alias("text"))
-    submissions = table(spark, sf, "conversations").where(F.col("turn") == 0).select(
-        F.col("conv_id").cast("string").alias("submission_key"), F.array(photo, photo).alias("photos")
+    photo = F.struct("turn", F.col("role").alias("path"), F.col("text").alias("text"))
+    submissions = (
+        table(spark, sf, "conversations")
+        .groupBy(F.col("conv_id").cast("string").alias("submission_key"))
+        .agg(F.array_sort(F.collect_list(photo)).alias("photos"))
     )
     return G.cases_per_photo(submissions).select("case_group_id", "case_id", "photo_index", "photo_path")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medlink.catalog.registry import query, spread, sql_name_key, sql_norm, sql_stem, sql_uuid, table
@@ -341,7 +341,7 @@ def _status_counts(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in COUNTED))
@@ -623,6 +623,23 @@ def _pair_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("case_id", "ingredient_a", "ingredient_b", "severity", "patient_title")
 
 
+@query(
+    "ranked_sort",
+    f"""WITH {PAIRS_SQL}, s AS (SELECT DISTINCT l_orderkey AS case_id, 'I' || (l_partkey % 300) AS id FROM lineitem)
+    SELECT a.case_id, ingredient_a, ingredient_b, severity, row_number() OVER (PARTITION BY a.case_id
+        ORDER BY CASE severity WHEN 'major' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END DESC, ingredient_a, ingredient_b) AS place
+    FROM folded JOIN s a ON a.id = ingredient_a JOIN s b ON b.id = ingredient_b AND b.case_id = a.case_id""",
+)
+def _ranked_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Every interaction of every case with its place in the order of severity."""
+    sets = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), F.concat(F.lit("I"), (F.col("l_partkey") % 300).cast("string")).alias("ingredient_id")
+    )
+    found = D.interactions(sets, folded_pairs(spark, sf), D.severity_templates(spark))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(*D.by_severity()))
+    return found.select("case_id", "ingredient_a", "ingredient_b", "severity", place.alias("place"))
+
+
 CASES_SQL = f"""{PAIRS_SQL},
     owned AS (SELECT 'P' || p_partkey AS code, 'I' || (p_partkey % 300) AS id FROM part WHERE p_partkey % 7 > 0),
     concepts AS (SELECT DISTINCT id FROM owned WHERE right(id, 1) <> '3'),

@@ -354,3 +354,9 @@ HISTORY_SLICES = (
 HISTORY_BLOCK = r"(\d+(?:\.\d+)?)\s+([A-Z][A-Z ()/%\.-]*?)\s{2,}(\s*[^\d\s].*?)\s*$"
 HISTORY_STRENGTH = r"^(.*?\S)\s{2,}(\S+)"
 HISTORY_ATC = r"([A-Z][0-9A-Z]{2,7})\s*$"
+
+# Words of lines that are about the product or the form, not a medicine.
+META_NOISE_WORDS = (
+    "藥品資訊連結", "藥品查詢", "資訊連結", "quantity", "use before", "prescription", "dispensing",
+    "pharmacist", "physician", "indications", "side effects", "warnings", "appearance", "instruction",
+)

@@ -148,13 +148,10 @@ def looks_medical(c: Column | str, literal_escape: bool = False) -> Column:
 
 
 def is_meta_noise(c: Column | str) -> Column:
-    packed = F.lower(F.regexp_replace(T.col(c), r"\s+", ""))
-    out = F.lit(False)
-    for word in (
-        "藥品資訊連結", "藥品查詢", "資訊連結", "quantity", "use before", "prescription", "dispensing",
-        "pharmacist", "physician", "indications", "side effects", "warnings", "appearance", "instruction",
-    ):
-        out = out | F.contains(packed, F.lit(word))
+    """A line about the product or the form: one of the fixed words, in any case, with the spaces as given."""
+    lowered, out = F.lower(T.col(c)), F.lit(False)
+    for word in V.META_NOISE_WORDS:
+        out = out | F.contains(lowered, F.lit(word))
     return out
 
 

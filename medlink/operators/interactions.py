@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medlink.functions import fixed_values as V
 from medlink.functions import text as T
-from medlink.operators.keyed import upsert
+from medlink.operators.keyed import checkpointed, upsert
 
 
 def _rank_name(rank: Column) -> Column:
@@ -122,12 +122,23 @@ def map_pair_ends(pairs: DataFrame, name_map: DataFrame) -> DataFrame:
 
 def fold_pairs(pairs: DataFrame) -> DataFrame:
     """One row per pair: highest severity, union of sources, summed rows; all map-side combined."""
-    lists = F.transform(F.collect_set("sources"), lambda s: F.split(s, ";"))
+    # one row per pair and single source first, so a pair gathers names of sources and no raw texts
+    single = (
+        pairs.select(
+            "ingredient_a",
+            "ingredient_b",
+            T.severity_rank("severity").alias("_rank"),
+            "raw_rows",
+            F.posexplode_outer(F.split("sources", ";")).alias("_at", "_source"),
+        )
+        .groupBy("ingredient_a", "ingredient_b", "_source")
+        .agg(F.max("_rank").alias("_rank"), F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("raw_rows"))).alias("raw_rows"))
+    )
     return (
-        pairs.groupBy("ingredient_a", "ingredient_b")
+        single.groupBy("ingredient_a", "ingredient_b")
         .agg(
-            F.max(T.severity_rank("severity")).alias("_rank"),
-            F.nullif(F.array_join(F.array_sort(F.array_distinct(F.flatten(lists))), ";"), F.lit("")).alias("sources"),
+            F.max("_rank").alias("_rank"),
+            F.nullif(F.array_join(F.array_sort(F.collect_set("_source")), ";"), F.lit("")).alias("sources"),
             F.sum("raw_rows").alias("raw_rows"),
         )
         .withColumn("severity", _rank_name(F.col("_rank")))
@@ -172,14 +183,52 @@ def top_unmapped(name_map: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
-def pairs_in_sets(sets: DataFrame, pairs: DataFrame, set_key: str = "case_id", id_col: str = "ingredient_id") -> DataFrame:
+def pairs_in_sets(
+    sets: DataFrame, pairs: DataFrame, set_key: str = "case_id", id_col: str = "ingredient_id", small_set: int = 64
+) -> DataFrame:
     """Known pairs with both ends in the same set.
 
-    No pair of set members is ever built.  Each known pair probes the sets through the
-    end that occurs in fewer sets, then checks the other end, so the work is the sum of
-    min(sets with a, sets with b) over known pairs.
+    Members that are an end of no known pair go first.  A set with up to ``small_set`` others is kept as one array, whose
+    at most small_set ** 2 / 2 pairs are looked up by an equi join.  Members of larger sets are probed by the known pairs
+    (see probe_sets).  Both ways give the same rows, whatever ``small_set`` is.
     """
+    ends = pairs.select(F.explode(F.array("ingredient_a", "ingredient_b")).alias("_id")).distinct()
     members = sets.select(set_key, F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    members = checkpointed(members.join(ends, "_id", "left_semi"))
+    sizes = members.groupBy(set_key).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > small_set).select(set_key)
+    small = sizes.where(F.col("_n").between(2, small_set)).select(set_key)
+    listed = members.join(small, set_key, "left_semi").groupBy(set_key).agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
+    built = F.flatten(
+        F.transform(
+            "_ids",
+            lambda a, i: F.transform(
+                F.slice("_ids", i + 2, F.greatest(F.size("_ids") - i - 1, F.lit(0))),
+                lambda b: F.struct(a.alias("ingredient_a"), b.alias("ingredient_b")),
+            ),
+        )
+    )
+    inside = listed.select(set_key, F.inline(built)).join(
+        pairs.withColumns(
+            {"_swap": F.col("ingredient_a") > F.col("ingredient_b"), "_a": F.least("ingredient_a", "ingredient_b"), "_b": F.greatest("ingredient_a", "ingredient_b")}
+        ).drop("ingredient_a", "ingredient_b").withColumnsRenamed({"_a": "ingredient_a", "_b": "ingredient_b"}),
+        ["ingredient_a", "ingredient_b"],
+    )
+    first, second = F.col("ingredient_a"), F.col("ingredient_b")
+    inside = inside.select(
+        *[
+            F.when(F.col("_swap"), second).otherwise(first).alias(c) if c == "ingredient_a"
+            else F.when(F.col("_swap"), first).otherwise(second).alias(c) if c == "ingredient_b"
+            else F.col(c)
+            for c in [set_key, *pairs.columns]
+        ]
+    )
+    probed = probe_sets(members.join(large, set_key, "left_semi"), pairs, set_key)
+    return inside.unionByName(probed.select(*inside.columns))
+
+
+def probe_sets(members: DataFrame, pairs: DataFrame, set_key: str) -> DataFrame:
+    """Each known pair probes members(set_key, _id) through the end found in fewer sets, then checks the other end."""
     frequency = members.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
     both = (
         pairs.join(frequency.select(F.col("_id").alias("ingredient_a"), F.col("_n").alias("_na")), "ingredient_a")
@@ -204,6 +253,7 @@ def interactions(sets: DataFrame, pairs: DataFrame, templates: DataFrame, set_ke
 
 
 def by_severity() -> list[Column]:
+    """Order of interactions: major first, then by ingredients."""
     return [F.desc(T.severity_rank("severity")), F.asc("ingredient_a"), F.asc("ingredient_b")]
 
 

@@ -1,4 +1,4 @@
-"""Keyed picks, positions and small-side joins that stay balanced under skew.
+"""Keyed picks, positions and lookups that stay balanced under skew.
 
 Every pick is an aggregate (``min_by``/``max_by``), never a window with
 ``row_number() = 1``: aggregates combine on the map side, so a key that holds a
@@ -139,36 +139,6 @@ def chunked_lists(
     return packed.select(*keys, "chunk_no", F.transform("_items", lambda x: x["v"]).alias(out))
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """Cheap size check: reads at most ``limit + 1`` rows."""
-    return len(df.select(F.lit(1)).limit(limit + 1).collect()) <= limit
-
-
-def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Mark for broadcast only after counting that it has at most ``limit`` rows."""
-    return F.broadcast(df) if rows_at_most(df, limit) else df
-
-
-def hot_key_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int = 1_000_000, salts: int = 64
-) -> DataFrame:
-    """Equi join for a big side with hot keys.
-
-    Keys with more than ``hot_rows`` rows (found by a combined count, so at most
-    rows/hot_rows of them exist) are spread over ``salts`` sub-keys, and only
-    their rows on the other side are repeated.  Other keys join as usual.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("salting keeps only inner and left joins whole")
-    hot = big.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    others = [F.col(f"`{c}`") for c in big.columns]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0)
-    left = big.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def left_lookup(df: DataFrame, lookup: DataFrame, key: str, spread_by: str, copies: int = 1024) -> DataFrame:
     """Left join on ``key`` where many rows have no key: those are spread instead of sharing one null."""
     filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread_by), F.lit(copies)).cast("string"))

@@ -230,7 +230,7 @@ def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     inputs = ["x", "y", "width", "height", "_bridges"]
     labelled = _sorted_labels(ready, [*keys, "_stretch"], "reading_no", inputs, _box_step, "_box")
     boxes = labelled.groupBy(*keys, "_stretch", "_box").agg(
-        F.array_sort(F.collect_list(F.struct("reading_no", "text"))).alias("_parts"),
+        F.array_sort(F.collect_list(F.struct(moved.alias("moved"), "reading_no", "text"))).alias("_parts"),
         F.min("x").alias("x"),
         F.min("y").alias("y"),
         F.max(F.col("x") + F.col("width")).alias("_right"),
@@ -429,11 +429,12 @@ def _group_step() -> Callable:
 
 
 def group_boxes(grouped: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """One row per group: joined text without quantities, frame, header flag."""
+    """One row per group: joined text without quantities, frame, header flag. Moved lines (_moved), if any, come last."""
+    moved = F.col("_moved") if "_moved" in grouped.columns else F.lit(False)
     return (
         grouped.groupBy(*keys, "group_no")
         .agg(
-            F.array_sort(F.collect_list(F.struct("reading_no", "text"))).alias("_parts"),
+            F.array_sort(F.collect_list(F.struct(moved.alias("moved"), "reading_no", "text"))).alias("_parts"),
             F.min("x").alias("x"),
             F.min("y").alias("y"),
             F.max(F.col("x") + F.col("width")).alias("_right"),
@@ -499,7 +500,7 @@ def grouped_items(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     moved = grouped.join(moves, [*keys, "group_no"], "left").withColumns(
         {
             # Lines of an attached group come after the lines of the group they join.
-            "reading_no": F.col("reading_no") + F.when(F.col("target_no").isNotNull(), 1_000_000_000).otherwise(0),
+            "_moved": F.col("target_no").isNotNull(),
             "group_no": F.coalesce("target_no", "group_no"),
         }
     )

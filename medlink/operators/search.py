@@ -36,7 +36,10 @@ def _word_pairs(words: Column) -> Column:
 
 
 def leading_names(queries: DataFrame, names: DataFrame, limit: int) -> DataFrame:
-    """(query, name, score): names enough to hold the ``limit`` best of every query.
+    """(query, name, score): names enough to hold the ``limit`` best names of every query.
+
+    For the best n items of up to k names each, ask for n x k names: the n-th item's best name has at most n x k names,
+    all of the first n items, up to it.
 
     All names that begin with the query score alike, and so do all that share exactly one
     given word with it, so per prefix and per word only the first ``limit`` by name can
@@ -79,7 +82,7 @@ def ranked_search(
     in_name = F.row_number().over(Window.partitionBy("_n").orderBy("item_id"))
     few = named.where(F.col("_n") != "").distinct().withColumn("_k", in_name).where(F.col("_k") <= limit)
     # One item may carry several names: keep its best score per query.
-    scored = leading_names(asked, named, limit).join(few, "_n")
+    scored = leading_names(asked, named, limit * len(name_cols)).join(few, "_n")
     best = scored.groupBy("_q", "item_id").agg(
         F.max("score").alias("score"), F.min_by("_n", F.struct(-F.col("score"), F.col("_n"))).alias("name")
     )
@@ -155,7 +158,7 @@ def nested_lists(
 def product_details(
     products: DataFrame, product_ingredients: DataFrame, concepts: DataFrame, links: DataFrame, permits: DataFrame, atc: DataFrame
 ) -> dict[str, DataFrame]:
-    """The enriched product: flat columns with ATC, and the nested lists as separate chunked tables."""
+    """The enriched product: flat columns with ATC, and the nested lists as tables (product_code, chunk_no, list)."""
     flat = products.join(atc, "atc_code", "left")
     named = product_ingredients.join(concepts.select("ingredient_id", "canonical_name"), "ingredient_id")
     ingredients = nested_lists(
