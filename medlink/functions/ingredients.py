@@ -11,7 +11,6 @@ from medlink.functions.text import col, let, normalize_text
 
 UNIT = "(?:" + "|".join(V.STRENGTH_UNITS) + ")"
 SALT = ub(r"(?i)\b(?:" + "|".join(V.SALT_WORDS) + r")\b")
-MAX_INLINE_ALIASES = 256
 
 
 def _squeeze(c: Column) -> Column:
@@ -116,25 +115,35 @@ def _plain_key(name: str) -> str:
     return " ".join(kept.split())
 
 
+def _alias_map(lookup: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(lookup.items()) for x in pair]).cast("map<string,string>")
+
+
 def alias_hit(token: Column | str, lookup: dict[str, str] | None = None) -> Column:
-    """The alias that applies to ``token``: the exact name, else the longest leading name."""
+    """The alias that applies to ``token``: the exact name, else the longest leading words that are a name.
+
+    Works for any number of aliases that fits a plan; a table of aliases is joined by operators.curate.map_aliases.
+    """
+    names = _alias_map(alias_lookup() if lookup is None else lookup)
+    words = F.split(col(token), " ")
+    leads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    found = F.filter(leads, lambda lead: F.map_contains_key(names, lead))
+    return F.get(found, F.size(found) - 1)
+
+
+def alias_target(token: Column | str, lookup: dict[str, str] | None = None) -> Column:
+    """The canonical name of the alias that applies, if any."""
     names = alias_lookup() if lookup is None else lookup
-    if len(names) > MAX_INLINE_ALIASES:
-        raise ValueError("too many aliases for an inline lookup; use operators.curate.map_aliases")
-    text = col(token)
-    found = F.when(F.lit(False), F.lit(""))
-    for name in sorted(names, key=lambda n: (-len(n), n)):
-        found = found.when((text == name) | text.startswith(name + " "), F.lit(name))
-    return found
+    return let(alias_hit(token, names), lambda hit: F.get(F.array(F.try_element_at(_alias_map(names), hit)), F.lit(0)))
 
 
 def apply_alias(token: Column | str, lookup: dict[str, str] | None = None) -> Column:
-    names = alias_lookup() if lookup is None else lookup
-    text, hit = col(token), alias_hit(token, names)
-    out = F.when(F.lit(False), F.lit(""))
-    for name, target in sorted(names.items()):
-        out = out.when(hit == name, F.concat(F.lit(target), F.substr(text, F.lit(len(name) + 1))))
-    return out.otherwise(text)
+    names, text = alias_lookup() if lookup is None else lookup, col(token)
+    target = _alias_map(names)
+    return let(
+        alias_hit(token, names),
+        lambda hit: F.coalesce(F.concat(F.try_element_at(target, hit), F.substr(text, F.length(hit) + 1)), text),
+    )
 
 
 def compare_tokens(c: Column | str, lookup: dict[str, str] | None = None) -> Column:

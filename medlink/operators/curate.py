@@ -254,15 +254,8 @@ def map_aliases(tokens: DataFrame, token_col: str, aliases: DataFrame) -> DataFr
 def alias_usage(tokens: DataFrame, token_col: str, lookup: dict[str, str] | None = None) -> DataFrame:
     """How often each canonical name replaced another spelling."""
     names = I.alias_lookup() if lookup is None else lookup
-    mapped = I.apply_alias(token_col, names)
-    canonical = F.when(F.lit(False), F.lit(""))
-    for alias, target in sorted(names.items()):
-        canonical = canonical.when(I.alias_hit(token_col, names) == alias, F.lit(target))
-    return (
-        tokens.where(mapped != F.col(token_col))
-        .groupBy(canonical.alias("canonical"))
-        .agg(F.count(F.lit(1)).alias("uses"))
-    )
+    used = tokens.where(I.apply_alias(token_col, names) != F.col(token_col))
+    return used.groupBy(I.alias_target(token_col, names).alias("canonical")).agg(F.count(F.lit(1)).alias("uses"))
 
 
 def _token_set(texts: Column, lookup: dict[str, str] | None) -> Column:

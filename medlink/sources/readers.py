@@ -18,9 +18,13 @@ TYPES = {"text": "string", "decimal": "decimal(18,6)", "date": "date"}
 
 
 def read_delimited(
-    spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, encoding: str = "UTF-8"
+    spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, encoding: str = "UTF-8", line_breaks: bool = True
 ) -> DataFrame:
-    """Text columns by header; ',' for .csv, else '|'; missing values become ''."""
+    """Text columns by header; ',' for .csv, else '|'; missing values become ''.
+
+    ``line_breaks``: quoted fields may hold line breaks, so a file is read whole by one task. A data set known to have
+    none sets it to False, and its UTF-8 files are split; other encodings are always read whole.
+    """
     listed = [paths] if isinstance(paths, str) else list(paths)
     mark = sep or ("," if listed[0].lower().endswith(".csv") else "|")
     df = (
@@ -29,7 +33,7 @@ def read_delimited(
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", encoding.upper() not in ("UTF-8", "UTF8"))
+        .option("multiLine", line_breaks or encoding.upper() not in ("UTF-8", "UTF8"))
         .csv(listed)
     )
     return df.na.fill("")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
@@ -17,15 +18,25 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_small_text(spark: SparkSession, path: str, text: str) -> None:
-    """A few lines written by the driver: put beside the target, then renamed onto it."""
+    """A few lines written by the driver: put beside the target, then renamed onto it in one step.
+
+    Readers see the old text or the new one, as the rename replaces the target.
+    """
     fs, target = _fs(spark, path)
     _, side = _fs(spark, path + ".tmp")
     out = fs.create(side, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(side, target):
-        raise OSError(f"cannot move {side} to {target}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(side), fs.makeQualified(target), options)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
 
 
 def read_small_text(spark: SparkSession, path: str) -> str:
@@ -70,11 +81,14 @@ def write_batch(
 ) -> int:
     """Append one import batch under its own partition, then record it with its row count.
 
-    A batch folder is replaced as a whole, so a repeated or resumed load gives one copy.
+    A batch folder is replaced as a whole, so a repeated or resumed load gives one copy. Rows are written once before
+    they are numbered: numbers come from files, which read the same each time, not from two runs of a plan.
     """
     spark = df.sparkSession
-    target = f"{path}/import_batch_id={batch_id}"
-    with_row_numbers(df).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(target)
+    target, side = f"{path}/import_batch_id={batch_id}", f"{path}/_unnumbered-{batch_id}"
+    df.write.mode("overwrite").parquet(side)
+    with_row_numbers(spark.read.parquet(side)).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(target)
+    _delete(spark, side)
     rows = spark.read.parquet(target).count()
     record = spark.createDataFrame(
         [(source_name, source_version, imported_at, rows, notes)],
@@ -88,31 +102,54 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def publish_release(spark: SparkSession, tables: dict[str, DataFrame], root: str, release: str) -> None:
-    """Write every table under a new release folder; readers switch when the pointer moves."""
+def publish_release(
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, release: str, carried: dict[str, str] | None = None
+) -> None:
+    """Write every table under a new release folder; readers switch when the pointer moves.
+
+    The pointer names the release and the folder of each of its tables; ``carried`` are tables of earlier releases that
+    stay as they are.
+    """
+    folders = dict(carried or {})
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/release={release}/{name}")
-    write_small_text(spark, f"{root}/CURRENT", release)
+        folders[name] = f"release={release}/{name}"
+        df.write.mode("overwrite").parquet(f"{root}/{folders[name]}")
+    write_small_text(spark, f"{root}/CURRENT", json.dumps({"release": release, "tables": folders}, sort_keys=True))
+
+
+def _pointer(spark: SparkSession, root: str) -> dict:
+    return json.loads(read_small_text(spark, f"{root}/CURRENT"))
 
 
 def current_release(spark: SparkSession, root: str) -> str:
-    return read_small_text(spark, f"{root}/CURRENT").strip()
+    return _pointer(spark, root)["release"]
 
 
 def read_release(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/release={current_release(spark, root)}/{table}")
+    return spark.read.parquet(f"{root}/{_pointer(spark, root)['tables'][table]}")
 
 
 def upsert_table(spark: SparkSession, incoming: DataFrame, keys: Sequence[str], root: str, table: str, release: str) -> None:
-    """Upsert into a released table: the merged table is written beside the old one, then switched to."""
+    """Upsert into a released table: the merged table is written beside the old one, then switched to.
+
+    The release's other tables are carried over. The new release needs a name of its own.
+    """
+    pointer = _pointer(spark, root)
+    if pointer["release"] == release or pointer["tables"][table].startswith(f"release={release}/"):
+        raise ValueError(f"release {release!r} is what would be read; choose another name")
     merged = upsert(read_release(spark, root, table), incoming, keys)
-    publish_release(spark, {table: merged}, root, release)
+    publish_release(spark, {table: merged}, root, release, pointer["tables"])
 
 
 def content_hash(df: DataFrame) -> str:
-    """Order-free hash of all rows as text (exact decimal sum, so it cannot overflow)."""
-    row = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)").alias("h"))
-    return str(row.agg(F.coalesce(F.sum("h"), F.lit(0))).first()[0])
+    """Order-free SHA-256 of all rows: of the exact sums of the rows' own SHA-256, in four parts.
+
+    A row is hashed as JSON with its nulls written out, so (null, a) and (a, null) differ.
+    """
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    part = lambda i: F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(*[F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in range(4)]).first()
+    return hashlib.sha256("/".join(str(s) for s in sums).encode()).hexdigest()
 
 
 def export_with_manifest(
@@ -127,7 +164,7 @@ def export_with_manifest(
         "table": table,
         "row_count": rows,
         "exported_rows": back.count(),
-        "content_hash": content_hash(back),
+        "content_sha256": content_hash(back),
         "columns": [{"column": n, "type": t} for n, t in back.dtypes],
     }
     if keys is not None and key is not None:

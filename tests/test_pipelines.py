@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from medlink.functions import ingredients as I
 from medlink.functions import text as T
 from medlink.operators import cases as G
 from medlink.operators import curate as C
@@ -247,6 +249,42 @@ def test_history_lines(spark):
     assert row["ingredient_text"] == "HYDROXYPROGESTERONE CAPROATE" and row["dose_form"] == "注射劑" and row["atc_code"] == "G03DA03"
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,"a ""quote"""\n', encoding="utf-8")
+    rows = S.read_delimited(spark, f"{tmp_path}/a.csv").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("1", "two\nlines"), ("2", 'a "quote"')]
+
+
+def test_pairs_in_sets_of_any_size(spark):
+    rng = random.Random(4)
+    sets = [(c, f"I{rng.randrange(40)}") for c in range(30) for _ in range(rng.randrange(1, 25))] + [(99, f"I{i}") for i in range(40)] + [(98, None)]
+    pairs = {tuple(rng.sample([f"I{i}" for i in range(45)], 2)) for _ in range(200)}
+    have = {c: {i for k, i in sets if k == c} for c, _ in sets}
+    want = sorted((c, a, b, "major") for c, ids in have.items() for a, b in pairs if a in ids and b in ids)
+    s = spark.createDataFrame(sets, "case_id int, ingredient_id string")
+    p = spark.createDataFrame([(a, b, "major") for a, b in pairs], "ingredient_a string, ingredient_b string, severity string")
+    for limit in (1, 8, 1000):
+        got = D.pairs_in_sets(s, p, small_set=limit).select("case_id", "ingredient_a", "ingredient_b", "severity").collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_long_lists_and_noise(spark):
+    photos = spark.range(2500).select(F.lit(1).alias("case_id"), F.col("id").alias("photo_index"), F.concat(F.lit("t"), "id").alias("text"), F.lit(None).cast("string").alias("case_fields"))
+    chunks = G.combine_photos(photos)["texts"].orderBy("chunk_no").collect()
+    assert [r["chunk_no"] for r in chunks] == [0, 1, 2]
+    assert "\n\n".join(r["text"] for r in chunks) == "\n\n".join(f"t{i}" for i in range(2500))
+    lines = ["Use before 2027/01/01", "Side effects may include nausea", "ASPIRIN 100 MG", "藥品查詢 x"]
+    noise = spark.createDataFrame([(x,) for x in lines], "t string").select(G.is_meta_noise("t").alias("n")).collect()
+    assert [r["n"] for r in noise] == [True, True, False, True]
+
+
+def test_many_aliases(spark):
+    lookup = {f"NAME {i}": f"TARGET{i}" for i in range(1500)} | {"NAME 7 SODIUM": "SALT"}
+    tokens = spark.createDataFrame([("NAME 7",), ("NAME 7 SODIUM X",), ("NAME 71",), ("OTHER",), ("",)], "token string")
+    got = [r[0] for r in tokens.select(I.apply_alias("token", lookup)).collect()]
+    assert got == ["TARGET7", "SALT X", "TARGET71", "OTHER", ""]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
     rows = W.write_batch(df, f"{tmp_path}/raw", f"{tmp_path}/batches", "b1", "src", "v1", "2026-01-01")
@@ -256,10 +294,17 @@ def test_sinks(spark, tmp_path):
     W.publish_release(spark, {"t": df}, f"{tmp_path}/rel", "r1")
     W.upsert_table(spark, spark.range(95, 105).select("id", F.lit(9).cast("long").alias("v")), ["id"], f"{tmp_path}/rel", "t", "r2")
     now = W.read_release(spark, f"{tmp_path}/rel", "t")
+    W.publish_release(spark, {"t": now, "other": df}, f"{tmp_path}/rel2", "r1")
+    W.upsert_table(spark, df, ["id"], f"{tmp_path}/rel2", "t", "r2")
+    assert W.read_release(spark, f"{tmp_path}/rel2", "other").count() == 100
+    with pytest.raises(ValueError):
+        W.upsert_table(spark, df, ["id"], f"{tmp_path}/rel2", "t", "r2")
     assert W.current_release(spark, f"{tmp_path}/rel") == "r2" and now.count() == 105 and now.where("v = 9").count() == 10
     manifest = W.export_with_manifest(df, f"{tmp_path}/exp", "t", spark.range(98, 102), "id")
     assert manifest["exported_rows"] == 100 and manifest["sample_key_hits"] == 2
-    assert manifest["content_hash"] == W.content_hash(df.orderBy(F.desc("id")))
+    assert manifest["content_sha256"] == W.content_hash(df.orderBy(F.desc("id"))) != W.content_hash(df.limit(99))
+    swapped = [spark.createDataFrame([row], "a string, b string") for row in ((None, "x"), ("x", None))]
+    assert W.content_hash(swapped[0]) != W.content_hash(swapped[1])
     W.write_report(spark, df.agg(F.count("*").alias("rows")), {"top": df.limit(3)}, f"{tmp_path}/rep", "Report")
     assert "rows: 100" in (tmp_path / "rep" / "report.md").read_text()
 
