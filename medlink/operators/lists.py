@@ -7,28 +7,23 @@ from pyspark.sql import functions as F
 
 from medlink.functions.ingredients import strip_trailing_dose
 
-PREFIX_KEY_CHARS = 8
-
 
 def names_starting_with(names: DataFrame, concepts: DataFrame) -> DataFrame:
     """(name, ingredient_id): concepts whose name starts with ``name``, ignoring case.
 
-    Both sides join on the first characters (up to eight, fewer for a shorter name),
-    then the whole prefix is checked.
+    An equi join on whole prefixes: each concept offers its prefixes of just the lengths that are asked for, a table of
+    at most as many rows as the longest name has characters.
     """
-    asked = names.select("name").distinct().where(F.col("name") != "")
-    low = F.lower("name")
-    asked = asked.withColumn("_low", low).withColumn("_key", F.substring("_low", 1, PREFIX_KEY_CHARS))
-    keys = F.transform(
-        F.sequence(F.lit(1), F.least(F.length("_full"), F.lit(PREFIX_KEY_CHARS))),
-        lambda i: F.substr("_full", F.lit(1), i),
-    )
+    asked = names.select("name").distinct().where(F.col("name") != "").withColumn("_key", F.lower("name"))
+    lengths = asked.select(F.length("_key").alias("_size")).distinct()
     given = (
         concepts.where(F.length("canonical_name") > 0)
         .select("ingredient_id", F.lower("canonical_name").alias("_full"))
-        .withColumn("_key", F.explode(keys))
+        .withColumn("_size", F.explode(F.sequence(F.lit(1), F.length("_full"))))
+        .join(F.broadcast(lengths), "_size", "left_semi")
+        .select("ingredient_id", F.substr("_full", F.lit(1), F.col("_size")).alias("_key"))
     )
-    return asked.join(given, "_key").where(F.startswith("_full", "_low")).select("name", "ingredient_id")
+    return asked.join(given, "_key").select("name", "ingredient_id")
 
 
 def base_ingredients(ids: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -95,23 +95,22 @@ def grouped_search(queries: DataFrame, items: DataFrame, query_col: str, name_co
     """Per query and group: number of distinct brands among the items the query finds.
 
     An item is found by a shared word, or by a one-word query that begins its first word.
-    Items are first reduced to distinct (search key, group, brand), so names never meet
-    queries one by one.
+    Items are first reduced to distinct (search key, group, brand). What a one-word query finds is counted per (key, group)
+    before queries join, so a hot word meets each such query as one row a group; only queries of several words, whose
+    words may find the same brand, meet the brands of their words.
     """
     asked = queries.select(F.col(query_col).alias("query"), T.normalize_text(query_col).alias("_q")).distinct()
-    tagged = lambda tag, items: F.transform(items, lambda w: F.concat(F.lit(tag), w))
     first = F.substring_index("_n", " ", 1)
     starts = F.transform(F.sequence(F.lit(1), F.length(first)), lambda i: F.substr(first, F.lit(1), i))
-    named = items.select(T.normalize_text(name_col).alias("_n"), *group_cols, brand_col).where(F.col("_n") != "")
-    reduced = named.distinct().select(
-        F.explode(F.concat(tagged("w:", F.array_distinct(F.split("_n", " "))), tagged("p:", starts))).alias("_key"),
-        *group_cols,
-        brand_col,
-    ).distinct()
-    words = F.array_distinct(F.split("_q", " "))
-    keys = F.when(F.size(words) == 1, F.concat(tagged("w:", words), tagged("p:", words))).otherwise(tagged("w:", words))
-    probes = asked.where(F.col("_q") != "").select("_q", F.explode(keys).alias("_key")).distinct()
-    counts = probes.join(reduced, "_key").groupBy("_q", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count"))
+    named = items.select(T.normalize_text(name_col).alias("_n"), *group_cols, brand_col).where(F.col("_n") != "").distinct()
+    words = F.array_distinct(F.split("_n", " "))
+    own = named.select(F.explode(F.array_union(words, starts)).alias("_key"), *group_cols, brand_col)
+    counted = own.groupBy("_key", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count"))
+    parts = asked.where(F.col("_q") != "").select("_q", F.array_distinct(F.split("_q", " ")).alias("_words")).distinct()
+    single = parts.where(F.size("_words") == 1).select("_q", F.col("_words")[0].alias("_key")).join(counted, "_key").drop("_key")
+    by_word = named.select(F.explode(words).alias("_key"), *group_cols, brand_col).distinct()
+    several = parts.where(F.size("_words") > 1).select("_q", F.explode("_words").alias("_key")).join(by_word, "_key")
+    counts = several.groupBy("_q", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count")).unionByName(single)
     return asked.join(counts, "_q").drop("_q")
 
 
