@@ -554,16 +554,19 @@ def name_map(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def folded_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def raw_pairs(spark: SparkSession, sf: str) -> DataFrame:
     step = F.col("l_linenumber") % 3
-    rows = table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").select(
         F.concat(F.lit("N"), F.col("l_partkey").cast("string")).alias("drug_a"),
         F.concat(F.lit("N"), (F.col("l_suppkey") * 7).cast("string")).alias("drug_b"),
         F.when(step == 0, "Major").when(step == 1, "moderate").otherwise("MINOR").alias("severity"),
         F.concat("l_returnflag", F.lit("; "), "l_linestatus").alias("sources"),
         F.col("l_linenumber").cast("string").alias("raw_rows"),
     )
-    return D.import_pairs(rows, name_map(spark, sf))
+
+
+def folded_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return D.import_pairs(raw_pairs(spark, sf), name_map(spark, sf))
 
 
 @query("pair_fold", f"WITH {PAIRS_SQL} SELECT ingredient_a, ingredient_b, severity, sources, raw_rows FROM folded JOIN src USING (ingredient_a, ingredient_b)")
@@ -587,6 +590,29 @@ def _pair_import(spark: SparkSession, sf: str) -> DataFrame:
     return K.upsert(old, folded_pairs(spark, sf), ["ingredient_a", "ingredient_b"]).select("ingredient_a", "ingredient_b", "severity")
 
 
+@query(
+    "pair_merge",
+    f"""WITH {PAIRS_SQL}, old AS (SELECT least('I' || (s_suppkey % 300), 'I' || (s_suppkey % 299 + 1)) AS ingredient_a, greatest('I' || (s_suppkey % 300), 'I' || (s_suppkey % 299 + 1)) AS ingredient_b,
+        CASE s_suppkey % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'moderate' ELSE 'minor' END AS severity, 'old' AS s, s_suppkey AS raw_rows FROM supplier),
+    every AS (SELECT ingredient_a, ingredient_b, severity, raw_rows FROM folded UNION ALL SELECT ingredient_a, ingredient_b, severity, raw_rows FROM old),
+    names AS (SELECT ingredient_a, ingredient_b, unnest(string_split(sources, ';')) AS s FROM src UNION SELECT ingredient_a, ingredient_b, s FROM old),
+    lists AS (SELECT ingredient_a, ingredient_b, string_agg(DISTINCT s, ';' ORDER BY s) AS sources FROM names GROUP BY 1, 2)
+    SELECT ingredient_a, ingredient_b, CASE max(CASE severity WHEN 'major' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) WHEN 3 THEN 'major' WHEN 2 THEN 'moderate' ELSE 'minor' END AS severity,
+        any_value(sources) AS sources, CAST(sum(raw_rows) AS BIGINT) AS raw_rows FROM every JOIN lists USING (ingredient_a, ingredient_b) GROUP BY 1, 2""",
+)
+def _pair_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The import that merges with stored pairs instead of replacing them."""
+    key = F.col("s_suppkey")
+    one, two = (F.concat(F.lit("I"), k.cast("string")) for k in (key % 300, key % 299 + 1))
+    old = table(spark, sf, "supplier").select(
+        F.least(one, two).alias("ingredient_a"), F.greatest(one, two).alias("ingredient_b"),
+        F.when(key % 3 == 0, "major").when(key % 3 == 1, "moderate").otherwise("minor").alias("severity"),
+        F.lit("old").alias("sources"), key.cast("long").alias("raw_rows"),
+    )
+    merged = D.import_pairs(raw_pairs(spark, sf), name_map(spark, sf), old, merge_existing=True)
+    return merged.select("ingredient_a", "ingredient_b", "severity", "sources", "raw_rows")
+
+
 @query("severity_counts", f"WITH {PAIRS_SQL} SELECT s.severity, count(f.severity) AS n FROM (VALUES ('major'), ('moderate'), ('minor')) AS s(severity) LEFT JOIN folded f USING (severity) GROUP BY 1")
 def _severity_counts(spark: SparkSession, sf: str) -> DataFrame:
     return D.severity_counts(folded_pairs(spark, sf))
@@ -655,12 +681,7 @@ CASES_SQL = f"""{PAIRS_SQL},
         UNION ALL SELECT a.case_id, 'f' FROM folded JOIN checked a ON a.id = ingredient_a JOIN checked b ON b.id = ingredient_b AND b.case_id = a.case_id)"""
 
 
-@query(
-    "case_coverage",
-    f"""WITH {CASES_SQL}, n AS (SELECT case_id, count(*) FILTER (k = 'c') AS checked_count, count(*) FILTER (k = 'u') AS unchecked_count, count(*) FILTER (k = 'f') AS interaction_count FROM tally GROUP BY case_id)
-    SELECT *, CASE WHEN interaction_count > 0 THEN 'interactions' WHEN unchecked_count = 0 THEN 'none_found' ELSE 'incomplete' END AS state FROM n""",
-)
-def _case_coverage(spark: SparkSession, sf: str) -> DataFrame:
+def evaluated_cases(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     lineitem, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     ident = lambda c: F.concat(F.lit("I"), c.cast("string"))
     case = F.col("l_orderkey").alias("case_id")
@@ -671,10 +692,50 @@ def _case_coverage(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_code"), ident(F.col("p_partkey") % 300).alias("ingredient_id")
     )
     concepts = owned.where(~F.col("ingredient_id").endswith("3")).select("ingredient_id").distinct().withColumn("canonical_name", F.col("ingredient_id"))
-    found = D.evaluate_cases(codes, ids, texts, owned, concepts, folded_pairs(spark, sf))
+    return D.evaluate_cases(codes, ids, texts, owned, concepts, folded_pairs(spark, sf))
+
+
+@query(
+    "case_coverage",
+    f"""WITH {CASES_SQL}, n AS (SELECT case_id, count(*) FILTER (k = 'c') AS checked_count, count(*) FILTER (k = 'u') AS unchecked_count, count(*) FILTER (k = 'f') AS interaction_count FROM tally GROUP BY case_id)
+    SELECT *, CASE WHEN interaction_count > 0 THEN 'interactions' WHEN unchecked_count = 0 THEN 'none_found' ELSE 'incomplete' END AS state FROM n""",
+)
+def _case_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluated_cases(spark, sf)
     return found["counts"].select("case_id", "checked_count", "unchecked_count", "interaction_count", "state")
 
 
+@query(
+    "case_checked",
+    f"""WITH {CASES_SQL} SELECT case_id, id AS ingredient_id, id AS canonical_name,
+        row_number() OVER (PARTITION BY case_id ORDER BY lower(id), id) AS place FROM checked""",
+)
+def _case_checked(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(*D.by_name()))
+    return evaluated_cases(spark, sf)["checked"].select("case_id", "ingredient_id", "canonical_name", place.alias("place"))
+
+
+@query(
+    "case_unchecked",
+    f"""WITH {CASES_SQL}
+    SELECT case_id, 'unknown_product' AS reason, NULL AS raw_text, code AS product_code FROM codes WHERE code NOT IN (SELECT code FROM owned)
+    UNION ALL SELECT w.case_id, 'missing_ingredient_concept', w.id, (SELECT arg_min(code, pos) FROM codes c JOIN owned o USING (code) WHERE c.case_id = w.case_id AND o.id = w.id)
+        FROM wanted w WHERE w.id NOT IN (SELECT id FROM concepts)
+    UNION ALL SELECT case_id, 'unknown_product', t, NULL FROM raw""",
+)
+def _case_unchecked(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluated_cases(spark, sf)["unchecked"].select("case_id", "reason", "raw_text", "product_code")
+
+
+@query(
+    "case_interactions",
+    f"""WITH {CASES_SQL} SELECT a.case_id, ingredient_a, ingredient_b, severity
+    FROM folded JOIN checked a ON a.id = ingredient_a JOIN checked b ON b.id = ingredient_b AND b.case_id = a.case_id""",
+)
+def _case_interactions(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluated_cases(spark, sf)["interactions"].select("case_id", "ingredient_a", "ingredient_b", "severity")
+
+
 NAMES_SQL = f"""
     concepts AS (SELECT {sql_norm('p_name')} AS norm, 'C' || min(p_partkey) AS id FROM part GROUP BY 1 UNION ALL SELECT {sql_norm('p_name')}, 'D' FROM part WHERE p_name LIKE 'red %' GROUP BY 1),
     aliases AS (SELECT {sql_norm('p_brand')} AS norm, 'B' || (p_size % 2) AS id FROM part WHERE p_brand LIKE '%1' UNION SELECT {sql_norm('p_type')}, 'T' FROM part),

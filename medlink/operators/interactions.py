@@ -257,6 +257,11 @@ def by_severity() -> list[Column]:
     return [F.desc(T.severity_rank("severity")), F.asc("ingredient_a"), F.asc("ingredient_b")]
 
 
+def by_name() -> list[Column]:
+    """Order of checked ingredients: by name, ignoring case."""
+    return [F.lower("canonical_name"), F.asc("canonical_name"), F.asc("ingredient_id")]
+
+
 def evaluate_cases(
     codes: DataFrame,
     ids: DataFrame,
@@ -280,7 +285,8 @@ def evaluate_cases(
     resolved = listed.join(owned, "product_code")
     unknown = listed.join(owned.select("product_code").distinct(), "product_code", "left_anti")
     asked = ids.select("case_id", F.trim("ingredient_id").alias("ingredient_id")).where(F.col("ingredient_id") != "")
-    wanted = (
+    # read by four branches below: written once
+    wanted = checkpointed(
         resolved.select("case_id", "ingredient_id", "product_code", "position")
         .unionByName(asked.distinct(), allowMissingColumns=True)
         .groupBy("case_id", "ingredient_id")
