@@ -213,7 +213,8 @@ def near_copies(
     spread = components(
         verified.where("links > 0").select("key", "rep", F.concat_ws("/", "label", "i", "j", "root").alias("bucket")), "links"
     )
-    found = (
+    # written, so that the join below has plain shuffles on both sides and a hot class is split like any skewed key
+    found = stored(
         classes.select("key", "rep", "n_docs")
         .join(links, "key", "left")
         .join(spread, "key", "left")
@@ -221,7 +222,8 @@ def near_copies(
             "key",
             F.coalesce("label", "rep").alias("class_id"),
             (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        )
+        ),
+        "found",
     )
     out = signed.where("doc_id is not null").select("doc_id", "key").join(found, "key", "left")
     alone = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
