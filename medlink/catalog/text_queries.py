@@ -560,7 +560,26 @@ def _scalar_misc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("english_spacing")
+def _spacing_pass(source: str, name: str) -> str:
+    """One left-to-right pass: two plain fragments become one unless too long together or both of five letters or more."""
+    plain = "regexp_full_match({0}, '[A-Za-z]{{2,}}') AND lower({0}) NOT IN ('mg', 'ml', 'mcg', 'g', 'iu', 'kg', 'cm', 'mm')"
+    return f"""{name} AS (SELECT doc_id, line_no, r.done || r.word || r.space AS t FROM (SELECT doc_id, line_no, list_reduce(
+        list_prepend({{'done': regexp_extract(t, '^\\s*'), 'word': '', 'space': ''}}, list_transform(regexp_extract_all(t, '\\S+\\s*'),
+            lambda x: {{'done': '', 'word': regexp_extract(x, '^\\S+'), 'space': regexp_extract(x, '\\s*$')}})),
+        lambda s, c: CASE WHEN {plain.format('s.word')} AND {plain.format('c.word')} AND length(s.word) + length(c.word) <= 20 AND NOT (length(s.word) >= 5 AND length(c.word) >= 5)
+            THEN {{'done': s.done || s.word || c.word || c.space, 'word': '', 'space': ''}}
+            ELSE {{'done': s.done || s.word || s.space, 'word': c.word, 'space': c.space}} END) AS r FROM {source}))"""
+
+
+SPACING_SQL = f"""WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS ls FROM documents),
+    p0 AS (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line_no, unnest(ls) AS t FROM l),
+    {_spacing_pass('p0', 'p1')}, {_spacing_pass('p1', 'p2')}, {_spacing_pass('p2', 'p3')},
+    f AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)Warnings\\s*&\\s*Precaut\\s+ions', 'Warnings & Precautions', 'g'),
+        '(?i)Precaut\\s+ions', 'Precautions', 'g'), '(?i)Physiciam', 'Physician', 'g'), '(?i)Pharmaci\\s+st', 'Pharmacist', 'g') AS spaced FROM p3)
+    SELECT doc_id, line_no, spaced, lower(spaced) AS detection FROM f"""
+
+
+@query("english_spacing", SPACING_SQL)
 def _english_spacing(spark: SparkSession, sf: str) -> DataFrame:
     return document_lines(spark, sf).select(
         "doc_id", "line_no", O.english_spacing("line").alias("spaced"), O.detection_form("line").alias("detection")
@@ -742,7 +761,20 @@ def _next_line_merge(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("merge_lines")
+MERGE_SQL = """WITH RECURSIVE l AS (SELECT conv_id, turn, text, string_split_regex(coalesce(text, ''), '\\r?\\n') AS ls FROM conversations),
+    c AS (SELECT conv_id, turn, unnest(range(len(ls)))::INTEGER AS line_no, unnest(ls) AS t FROM l),
+    k AS (SELECT conv_id, turn, line_no, trim(CASE WHEN line_no % 3 = 1 THEN t || ' &' ELSE t END) AS t FROM c),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS seq FROM k WHERE t <> ''),
+    -- one line after the other: the text so far stays open while it ends in & or + or has an unclosed parenthesis
+    w AS (SELECT conv_id, turn, seq, line_no, t AS held, 0 AS merged_no, right(t, 1) IN ('&', '+') OR length(replace(t, ')', '')) < length(replace(t, '(', '')) AS waits FROM n WHERE seq = 1
+        UNION ALL SELECT conv_id, turn, seq, line_no, held, merged_no, right(held, 1) IN ('&', '+') OR length(replace(held, ')', '')) < length(replace(held, '(', ''))
+        FROM (SELECT n.conv_id, n.turn, n.seq, n.line_no, CASE WHEN waits THEN held || ' ' || n.t ELSE n.t END AS held, merged_no + CASE WHEN waits THEN 0 ELSE 1 END AS merged_no
+            FROM w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.turn AND n.seq = w.seq + 1)),
+    m AS (SELECT conv_id, turn, merged_no, min(line_no) AS lo, max(line_no) AS hi, arg_max(held, seq) AS merged_text FROM w GROUP BY ALL)
+    SELECT conv_id, turn, merged_no::INTEGER AS merged_no, unnest(range(lo, hi + 1))::INTEGER AS line_no, merged_text FROM m"""
+
+
+@query("merge_lines", MERGE_SQL)
 def _merge_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Open-ended lines joined with the next ones, and the result spread back to the source lines."""
     planted = F.transform(text_lines("text"), lambda x, i: F.when(i % 3 == 1, F.concat(x, F.lit(" &"))).otherwise(x))
