@@ -744,7 +744,37 @@ def _case_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("raw_line_items")
+def merged_items_sql(line: str) -> str:
+    """Items of each document: an open name takes the next line when that continues it; repeats, in any case, go."""
+    dosage, form, hint, boiler, phone, puff = (p.format(l="t") for p in (DOSAGE_SQL, FORM_SQL, HINT_SQL, BOILER_SQL, PHONE_SQL, PUFF_SQL))
+    keep = f"({dosage} OR {form} OR {hint} OR (regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '\\d')))"
+    squeeze = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))".format
+    cleaned = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + squeeze("l") + r""", '^[*•·\-–—]+\s*', ''),
+        '([.,;:])[.,;:]+', '\1', 'g'), '(?i)\bm\s*c\s*g\b', 'mcg', 'g'), '(?i)\bpaff\b', 'puff', 'g')"""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS ls FROM documents),
+    s AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d),
+    c AS (SELECT doc_id, line_no, {line} AS l FROM s), k AS (SELECT doc_id, line_no, {squeeze(cleaned)} AS t FROM c),
+    n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq, (regexp_matches(t, '[A-Za-z]') OR {keep}) AND NOT {dosage} AND NOT {hint} AS opens,
+        {dosage} OR {form} OR {hint} AS goes_on FROM k WHERE t <> '' AND NOT ({phone} OR {boiler} OR (length(t) < 4 AND NOT {dosage}))),
+    w AS (SELECT DISTINCT doc_id, 0::BIGINT AS seq, NULL::VARCHAR AS held, []::VARCHAR[] AS done FROM n
+        UNION ALL SELECT n.doc_id, n.seq,
+            CASE WHEN held IS NOT NULL AND goes_on AND lower(held) <> lower(t) THEN NULL WHEN opens THEN t END,
+            CASE WHEN held IS NOT NULL AND goes_on AND lower(held) <> lower(t) THEN [{squeeze("held || ' ' || t")}]
+                WHEN opens THEN list_filter([held], lambda x: x IS NOT NULL) ELSE list_filter([held, t], lambda x: x IS NOT NULL) END
+        FROM w JOIN n ON n.doc_id = w.doc_id AND n.seq = w.seq + 1),
+    o AS (SELECT doc_id, seq, unnest(range(len(done))) AS part, unnest(done) AS item FROM w
+        UNION ALL SELECT doc_id, seq + 1, 0, held FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS back FROM w) WHERE back = 1 AND held IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY seq, part) AS copy FROM o),
+    items AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) - 1)::INTEGER AS item_no, item FROM f WHERE copy = 1)"""
+
+
+RAW_ITEMS_SQL = merged_items_sql("line") + f""" SELECT doc_id, item_no, t AS display_name, least(50 + CASE WHEN {DOSAGE_SQL.format(l='t')} THEN 20 ELSE 0 END
+        + CASE WHEN {FORM_SQL.format(l='t')} THEN 20 ELSE 0 END + CASE WHEN {PUFF_SQL.format(l='t')} AND NOT {DOSAGE_SQL.format(l='t')} THEN 20 ELSE 0 END
+        + CASE WHEN {HINT_SQL.format(l='t')} THEN 10 ELSE 0 END, 95) / 100.0::DOUBLE AS confidence FROM (SELECT doc_id, item_no, item AS t FROM items)
+    WHERE {DOSAGE_SQL.format(l='t')} OR {FORM_SQL.format(l='t')} OR {HINT_SQL.format(l='t')} OR (regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '\\d'))"""
+
+
+@query("raw_line_items", RAW_ITEMS_SQL)
 def _raw_line_items(spark: SparkSession, sf: str) -> DataFrame:
     """Detected items from raw text: cleaned and merged lines worth keeping, with a confidence."""
     merged = spread(table(spark, sf, "documents")).select(
@@ -753,7 +783,10 @@ def _raw_line_items(spark: SparkSession, sf: str) -> DataFrame:
     return merged.where(O.is_worth_keeping("display_name")).withColumn("confidence", O.line_confidence("display_name"))
 
 
-@query("next_line_merge")
+@query(
+    "next_line_merge",
+    merged_items_sql("CASE WHEN line_no % 3 = 2 THEN '20 mg ' || line ELSE line END") + " SELECT doc_id, item_no, item AS line FROM items",
+)
 def _next_line_merge(spark: SparkSession, sf: str) -> DataFrame:
     planted = F.transform(text_lines("text"), lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("20 mg "), x)).otherwise(x))
     return spread(table(spark, sf, "documents")).select(
