@@ -561,12 +561,28 @@ def _element_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return L.to_frames(L.clip_boxes(boxed)).select("page_id", "element_idx", "x", "y", "width", "height")
 
 
-@query("layout_rows")
+# elements one by one from the top: each joins the row before if it is near that row's running mean
+ROWS_SQL = f"""WITH RECURSIVE {ELEMENTS_SQL}, kept AS (SELECT *, (y1 + y2) / 2.0::DOUBLE AS cy FROM elements WHERE NOT coalesce({BLOB_SQL}, false)),
+    tol AS (SELECT page_id, median(y2 - y1) * 0.6::DOUBLE AS row_tolerance FROM kept GROUP BY 1),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cy, element_idx) AS nth FROM kept JOIN tol USING (page_id)),
+    placed AS (SELECT page_id, nth, element_idx, cy, row_tolerance, cy AS row_at, cy AS total, 1 AS n FROM seq WHERE nth = 1
+        UNION ALL SELECT s.page_id, s.nth, s.element_idx, s.cy, s.row_tolerance, CASE WHEN abs(s.cy - total / n) <= s.row_tolerance THEN row_at ELSE s.cy END,
+            CASE WHEN abs(s.cy - total / n) <= s.row_tolerance THEN total ELSE 0 END + s.cy, CASE WHEN abs(s.cy - total / n) <= s.row_tolerance THEN n ELSE 0 END + 1
+        FROM placed p JOIN seq s ON s.page_id = p.page_id AND s.nth = p.nth + 1)"""
+
+
+@query("layout_rows", ROWS_SQL + " SELECT page_id, element_idx, cy, row_at, row_tolerance FROM placed")
 def _layout_rows(spark: SparkSession, sf: str) -> DataFrame:
     return L.layout_rows(elements(spark, sf)).select("page_id", "element_idx", "cy", "row_at", "row_tolerance")
 
 
-@query("layout_text")
+@query(
+    "layout_text",
+    ROWS_SQL + """, cells AS (SELECT page_id, row_at, x1, element_idx, text, coalesce(x1 - lag(x2) OVER (PARTITION BY page_id, row_at ORDER BY x1, element_idx) > 0.06 * page_width, false) AS wide
+        FROM kept JOIN placed USING (page_id, element_idx)),
+    texts AS (SELECT page_id, row_at, string_agg(CASE WHEN wide THEN '| ' || text ELSE text END, ' ' ORDER BY x1, element_idx) AS text FROM cells GROUP BY 1, 2)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY row_at) AS INTEGER) AS row_no, text FROM texts""",
+)
 def _layout_text(spark: SparkSession, sf: str) -> DataFrame:
     return L.layout_text(elements(spark, sf))
 
@@ -576,7 +592,16 @@ def _line_merge(spark: SparkSession, sf: str) -> DataFrame:
     return L.merge_adjacent(frames(spark, sf))
 
 
-@query("reading_order")
+# lines from the top: each joins the row whose first line is at most 10 pixels above it
+READING_SQL = f"""WITH RECURSIVE {ELEMENTS_SQL}, seq AS (SELECT page_id, element_idx, text, x1 AS x, y1 AS y, greatest(x2 - x1, 1) AS width, greatest(y2 - y1, 1) AS height,
+        row_number() OVER (PARTITION BY page_id ORDER BY y1, element_idx) AS nth FROM elements),
+    placed AS (SELECT page_id, nth, element_idx, y::DOUBLE AS row_at FROM seq WHERE nth = 1
+        UNION ALL SELECT s.page_id, s.nth, s.element_idx, CASE WHEN s.y - row_at <= 10 THEN row_at ELSE s.y::DOUBLE END FROM placed p JOIN seq s ON s.page_id = p.page_id AND s.nth = p.nth + 1),
+    reading AS (SELECT s.*, row_at, CAST(row_number() OVER (PARTITION BY s.page_id ORDER BY row_at, x, s.element_idx) AS INTEGER) AS reading_no
+        FROM seq s JOIN placed p ON p.page_id = s.page_id AND p.element_idx = s.element_idx)"""
+
+
+@query("reading_order", READING_SQL + " SELECT page_id, element_idx, row_at, reading_no FROM reading")
 def _reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return L.reading_order(frames(spark, sf)).select("page_id", "element_idx", "row_at", "reading_no")
 
