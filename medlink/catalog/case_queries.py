@@ -587,7 +587,28 @@ def _layout_text(spark: SparkSession, sf: str) -> DataFrame:
     return L.layout_text(elements(spark, sf))
 
 
-@query("line_merge")
+CODE_SQL = "length(trim(text)) <= 2 AND width >= 40 AND height >= 40 AND CAST(width AS DOUBLE) / height BETWEEN 0.7 AND 1.4"
+
+
+@query(
+    "line_merge",
+    f"""WITH RECURSIVE {ELEMENTS_SQL}, fr AS (SELECT page_id, element_idx, text, x1::DOUBLE AS x, y1::DOUBLE AS y, greatest(x2 - x1, 1)::DOUBLE AS width, greatest(y2 - y1, 1)::DOUBLE AS height FROM elements),
+    codes AS (SELECT * FROM fr WHERE {CODE_SQL}),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, element_idx) AS nth FROM fr WHERE NOT ({CODE_SQL})),
+    placed AS (SELECT page_id, nth, element_idx, y AS row_at FROM seq WHERE nth = 1
+        UNION ALL SELECT s.page_id, s.nth, s.element_idx, CASE WHEN s.y - row_at <= 1 THEN row_at ELSE s.y END FROM placed p JOIN seq s ON s.page_id = p.page_id AND s.nth = p.nth + 1),
+    lines AS (SELECT s.*, row_number() OVER (PARTITION BY s.page_id ORDER BY row_at, x, s.element_idx) AS no FROM seq s JOIN placed p ON p.page_id = s.page_id AND p.element_idx = s.element_idx),
+    -- one line after the other: on the level of the box before and near its right end, or less near across a code, it joins the box
+    boxes AS (SELECT page_id, no, no AS first, x AS bx, y AS by_, x + width AS br, y + height AS bb FROM lines WHERE no = 1
+        UNION ALL SELECT page_id, no, CASE WHEN joins THEN first ELSE no END, CASE WHEN joins THEN least(bx, x) ELSE x END, CASE WHEN joins THEN least(by_, y) ELSE y END,
+            CASE WHEN joins THEN greatest(br, x + width) ELSE x + width END, CASE WHEN joins THEN greatest(bb, y + height) ELSE y + height END
+        FROM (SELECT l.*, first, bx, by_, br, bb, abs(l.y + l.height / 2 - (by_ + bb) / 2) <= 10 AND l.x - br <= CASE WHEN EXISTS (SELECT 1 FROM codes c WHERE c.page_id = l.page_id
+                AND c.x > br AND c.x + c.width < l.x AND least(c.y + c.height, bb) > greatest(c.y, by_)) THEN 300 ELSE 80 END AS joins
+            FROM boxes b JOIN lines l ON l.page_id = b.page_id AND l.no = b.no + 1))
+    SELECT page_id, string_agg(text, ' ' ORDER BY no) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, min(no) AS element_idx
+        FROM lines JOIN (SELECT page_id, no, first FROM boxes) USING (page_id, no) GROUP BY page_id, first
+    UNION ALL SELECT page_id, text, x, y, width, height, element_idx FROM codes""",
+)
 def _line_merge(spark: SparkSession, sf: str) -> DataFrame:
     return L.merge_adjacent(frames(spark, sf))
 
@@ -606,7 +627,26 @@ def _reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return L.reading_order(frames(spark, sf)).select("page_id", "element_idx", "row_at", "reading_no")
 
 
-@query("sections")
+#: The texts of the elements hold no letter fragments to be joined, so the lower-case text is the detection form.
+SECTIONS_SQL = f"""WITH {ELEMENTS_SQL}, names AS (SELECT * FROM (VALUES (0, 'medication', ['藥名', 'medication', '處方', '次量']), (1, 'instruction', ['用法', 'instruction']),
+        (2, 'indications', ['用途', 'indications']), (3, 'warnings', ['警語', 'warnings']), (4, 'side_effects', ['副作用', 'side effects']), (5, 'prescription_no', ['領藥號', 'prescription no.']),
+        (6, 'dispensing_date', ['調劑日期', 'dispensing date']), (7, 'quantity', ['總量', 'quantity']), (8, 'pharmacist', ['調劑藥師', 'pharmacist'])) AS n(no, key, words)),
+    ln AS (SELECT page_id, element_idx, text, lower(text) AS t, x1 AS x, y1 AS y, greatest(y2 - y1, 1) AS height, regexp_matches(lower(text),
+        '\\b\\d+(?:\\.\\d+)?\\s*(mcg|mg|g|ml|iu|%)\\b|\\b(puff|puffs|bot|bottle)\\b|\\([^)]*[A-Za-z][^)]*\\)') AS signal FROM elements WHERE trim(text) <> ''),
+    rd AS (SELECT *, signal AND (regexp_matches(t, '^medication\\b') OR starts_with(t, '藥名')) AS inl FROM ln),
+    anchors AS (SELECT page_id, element_idx, x, y, no, key FROM rd, names WHERE NOT inl AND (list_contains(words, t)
+        OR (len(list_filter(words, lambda w: contains(t, w))) > 0 AND (key = 'medication' OR NOT signal)))),
+    bottoms AS (SELECT page_id, max(y + height) AS bottom FROM rd GROUP BY 1),
+    regions AS (SELECT page_id, key, x AS x0, y AS anchor_y, element_idx AS anchor_idx, no, greatest(y - 6, 0) AS y0,
+        CASE WHEN lead(y) OVER w IS NULL THEN bottom + 6 ELSE greatest(y, lead(y) OVER w - 6) END AS y1 FROM anchors JOIN bottoms USING (page_id) WINDOW w AS (PARTITION BY page_id ORDER BY y, x, element_idx, no)),
+    body AS (SELECT * FROM rd WHERE (page_id, element_idx) NOT IN (SELECT (page_id, element_idx) FROM anchors)),
+    fits AS (SELECT b.page_id, b.element_idx, arg_min(key, (-(least(y + height, y1) - greatest(y, y0)), anchor_y, x0, anchor_idx, no)) AS key FROM body b JOIN regions r ON r.page_id = b.page_id
+        AND least(y + height, y1) > greatest(y, y0) AND (x >= x0 OR (key = 'medication' AND inl)) GROUP BY 1, 2)
+    SELECT page_id, element_idx, text, CASE WHEN key = 'medication' AND regexp_matches(replace(text, ' ', ''), '^[0-9]+[盒瓶支]$') THEN 'unassigned' ELSE coalesce(key, 'unassigned') END AS section
+        FROM body LEFT JOIN fits USING (page_id, element_idx)"""
+
+
+@query("sections", SECTIONS_SQL)
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
     return L.assign_sections(frames(spark, sf)).select("page_id", "element_idx", "text", "section")
 

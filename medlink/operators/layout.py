@@ -230,7 +230,7 @@ def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     inputs = ["x", "y", "width", "height", "_bridges"]
     labelled = _sorted_labels(ready, [*keys, "_stretch"], "reading_no", inputs, _box_step, "_box")
     boxes = labelled.groupBy(*keys, "_stretch", "_box").agg(
-        F.array_sort(F.collect_list(F.struct(moved.alias("moved"), "reading_no", "text"))).alias("_parts"),
+        F.array_sort(F.collect_list(F.struct("reading_no", "text"))).alias("_parts"),
         F.min("x").alias("x"),
         F.min("y").alias("y"),
         F.max(F.col("x") + F.col("width")).alias("_right"),
@@ -334,11 +334,11 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     # Equal anchors of one spot give equal regions, so anchors are reduced to distinct spots first.
     spots = anchors.groupBy(*keys, "section", "_no", "x", "y").agg(F.min("element_idx").alias("element_idx"))
     bottoms = filled.groupBy(*keys).agg(F.max(F.col("y") + F.col("height")).alias("_bottom"))
-    along = Window.partitionBy(*keys).orderBy("y", "element_idx", "_no")
+    along = Window.partitionBy(*keys).orderBy("y", "x", "element_idx", "_no")
     regions = spots.withColumn("_next", F.lead("y").over(along)).join(bottoms, keys).select(
         *keys,
         "section",
-        F.struct("y", "element_idx", "_no").alias("_rank"),
+        F.struct("y", "x", "element_idx", "_no").alias("_rank"),
         F.col("x").alias("_left"),
         F.greatest(F.col("y") - V.SECTION_PADDING, F.lit(0)).cast("double").alias("_top"),
         F.when(F.col("_next").isNotNull(), F.greatest(F.col("y"), F.col("_next") - V.SECTION_PADDING))
