@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +49,10 @@ def uniform(*keys: Column) -> Column:
     return (F.xxhash64(*keys).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).cast("double")
 
 
-def text_blocks(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """Whole texts in order, null as empty, in blocks of about ``limit`` characters; a longer text is a block."""
+def blocks_of(texts: Iterable[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
+    """Whole texts in order, in blocks of about ``limit`` characters; a longer text is a block."""
     block, size = [], 0
     for text in texts:
-        text = text.as_py() or ""
         if block and size + len(text) > limit:
             yield block
             block, size = [], 0
@@ -61,3 +60,8 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[list[str]
         size += len(text)
     if block:
         yield block
+
+
+def text_blocks(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
+    """Blocks of an Arrow column; null as empty."""
+    return blocks_of((text.as_py() or "" for text in texts), limit)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlink.llm.common import text_blocks, uniform
+from medlink.llm.common import blocks_of, text_blocks, uniform
 from medlink.llm.ngrams import codes_of, hash_runs, mix, runs
 from medlink.llm.quality_mil import SPACES, labelled_sample
 
@@ -90,10 +90,16 @@ def fit_domains(texts: list[str], domain: np.ndarray, names: list[str]) -> Domai
     model = DomainModel(names, np.zeros((BUCKETS, k), np.float32), np.log(share))
     if len(np.unique(domain)) < 2:
         return model
-    feature, doc, _ = text_features(texts)
+    parts, first = [], 0
+    for block in blocks_of(texts):  # the driver holds the arrays of one block only
+        found, of, _ = text_features(block)
+        parts.append((found.astype(np.int32), (of + first).astype(np.int32)))
+        first += len(block)
+    feature, doc = (np.concatenate(c) for c in zip(*parts))
+    del parts
     used, code, count = np.unique(feature, return_inverse=True, return_counts=True)
     keep = (count >= LEAST_DOCS)[code]
-    code, doc = code[keep], doc[keep]
+    code, doc = code[keep].astype(np.int32), doc[keep]
     learn = np.arange(len(texts)) % 5 != 0
     truth = np.eye(k)[domain]
     size = np.maximum(1, np.bincount(doc, minlength=len(texts))) ** 0.5
