@@ -8,6 +8,7 @@ short running fold happens inside each such stretch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -372,8 +373,8 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Lines with ``group_no``: continuation lines below an aligned line join its group.
 
-    ``group_no`` is the reading number of the group's first line.  The fold keeps only
-    the frame and one fact about the running group.
+    ``group_no`` is the reading number of the group's first line.  The fold keeps the
+    frame and the texts of the running group.
     """
     keys = list(keys)
     cleaned = lines.withColumn("from_header", O.is_inline_header("text")).withColumn("text", O.strip_inline_header("text"))
@@ -395,17 +396,27 @@ def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")],
         header.alias("_header"),
         O.is_continuation("text").alias("_continues"),
-        O.has_inline_detail(O.strip_trailing_quantity("text")).alias("_detail"),
         O.starts_new_item("text").alias("_starts"),
     )
-    inputs = ["x", "y", "width", "height", "_header", "_continues", "_detail", "_starts"]
+    inputs = ["x", "y", "width", "height", "_header", "_continues", "text", "_starts"]
     out = _sorted_labels(ordered, keys, "reading_no", inputs, _group_step, "group_no")
-    return out.drop("_stretch", "_header", "_continues", "_detail", "_starts")
+    return out.drop("_stretch", "_header", "_continues", "_starts")
 
 
 def _group_step() -> Callable:
-    """Label: reading number of the first line of the running group."""
-    group, box, detail, label = None, None, False, -1
+    """Label: reading number of the first line of the running group.
+
+    Whether a group is complete is asked of its joined text, as a dose may be split over two lines.
+    """
+    group, box, parts, label = None, None, [], -1
+    totals = [re.compile(p, re.ASCII) for p in (V.TOTAL_UNIT, V.TOTAL_ANY, V.TOTAL_ENGLISH)]
+    details = [re.compile(ascii_bounds(p), re.ASCII) for p in (V.DOSAGE, V.CONTAINER_WORD, V.QUANTIFIER, r"\(")]
+
+    def complete() -> bool:
+        text = " ".join(parts)
+        for total in totals:
+            text = total.sub("", text)
+        return any(d.search(text) for d in details)
 
     def fits(x, y, width, starts) -> bool:
         shared = max(0.0, min(box[2], x + width) - max(box[0], x))
@@ -413,16 +424,16 @@ def _group_step() -> Callable:
         aligned = ratio >= V.GROUP_OVERLAP or shift <= V.GROUP_ALIGN_TOLERANCE
         far = ratio < V.GROUP_FAR_OVERLAP and shift > V.GROUP_FAR_X
         near = 0 <= y - box[3] <= max(24.0, 2.2 * (box[3] - box[1]))
-        return aligned and near and not far and not (detail and starts)
+        return aligned and near and not far and not (starts and complete())
 
-    def step(key, number, x, y, width, height, header, continues, has_detail, starts) -> int:
-        nonlocal group, box, detail, label
+    def step(key, number, x, y, width, height, header, continues, text, starts) -> int:
+        nonlocal group, box, parts, label
         own = (x, y, x + width, y + height)
         if key == group and continues and not header and fits(x, y, width, starts):
             box = (min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3]))
-            detail = detail or has_detail
+            parts.append(text)
         else:
-            group, box, detail, label = key, own, has_detail, number
+            group, box, parts, label = key, own, [text], number
         return label
 
     return step

@@ -129,3 +129,9 @@ def test_groups_and_columns(spark):
     ]
     got = sorted(r["text"] for r in L.grouped_items(spark.createDataFrame(rows, FRAME)).collect())
     assert got == ["Other Lipitor", "Spiriva 60 puff"]
+
+
+def test_dose_split_over_two_lines_completes_a_group(spark):
+    rows = [(1, 0, "Spiriva 5", 100.0, 0.0, 80.0, 10.0), (1, 1, "mg 吸入", 100.0, 14.0, 60.0, 10.0), (1, 2, "*吸入", 100.0, 28.0, 60.0, 10.0)]
+    got = sorted(r["text"] for r in L.grouped_items(spark.createDataFrame(rows, FRAME)).collect())
+    assert got == ["*吸入", "Spiriva 5 mg 吸入"]
