@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from medlink.catalog.matching_queries import CTE, RESOLVED, dictionary, match_input
 from medlink.catalog.registry import query, spread, sql_norm, sql_uuid, table
+from medlink.functions import fixed_values as V
 from medlink.functions import text as T
 from medlink.functions.case_fields import case_fields, instruction_lines, response_fields, text_lines
 from medlink.operators import cases as G
@@ -651,7 +652,32 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
     return L.assign_sections(frames(spark, sf)).select("page_id", "element_idx", "text", "section")
 
 
-@query("line_groups")
+GROUPS_SQL = f"""WITH RECURSIVE {ELEMENTS_SQL}, raw AS (SELECT page_id, element_idx, trim(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS t, x1::DOUBLE AS x, y1::DOUBLE AS y,
+        greatest(x2 - x1, 1)::DOUBLE AS width, greatest(y2 - y1, 1)::DOUBLE AS height FROM elements),
+    cut AS (SELECT *, regexp_matches(t, '(?i)^(medication|藥名)\\s+.+') AS from_header, CASE WHEN regexp_matches(t, '(?i)^medication\\s+.+') THEN trim(regexp_extract(t, '(?i)^medication\\s+(.+)$', 1))
+        WHEN regexp_matches(t, '^藥名\\s*.+') THEN trim(regexp_extract(t, '^藥名\\s*(.+)$', 1)) ELSE t END AS text FROM raw),
+    kept AS (SELECT * FROM cut WHERE text <> '' AND NOT regexp_matches(text, '{V.META_LINE}') AND NOT regexp_matches(text, '{V.META_PREFIX}')
+        AND regexp_replace(regexp_replace(lower(text), '{V.LABEL_WORDS}', '', 'g'), '[:：,，.\\-()/\\s]', '', 'g') <> '' AND NOT regexp_matches(replace(text, ' ', ''), '{V.QUANTITY_ONLY}')),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, element_idx) AS nth FROM kept),
+    placed AS (SELECT page_id, nth, element_idx, y AS row_at FROM seq WHERE nth = 1
+        UNION ALL SELECT s.page_id, s.nth, s.element_idx, CASE WHEN s.y - row_at <= 10 THEN row_at ELSE s.y END FROM placed p JOIN seq s ON s.page_id = p.page_id AND s.nth = p.nth + 1),
+    lines AS (SELECT s.*, row_number() OVER (PARTITION BY s.page_id ORDER BY row_at, x, s.element_idx) AS no, regexp_matches(text, '{V.HEADER}') AS header,
+        starts_with(text, '(') OR regexp_matches(text, '{V.DOSAGE}') OR regexp_matches(text, '{V.CONTAINER_WORD}') OR (length(text) <= 10 AND regexp_matches(text, '{V.QUANTIFIER}'))
+            OR (length(regexp_replace(text, '[^一-鿿]', '', 'g')) * 2 >= length(text) AND length(text) <= 25) OR regexp_matches(text, '{V.CJK_FORM}') AS goes_on,
+        regexp_matches(text, '{V.HEADER}') OR regexp_matches(text, '^[*•·\\-–—]') AS starts FROM seq s JOIN placed p ON p.page_id = s.page_id AND p.element_idx = s.element_idx),
+    -- one line after the other: below the group before, on its column and not after its end, it joins the group
+    folded AS (SELECT page_id, no, no AS group_no, x AS bx, y AS by_, x + width AS br, y + height AS bb, text AS body FROM lines WHERE no = 1
+        UNION ALL SELECT page_id, no, CASE WHEN joins THEN group_no ELSE no END, CASE WHEN joins THEN least(bx, x) ELSE x END, CASE WHEN joins THEN least(by_, y) ELSE y END,
+            CASE WHEN joins THEN greatest(br, x + width) ELSE x + width END, CASE WHEN joins THEN greatest(bb, y + height) ELSE y + height END, CASE WHEN joins THEN body || ' ' || text ELSE text END
+        FROM (SELECT *, goes_on AND NOT header AND (ratio >= {V.GROUP_OVERLAP} OR abs(bx - x) <= {V.GROUP_ALIGN_TOLERANCE}) AND NOT (ratio < {V.GROUP_FAR_OVERLAP} AND abs(bx - x) > {V.GROUP_FAR_X})
+                AND y - bb BETWEEN 0 AND greatest(24, 2.2 * (bb - by_)) AND NOT (starts AND regexp_matches(body, '{V.DOSAGE}|{V.CONTAINER_WORD}|{V.QUANTIFIER}|\\(')) AS joins
+            FROM (SELECT l.*, group_no, bx, by_, br, bb, body, greatest(0, least(br, l.x + l.width) - greatest(bx, l.x)) / greatest(1, least(br - bx, l.width)) AS ratio
+                FROM folded f JOIN lines l ON l.page_id = f.page_id AND l.no = f.no + 1)))
+    SELECT page_id, group_no::INTEGER AS group_no, string_agg(text, ' ' ORDER BY no) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, bool_or(from_header) AS from_header
+        FROM lines JOIN (SELECT page_id, no, group_no FROM folded) USING (page_id, no) GROUP BY page_id, group_no"""
+
+
+@query("line_groups", GROUPS_SQL)
 def _line_groups(spark: SparkSession, sf: str) -> DataFrame:
     return L.group_boxes(L.group_lines(frames(spark, sf)))
 
