@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlink.llm.common import held_out, text_blocks
+from medlink.llm.common import blocks_of, held_out, text_blocks
 from medlink.llm.ngrams import codes_of, hash_runs, mix, runs, word_chars
 from medlink.llm.quality_mil import labelled_sample
 
@@ -26,7 +26,7 @@ SHIFT = np.uint32(32 - 18)
 PREFIXES = (3, 4, 5, 6, 8)
 EPOCHS, RATE, DECAY = 40, 0.12, 1e-5
 #: Of stretches of words without a label nearby, one in so many is learned from.
-KEEP_ONE_IN = 3
+KEEP_ONE_IN = 4
 #: A feature labels tokens from so many toxic documents on, if at least so large a share of its documents is toxic.
 LEAST_DOCS, LEAST_SHARE = 5, 0.85
 
@@ -168,8 +168,10 @@ def label_tokens(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np
     out = np.zeros(len(doc), bool)
     for k in range(1 + len(PREFIXES)):
         _, code = np.unique(features[:, k], return_inverse=True)
+        code = code.astype(np.int32)
         pair = np.unique(code.astype(np.int64) * len(toxic) + doc)
-        owner, of = pair // len(toxic), pair % len(toxic)
+        owner, of = (pair // len(toxic)).astype(np.int32), (pair % len(toxic)).astype(np.int32)
+        del pair
         in_all = np.bincount(owner)
         in_toxic = np.bincount(owner, weights=toxic[of], minlength=len(in_all))
         out |= ((in_toxic >= LEAST_DOCS) & (in_toxic >= LEAST_SHARE * in_all))[code]
@@ -183,9 +185,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicModel:
     """
     share = float(toxic.mean()) if len(toxic) else 0.0
     model = ToxicModel(np.zeros(BUCKETS, np.float32), -4.0, np.zeros((2, 2)), np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0, 0.0]))
-    if not len(toxic) or toxic.min() == toxic.max():
+    if len(np.unique(toxic)) < 2:
         return model
-    _, _, doc, features = tokens(texts)
+    parts, first = [], 0
+    for block in blocks_of(texts):  # the driver holds the arrays of one block only
+        _, _, of, found = tokens(block)
+        parts.append((of.astype(np.int32) + first, found))
+        first += len(block)
+    doc, features = (np.concatenate(c) for c in zip(*parts))
+    del parts
     tag = label_tokens(features, doc, toxic)
     # words near labelled ones, and stretches of 32 words for a fixed share: the rest would only repeat them
     near = np.convolve(tag, np.ones(9), "same") > 0.5
@@ -197,7 +205,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicModel:
     gold = np.zeros((2, 2))
     np.add.at(gold, (tag[keep][:-1][inner[1:]].astype(int), tag[keep][1:][inner[1:]].astype(int)), 1)
     used, packed = np.unique(code, return_inverse=True)
-    packed = packed.reshape(code.shape)
+    packed = packed.reshape(code.shape).astype(np.int32)
     w, b, t = np.zeros(len(used)), model.bias, model.transition
     state = [np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, np.zeros((2, 2)), np.zeros((2, 2))]
     n = max(1.0, y.sum())
@@ -213,8 +221,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicModel:
         w, b, t = w - moved[0], b - moved[1], t - moved[2]
     model.weights[used] = w.astype(np.float32)
     model.bias, model.transition = float(b), t
-    chance, _ = marginals(model.emission(features), model.transition, doc)
-    x, c = document_figures(chance, doc, len(texts)), np.zeros(3)
+    del code, packed, near, keep, run, y, inner, chance
+    x, c, ends = np.zeros((len(texts), 3)), np.zeros(3), np.searchsorted(doc, np.arange(len(texts) + 1))
+    for low in range(0, len(texts), 100):
+        high = min(low + 100, len(texts))
+        words = slice(ends[low], ends[high])
+        chance, _ = marginals(model.emission(features[words]), model.transition, doc[words])
+        x[low:high] = document_figures(chance, doc[words] - low, high - low)
     for _ in range(30):  # Newton steps of a logistic regression, slightly damped
         p = sigmoid(x @ c)
         c = c - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(3) * 1e-2, x.T @ (p - toxic) + 1e-2 * c)
