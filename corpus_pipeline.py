@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlink.llm import mixing, ngram_join, packing, quality_mil, quality_rules
-from medlink.llm.common import shared_dir, stored, table
+from medlink.llm.common import shared_dir, short_batches, stored, table
 
 #: Shares of the languages' tokens after mixing; documents are thinned out, none is repeated.
 TARGETS = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
@@ -20,6 +20,7 @@ TARGETS = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the attention classifier scores below 0.7."""
+    short_batches(spark)
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select(F.struct("*").alias("row"), quality_mil.quality(model, F.col("text")).alias("q"))
     return scored.where("q.score >= 0.7").select("row.*")
@@ -27,6 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules_vote(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules, or that the rules' votes make likelier bad than good."""
+    short_batches(spark)
     stated = docs.select(F.struct("*").alias("row"), quality_rules.stats(F.col("text")).alias("stats"))
     model = quality_rules.fit(stated)
     judged = quality_rules.with_posterior(stated, model)
@@ -38,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with a null id belong to no group and stay.
     """
+    short_batches(spark)
     kept = ngram_join.near_copies(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"), F.struct("*").alias("row"))
     chosen = rows.join(kept, rows["id"] == kept["kept_id"], "left_semi").dropDuplicates(["id", "body"])
@@ -46,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thin out documents, by rates of at most 1, until the expected shares of the tokens are the targets."""
+    short_batches(spark)
     labelled = mixing.labelled_languages(docs, table(spark, sf_dir, "labels"))
     model = mixing.train(docs, labelled, list(TARGETS))
     member = mixing.membership(model, F.col("text")).alias("m")
@@ -57,6 +61,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
+    short_batches(spark)
     return packing.pack_documents(docs)
 
 

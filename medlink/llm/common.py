@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,7 +14,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task works on at a time.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
+
+
+#: What a Python worker keeps from task to task, by name. Workers serve tasks of many stages, so it is let go (see
+#: let_go) as soon as a task of another kind begins.
+KEPT: dict[str, object] = {}
+
+
+def let_go() -> None:
+    """Free what earlier tasks of this worker have kept."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as idle workers would hold it; a C library without this keeps it longer."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Documents of an Arrow batch: both sides of a Python task hold a batch whole, and texts may be long.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on this session hands tables to Python tasks in batches of BATCH_ROWS rows, or fewer if it did already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +97,5 @@ def blocks_of(texts: Iterable[str], limit: int = BLOCK_CHARS) -> Iterator[list[s
 
 def text_blocks(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
     """Blocks of an Arrow column; null as empty."""
-    return blocks_of((text.as_py() or "" for text in texts), limit)
+    yield from blocks_of((text.as_py() or "" for text in texts), limit)
+    trim()

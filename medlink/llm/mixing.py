@@ -98,7 +98,7 @@ def fit_domains(texts: list[str], domain: np.ndarray, names: list[str]) -> Domai
     feature, doc = (np.concatenate(c) for c in zip(*parts))
     del parts
     used, code, count = np.unique(feature, return_inverse=True, return_counts=True)
-    keep = (count >= LEAST_DOCS)[code]
+    keep = (count >= min(LEAST_DOCS, max(2, len(texts) // 100)))[code]  # fewer documents in a small sample
     code, doc = code[keep].astype(np.int32), doc[keep]
     learn = np.arange(len(texts)) % 5 != 0
     truth = np.eye(k)[domain]
@@ -210,21 +210,22 @@ def _sums(values: np.ndarray) -> pa.RecordBatch:
 
 
 def with_rates(members: DataFrame, steps: np.ndarray, largest: float | None = None) -> DataFrame:
-    """Add rate and copies. copies: the rate, rounded up with a chance (a hash of the id) that makes its mean the rate.
+    """Add rate (see rates_of, here as an expression) and copies. copies: the rate, rounded up with a chance (a hash of the id) that makes its mean the rate.
 
     With ``largest``, all rates are scaled alike, so that a document wholly of the domain taken most has just that rate.
     """
     k = steps.shape[1]
     scale = 1.0 if largest is None else largest / max(1e-12, rates_of(np.eye(k), steps).max())
 
-    def run(posteriors: pa.Array) -> pa.Array:
-        p = posteriors.flatten().to_numpy().reshape(-1, k) if len(posteriors) else np.zeros((0, k))
-        rate = rates_of(p, steps) * scale
-        return pa.array(rate if largest is None else np.minimum(rate, largest))
+    def taken(rate: Column, step: Column) -> Column:
+        moves = F.zip_with("posteriors", step, lambda p, d: p * d)
+        return F.greatest(F.lit(0.0), rate + F.aggregate(moves, F.lit(0.0), lambda total, move: total + move))
 
-    rate = F.arrow_udf(run, "double").asNondeterministic()("posteriors")
+    history = F.array(*[F.array(*[F.lit(float(d)) for d in step]) for step in steps]) if len(steps) else None
+    rate = (F.lit(1.0) if history is None else F.aggregate(history, F.lit(1.0), taken)) * scale
+    members = members.withColumn("rate", rate if largest is None else F.least(rate, F.lit(float(largest))))
     whole = F.floor("rate")
-    return members.withColumn("rate", rate).withColumn(
+    return members.withColumn(
         "copies", (whole + (uniform(F.col("doc_id"), F.lit("copies")) < F.col("rate") - whole).cast("int")).cast("int")
     )
 

@@ -6,6 +6,8 @@ import sys
 
 import numpy as np
 
+from medlink.llm.common import let_go
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _WORD_CHARS: np.ndarray | None = None
@@ -29,6 +31,7 @@ def word_chars() -> np.ndarray:
 
 def codes_of(texts: list[str], between: str = "\n") -> tuple[np.ndarray, np.ndarray]:
     """(code points of the texts in a row, ``between`` after each; start of each text and the end)."""
+    let_go()
     codes = np.frombuffer("".join([t + between for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
     return codes, np.r_[0, np.cumsum([len(t) + len(between) for t in texts], dtype=np.int64)]
 
