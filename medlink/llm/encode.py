@@ -10,10 +10,12 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from medlink.llm.common import KEPT
+
 #: A tokenizer that drops white space, so words between spaces or line feeds are encoded independently.
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words that a task keeps with their ids; a full store is emptied and filled again.
-MAX_WORDS = 300_000
+MAX_WORDS = 250_000
 
 
 def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
@@ -34,6 +36,23 @@ def _folded(text: str) -> str:
     return text.lower() if codes.max() < 0x180 and not (codes == 0x130).any() else text
 
 
+_LETTERS = np.array([chr(c).isalnum() for c in range(256)])
+
+
+def _spaced(text: str) -> str:
+    """Set commas and full stops that end a word apart, where every one follows a letter or digit: fewer different words.
+
+    The tokenizer parts signs from letters and digits anyway, and drops the space. A run of signs has to stay together.
+    """
+    try:
+        codes = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return text
+    mark = codes[1:-1]
+    at = np.flatnonzero(((mark == 44) | (mark == 46)) & (codes[2:] == 32))
+    return text.replace(", ", " , ").replace(". ", " . ") if len(at) and _LETTERS[codes[at]].all() and text[0] not in ",." else text
+
+
 class WordEncoder:
     """Ids of texts by a lower-casing tokenizer with word ends that drops white space and joins nothing across it.
 
@@ -55,42 +74,48 @@ class WordEncoder:
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Plain words share one call, joined by spaces: each of their parts has one end-of-word id."""
+    def _plain_ids(self, words: list[str], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, length of each word): words share calls, joined by spaces, as each part has one end-of-word id."""
+        lines = [" ".join(words[k : k + 256]) for k in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.is_end[ids])
+        if len(ends) != sum(parts):
+            return self._any_ids(words)
+        return ids, np.diff(np.r_[0, ends[np.cumsum(parts) - 1] + 1])
+
+    def _any_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each word by itself."""
+        one = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(one), np.array([len(x) for x in one], np.int64)
+
+    def _add(self, words: list[str]) -> None:
         plain, parts, rest = [], [], []
-        for i, word in enumerate(words):
-            if found := _PLAIN(word):
-                plain.append(i)
+        for word in words:
+            if word.isascii() and word.isalpha():
+                plain.append(word)
+                parts.append(1)
+            elif found := _PLAIN(word):
+                plain.append(word)
                 parts.append(2 if found[1] else 1)
             else:
-                rest.append(i)
-        out: list[np.ndarray | None] = [None] * len(words)
-        lines = [" ".join([words[i] for i in plain[k : k + 256]]) for k in range(0, len(plain), 256)]
-        for k, line in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(line.ids, np.int32)
-            ends = np.flatnonzero(self.is_end[ids])[np.cumsum(parts[256 * k : 256 * k + 256]) - 1] + 1
-            for i, low, high in zip(plain[256 * k :], np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-                out[i] = ids[low:high]
-        for i, one in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(one.ids, np.int32)
-        return out
-
-    def _add(self, words: list[str]) -> None:
-        for low in range(0, len(words), 4096):
-            part = words[low : low + 4096]
-            pieces = self._encode_words(part)
-            lengths = np.array([len(p) for p in pieces], np.int64)
-            first, total = len(self.index), int(lengths.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.ids[self.used : self.used + total] = np.concatenate(pieces)
-            self.start[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[first : first + len(part)] = lengths
-            self.used += total
-            self.index.update(zip(part, range(first, first + len(part))))
+                rest.append(word)
+        if plain:
+            self._keep(plain, *self._plain_ids(plain, parts))
+        if rest:
+            self._keep(rest, *self._any_ids(rest))
+
+    def _keep(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        first, last = len(self.index), len(self.index) + len(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while last > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[first:last] = self.used + np.cumsum(length) - length
+        self.length[first:last] = length
+        self.used += len(ids)
+        self.index.update(zip(words, range(first, last)))
 
     def _words(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and the end of each text among them."""
@@ -99,12 +124,12 @@ class WordEncoder:
         words: list[str] = []
         ends = []
         for text in texts:
-            words += _folded(text).replace("\n", " ").split(" ")
+            words += _spaced(_folded(text).replace("\n", " ")).split(" ")
             ends.append(len(words))
         number = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            self._add(list(dict.fromkeys(words[i] for i in missing)))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            self._add(list(dict.fromkeys([words[i] for i in missing])))
             number[missing] = [self.index[words[i]] for i in missing]
         return number, np.array(ends, np.int64)
 
@@ -127,11 +152,8 @@ class WordEncoder:
         return ids, ends
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of this Python worker, kept for its next task."""
+    if path not in KEPT:
+        KEPT[path] = WordEncoder(path)
+    return KEPT[path]
