@@ -175,9 +175,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         total = sum(docs.values()) + sum(gaps.values())
         order = [F.desc("size"), F.asc("is_doc"), F.asc("id")]
         swept = stored(
-            old.unionByName(begun)
-            .unionByName(wait)
-            .repartitionByRange(max(1, math.ceil(total / RANGE_ROWS)), *order)
+            _ranges(old.unionByName(begun).unionByName(wait), math.ceil(total / RANGE_ROWS), order)
             .sortWithinPartitions(*order)
             .mapInArrow(_sweep, SWEPT),
             f"sweep{number}",
@@ -197,6 +195,11 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         placed.append(state.where("kind = 'gap' and item is not null").select("item", "seq", F.lit(2 * number).alias("round")))
 
 
+def _ranges(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """Deal rows into n sorted ranges; what fits one range, at most RANGE_ROWS rows, needs no shuffle."""
+    return rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
+
+
 def _largest(docs: dict[int, int], wanted: int) -> tuple[int, int, int]:
     """(cut, n, of): the ``wanted`` largest are all above the size cut, and n of the ``of`` documents of that size."""
     for size in sorted(docs, reverse=True) if wanted else ():
@@ -224,6 +227,10 @@ def _opened(rows: DataFrame, number: int, cut: int, n: int, of: int) -> Column:
 def _settle(swept: DataFrame, segments: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """The state after a sweep; segments match what is left of the ranges and are at most two a range."""
     spark = swept.sparkSession
+    if not segments:  # nothing to match between ranges
+        return swept.select(
+            F.when(F.col("kind") == "match", "gap").otherwise(F.col("kind")).alias("kind"), "item", "seq", "size"
+        )
     table = spark.createDataFrame(
         [(i, *s) for i, s in enumerate(segments)],
         "segment int, doc_part int, first_doc long, gap_part int, first_gap long, n long",
