@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,10 +170,10 @@ def write_bundles(
     """Write bundles into a shared folder as the returned index (see INDEX) is computed."""
 
     def write(batches):
-        bundle = _Bundle()
+        bundle, number, task = _Bundle(), 0, TaskContext.get().partitionId()
 
         def close():
-            name = save_bundle(folder, bundle.content())
+            name = save_bundle(folder, bundle.content(), f"{task:05d}-{number:05d}")
             cols = list(zip(*bundle.index))
             names = ["record_id", "page_id", "record_type", "refers_to", "frame", "frame_offset", "record_bytes"]
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -188,18 +189,21 @@ def write_bundles(
                 bundle.add(rid, page_id, refers_to, record, frame_bytes)
                 if bundle.total >= bundle_bytes:
                     yield close()
-                    bundle = _Bundle()
+                    bundle, number = _Bundle(), number + 1
         if bundle.index:
             yield close()
 
     return classified.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, INDEX)
 
 
-def save_bundle(folder: str, content: bytes) -> str:
-    """Write a bundle under a name made of its content, whole or not at all: a repeated task writes the same file."""
+def save_bundle(folder: str, content: bytes, place: str) -> str:
+    """Write a bundle, whole or not at all, under a name made of its place (task and number in it) and its content.
+
+    Bundles of equal content in other places are files of their own; a repeated task writes the same file.
+    """
     store, path = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
     store.create_dir(path, recursive=True)
-    name = f"{hashlib.sha1(content).hexdigest()}.warc.zst"
+    name = f"{place}-{hashlib.sha1(content).hexdigest()}.warc.zst"
     part = f"{path}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
         out.write(content)

@@ -248,3 +248,14 @@ def test_warc(spark):
     assert stored(warc.write_bundles(warc.classify(pages.limit(0)), empty)).count() == 0
     with pytest.raises(ValueError):
         warc.read_seek_table(b"no table at the end of this")
+
+
+def test_equal_bundles_are_kept_apart(spark):
+    """One page row in every partition, and often enough in each for several equal bundles."""
+    rows = spark.range(0, 240, 1, 4).select(F.lit(7).alias("page_id"), F.lit("http://h").alias("url"), F.lit("x" * 500).alias("html"))
+    classified = rows.withColumn("digest", F.sha1("html")).withColumn("refers_to", F.lit(None).cast("long"))
+    folder = f"{shared_dir(spark)}/equal"
+    index = stored(warc.write_bundles(classified, folder, frame_bytes=3000, bundle_bytes=10_000))
+    assert index.count() == 240 and index.select("bundle").distinct().count() > 4
+    records = warc.read_bundles(spark, folder, index)
+    assert records.count() == 240 and records.select("bundle", "frame", "frame_offset").distinct().count() == 240
