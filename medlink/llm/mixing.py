@@ -6,6 +6,7 @@ then fitted by projected-gradient least squares, so that the expected tokens of
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,7 +158,7 @@ def rates_of(posteriors: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: list[float], total: float | None = None, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Projected-gradient least squares over all documents; members: n_tokens, posteriors.
+    """MAX_STEPS plain projected-gradient steps at most, whatever is still missed then (fit_targets goes to the end); members: n_tokens, posteriors.
 
     It minimises the misfit of sum(rate * n_tokens * posteriors) to the targets' shares of ``total`` (all tokens, if not
     given) over rates >= 0. The misfit is weighed by the inverse of G = sum(n_tokens * p * p'), and a document's rate by
@@ -209,20 +210,105 @@ def _sums(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values)})
 
 
+@dataclass
+class Fit:
+    """steps: for rates_of and with_rates; misfit: the largest miss of a target, as a share of the tokens taken; kept: tokens taken for each token."""
+
+    steps: np.ndarray
+    misfit: float
+    kept: float
+
+
+#: Parts of a step that one pass tries; passes without a tenth less misfit after which it counts as stationary.
+PARTS, PATIENCE = (2.0, 1.0, 0.5, 0.25, 2.0**-4, 2.0**-6, 2.0**-10, 2.0**-16), 8
+
+
+def fit_targets(
+    members: DataFrame, targets: list[float], total: float | None = None, largest: float | None = None, tolerance: float = TOLERANCE
+) -> Fit:
+    """Least squares to the end: the rates nearest to 1 (squares weighed by n_tokens) that meet the targets; members as in fit_rates.
+
+    Without ``largest``, over rates >= 0, the targets being shares of ``total`` as in fit_rates. With it, over rates from 0
+    to ``largest``, the targets being shares of whatever is taken, so only documents of domains with too much are thinned.
+
+    The rates are 1 + p' step, cut to their bounds, with one step for all documents. The step is summed from gradient
+    steps in the metric of the documents whose rate lies within its bounds, so those at a bound don't shorten it. A pass
+    tries several parts of a step and sends one small sum from each task. It ends at the tolerance, or at a misfit that
+    no longer falls: then the targets are out of reach, which is said in a warning and in the result.
+    """
+    k = len(targets)
+    share = np.array(targets, float) / sum(targets)
+    shift, top = (0.0, np.inf) if largest is None else (share, float(largest))
+    rows = members.select(F.col("n_tokens").cast("double"), "posteriors")
+
+    def sums_at(points: np.ndarray) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+        """At each point: the convex objective without its linear part, tokens taken, these by domain, and the metric."""
+
+        def run(batches):
+            out = np.zeros((len(points), 2 + k + k * k))
+            for batch in batches:
+                n, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k) - shift
+                x = 1 + p @ points.T
+                rate = np.clip(x, 0, top)
+                out[:, 0] += n @ (rate * (x - rate / 2))
+                out[:, 1] += n @ rate
+                out[:, 2 : 2 + k] += (rate * n[:, None]).T @ p
+                for at, free in enumerate(((x > 0) & (x <= top)).T):
+                    out[at, 2 + k :] += ((p[free] * n[free, None]).T @ p[free]).ravel()
+            yield _sums(out.ravel())
+
+        found = rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        out = np.zeros(len(points) * (2 + k + k * k))
+        for r in found:
+            out[r["at"]] = r["value"]
+        return [(o[0], o[1], o[2 : 2 + k], o[2 + k :].reshape(k, k)) for o in out.reshape(len(points), -1)]
+
+    step = np.zeros(k)
+    state = sums_at(step[None])[0]
+    everything = state[1]
+    if everything <= 0:
+        return Fit(np.zeros((0, k)), 0.0, 0.0)
+    wanted = share * (everything if total is None else total) if largest is None else np.zeros(k)
+    # Directions in which the documents differ at all, at unit length in the metric of all documents.
+    length, axes = np.linalg.eigh(state[3])
+    axes = axes[:, length > 1e-10 * length.max()] / np.sqrt(length[length > 1e-10 * length.max()])
+
+    def missed(s) -> float:
+        return float(np.abs(wanted - s[2]).max() / max(1e-300, s[1] if largest is not None else wanted.sum()))
+
+    best, waited = (missed(state), step, state[1]), 0
+    mark = best[0]
+    while best[0] > tolerance and waited < PATIENCE and axes.shape[1]:
+        metric = axes.T @ state[3] @ axes + 1e-8 * np.eye(axes.shape[1])
+        move = axes @ np.linalg.solve(metric, axes.T @ (wanted - state[2]))
+        points = step + np.array(PARTS)[:, None] * move
+        states = sums_at(points)
+        value = [s[0] - wanted @ x for s, x in zip(states, points)]
+        at = min(range(len(points)), key=lambda i: missed(states[i]))
+        if missed(states[at]) > missed(state) / 2 or value[at] > state[0] - wanted @ step:
+            at = int(np.argmin(value))
+        step, state = points[at], states[at]
+        best = min(best, (missed(state), step, state[1]), key=lambda x: x[0])
+        waited = 0 if best[0] < 0.9 * mark else waited + 1
+        mark = best[0] if waited == 0 else mark
+    fit = Fit((best[1] - shift @ best[1] if largest is not None else best[1])[None], best[0], best[2] / everything)
+    if fit.misfit > tolerance:
+        warnings.warn(f"the targets are out of reach: one is missed by {fit.misfit:.3g} of the tokens taken ({fit.kept:.3g} of all)", stacklevel=2)
+    return fit
+
+
 def with_rates(members: DataFrame, steps: np.ndarray, largest: float | None = None) -> DataFrame:
     """Add rate (see rates_of, here as an expression) and copies. copies: the rate, rounded up with a chance (a hash of the id) that makes its mean the rate.
 
-    With ``largest``, all rates are scaled alike, so that a document wholly of the domain taken most has just that rate.
+    With ``largest``, larger rates are cut to it, as fit_targets expects.
     """
-    k = steps.shape[1]
-    scale = 1.0 if largest is None else largest / max(1e-12, rates_of(np.eye(k), steps).max())
 
     def taken(rate: Column, step: Column) -> Column:
         moves = F.zip_with("posteriors", step, lambda p, d: p * d)
         return F.greatest(F.lit(0.0), rate + F.aggregate(moves, F.lit(0.0), lambda total, move: total + move))
 
     history = F.array(*[F.array(*[F.lit(float(d)) for d in step]) for step in steps]) if len(steps) else None
-    rate = (F.lit(1.0) if history is None else F.aggregate(history, F.lit(1.0), taken)) * scale
+    rate = F.lit(1.0) if history is None else F.aggregate(history, F.lit(1.0), taken)
     members = members.withColumn("rate", rate if largest is None else F.least(rate, F.lit(float(largest))))
     whole = F.floor("rate")
     return members.withColumn(
@@ -248,7 +334,7 @@ def mix_documents(
     model = train(docs, labelled, list(targets), doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), membership(model, F.col(text)).alias("m"))
     members = store(rows.select("doc_id", F.col("m.n_tokens").alias("n_tokens"), F.col("m.posteriors").alias("posteriors")))
-    return with_rates(members, fit_rates(members, list(targets.values()), total), largest)
+    return with_rates(members, fit_targets(members, list(targets.values()), total, largest).steps, largest)
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:

@@ -245,3 +245,28 @@ def test_pipeline(spark, docs, labels, odd):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def members_of(spark, shares, peak, n=4000, seed=1):
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=(n, 4)) + peak * np.eye(4)[rng.choice(4, p=shares, size=n)]
+    p, tokens = mixing.softmax(z), rng.integers(50, 900, n)
+    rows = pa.table({"doc_id": pa.array(np.arange(n)), "n_tokens": pa.array(tokens), "posteriors": pa.array(p.tolist())})
+    return stored(spark.createDataFrame(rows)), p, tokens
+
+
+def test_rates_reach_skewed_targets(spark):
+    """Where the capped steps stop short: the targets are met, by the rates nearest to 1 (one step for all documents)."""
+    members, p, n = members_of(spark, [0.1, 0.1, 0.1, 0.7], 2.5)
+    targets = np.array([0.5, 0.2, 0.2, 0.1])
+    capped = mixing.rates_of(p, mixing.fit_rates(members, list(targets)))
+    assert np.abs((capped * n) @ p / n.sum() - targets).max() > 1e-3
+    labels = [mixing.fit_targets(members, list(targets)), mixing.fit_targets(members, list(targets), total=2.0 * n.sum())]
+    for fit, scale in zip(labels, (1, 2)):
+        rate = mixing.rates_of(p, fit.steps)
+        assert fit.misfit <= mixing.TOLERANCE and (rate == 0).any() and fit.kept == pytest.approx(scale, abs=1e-3)
+        assert np.abs((rate * n) @ p / n.sum() / scale - targets).max() <= mixing.TOLERANCE
+        assert np.allclose(rate, np.maximum(0, 1 + p @ fit.steps[0]))
+    same = spark.createDataFrame(pa.table({"n_tokens": pa.array([3, 5]), "posteriors": pa.array([[0.25] * 4] * 2)}))
+    with pytest.warns(UserWarning, match="out of reach"):
+        assert mixing.fit_targets(same, list(targets)).misfit == pytest.approx(0.25)
