@@ -464,8 +464,8 @@ def _stored_fields(spark: SparkSession, sf: str) -> DataFrame:
     shown = instruction_lines(F.array(F.concat(F.col("doc_id").cast("string"), F.lit(" one")), F.lit(" Warnings "), F.lit("three"), F.lit("用法")))
     return fields.select("doc_id", both.alias("s"), F.array_join(shown, "|").alias("instructions")).select(
         "doc_id",
-        F.substring_index("s.directions", ", ", 1).alias("directions"),
-        F.get("s.indications", F.lit(0)).alias("first_indication"),
+        "s.directions",
+        F.nullif(F.array_join("s.indications", ", "), F.lit("")).alias("first_indication"),  # all of them; the SQL sets the name
         "instructions",
     )
 

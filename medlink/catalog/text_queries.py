@@ -738,9 +738,9 @@ def _case_fields(spark: SparkSession, sf: str) -> DataFrame:
     names = ("dispensing_date", "patient_name", "patient_sex", "physician_name", "pharmacist_name", "pharmacy_name", "pharmacy_address", "quantity")
     return fields.select(
         "doc_id",
-        F.substring_index("f.directions", ", ", 1).alias("directions"),
+        "f.directions",
         *[F.col(f"f.{n}").alias(n) for n in names],
-        F.get("f.indications", F.lit(0)).alias("first_indication"),
+        F.nullif(F.array_join("f.indications", ", "), F.lit("")).alias("first_indication"),  # all of them; the SQL sets the name
     )
 
 
