@@ -146,13 +146,19 @@ def _detail_nested(spark: SparkSession, sf: str) -> DataFrame:
         F.transform("ingredients", lambda x: F.concat_ws(":", x["canonical_name"], x["role"], x["source"])), "|"
     )
     lists = detail["ingredients"].select("product_code", "chunk_no", shown.alias("ingredients"))
-    permits = detail["permits"].where("chunk_no = 0").select(
-        "product_code", F.array_join(F.transform("permits", lambda x: x["permit_no"]), "|").alias("permits")
-    )
-    return (
-        detail["products"].join(lists, "product_code", "left").join(permits, "product_code", "left")
-        .select("product_code", "name_en", "name_zh", "atc_name", "chunk_no", "ingredients", "permits")
+    return whole_details(detail["products"], lists, detail["permits"])
+
+
+def whole_details(products: DataFrame, lists: DataFrame, permits: DataFrame) -> DataFrame:
+    """Rows of ingredient chunks beside the first permits; each further chunk of permits is a row of its own, without ingredients."""
+    shown = permits.select(
+        "product_code", "chunk_no", F.array_join(F.transform("permits", lambda x: x["permit_no"]), "|").alias("permits")
     )
+    first, more = shown.where("chunk_no = 0").drop("chunk_no"), shown.where("chunk_no > 0")
+    rows = products.join(lists, "product_code", "left").join(first, "product_code", "left")
+    further = products.join(more, "product_code").withColumn("ingredients", F.lit(None).cast("string"))
+    columns = ("product_code", "name_en", "name_zh", "atc_name", "chunk_no", "ingredients", "permits")
+    return rows.select(*columns).unionByName(further.select(*columns))
 
 
 # --- lists --------------------------------------------------------------------------
