@@ -48,13 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thin out documents, by rates of at most 1, until the expected shares of the tokens are the targets."""
+    """Thin out documents of domains with too much, by rates of at most 1, until the expected shares of the tokens kept are the targets."""
     short_batches(spark)
     labelled = mixing.labelled_languages(docs, table(spark, sf_dir, "labels"))
     model = mixing.train(docs, labelled, list(TARGETS))
     member = mixing.membership(model, F.col("text")).alias("m")
     members = stored(docs.select(member).select("m.*"), "members")
-    steps = mixing.fit_rates(members, list(TARGETS.values()))
+    steps = mixing.fit_targets(members, list(TARGETS.values()), largest=1.0).steps
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), member).select("row", "doc_id", "m.*")
     return mixing.with_rates(rows, steps, largest=1.0).where("copies > 0").select("row.*")
 

@@ -270,3 +270,19 @@ def test_rates_reach_skewed_targets(spark):
     same = spark.createDataFrame(pa.table({"n_tokens": pa.array([3, 5]), "posteriors": pa.array([[0.25] * 4] * 2)}))
     with pytest.warns(UserWarning, match="out of reach"):
         assert mixing.fit_targets(same, list(targets)).misfit == pytest.approx(0.25)
+
+
+def test_thinning_keeps_the_scarce_domains(spark):
+    """With soft posteriors too, only domains with too much lose documents, and more is kept than by rates scaled to 1 for a pure document."""
+    members, p, n = members_of(spark, [0.7, 0.15, 0.13, 0.02], 5.0)
+    targets = np.array(list(corpus_pipeline.TARGETS.values()))
+    fit = mixing.fit_targets(members, list(targets), largest=1.0)
+    rows = mixing.with_rates(members, fit.steps, largest=1.0).orderBy("doc_id").collect()
+    rate = np.array([r["rate"] for r in rows])
+    taken = (rate * n) @ p
+    assert np.allclose(taken / taken.sum(), targets, atol=1e-4) and fit.kept == pytest.approx((rate * n).sum() / n.sum())
+    scarce = np.argmin(n @ p / n.sum() / targets)
+    assert {r["copies"] for r in rows} <= {0, 1} and (rate[p[:, scarce] > 0.9] == 1).all()
+    scaled = mixing.rates_of(p, mixing.fit_targets(members, list(targets)).steps)
+    pure = mixing.rates_of(np.eye(4), mixing.fit_targets(members, list(targets)).steps).max()
+    assert fit.kept > 1.1 * (scaled * n).sum() / pure / n.sum()
