@@ -64,11 +64,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table into the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    ``by``: a column of few values, each of which gets files of its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
