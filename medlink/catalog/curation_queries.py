@@ -719,7 +719,7 @@ def _case_checked(spark: SparkSession, sf: str) -> DataFrame:
     "case_unchecked",
     f"""WITH {CASES_SQL}
     SELECT case_id, 'unknown_product' AS reason, NULL AS raw_text, code AS product_code FROM codes WHERE code NOT IN (SELECT code FROM owned)
-    UNION ALL SELECT w.case_id, 'missing_ingredient_concept', w.id, (SELECT arg_min(code, pos) FROM codes c JOIN owned o USING (code) WHERE c.case_id = w.case_id AND o.id = w.id)
+    UNION ALL SELECT w.case_id, 'missing_ingredient_concept', w.id, (SELECT arg_min(code, (pos, code)) FROM codes c JOIN owned o USING (code) WHERE c.case_id = w.case_id AND o.id = w.id)
         FROM wanted w WHERE w.id NOT IN (SELECT id FROM concepts)
     UNION ALL SELECT case_id, 'unknown_product', t, NULL FROM raw""",
 )

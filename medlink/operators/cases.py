@@ -287,7 +287,7 @@ def combine_photos(photos: DataFrame) -> dict[str, DataFrame]:
     photos(case_id, photo_index, text, case_fields).
     """
     first = photos.groupBy("case_id").agg(
-        F.min_by("case_fields", F.when(F.col("case_fields").isNotNull(), F.col("photo_index"))).alias("case_fields"),
+        F.min_by("case_fields", F.when(F.col("case_fields").isNotNull(), F.struct("photo_index", "case_fields"))).alias("case_fields"),
         F.count(F.lit(1)).alias("photo_count"),
     )
     placed = positions(
