@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlink.catalog.matching_queries import CTE, RESOLVED, dictionary, match_input
+from medlink.catalog.matching_queries import CTE, RESOLVED, dictionary, match_input, matching_index
 from medlink.catalog.registry import query, spread, sql_norm, sql_uuid, table
 from medlink.functions import fixed_values as V
 from medlink.functions import text as T
@@ -274,7 +274,7 @@ def case_items(spark: SparkSession, sf: str) -> DataFrame:
     lines = match_input(spark, sf).select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("input_index"), "input_text"
     ).distinct()
-    return G.detected_items(M.match_lines(lines, dictionary(spark, sf).materialised()))
+    return G.detected_items(M.match_lines(lines, matching_index(spark, sf)))
 
 
 @query("case_items", CASE_CTE + " SELECT * FROM items")

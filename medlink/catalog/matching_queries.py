@@ -9,6 +9,7 @@ from medlink.catalog.registry import query, sql_line_key, sql_name_key, sql_norm
 from medlink.catalog.text_queries import sql_ocr_clean
 from medlink.functions import text as T
 from medlink.operators import curate as C
+from medlink.operators import match_index as I
 from medlink.operators import matching as M
 
 HAN = "[\\x{4E00}-\\x{9FFF}]"
@@ -43,6 +44,20 @@ def dictionary(spark: SparkSession, sf: str) -> M.Dictionary:
     return M.Dictionary(products, C.build_concepts(mentions), C.product_ingredients(mentions), variants)
 
 
+#: Folder of the stored index, by application and data folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def matching_index(spark: SparkSession, sf: str) -> I.MatchIndex:
+    """The index of the dictionary, stored as a release when it is first asked for and then read by all queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        root = I.new_folder(spark, "match-index")
+        I.store_index(dictionary(spark, sf), root, "first")
+        _STORED[key] = root
+    return I.read_index(spark, _STORED[key])
+
+
 LINE_SQL = """CASE l_orderkey % 12
     WHEN 0 THEN p_name || ' ' || lower(p_type) WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || ' salt'
     WHEN 3 THEN '60puff/bot(' || p_name || ')' WHEN 4 THEN p_name || ' ' || lower(p_type) || ' 5mg tab'
@@ -150,7 +165,7 @@ def _register_pass(method: str, column: str, hits) -> None:
     @query(f"match_{method}", sql)
     def _run(spark: SparkSession, sf: str) -> DataFrame:
         texts = M.distinct_texts(match_input(spark, sf))
-        return hits(texts, dictionary(spark, sf)).where(F.col("method") == method).select("input_text", column)
+        return hits(texts, matching_index(spark, sf)).where(F.col("method") == method).select("input_text", column)
 
 
 for _method, _column in (
@@ -203,7 +218,7 @@ RESOLVED = """,
     """,
 )
 def _match_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_lines(match_input(spark, sf), dictionary(spark, sf).materialised()).drop("product_name")
+    return M.match_lines(match_input(spark, sf), matching_index(spark, sf)).drop("product_name")
 
 
 @query(
@@ -219,7 +234,7 @@ def _match_cascade(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _match_product_token(spark: SparkSession, sf: str) -> DataFrame:
     texts = M.distinct_texts(match_input(spark, sf))
-    return M.product_token_hits(texts, dictionary(spark, sf)).select("input_text", "product_id")
+    return M.product_token_hits(texts, matching_index(spark, sf)).select("input_text", "product_id")
 
 
 @query(
@@ -243,7 +258,7 @@ def _match_product_token(spark: SparkSession, sf: str) -> DataFrame:
 def _match_product_token_split(spark: SparkSession, sf: str) -> DataFrame:
     glued = F.regexp_replace("input_text", "^([a-z]+) ([a-z]+)", "$1$2")
     texts = M.distinct_texts(match_input(spark, sf).withColumn("input_text", glued))
-    return M.product_token_hits(texts, dictionary(spark, sf), split_words=True).select("input_text", "product_id")
+    return M.product_token_hits(texts, matching_index(spark, sf), split_words=True).select("input_text", "product_id")
 
 
 @query(
@@ -282,7 +297,7 @@ def _match_compound_paren(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def _match_ocr_clean_strict(spark: SparkSession, sf: str) -> DataFrame:
-    hits = M.strict_clean_hits(M.distinct_texts(match_input(spark, sf)), dictionary(spark, sf))
+    hits = M.strict_clean_hits(M.distinct_texts(match_input(spark, sf)), matching_index(spark, sf))
     return hits.select("input_text", "ingredient_id")
 
 
@@ -291,7 +306,7 @@ def _match_ocr_clean_strict(spark: SparkSession, sf: str) -> DataFrame:
     CTE + """ SELECT input_text, min(ingredient_id) AS ingredient_id FROM cmatch GROUP BY input_text HAVING count(*) = 1""",
 )
 def _match_ocr_clean_single(spark: SparkSession, sf: str) -> DataFrame:
-    hits = M.single_clean_hits(M.distinct_texts(match_input(spark, sf)), dictionary(spark, sf))
+    hits = M.single_clean_hits(M.distinct_texts(match_input(spark, sf)), matching_index(spark, sf))
     return hits.select("input_text", "ingredient_id")
 
 

@@ -290,7 +290,7 @@ def evaluate_cases(
         resolved.select("case_id", "ingredient_id", "product_code", "position")
         .unionByName(asked.distinct(), allowMissingColumns=True)
         .groupBy("case_id", "ingredient_id")
-        .agg(F.min_by("product_code", F.struct("position", "product_code")).alias("product_code"))
+        .agg(F.min_by("product_code", F.when(F.col("product_code").isNotNull(), F.struct("position", "product_code"))).alias("product_code"))
     )
     names = concepts.select("ingredient_id", "canonical_name")
     checked = wanted.join(names, "ingredient_id").select("case_id", "ingredient_id", "canonical_name")

@@ -4,82 +4,43 @@ Shape of the work, chosen for very large line tables:
 
 * Lines are first reduced to distinct texts (a combined aggregate), so a line
   repeated a billion times is matched once.
-* Dictionary keys are summarised before any join: each key carries one row with
-  its candidate count and best candidate.  A key shared by a third of all
-  products still meets a text as one row.
+* A dictionary is asked through its index (match_index), which is stored once per
+  release; a plain Dictionary works too, its index is then part of the plan.
 * The five exact passes share one equi join on (method, key).
-* Coverage passes (all tokens of a name inside the line) join on the rarest stem
-  of the name only, then verify; ratio passes probe only the rarest stems a match
-  must contain.  Both are exact, and no stem list is cut.
+* Coverage passes (all tokens of a name inside the line) join on the two rarest
+  stems of the name, then verify; ratio passes probe pairs of the rarest stems a
+  match must contain.  Both are exact, and no stem list is cut.
 * All passes are unioned and reduced with one aggregate per text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlink.functions import fixed_values as V
 from medlink.functions import text as T
-from medlink.functions.ocr_text import clean_head, clean_tail, line_key, trailing_code
-from medlink.operators.curate import token_index, with_name_keys
+from medlink.functions.ocr_text import clean_head, clean_tail, line_key, strip_dosage_tail, trailing_code
+from medlink.operators.curate import with_name_keys
 from medlink.operators.keyed import checkpointed, left_lookup
+from medlink.operators.match_index import (
+    GRAM,
+    NO_WORD,
+    Dictionary,
+    MatchIndex,
+    as_index,
+    clean_stem_table,
+    grams,
+    newest_first,
+)
 
 PRODUCT_METHODS = ("product_exact", "ocr_product", "product_token_contain", "cjk_fuzzy")
 PRODUCT_IDS_ORDER = ("product_exact", "ocr_product", "cjk_fuzzy", "product_token_contain")
 SINGLE_METHODS = ("canonical_exact", "alias_exact", "paren_alias_exact", "ingredient_token")
 HIT = "input_text string, method string, product_id string, product_name string, has_ids boolean, ingredient_id string"
-
-
-@dataclass(frozen=True)
-class Dictionary:
-    """The curated tables a line is matched against.
-
-    products(product_code, name_en, name_zh, effective_start), concepts(ingredient_id,
-    canonical_name, canonical_name_normalized), product_ingredients(product_code,
-    ingredient_id), variants(target_type, target_id, variant_text, normalized_text).
-    """
-
-    products: DataFrame
-    concepts: DataFrame
-    product_ingredients: DataFrame
-    variants: DataFrame
-
-    def named_products(self) -> DataFrame:
-        having = self.product_ingredients.select("product_code").distinct().withColumn("_has", F.lit(True))
-        return self.products.join(having, "product_code", "left").select(
-            F.col("product_code").alias("product_id"),
-            F.coalesce("name_en", "name_zh").alias("product_name"),
-            F.coalesce("_has", F.lit(False)).alias("has_ids"),
-            "effective_start",
-            "name_en",
-            "name_zh",
-        )
-
-    def materialised(self) -> Dictionary:
-        """The same tables written once, for plans that read them many times.
-
-        Tables read from a release are files already and need no copy.
-        """
-        return Dictionary(
-            *[checkpointed(df) for df in (self.products, self.concepts, self.product_ingredients, self.variants)]
-        )
-
-    def ingredient_tokens(self) -> DataFrame:
-        return token_index(self.concepts, ["ingredient_id"], "canonical_name_normalized")
-
-
-def _newest_first(*ties: str) -> Column:
-    start = F.col("effective_start")
-    return F.struct(start.isNull(), -F.unix_date(start), *[F.col(t) for t in ties])
-
-
-def _best_product(df: DataFrame, key: str) -> DataFrame:
-    best = F.min_by(F.struct("product_id", "product_name", "has_ids"), _newest_first("product_id")).alias("_best")
-    return df.groupBy(key).agg(best).select(key, "_best.*")
+Known = Dictionary | MatchIndex
 
 
 # --- line preparation ---------------------------------------------------------
@@ -116,62 +77,7 @@ def ocr_cleaned(texts: DataFrame, known_tokens: DataFrame, upper: bool = False)
 # --- exact passes ---------------------------------------------------------------
 
 
-def _single_ingredient_keys(keyed: DataFrame, method: str) -> DataFrame:
-    """Keys with exactly one ingredient; min = max is 'one distinct id' and combines map-side."""
-    return (
-        keyed.groupBy("key")
-        .agg(F.min("ingredient_id").alias("_lo"), F.max("ingredient_id").alias("_hi"))
-        .where(F.col("_lo") == F.col("_hi"))
-        .select(
-            F.lit(method).alias("method"),
-            "key",
-            F.lit(None).cast("string").alias("product_id"),
-            F.lit(None).cast("string").alias("product_name"),
-            F.lit(False).alias("has_ids"),
-            F.col("_lo").alias("ingredient_id"),
-        )
-    )
-
-
-def exact_key_table(d: Dictionary) -> DataFrame:
-    """(method, key) -> the one answer that key gives; keys that must fall through are absent."""
-    products = d.named_products()
-    variants = d.variants
-
-    def product_rows(keyed: DataFrame, method: str) -> DataFrame:
-        return _best_product(keyed, "key").select(
-            F.lit(method).alias("method"),
-            "key",
-            "product_id",
-            "product_name",
-            "has_ids",
-            F.lit(None).cast("string").alias("ingredient_id"),
-        )
-
-    by_variant = (
-        variants.where(F.col("target_type") == "product")
-        .select(F.col("normalized_text").alias("key"), F.col("target_id").alias("product_id"))
-        .join(products, "product_id")
-    )
-    by_name_key = with_name_keys(products).withColumn(
-        "key", F.explode(F.array_distinct(F.array("ocr_key_en", "ocr_key_zh")))
-    ).where(F.length("key") >= 4)
-    canonical = d.concepts.select(F.col("canonical_name_normalized").alias("key"), "ingredient_id")
-    alias = variants.where(F.col("target_type") == "ingredient").select(
-        F.col("normalized_text").alias("key"), F.col("target_id").alias("ingredient_id")
-    )
-    alias = alias.join(d.concepts.select("ingredient_id"), "ingredient_id", "left_semi")
-    paren = alias.unionByName(canonical).where(F.length("key") >= 3)
-    return (
-        product_rows(by_variant, "product_exact")
-        .unionByName(product_rows(by_name_key, "ocr_product"))
-        .unionByName(_single_ingredient_keys(canonical, "canonical_exact"))
-        .unionByName(_single_ingredient_keys(alias, "alias_exact"))
-        .unionByName(_single_ingredient_keys(paren, "paren_alias_exact"))
-    )
-
-
-def exact_hits(texts: DataFrame, d: Dictionary, normalize_han: bool = False) -> DataFrame:
+def exact_hits(texts: DataFrame, d: Known, normalize_han: bool = False) -> DataFrame:
     keys = line_keys(texts, normalize_han)
     pairs = F.array(
         F.struct(F.lit("product_exact").alias("method"), F.col("product_key").alias("key")),
@@ -181,120 +87,53 @@ def exact_hits(texts: DataFrame, d: Dictionary, normalize_han: bool = False) ->
         F.struct(F.lit("paren_alias_exact").alias("method"), F.col("paren").alias("key")),
     )
     probes = keys.select("input_text", F.inline(F.filter(pairs, lambda p: p["key"].isNotNull())))
-    return probes.join(exact_key_table(d), ["method", "key"]).drop("key")
+    return probes.join(as_index(d).exact_keys, ["method", "key"]).drop("key")
 
 
 # --- coverage by tokens ------------------------------------------------------------
 
 
-def rarest_stem_key(names: DataFrame, stems: str) -> DataFrame:
-    """Add ``key_stem``: the stem of each name that occurs in the fewest names."""
-    exploded = names.select("_id", F.explode(stems).alias("_stem"))
-    frequency = exploded.groupBy("_stem").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = (
-        exploded.join(frequency, "_stem")
-        .groupBy("_id")
-        .agg(F.min(F.struct("_df", "_stem")).alias("_min"))
-        .select("_id", F.col("_min._stem").alias("key_stem"))
-    )
-    return names.join(rarest, "_id")
-
-
-def covered_names(texts: DataFrame, line_stems: Column, names: DataFrame) -> DataFrame:
-    """Names (with array ``stems`` and an ``_id``) whose stems all occur in the text.
+def covered_names(texts: DataFrame, line_stems: Column, postings: DataFrame, partners: DataFrame) -> DataFrame:
+    """Names of a cover index whose stems all occur in the text.
 
-    A covered name contains its own rarest stem, so joining on that one stem loses nothing.
+    A covered name has its two rarest stems in the line.  For each stem of the line that is some name's rarest, its
+    second stems are looked for in the line: those listed, or where they are many, every stem of the line.
     """
-    probes = texts.select("*", line_stems.alias("_line")).withColumn("key_stem", F.explode("_line"))
+    lines = texts.select("*", line_stems.alias("_line"))
+    probes = lines.withColumn("key_a", F.explode("_line")).join(partners, "key_a")
+    own = F.concat(F.array(F.lit(NO_WORD)), F.array_except("_line", F.array("key_a")))
+    seconds = F.when(F.col("partners").isNotNull(), F.array_intersect("partners", own)).otherwise(own)
+    pairs = probes.withColumn("key_b", F.explode(seconds)).drop("partners")
     inside = F.size(F.array_except("stems", "_line")) == 0
-    return probes.join(rarest_stem_key(names, "stems"), "key_stem").where(inside).drop("_line", "key_stem")
-
-
-def ingredient_names(d: Dictionary) -> DataFrame:
-    tokens = F.array_distinct(T.words("canonical_name_normalized"))
-    return d.concepts.select(
-        F.col("ingredient_id").alias("_id"),
-        "ingredient_id",
-        "canonical_name",
-        F.array_distinct(F.transform(tokens, T.plural_stem)).alias("stems"),
-        F.array_join(F.array_sort(tokens), "|").alias("signature"),
-    )
+    return pairs.join(postings, ["key_a", "key_b"]).where(inside).drop("_line", "key_a", "key_b")
 
 
-def _one_signature(candidates: DataFrame, method: str) -> DataFrame:
+def _one_signature(covered: DataFrame, method: str) -> DataFrame:
     """Texts whose candidates share one token signature; the shortest name wins."""
     return (
-        candidates.groupBy("input_text")
-        .agg(
-            F.min("signature").alias("_lo"),
-            F.max("signature").alias("_hi"),
-            F.min(F.struct(F.length("canonical_name"), "canonical_name", "ingredient_id")).alias("_best"),
-        )
+        covered.groupBy("input_text")
+        .agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.min("first").alias("_best"))
         .where(F.col("_lo") == F.col("_hi"))
         .select("input_text", F.lit(method).alias("method"), F.col("_best.ingredient_id").alias("ingredient_id"))
     )
 
 
-def ingredient_token_hits(texts: DataFrame, d: Dictionary) -> DataFrame:
+def ingredient_token_hits(texts: DataFrame, d: Known) -> DataFrame:
+    index = as_index(d)
     stems = T.word_stems(T.normalize_text_sql("input_text"))
-    return _one_signature(covered_names(texts, stems, ingredient_names(d)), "ingredient_token")
+    covered = covered_names(texts, stems, index.ingredient_sets, index.ingredient_partners)
+    return _one_signature(covered, "ingredient_token")
 
 
-def product_stem_sets(d: Dictionary) -> DataFrame:
-    """Distinct stem sets of products with the smallest product of each set."""
-    stems = F.array_sort(
-        F.array_union(T.word_stems(T.normalize_text("name_zh")), T.word_stems(T.normalize_text("name_en")))
-    )
-    return (
-        d.named_products()
-        .withColumn("stems", stems)
-        .where(F.size("stems") > 0)
-        .groupBy("stems")
-        .agg(F.min(F.struct("product_id", "product_name", "has_ids")).alias("_best"))
-        .select("stems", "_best.*")
-    )
-
-
-RARE_STEM_SETS = 16  # a stem in fewer stem sets than this identifies products by itself
-
-
-def contain_index(d: Dictionary) -> tuple[DataFrame, DataFrame]:
-    """(postings, frequency) for the ratio pass.
-
-    Names differ mostly in a few rare words, so postings are kept in two tiers.  A rare
-    stem lists the full stem sets that hold it, fewer than RARE_STEM_SETS of them.  A
-    common stem lists only the distinct *common parts* of stem sets, each with its
-    smallest product.  This is exact: a product none of whose rare stems is in the line
-    shares only common stems with it, and one with a rare stem in the line is reached
-    through that stem with its full count, which outranks its common part.
-    """
-    sets = product_stem_sets(d).withColumn("_id", F.array_join("stems", " "))
-    exploded = sets.select("_id", "product_id", "product_name", "has_ids", "stems", F.explode("stems").alias("stem"))
-    frequency = exploded.groupBy("stem").agg(F.count(F.lit(1)).alias("_df"))
-    tagged = exploded.join(frequency, "stem")
-    columns = ["stem", "stems", "product_id", "product_name", "has_ids"]
-    rare = tagged.where(F.col("_df") < RARE_STEM_SETS).select(columns)
-    parts = (
-        tagged.where(F.col("_df") >= RARE_STEM_SETS)
-        .groupBy("_id")
-        .agg(
-            F.array_sort(F.collect_set("stem")).alias("stems"),
-            F.min(F.struct("product_id", "product_name", "has_ids")).alias("_best"),
-        )
-        .groupBy("stems")
-        .agg(F.min("_best").alias("_best"))
-    )
-    common = parts.select(F.explode("stems").alias("stem"), "stems", "_best.*").select(columns)
-    return rare.unionByName(common), frequency
-
-
-def product_contain_hits(texts: DataFrame, d: Dictionary, ratio_percent: int = int(V.TOKEN_CONTAIN_RATIO * 100)) -> DataFrame:
+def product_contain_hits(texts: DataFrame, d: Known, ratio_percent: int = int(V.TOKEN_CONTAIN_RATIO * 100)) -> DataFrame:
     """The product sharing the most stems with the line, if they are at least 60 % of its tokens.
 
-    A line with n tokens needs m = ceil(0.6 n) shared stems, so at least one of its
-    (known stems - m + 1) rarest stems is shared: only those are joined.
+    A line of n tokens needs m = ceil(0.6 n) shared stems.  Of its k known stems, a product that shares m has at least two
+    among the k - m + 2 rarest: only pairs of these are joined.  A line that needs more stems than the largest product
+    with one of its stems has is left out, so long lines probe little.  Where one shared stem is enough, the smallest
+    product of each stem is a candidate too.
     """
-    postings, frequency = contain_index(d)
+    index = as_index(d)
     words = T.words(T.normalize_text_sql("input_text"))
     lines = texts.select(
         "input_text",
@@ -303,52 +142,55 @@ def product_contain_hits(texts: DataFrame, d: Dictionary, ratio_percent: int = i
     ).where(F.col("_need") > 0)
     known = (
         lines.select("input_text", "_need", F.explode("_line").alias("stem"))
-        .join(frequency, "stem")
+        .join(index.overlap_words, "stem")
         .groupBy("input_text", "_need")
-        .agg(F.array_sort(F.collect_list(F.struct("_df", "stem"))).alias("_ranked"))
-        .where(F.size("_ranked") >= F.col("_need"))
-    )
-    scored = (
-        known.select(
-            "input_text",
-            "_need",
-            F.transform("_ranked", lambda x: x["stem"]).alias("_line"),
-            F.explode(F.slice("_ranked", F.lit(1), F.size("_ranked") - F.col("_need") + 1)).alias("_probe"),
-        )
-        .withColumn("stem", F.col("_probe.stem"))
-        .join(postings, "stem")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("_ranked"), F.max("largest").alias("_largest"))
+        .where((F.size("_ranked") >= F.col("_need")) & (F.col("_largest") >= F.col("_need")))
+        .select("input_text", "_need", F.transform("_ranked", lambda x: x["stem"]).alias("_line"))
+    )
+    first = F.slice("_line", F.lit(1), F.size("_line") - F.greatest(F.col("_need"), F.lit(2)) + 2)
+    product = F.struct("product_id", "product_name", "has_ids")
+    paired = (
+        known.withColumn("_first", first)
+        .select("input_text", "_need", "_line", "_first", F.posexplode("_first").alias("_at", "stem_a"))
+        .select("input_text", "_need", "_line", "stem_a", F.explode(F.slice(F.col("_first"), F.col("_at") + 2, F.size("_first"))).alias("stem_b"))
+        .join(index.overlap_pairs, ["stem_a", "stem_b"])
         .withColumn("_shared", F.size(F.array_intersect("stems", "_line")))
         .where(F.col("_shared") >= F.col("_need"))
+        .select("input_text", "_shared", product.alias("_product"))
+    )
+    single = (
+        known.where(F.col("_need") == 1)
+        .select("input_text", F.explode("_line").alias("stem"))
+        .join(index.overlap_single, "stem")
+        .select("input_text", F.lit(1).alias("_shared"), product.alias("_product"))
     )
-    best = F.min_by(
-        F.struct("product_id", "product_name", "has_ids"), F.struct(-F.col("_shared"), F.col("product_id"))
-    ).alias("_best")
+    best = F.min_by("_product", F.struct(-F.col("_shared"), F.col("_product.product_id"))).alias("_best")
     return (
-        scored.groupBy("input_text")
+        paired.unionByName(single)
+        .groupBy("input_text")
         .agg(best)
         .select("input_text", F.lit("product_token_contain").alias("method"), "_best.*")
     )
 
 
-def ocr_clean_hits(
-    texts: DataFrame, d: Dictionary, upper: bool = False, limit: int = V.CLEAN_MAX_INGREDIENTS
-) -> DataFrame:
+def ocr_clean_hits(texts: DataFrame, d: Known, upper: bool = False, limit: int = V.CLEAN_MAX_INGREDIENTS) -> DataFrame:
     """All ingredients sharing a stem of four or more characters, when there are at most ``limit``.
 
-    A stem that alone belongs to more than ``limit`` ingredients already rules its
-    lines out, so it joins as one marker row and its ingredients are never listed.
+    A stem that alone belongs to more than ``limit`` ingredients already rules its lines out, so it joins as one marker
+    row and its ingredients are never listed.  The index holds the default limit's listing; any other, of fewer, is made
+    from it.
     """
-    tokens = d.ingredient_tokens()
-    wide = (
-        tokens.select("token_stem", "ingredient_id").distinct().groupBy("token_stem").count()
-        .where(F.col("count") > limit)
-        .select("token_stem")
-    )
-    narrow = tokens.select("token_stem", "ingredient_id").distinct().join(wide, "token_stem", "left_anti")
-    listing = narrow.unionByName(wide.withColumn("ingredient_id", F.lit(None).cast("string")))
+    index = as_index(d)
+    listing = index.clean_stems
+    if limit != V.CLEAN_MAX_INGREDIENTS:
+        if limit > V.CLEAN_MAX_INGREDIENTS:
+            raise ValueError(f"the index lists at most {V.CLEAN_MAX_INGREDIENTS} ingredients a stem")
+        wide = listing.where("ingredient_id is null")
+        listing = clean_stem_table(listing.where("ingredient_id is not null"), limit).unionByName(wide)
     stems = F.array_distinct(F.transform(T.words("cleaned", 4), T.plural_stem))
     found = (
-        ocr_cleaned(texts, tokens, upper)
+        ocr_cleaned(texts, index.tokens, upper)
         .select("input_text", F.explode(stems).alias("token_stem"))
         .join(listing, "token_stem")
     )
@@ -363,77 +205,103 @@ def ocr_clean_hits(
 # --- CJK near match -----------------------------------------------------------------
 
 
-GRAM = 4
+#: Up to so many names of a half's rarest gram are verified one by one; for more, every needle finds its own rarest gram.
+HALF_NAMES = 256
 
 
-def _grams(text: Column, size: int) -> Column:
-    last = F.length(text) - size + 1
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def cjk_needles(texts: DataFrame) -> DataFrame:
-    """(input_text, needle): what a product name must contain for a near match."""
+def han_segments(texts: DataFrame) -> DataFrame:
+    """(input_text, segment): Han runs of three or more characters, and all Han text of the line."""
     cjk = T.extract_cjk("input_text")
     whole = F.filter(F.split(cjk, " "), lambda s: F.length(s) >= 3)
-    needles = F.array_distinct(F.flatten(F.transform(F.array_union(whole, F.array(cjk)), T.one_char_deletions)))
     return texts.where(T.has_cjk("input_text") & (F.length("input_text") >= 3)).select(
-        "input_text", F.explode(needles).alias("needle")
+        "input_text", F.explode(F.array_union(whole, F.array(cjk))).alias("segment")
     )
 
 
-def cjk_hits(texts: DataFrame, d: Dictionary, limit: int = V.CJK_MAX_PRODUCTS) -> DataFrame:
-    """Products whose CJK name contains a run of the line, one character may be missing.
+def _without(text: Column, i: Column) -> Column:
+    return F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
+
+
+def near_names(segments: DataFrame, names: DataFrame, gram_counts: DataFrame, limit: int) -> DataFrame:
+    """(segment, name columns): names that contain a segment with one character left out; segments are distinct.
 
-    Names are indexed by their grams of 0 to GRAM characters.  A needle of up to GRAM
-    characters is itself a gram; a longer one joins on its rarest gram of that size and
-    is then verified.  A needle found in more than ``limit`` products rules its line out, so
-    common grams are one marker row each.
+    A segment with more than ``limit`` products has one row without a product.  (A name that contains the whole segment
+    also contains it without its last character.)
+
+    Short segments: what is left after a deletion is a gram, and found as such.  In a longer one the character is missing
+    from one half, so the other half is whole: names are fetched by that half's rarest gram, then verified.  A segment
+    longer by two than all names with that gram is not looked for, so long runs cost no more than their grams.
     """
-    names = (
-        d.variants.where((F.col("target_type") == "product") & T.has_cjk("variant_text"))
-        .select(F.col("target_id").alias("product_id"), F.col("variant_text").alias("product_name"))
-        .distinct()
-        .join(d.named_products().select("product_id", "has_ids", "effective_start"), "product_id")
-    )
-    name = F.col("product_name")
-    sizes = [_grams(name, n) for n in range(1, GRAM + 1)]
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), *sizes))
-    indexed = names.withColumn("gram", F.explode(grams))
-    per_gram = indexed.groupBy("gram").agg(
-        F.count_distinct("product_id").alias("_products"), F.count(F.lit(1)).alias("_names")
-    )
-    needles = cjk_needles(texts)
-    distinct = needles.select("needle").distinct()
-    short = distinct.where(F.length("needle") <= GRAM).withColumnRenamed("needle", "gram")
-    short_counts = short.join(per_gram, "gram")
-    short_rows = (
-        short_counts.where(F.col("_products") <= limit)
-        .select("gram")
-        .join(indexed, "gram")
-        .withColumnRenamed("gram", "needle")
-    )
-    blank = {c: F.lit(None).cast(t) for c, t in names.dtypes}
-    short_over = short_counts.where(F.col("_products") > limit).select(F.col("gram").alias("needle")).withColumns(blank)
+    segment, size = F.col("segment"), F.length("segment")
+    row = names.drop("gram").columns
+    blank = {c: F.lit(None).cast(t) for c, t in names.drop("gram").dtypes}
+    places = lambda low, high: F.when(high >= low, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+    # short segments
+    short = segments.where(size <= GRAM + 1).select(
+        "segment", F.explode(F.array_distinct(F.transform(places(F.lit(1), size), lambda i: _without(segment, i)))).alias("gram")
+    ).join(gram_counts.select("gram", "n_products"), "gram")
+    short_rows = short.where(F.col("n_products") <= limit).select("segment", "gram").join(names, "gram").drop("gram")
+    short_over = short.where(F.col("n_products") > limit).select("segment").withColumns(blank)
+    # longer ones: (segment, side that is whole, its grams)
+    half = F.floor(size / 2).cast("int")
+    sides = segments.where(size > GRAM + 1).select(
+        "segment",
+        F.inline(
+            F.array(
+                F.struct(F.substr(segment, F.lit(1), half).alias("whole"), (half + 1).alias("low"), size.alias("high")),
+                F.struct(F.substr(segment, half + 1).alias("whole"), F.lit(1).alias("low"), half.alias("high")),
+            )
+        ),
+    )
+    length = F.least(F.lit(GRAM), F.length("whole"))
+    every = F.when(length == GRAM, grams(F.col("whole"), GRAM)).otherwise(grams(F.col("whole"), GRAM - 1))
     rarest = (
-        distinct.where(F.length("needle") > GRAM)
-        .select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-        .join(per_gram.select("gram", "_names"), "gram", "left")
-        .groupBy("needle")
-        .agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), F.col("gram"))).alias("_min"))
-        .select("needle", F.col("_min.gram").alias("gram"))
-    )
-    long_rows = rarest.join(indexed, "gram").where(F.contains("product_name", "needle")).drop("gram")
-    answers = short_rows.unionByName(short_over).unionByName(long_rows)
+        sides.select("segment", "low", "high", F.explode(F.array_distinct(every)).alias("gram"))
+        .join(gram_counts.select("gram", "n_names", "longest"), "gram", "left")
+        .groupBy("segment", "low", "high")
+        .agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n"), "gram", "longest")).alias("_min"))
+        .select("segment", "low", "high", "_min.*")
+        .where((F.col("n") > 0) & (size - 1 <= F.col("longest")))
+    )
+    near = F.exists(places(F.col("low"), F.col("high")), lambda i: F.contains("product_name", _without(segment, i)))
+    by_half = rarest.where(F.col("n") <= HALF_NAMES).select("segment", "low", "high", "gram").join(names, "gram").where(near).select("segment", *row)
+    needles = rarest.where(F.col("n") > HALF_NAMES).select(
+        "segment", F.explode(F.array_distinct(F.transform(places(F.col("low"), F.col("high")), lambda i: _without(segment, i)))).alias("needle")
+    )
+    by_needle = (
+        needles.select("segment", "needle", F.explode(F.array_distinct(grams(F.col("needle"), GRAM))).alias("gram"))
+        .join(gram_counts.select("gram", "n_names"), "gram", "left")
+        .groupBy("segment", "needle")
+        .agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n"), "gram")).alias("_min"))
+        .where(F.col("_min.n") > 0)
+        .select("segment", "needle", F.col("_min.gram").alias("gram"))
+        .join(names, "gram")
+        .where(F.contains("product_name", "needle"))
+        .select("segment", *row)
+    )
+    found = by_half.unionByName(by_needle)
+    n = found.groupBy("segment").agg(F.count_distinct("product_id").alias("_n"))
+    kept = found.join(n.where(F.col("_n") <= limit).select("segment"), "segment")
+    over = n.where(F.col("_n") > limit).select("segment").withColumns(blank)
+    return short_rows.unionByName(short_over).unionByName(kept).unionByName(over)
+
+
+def cjk_hits(texts: DataFrame, d: Known, limit: int = V.CJK_MAX_PRODUCTS) -> DataFrame:
+    """Products whose CJK name contains a run of the line, one character may be missing.
+
+    A run found in more than ``limit`` products, or runs found in more together, rule the line out.
+    """
+    index = as_index(d)
+    segments = han_segments(texts)
+    answers = near_names(segments.select("segment").distinct(), index.han_names, index.han_grams, limit)
     product = F.struct("product_id", "product_name", "has_ids")
     return (
-        needles.join(answers, "needle")
+        segments.join(answers, "segment")
         .groupBy("input_text")
         .agg(
             F.count_distinct("product_id").alias("_n"),
             F.max(F.col("product_id").isNull()).alias("_over"),
-            F.min_by(product, _newest_first("product_id", "product_name")).alias("_best"),
+            F.min_by(product, newest_first("product_id", "product_name")).alias("_best"),
         )
         .where(~F.col("_over") & (F.col("_n") <= limit))
         .select("input_text", F.lit("cjk_fuzzy").alias("method"), "_best.*")
@@ -450,7 +318,8 @@ def _as_hit(df: DataFrame) -> DataFrame:
     )
 
 
-def all_hits(texts: DataFrame, d: Dictionary, upper: bool = False, normalize_han: bool = False) -> DataFrame:
+def all_hits(texts: DataFrame, d: Known, upper: bool = False, normalize_han: bool = False) -> DataFrame:
+    d = as_index(d)
     passes = (
         exact_hits(texts, d, normalize_han),
         ingredient_token_hits(texts, d),
@@ -514,16 +383,14 @@ def resolve_texts(hits: DataFrame, ids_policy: str = "mixed") -> DataFrame:
     ).withColumn("confidence", confidence)
 
 
-def match_texts(texts: DataFrame, d: Dictionary, ids_policy: str = "mixed", **options) -> DataFrame:
+def match_texts(texts: DataFrame, d: Known, ids_policy: str = "mixed", **options) -> DataFrame:
     """Matched texts, one row per ingredient (one row without ingredient if there is none)."""
+    d = as_index(d)
     resolved = resolve_texts(all_hits(texts, d, **options), ids_policy)
-    owned = d.product_ingredients.select(
-        F.col("product_code").alias("_ids_product"), F.col("ingredient_id").alias("_owned")
-    ).distinct()
+    owned = d.owned.select(F.col("product_code").alias("_ids_product"), F.col("ingredient_id").alias("_owned"))
     ids = F.when(F.col("_owned").isNotNull(), F.array("_owned")).otherwise(F.col("_direct"))
     listed = left_lookup(resolved, owned, "_ids_product", "input_text").withColumn("ingredient_id", F.explode_outer(ids))
-    names = d.concepts.select("ingredient_id", "canonical_name")
-    return listed.join(names, "ingredient_id", "left").select(
+    return listed.join(d.concept_names, "ingredient_id", "left").select(
         "input_text",
         F.col("_method").alias("match_method"),
         "confidence",
@@ -534,13 +401,15 @@ def match_texts(texts: DataFrame, d: Dictionary, ids_policy: str = "mixed", **op
     )
 
 
-def match_lines(lines: DataFrame, d: Dictionary, ids_policy: str = "mixed", **options) -> DataFrame:
-    """Every input line with its match rows; unmatched lines stay as one row.
+def match_lines(
+    lines: DataFrame, d: Known, ids_policy: str = "mixed", store: Callable[[DataFrame], DataFrame] = checkpointed, **options
+) -> DataFrame:
+    """Every input line with its match rows; unmatched lines stay as one row.  ``store`` keeps the distinct texts.
 
     The join back to the lines is an equi join on the text whose other side has only a
     few rows per text; adaptive skew handling splits a text repeated in many lines.
     """
-    texts = checkpointed(distinct_texts(lines))  # read by every pass
+    texts = store(distinct_texts(lines))  # read by every pass
     matched = match_texts(texts, d, ids_policy, **options)
     return lines.join(matched, "input_text", "left").withColumn(
         "match_status", F.when(F.col("match_method").isNotNull(), "matched").otherwise("unmatched")
@@ -563,31 +432,12 @@ def token_splits(stems: DataFrame, stem_col: str, known_stems: DataFrame) -> Dat
     )
 
 
-def _variant_names(d: Dictionary) -> DataFrame:
-    """Distinct stem sets of single product names with the smallest product of each."""
-    products = d.named_products()
-    sets = (
-        products.select(
-            "product_id",
-            "product_name",
-            F.explode(F.array(T.normalize_text("name_zh"), T.normalize_text("name_en"))).alias("_name"),
-        )
-        .withColumn("stems", F.array_sort(T.word_stems("_name")))
-        .where(F.size("stems") > 0)
-    )
-    return (
-        sets.groupBy("stems")
-        .agg(F.min("product_id").alias("product_id"), F.max("product_id").alias("_hi"), F.min("product_name").alias("product_name"))
-        .withColumn("_id", F.array_join("stems", " "))
-    )
-
-
-def product_token_hits(texts: DataFrame, d: Dictionary, split_words: bool = False) -> DataFrame:
+def product_token_hits(texts: DataFrame, d: Known, split_words: bool = False) -> DataFrame:
     """Texts covering all words of exactly one product's name; optionally glued words are cut first."""
     lines = texts.withColumn("_stems", T.word_stems(T.normalize_text_sql("input_text")))
-    names = _variant_names(d)
+    index = as_index(d)
     if split_words:
-        known = names.select(F.explode("stems").alias("token_stem"))
+        known = index.product_sets.select(F.explode("stems").alias("token_stem"))
         halves = token_splits(lines.select(F.explode("_stems").alias("stem")), "stem", known)
         extra = (
             lines.select("input_text", F.explode("_stems").alias("stem"))
@@ -598,12 +448,12 @@ def product_token_hits(texts: DataFrame, d: Dictionary, split_words: bool = Fals
         lines = lines.join(extra, "input_text", "left").withColumn(
             "_stems", F.when(F.col("_extra").isNotNull(), F.array_union("_stems", "_extra")).otherwise(F.col("_stems"))
         )
-    covered = covered_names(lines.select("input_text", "_stems"), F.col("_stems"), names)
+    covered = covered_names(lines.select("input_text", "_stems"), F.col("_stems"), index.product_sets, index.product_partners)
     return (
         covered.groupBy("input_text")
         .agg(
             F.min("product_id").alias("product_id"),
-            F.max("_hi").alias("_hi"),
+            F.max("last_product_id").alias("_hi"),
             F.min("product_name").alias("product_name"),
         )
         .where(F.col("product_id") == F.col("_hi"))
@@ -691,9 +541,10 @@ def pharma_stems(words: DataFrame, word_col: str, tokens: DataFrame) -> DataFram
     )
 
 
-def strict_clean_hits(texts: DataFrame, d: Dictionary) -> DataFrame:
+def strict_clean_hits(texts: DataFrame, d: Known) -> DataFrame:
     """Full token coverage by the cleaned text, plain or pharma stems, one signature."""
-    tokens = d.ingredient_tokens()
+    index = as_index(d)
+    tokens = index.tokens
     cleaned = ocr_cleaned(texts, tokens).select("input_text", F.array_distinct(T.words("cleaned")).alias("_words"))
     exploded = cleaned.select("input_text", F.explode("_words").alias("word"))
     stemmed = exploded.join(pharma_stems(exploded, "word", tokens), "word").groupBy("input_text").agg(
@@ -701,11 +552,11 @@ def strict_clean_hits(texts: DataFrame, d: Dictionary) -> DataFrame:
             F.collect_set(T.plural_stem("word")), F.collect_set("pharma_stem")
         ).alias("_stems")
     )
-    covered = covered_names(stemmed, F.col("_stems"), ingredient_names(d))
+    covered = covered_names(stemmed, F.col("_stems"), index.ingredient_sets, index.ingredient_partners)
     return _one_signature(covered, "ocr_clean_strict").withColumn("confidence", F.lit(0.75))
 
 
-def single_clean_hits(texts: DataFrame, d: Dictionary) -> DataFrame:
+def single_clean_hits(texts: DataFrame, d: Known) -> DataFrame:
     """Clean-up pass that accepts a line only when exactly one ingredient is found."""
     return ocr_clean_hits(texts, d, limit=1)
 
@@ -740,8 +591,6 @@ def match_brands(lines: DataFrame, d: Dictionary, key: str = "ocr", alias_key: s
 
     names = products if upper else with_name_keys(products)
     if upper:
-        from medlink.functions.ocr_text import strip_dosage_tail
-
         side = lambda c: T.normalize_text_sql(strip_dosage_tail(F.coalesce(c, F.lit(""))))
         names = products.withColumns({"ocr_key_en": side("name_en"), "ocr_key_zh": side("name_zh")})
         text_key = T.normalize_text_sql(strip_dosage_tail("input_text"))

@@ -34,7 +34,7 @@ def write_small_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(fs.makeQualified(side), fs.makeQualified(target), options)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
     fs.delete(target, True)
 
@@ -88,7 +88,7 @@ def write_batch(
     target, side = f"{path}/import_batch_id={batch_id}", f"{path}/_unnumbered-{batch_id}"
     df.write.mode("overwrite").parquet(side)
     with_row_numbers(spark.read.parquet(side)).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(target)
-    _delete(spark, side)
+    delete_folder(spark, side)
     rows = spark.read.parquet(target).count()
     record = spark.createDataFrame(
         [(source_name, source_version, imported_at, rows, notes)],

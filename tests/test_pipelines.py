@@ -203,6 +203,20 @@ def test_case_evaluation(spark):
     assert counts == {1: (2, 1, 1, "interactions"), 2: (0, 1, 0, "incomplete")}
 
 
+def test_equal_positions_name_the_smaller_code(spark):
+    """Several products of a case at one position: the answer doesn't depend on the order of rows."""
+    codes = [("k1", c, 3) for c in ("P9", "P10", "P2")] + [("k1", "P1", 4), ("k2", "P9", 1)]
+    owned = spark.createDataFrame([(c, "i1") for c in ("P9", "P10", "P2", "P1")], "product_code string, ingredient_id string")
+    ids = spark.createDataFrame([("k1", "i1"), ("k2", "i2"), ("k3", "i1")], "case_id string, ingredient_id string")
+    texts = spark.createDataFrame([], "case_id string, raw_text string")
+    concepts = spark.createDataFrame([], "ingredient_id string, canonical_name string")
+    pairs = spark.createDataFrame([], "ingredient_a string, ingredient_b string, severity string")
+    for rows in (codes, codes[::-1]):
+        df = spark.createDataFrame(rows, "case_id string, product_code string, position int").coalesce(1)
+        got = D.evaluate_cases(df, ids, texts, owned, concepts, pairs)["unchecked"].collect()
+        assert {(r["case_id"], r["raw_text"], r["product_code"]) for r in got} == {("k1", "i1", "P10"), ("k2", "i1", "P9"), ("k2", "i2", None), ("k3", "i1", None)}
+
+
 def test_name_prefix_and_base(spark):
     concepts = spark.createDataFrame([("1", "ASPIRIN"), ("2", "ASPIRIN 100 MG"), ("3", "ACARBOSE 50 MG")], "ingredient_id string, canonical_name string")
     names = spark.createDataFrame([("asp",), ("Acarbose 50",), ("zz",)], "name string")
@@ -310,14 +324,108 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from medlink.streaming.lines import match_stream
-
-    line_rows(spark).write.parquet(f"{tmp_path}/in")
+    """Two releases, batches of one file: each batch reads the current index and equals the batch operators."""
+    from medlink.operators.match_index import Dictionary, store_index
+    from medlink.streaming.lines import Evaluation, evaluate_matches, match_stream
+
+    full, root = dictionary(spark).materialised(), f"{tmp_path}/index"
+    poor = Dictionary(full.products.limit(0), full.concepts.where("canonical_name = 'OMEPRAZOLE'"), full.product_ingredients.limit(0), full.variants.limit(0))
+    ids = sorted(r["ingredient_id"] for r in full.concepts.where("canonical_name in ('OMEPRAZOLE', 'ACARBOSE')").collect())
+    pairs = spark.createDataFrame([(*ids, "major")], "ingredient_a string, ingredient_b string, severity string")
+    known = Evaluation(full.product_ingredients, full.concepts, pairs)
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("case_id long, input_index int, input_text string").parquet(f"{tmp_path}/in")
-    query = match_stream(stream, dictionary(spark).materialised(), f"{tmp_path}/out", f"{tmp_path}/chk", available_now=True)
-    query.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert got.select("case_id", "input_index").distinct().count() == len(GOLDEN) + 1
+    for release, d in (("one", poor), ("two", full)):
+        store_index(d, root, release)
+        line_rows(spark).withColumn("case_id", F.col("case_id") + (10 if release == "two" else 0)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = match_stream(stream, root, f"{tmp_path}/out", f"{tmp_path}/chk", known, available_now=True)
+        query.awaitTermination()
+        assert query.exception() is None
+    got = spark.read.parquet(f"{tmp_path}/out/matches")
+    assert got.select("case_id", "input_index").distinct().count() == 2 * (len(GOLDEN) + 1)
+    columns = ["case_id", "input_text", "match_method", "product_id", "ingredient_id"]
+
+    def plain(df, names):
+        return sorted(map(str, df.select(*names).collect()))
+
+    first, second = got.where("case_id < 10"), got.where("case_id > 10")
+    assert plain(first, columns) == plain(M.match_lines(line_rows(spark), poor), columns)
+    later = line_rows(spark).withColumn("case_id", F.col("case_id") + 10)
+    assert plain(second, columns) == plain(M.match_lines(later, full), columns)
+    want = evaluate_matches(M.match_lines(later, full), known)
+    for name, df in want.items():
+        assert plain(spark.read.parquet(f"{tmp_path}/out/{name}").where("case_id > 10"), df.columns) == plain(df, df.columns), name
+    assert plain(want["interactions"], ["case_id", "severity"]) == ["Row(case_id=11, severity='major')"]
+    assert not list((tmp_path / "out" / "_texts").iterdir())
+
+
+def names_of(spark, products):
+    """A dictionary whose products have the given (English, Han) names; ingredients are the English names."""
+    rows = [(f"P{i:05}", en, zh) for i, (en, zh) in enumerate(products)]
+    p = spark.createDataFrame(rows, "product_code string, name_en string, name_zh string").withColumn("effective_start", F.lit("2020-01-01").cast("date"))
+    mentions = p.where("name_en is not null").select("product_code", F.col("name_en").alias("mention"), F.lit("nhi").alias("source"))
+    own = C.name_variants(p, mentions.limit(0)).select("target_type", "target_id", "variant_text", "normalized_text")
+    return M.Dictionary(p, C.build_concepts(mentions), C.product_ingredients(mentions), own)
+
+
+def test_word_pairs_against_every_name(spark):
+    """Names of common words: covering and sharing by pairs of rarest words equal a comparison with every name."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    common, rare = [f"COMMON{i}X" for i in range(5)], [f"RARE{i}X" for i in range(60)]
+
+    def name():
+        return " ".join(dict.fromkeys(rng.choices(common, k=rng.randint(0, 4)) + rng.choices(rare, k=rng.choice([0, 0, 1, 2])))) or "COMMON0X"
+
+    products = [(name(), None) for _ in range(300)] + [("SOLO", None), ("COMMON0X COMMON1X", None)]
+    d = names_of(spark, products).materialised()
+    texts = [" ".join(rng.choices(common + rare, k=rng.randint(1, 9))) for _ in range(60)] + ["SOLO", "solo zz", "zz", " ".join(rare + common)]
+    frame = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "input_text string")
+    sets = [(f"P{i:05}", set(en.split())) for i, (en, _) in enumerate(products)]
+    got = {r["input_text"]: r["product_id"] for r in M.product_contain_hits(frame, d).collect()}
+    covered = {r["input_text"]: r["product_id"] for r in M.product_token_hits(frame, d).collect()}
+    for text in dict.fromkeys(texts):
+        words = text.upper().split()
+        need = math.ceil(0.6 * len(words))
+        ranked = sorted((-len(s & set(words)), p) for p, s in sets if len(s & set(words)) >= need)
+        assert got.get(text) == (ranked[0][1] if ranked else None), text
+        inside = {p for p, s in sets if s <= set(words)}
+        assert covered.get(text) == (inside.pop() if len(inside) == 1 else None), text
+    names = {r["input_text"]: r["canonical_name"] for r in M.ingredient_token_hits(frame, d).join(d.concepts, "ingredient_id").collect()}
+    for text in dict.fromkeys(texts):
+        inside = {frozenset(s) for _, s in sets if s <= set(text.upper().split())}
+        assert (text in names) == (len(inside) == 1), text
+
+
+def test_han_runs_against_every_name(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    signs = "藥糖錠膠囊膜衣止痛平"
+    tail = "長效緩釋膜衣錠"  # a third of the names end alike
+    products = [(None, "".join(rng.choices(signs, k=rng.randint(1, 9))) + (tail if i % 3 == 0 else "")) for i in range(150)]
+    d = names_of(spark, products).materialised()
+    whole = [n for _, n in rng.sample(products, 30)]
+    texts = [n[: (k := rng.randrange(len(n) + 1))] + rng.choice(["", signs[0], "倍"]) + n[k:] for n in whole]
+    texts += ["x " + t[:4] + " 5mg " + t[4:] for t in texts[:10]] + ["藥 ab", "糖糖糖", "abc", "藥" * 5000, "".join(rng.choices(signs, k=3000)), tail + "x"]
+    frame = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "input_text string")
+
+    def needles(text):
+        runs = "".join(c if "一" <= c <= "鿿" else " " for c in text).split()
+        for run in {r for r in runs if len(r) >= 3} | {" ".join(runs)}:
+            if len(run) < 40:
+                yield from {run} | {run[:i] + run[i + 1 :] for i in range(len(run))}
+
+    for many in (256, 5):
+        monkeypatch.setattr(M, "HALF_NAMES", many)
+        got = {r["input_text"]: r["product_id"] for r in M.cjk_hits(frame, d).collect()}
+        for text in dict.fromkeys(texts):
+            found = set()
+            if any("一" <= c <= "鿿" for c in text) and len(text) >= 3:
+                found = {f"P{i:05}" for i, (_, n) in enumerate(products) for x in needles(text) if x in n}
+            assert got.get(text) == (min(found) if 0 < len(found) <= 3 else None), (text[:40], many)
 
 
 def test_search_limits_keep_the_best(spark):
