@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership.
 
 A classifier fitted on a labelled table gives every document a probability for each domain. Nonnegative document rates are
-then fitted by projected-gradient least squares, so that the expected tokens of each domain match its target.
+then fitted by distributed projected-gradient least squares, so that the expected tokens of each domain match its target.
 """
 
 from __future__ import annotations
@@ -22,8 +22,13 @@ from medlink.llm.quality_mil import SPACES, labelled_sample
 SAMPLE_DOCS = 4000
 BUCKETS = 1 << 18
 EPOCHS, RATE, DECAY, LEAST_DOCS = 100, 0.05, 3e-5, 20
-#: The fit of the rates ends when no domain misses its target by more than this share of all tokens.
-TOLERANCE, MAX_STEPS = 1e-5, 60
+#: The fit of the rates ends when no domain misses its target by more than this share of the tokens, or when a pass takes
+#: less than the second number off the squared misfit, as a share of it: then it is stationary.
+TOLERANCE, STATIONARY = 1e-5, 1e-5
+#: Multiples of a gradient step that one pass tries.
+PARTS = (8.0, 2.0, 1.0, 0.5, 0.25, 2.0**-4, 2.0**-7, 2.0**-12)
+#: Multiples of a plain gradient step over the largest curvature, for where those gain little: a short one always gets nearer.
+PLAIN = (256.0, 64.0, 16.0, 4.0, 1.0)
 
 
 def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,61 +154,21 @@ def membership(model: DomainModel, text: Column) -> Column:
     return F.arrow_udf(run, "n_tokens long, posteriors array<double>").asNondeterministic()(text.cast("string"))
 
 
-def rates_of(posteriors: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after the given steps: 1 for every document, then each gradient step, and back to 0 where it is below."""
-    rate = np.ones(len(posteriors))
-    for step in steps:
-        rate = np.maximum(0.0, rate + posteriors @ step)
-    return rate
+def blocked(rate: np.ndarray, pull: np.ndarray, top: float) -> np.ndarray:
+    """Rates at a bound that the gradient pulls beyond it."""
+    return (rate <= 0) & (pull <= 0) | (rate >= top) & (pull >= 0)
 
 
-def fit_rates(members: DataFrame, targets: list[float], total: float | None = None, tolerance: float = TOLERANCE) -> np.ndarray:
-    """MAX_STEPS plain projected-gradient steps at most, whatever is still missed then (fit_targets goes to the end); members: n_tokens, posteriors.
+def rates_of(posteriors: np.ndarray, steps: np.ndarray, largest: float | None = None) -> np.ndarray:
+    """Rates after the given steps, pairs of a move and the misfit it was made for, (n, 2, domains).
 
-    It minimises the misfit of sum(rate * n_tokens * posteriors) to the targets' shares of ``total`` (all tokens, if not
-    given) over rates >= 0. The misfit is weighed by the inverse of G = sum(n_tokens * p * p'), and a document's rate by
-    its tokens, so a full step is safe and moves rates by p' inv(G) misfit. A rate is a function of the posteriors and the
-    steps so far, so a pass sends one small sum from each task, and the driver keeps the steps: domains numbers each.
+    The start is 1 for every document. A step moves the rates that aren't blocked, and puts them back into the bounds.
     """
-    k = len(targets)
-
-    def gram(batches):
-        out = np.zeros((k, k))
-        for batch in batches:
-            n, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k)
-            out += (p * n[:, None]).T @ p
-        yield _sums(out.ravel())
-
-    def weigh(steps: np.ndarray):
-        def run(batches):
-            out = np.zeros(k)
-            for batch in batches:
-                n, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k)
-                out += (rates_of(p, steps) * n) @ p
-            yield _sums(out)
-
-        return run
-
-    rows = members.select(F.col("n_tokens").cast("double"), "posteriors")
-
-    def total_of(run, size: int) -> np.ndarray:
-        found = rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(size)
-        for r in found:
-            out[r["at"]] = r["value"]
-        return out
-
-    g = total_of(gram, k * k).reshape(k, k)
-    everything = g.sum()
-    wanted = np.array(targets, float) / sum(targets) * (everything if total is None else total)
-    steps = np.zeros((0, k))
-    inverse = np.linalg.pinv(g, rcond=1e-10)
-    for _ in range(MAX_STEPS if everything > 0 else 0):
-        misfit = wanted - total_of(weigh(steps), k)
-        if np.abs(misfit).max() <= tolerance * wanted.sum():
-            break
-        steps = np.vstack([steps, inverse @ misfit])
-    return steps
+    top = np.inf if largest is None else largest
+    rate = np.ones(len(posteriors))
+    for move, misfit in steps:
+        rate = np.where(blocked(rate, posteriors @ misfit, top), rate, np.clip(rate + posteriors @ move, 0.0, top))
+    return rate
 
 
 def _sums(values: np.ndarray) -> pa.RecordBatch:
@@ -212,104 +177,119 @@ def _sums(values: np.ndarray) -> pa.RecordBatch:
 
 @dataclass
 class Fit:
-    """steps: for rates_of and with_rates; misfit: the largest miss of a target, as a share of the tokens taken; kept: tokens taken for each token."""
+    """steps: for rates_of and with_rates; misfit: the largest miss of a target, as a share of the tokens; kept: tokens taken for each token."""
 
     steps: np.ndarray
     misfit: float
     kept: float
 
 
-#: Parts of a step that one pass tries; passes without a tenth less misfit after which it counts as stationary.
-PARTS, PATIENCE = (2.0, 1.0, 0.5, 0.25, 2.0**-4, 2.0**-6, 2.0**-10, 2.0**-16), 8
-
-
-def fit_targets(
+def fit_rates(
     members: DataFrame, targets: list[float], total: float | None = None, largest: float | None = None, tolerance: float = TOLERANCE
 ) -> Fit:
-    """Least squares to the end: the rates nearest to 1 (squares weighed by n_tokens) that meet the targets; members as in fit_rates.
-
-    Without ``largest``, over rates >= 0, the targets being shares of ``total`` as in fit_rates. With it, over rates from 0
-    to ``largest``, the targets being shares of whatever is taken, so only documents of domains with too much are thinned.
-
-    The rates are 1 + p' step, cut to their bounds, with one step for all documents. The step is summed from gradient
-    steps in the metric of the documents whose rate lies within its bounds, so those at a bound don't shorten it. A pass
-    tries several parts of a step and sends one small sum from each task. It ends at the tolerance, or at a misfit that
-    no longer falls: then the targets are out of reach, which is said in a warning and in the result.
+    """Projected-gradient least squares for the documents' rates; members: n_tokens, posteriors.
+
+    It minimises the squares of sum(rate * n_tokens * posteriors) less the targets' shares of ``total`` (all tokens, if
+    not given) over rates >= 0. With ``largest``, over rates from 0 to ``largest``, and the targets are shares of whatever
+    is taken, so that only documents of domains with too much are thinned: then projection is lazy, that is, steps add up
+    before rates are cut to their bounds, which leads to the rates nearest to the start. The start is a rate of 1 for all.
+
+    The gradient of a document's rate is its tokens times p' misfit. Documents that it pulls beyond a bound are blocked and
+    stay. The others move in the metric of tokens, and for the domains of G = sum(n_tokens * p * p') over them alone, so
+    blocked ones don't shorten the step; rates then go back into their bounds. A rate is a function of the posteriors and the steps so far, so a
+    pass tries several multiples of a step, and of one without the metric of the domains, sends one small sum from each task, and the driver keeps the steps: domains
+    numbers each. It ends at the tolerance, or where the misfit is stationary: then the targets are out of reach, which is
+    said in a warning and in the result.
     """
     k = len(targets)
     share = np.array(targets, float) / sum(targets)
-    shift, top = (0.0, np.inf) if largest is None else (share, float(largest))
+    shift, top = (np.zeros(k), np.inf) if largest is None else (share, float(largest))
     rows = members.select(F.col("n_tokens").cast("double"), "posteriors")
 
-    def sums_at(points: np.ndarray) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
-        """At each point: the convex objective without its linear part, tokens taken, these by domain, and the metric."""
+    def sums_at(steps: np.ndarray, moves: np.ndarray, misfit: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """After the steps and each of the moves: tokens taken, these by domain (less their due share), and G."""
 
         def run(batches):
-            out = np.zeros((len(points), 2 + k + k * k))
+            out = np.zeros((len(moves), 1 + k + k * k))
             for batch in batches:
-                n, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k) - shift
-                x = 1 + p @ points.T
-                rate = np.clip(x, 0, top)
-                out[:, 0] += n @ (rate * (x - rate / 2))
-                out[:, 1] += n @ rate
-                out[:, 2 : 2 + k] += (rate * n[:, None]).T @ p
-                for at, free in enumerate(((x > 0) & (x <= top)).T):
-                    out[at, 2 + k :] += ((p[free] * n[free, None]).T @ p[free]).ravel()
+                n, p = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k)
+                p = p - shift
+                pull = p @ misfit
+                if largest is None:
+                    base = rates_of(p, steps, top)
+                    held = blocked(base, pull, top)
+                else:
+                    base, held = 1 + p @ steps[:, 0].sum(axis=0), False
+                for at, move in enumerate(moves):
+                    point = base + p @ move
+                    rate = np.where(held, base, np.clip(point, 0, top))
+                    free = ~blocked(rate, pull, top) if largest is None else (point > 0) & (point <= top)
+                    out[at, 0] += n @ rate
+                    out[at, 1 : 1 + k] += (rate * n) @ p
+                    out[at, 1 + k :] += ((p[free] * n[free, None]).T @ p[free]).ravel()
             yield _sums(out.ravel())
 
         found = rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(len(points) * (2 + k + k * k))
+        out = np.zeros(len(moves) * (1 + k + k * k))
         for r in found:
             out[r["at"]] = r["value"]
-        return [(o[0], o[1], o[2 : 2 + k], o[2 + k :].reshape(k, k)) for o in out.reshape(len(points), -1)]
+        return [(o[0], o[1 : 1 + k], o[1 + k :].reshape(k, k)) for o in out.reshape(len(moves), -1)]
 
-    step = np.zeros(k)
-    state = sums_at(step[None])[0]
-    everything = state[1]
+    steps, still = np.zeros((0, 2, k)), np.zeros((1, k))
+    state = sums_at(steps, still, np.zeros(k))[0]
+    everything = state[0]
     if everything <= 0:
-        return Fit(np.zeros((0, k)), 0.0, 0.0)
+        return Fit(steps, 0.0, 0.0)
     wanted = share * (everything if total is None else total) if largest is None else np.zeros(k)
-    # Directions in which the documents differ at all, at unit length in the metric of all documents.
-    length, axes = np.linalg.eigh(state[3])
-    axes = axes[:, length > 1e-10 * length.max()] / np.sqrt(length[length > 1e-10 * length.max()])
+    state = sums_at(steps, still, wanted - state[1])[0]  # now with what is free to move
 
     def missed(s) -> float:
-        return float(np.abs(wanted - s[2]).max() / max(1e-300, s[1] if largest is not None else wanted.sum()))
-
-    best, waited = (missed(state), step, state[1]), 0
-    mark = best[0]
-    while best[0] > tolerance and waited < PATIENCE and axes.shape[1]:
-        metric = axes.T @ state[3] @ axes + 1e-8 * np.eye(axes.shape[1])
-        move = axes @ np.linalg.solve(metric, axes.T @ (wanted - state[2]))
-        points = step + np.array(PARTS)[:, None] * move
-        states = sums_at(points)
-        value = [s[0] - wanted @ x for s, x in zip(states, points)]
-        at = min(range(len(points)), key=lambda i: missed(states[i]))
-        if missed(states[at]) > missed(state) / 2 or value[at] > state[0] - wanted @ step:
-            at = int(np.argmin(value))
-        step, state = points[at], states[at]
-        best = min(best, (missed(state), step, state[1]), key=lambda x: x[0])
-        waited = 0 if best[0] < 0.9 * mark else waited + 1
-        mark = best[0] if waited == 0 else mark
-    fit = Fit((best[1] - shift @ best[1] if largest is not None else best[1])[None], best[0], best[2] / everything)
+        return float(np.abs(wanted - s[1]).max() / max(1e-300, s[0] if largest is not None else wanted.sum()))
+
+    def squares(s) -> float:
+        return float(((wanted - s[1]) ** 2).sum())
+
+    while missed(state) > tolerance:
+        misfit = wanted - state[1]
+        move = np.linalg.pinv(state[2], rcond=1e-10, hermitian=True) @ misfit
+        steepest = misfit / max(1e-300, np.linalg.eigvalsh(state[2]).max())
+        moves = np.concatenate([np.array(PARTS)[:, None] * move, np.array(PLAIN)[:, None] * steepest])
+        states = sums_at(steps, moves, misfit)
+        at = min(range(len(PARTS)), key=lambda i: squares(states[i]))
+        if squares(states[at]) > 0.9 * squares(state):
+            at = min(range(len(states)), key=lambda i: squares(states[i]))
+        if not squares(states[at]) < (1 - STATIONARY) * squares(state):
+            break
+        steps, state = np.concatenate([steps, [[moves[at], misfit]]]), states[at]
+    if largest is not None and len(steps):
+        steps = np.repeat(steps[:, :1].sum(axis=0)[None], 2, axis=1)  # one step for all; who it pulls up stays at the top
+    # posteriors add up to 1, so what was taken off them can be taken off the steps
+    fit = Fit(steps - (steps @ shift)[..., None], missed(state), state[0] / everything)
     if fit.misfit > tolerance:
-        warnings.warn(f"the targets are out of reach: one is missed by {fit.misfit:.3g} of the tokens taken ({fit.kept:.3g} of all)", stacklevel=2)
+        warnings.warn(f"the targets are out of reach: one is missed by {fit.misfit:.3g} of the tokens ({fit.kept:.3g} of all are taken)", stacklevel=2)
     return fit
 
 
 def with_rates(members: DataFrame, steps: np.ndarray, largest: float | None = None) -> DataFrame:
     """Add rate (see rates_of, here as an expression) and copies. copies: the rate, rounded up with a chance (a hash of the id) that makes its mean the rate.
 
-    With ``largest``, larger rates are cut to it, as fit_targets expects.
+    ``largest`` as in fit_rates.
     """
+    top = F.lit(float("inf") if largest is None else float(largest))
+
+    def along(step: Column) -> Column:
+        products = F.zip_with("posteriors", step, lambda p, d: p * d)
+        return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
 
     def taken(rate: Column, step: Column) -> Column:
-        moves = F.zip_with("posteriors", step, lambda p, d: p * d)
-        return F.greatest(F.lit(0.0), rate + F.aggregate(moves, F.lit(0.0), lambda total, move: total + move))
+        pull = along(step["misfit"])
+        held = (rate <= 0) & (pull <= 0) | (rate >= top) & (pull >= 0)
+        return F.when(held, rate).otherwise(F.least(top, F.greatest(F.lit(0.0), rate + along(step["move"]))))
 
-    history = F.array(*[F.array(*[F.lit(float(d)) for d in step]) for step in steps]) if len(steps) else None
+    numbers = lambda row: F.array(*[F.lit(float(d)) for d in row])
+    history = F.array(*[F.struct(numbers(m).alias("move"), numbers(e).alias("misfit")) for m, e in steps]) if len(steps) else None
     rate = F.lit(1.0) if history is None else F.aggregate(history, F.lit(1.0), taken)
-    members = members.withColumn("rate", rate if largest is None else F.least(rate, F.lit(float(largest))))
+    members = members.withColumn("rate", rate)
     whole = F.floor("rate")
     return members.withColumn(
         "copies", (whole + (uniform(F.col("doc_id"), F.lit("copies")) < F.col("rate") - whole).cast("int")).cast("int")
@@ -326,15 +306,17 @@ def mix_documents(
     total: float | None = None,
     largest: float | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens, posteriors (in the targets' order), rate and copies.
+    """One row per document: doc_id, n_tokens, posteriors (in the targets' order), rate, copies and misfit.
 
-    ``store`` writes a table that is read many times. Null and empty texts have no tokens and the rate of their
+    misfit: the largest miss of a target by the fitted rates, as a share of the tokens (see fit_rates), the same in every
+    row; more than TOLERANCE where the targets are out of reach. ``store`` writes a table that is read many times. Null and empty texts have no tokens and the rate of their
     posteriors; repeated rows of an id get the same number of copies; an empty table gives no row.
     """
     model = train(docs, labelled, list(targets), doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), membership(model, F.col(text)).alias("m"))
     members = store(rows.select("doc_id", F.col("m.n_tokens").alias("n_tokens"), F.col("m.posteriors").alias("posteriors")))
-    return with_rates(members, fit_targets(members, list(targets.values()), total, largest).steps, largest)
+    fit = fit_rates(members, list(targets.values()), total, largest)
+    return with_rates(members, fit.steps, largest).withColumn("misfit", F.lit(fit.misfit))
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:

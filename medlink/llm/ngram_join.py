@@ -61,7 +61,7 @@ def _key(grams: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (of the n-gram set; null without one), n_grams and the band hashes of each document."""
+    """doc_id, mark (a hash of the text), key (of the n-gram set; null without one), n_grams and bands of each document."""
 
     def sign(batches):
         for batch in batches:
@@ -76,6 +76,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(at, len(block)),
+                        "mark": batch.column(2).slice(at, len(block)),
                         "key": pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
                         "n_grams": pa.array([len(s) for s in sets], pa.int64()),
                         "bands": pa.array(lists, pa.list_(pa.int64())),
@@ -83,14 +84,22 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows
                 )
                 at += len(block)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(
-        sign, "doc_id long, key binary, n_grams long, bands array<long>"
+    return marked(docs, doc_id, text).select("doc_id", "text", "mark").mapInArrow(
+        sign, "doc_id long, mark long, key binary, n_grams long, bands array<long>"
     )
 
 
+def marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text and mark: id and mark tell rows of different texts apart, also where they share an id."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("mark", F.xxhash64("text"))
+
+
 def components(members: DataFrame, name: str) -> DataFrame:
     """Connected components of a bipartite graph: members(key, rep, bucket) to (key, label), label the least rep.
 
+    Every key has a rep of its own, a struct of its least doc_id and itself, so keys that share a doc_id stay apart.
+
     Each round takes the least label over each bucket, over each key, and then the label's own label, so the distance
     covered about doubles; it ends when no label changes. All steps are aggregates with map-side combination.
     """
@@ -136,7 +145,7 @@ def linked(sets: list[np.ndarray], other: list[np.ndarray] | None, similarity: f
     return common >= similarity * (size[:n_left, None] + right[None, :] - common) - 1e-9
 
 
-VERIFIED = "key binary, rep long, links long, root long"
+VERIFIED = "key binary, links long, root binary"
 
 
 def _verify(similarity: float):
@@ -149,7 +158,7 @@ def _verify(similarity: float):
         order = np.argsort(side, kind="stable")
         tab, side = tab.take(pa.array(order)), side[order]
         sets = [np.frombuffer(b, np.uint64) for b in tab.column("grams").to_pylist()]
-        docs, reps = tab.column("n_docs").to_numpy(), tab.column("rep").to_numpy()
+        docs = tab.column("n_docs").to_numpy()
         n_left = int((side == side[0]).sum()) if len(side) else 0
         if key[1].as_py() != key[2].as_py():
             hit = linked(sets[:n_left], sets[n_left:], similarity) if 0 < n_left < len(sets) else np.zeros((n_left, len(sets) - n_left), bool)
@@ -173,9 +182,8 @@ def _verify(similarity: float):
         return pa.table(
             {
                 "key": tab.column("key"),
-                "rep": tab.column("rep"),
                 "links": pa.array(links.astype(np.int64)),
-                "root": pa.array(reps[root]),
+                "root": tab.column("key").take(pa.array(root)),
             }
         )
 
@@ -194,15 +202,33 @@ def near_copies(
 
     n_links: other documents whose n-gram sets have a Jaccard similarity of ``similarity`` or more. class_id: the least
     doc_id of all documents reached over such links. A text without words links to nothing and is its own class, as is a
-    row with a null doc_id, whose class is null. Repeated rows count as documents of their own. Pairs of equal sets are
-    always found; others with a probability of at least ``recall``.
+    row with a null doc_id, whose class is null. Repeated rows, and rows of different texts that share a doc_id, count as
+    documents of their own. Pairs of equal sets are always found; others with a probability of at least ``recall``.
+    """
+    rows = linked_rows(docs, doc_id, text, n, similarity, recall)
+    return rows.select("doc_id", F.col("class.doc_id").alias("class_id"), "n_links")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, mark, see marked) of the row that stays of each class; rows with a null doc_id have none.
+
+    It is the row with the least id, and of several texts with that id one.
     """
+    rows = linked_rows(docs, doc_id, text, **options).where("doc_id is not null")
+    own = F.when(F.col("class.key").isNull(), F.col("mark"))  # a text without words is its own class
+    return rows.groupBy("class", own).agg(F.min(F.struct("doc_id", "mark")).alias("least")).select("least.*").distinct()
+
+
+def linked_rows(docs: DataFrame, doc_id: str, text: str, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, mark, class (a struct that names the class; its doc_id is the least) and n_links of every row."""
     bands, rows = choose_bands(similarity, recall)
     signed = stored(signatures(docs, doc_id, text, n, bands, rows), "signatures")
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
     classes = stored(
         signed.where("key is not null and doc_id is not null")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
+        .agg(first, F.count(F.lit(1)).alias("n_docs"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.struct(F.col("first.doc_id"), "key")),
         "classes",
     )
     exploded = classes.select("key", "rep", F.explode("bands").alias("bucket"))
@@ -210,9 +236,8 @@ def near_copies(
     candidates = components(exploded.join(shared, "bucket"), "bands")
     verified = stored(_compare(docs, classes, candidates, doc_id, text, n, similarity), "verified")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    spread = components(
-        verified.where("links > 0").select("key", "rep", F.concat_ws("/", "label", "i", "j", "root").alias("bucket")), "links"
-    )
+    reached = verified.where("links > 0").select("key", F.concat_ws("/", "label", "i", "j", F.hex("root")).alias("bucket"))
+    spread = components(reached.join(classes.select("key", "rep"), "key"), "links")
     # written, so that the join below has plain shuffles on both sides and a hot class is split like any skewed key
     found = stored(
         classes.select("key", "rep", "n_docs")
@@ -220,20 +245,21 @@ def near_copies(
         .join(spread, "key", "left")
         .select(
             "key",
-            F.coalesce("label", "rep").alias("class_id"),
+            F.coalesce("label", "rep").alias("class"),
             (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         ),
         "found",
     )
-    out = signed.where("doc_id is not null").select("doc_id", "key").join(found, "key", "left")
-    alone = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    ).unionByName(alone)
+    alone = F.struct("doc_id", F.lit(None).cast("binary").alias("key"))
+    none = F.lit(0).cast("long").alias("n_links")
+    wordless = signed.where("key is null or doc_id is null").select("doc_id", "mark", alone.alias("class"), none)
+    out = signed.where("doc_id is not null and key is not null").select("doc_id", "mark", "key").join(found, "key")
+    return out.select("doc_id", "mark", "class", F.col("n_links").cast("long").alias("n_links")).unionByName(wordless)
 
 
 def _compare(docs, classes, candidates, doc_id, text, n, similarity) -> DataFrame:
     """Candidates' n-gram sets, read from their texts again, compared by blocks of their components."""
+    candidates = candidates.select("key", F.hex("label.key").alias("label"))
     sizes = (
         candidates.join(classes, "key")
         .groupBy("label")
@@ -241,25 +267,24 @@ def _compare(docs, classes, candidates, doc_id, text, n, similarity) -> DataFram
         .where("n > 1")
         .select("label", F.ceil(F.greatest(F.col("n") / BLOCK_CLASSES, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     )
-    wanted = candidates.join(sizes, "label").join(classes.select("key", "rep", "n_docs"), "key")
+    wanted = candidates.join(sizes, "label").join(classes.select("key", "first.*", "n_docs"), "key")
 
-    def grams(batches):
+    def ngrams(batches):
         for batch in batches:
             at = 0
             for block in text_blocks(batch.column("text")):
                 sets = gram_sets(block, n)
                 part = batch.slice(at, len(block))
                 at += len(block)
-                keep = [i for i, s in enumerate(sets) if _key(s) == part.column("key")[i].as_py()]
-                cols = {c: part.column(c).take(pa.array(keep, pa.int64())) for c in ("key", "rep", "n_docs", "label", "blocks")}
-                yield pa.RecordBatch.from_pydict(cols | {"grams": pa.array([sets[i].tobytes() for i in keep], pa.binary())})
+                cols = {c: part.column(c) for c in ("key", "n_docs", "label", "blocks")}
+                yield pa.RecordBatch.from_pydict(cols | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    # rows of a repeated doc_id have other texts, which the key tells, or the same twice, which meet in a block
+    # one row a text and id: of wholly repeated rows, which may be most of a table, one leaves each task
+    texts = marked(docs, doc_id, text).groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
     sets = (
-        docs.select(F.col(doc_id).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        .join(wanted, "rep")
-        .select("key", "rep", "n_docs", "label", "blocks", "text")
-        .mapInArrow(grams, "key binary, rep long, n_docs long, label long, blocks int, grams binary")
+        texts.join(wanted, ["doc_id", "mark"])
+        .select("key", "n_docs", "label", "blocks", "text")
+        .mapInArrow(ngrams, "key binary, n_docs long, label string, blocks int, grams binary")
     )
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = (
@@ -267,9 +292,9 @@ def _compare(docs, classes, candidates, doc_id, text, n, similarity) -> DataFram
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .select("label", "i", "j", "key", "rep", "n_docs", "block", "grams")
+        .select("label", "i", "j", "key", "n_docs", "block", "grams")
     )
-    blocks = placed.groupBy("label", "i", "j").applyInArrow(_with_group(_verify(similarity)), f"label long, i int, j int, {VERIFIED}")
+    blocks = placed.groupBy("label", "i", "j").applyInArrow(_with_group(_verify(similarity)), f"label string, i int, j int, {VERIFIED}")
     return blocks
 
 
@@ -277,7 +302,7 @@ def _with_group(compare):
     def run(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         out = compare(key, tab)
         for place, name in enumerate(("label", "i", "j")):
-            out = out.add_column(place, name, pa.array([key[place].as_py()] * out.num_rows, pa.int64() if place == 0 else pa.int32()))
+            out = out.add_column(place, name, pa.array([key[place].as_py()] * out.num_rows, pa.string() if place == 0 else pa.int32()))
         return out
 
     return run

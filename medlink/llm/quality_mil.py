@@ -173,7 +173,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """doc_id, text and label (0 or 1) of at most ``limit`` labelled documents that aren't held out.
 
     The choice is the smallest hashes of the ids, so it is the same in every run. Null ids and labels are left out; a
-    document labelled twice has the larger label. The sample is so small that it is sent to the documents.
+    document labelled twice has the larger label, and of a repeated id the first text in order counts, so there are never
+    more rows than ``limit``. The sample is so small that it is sent to the documents.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("sample_id"), F.col(label).cast("double").alias("label"))
@@ -185,7 +186,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .limit(limit)
     )
     texts = docs.select(F.col(doc_id).cast("long").alias("sample_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("sample_text"))
-    return texts.join(F.broadcast(known), "sample_id").select("sample_id", "sample_text", "label")
+    found = texts.join(F.broadcast(known), "sample_id")
+    return found.groupBy("sample_id").agg(F.min("sample_text").alias("sample_text"), F.max("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = SAMPLE_DOCS) -> MilModel:

@@ -45,7 +45,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.labelled_languages(docs, table(spark, sf_dir, "labels"))
     mixed = mixing.mix_documents(docs, labelled, TARGETS, lambda df: stored(df, "members"))
     shares = [F.col("posteriors")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)]
-    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies", "misfit")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

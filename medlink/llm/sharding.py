@@ -39,24 +39,32 @@ def rendezvous(key: Column, weights: dict[int, float]) -> Column:
 def with_slots(df: DataFrame, key: str, shard: str = "shard", ties: list[str] | None = None) -> DataFrame:
     """Number the rows of each shard from 0 without gaps, as column slot.
 
-    Rows are ordered by a slice (a hash of the key), then by key, then by ``ties``. Each slice of a shard is one window;
-    the rows before it come from a count per slice, so no task holds a shard. Rows equal in all of these may swap.
+    Rows are ordered by a slice (a hash of the key), then by key, then by ``ties``. Rows equal in all of these form a group
+    and are numbered in any order, each partition of the input for itself. What lies before a group in its slice, and
+    before a slice in its shard, comes from counts, so no task holds a shard, nor all rows of a hot key.
     """
-    digits = len(f"{SLICES - 1:x}")
-    df = df.withColumn("slice", F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, digits))
-    counts = df.groupBy(shard, "slice").agg(F.count(F.lit(1)).alias("slice_rows"))
-    before = Window.partitionBy(shard).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        shard, "slice", F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("rows_before")
+    digits, ties = len(f"{SLICES - 1:x}"), ties or []
+    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    group = ["slice", "_group", "_part"]
+    rows = df.withColumns(
+        {
+            "slice": F.substring(F.md5(text), 1, digits),
+            "_group": F.xxhash64(text, *ties),
+            "_part": F.spark_partition_id(),
+        }
     )
-    order = [F.col(key), *(F.col(t) for t in ties or [])]
-    return (
-        df.join(counts, [shard, "slice"])
-        .withColumn(
-            "slot",
-            F.row_number().over(Window.partitionBy(shard, "slice").orderBy(*order)) - 1 + F.col("rows_before"),
-        )
-        .drop("slice", "rows_before")
+    counts = rows.groupBy(shard, *group, key, *ties).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = lambda *order: Window.partitionBy(shard, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_n").over(ahead(key, *ties, "_part")), F.lit(0)).alias("_inside")
+    slices = counts.groupBy(shard, "slice").agg(F.sum("_n").alias("_rows"))
+    before = Window.partitionBy(shard).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(shard, "slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    starts = counts.select(shard, *group, *[F.col(c).alias(f"_{c}") for c in (key, *ties)], inside).join(slices, [shard, "slice"])
+    own = Window.partitionBy(shard, *group, key, *ties).orderBy(F.lit(1))
+    numbered = rows.withColumn("_number", F.row_number().over(own) - 1)
+    same = [numbered[c] == starts[c] for c in (shard, *group)] + [numbered[c].eqNullSafe(starts[f"_{c}"]) for c in (key, *ties)]
+    return numbered.join(starts, same).select(
+        *[numbered[c] for c in df.columns], (F.col("_number") + F.col("_inside") + F.col("_before")).alias("slot")
     )
 
 

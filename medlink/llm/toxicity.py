@@ -24,9 +24,8 @@ SAMPLE_DOCS = 4000
 BUCKETS = 1 << 18
 SHIFT = np.uint32(32 - 18)
 PREFIXES = (3, 4, 5, 6, 8)
-EPOCHS, RATE, DECAY = 40, 0.12, 1e-5
-#: Of stretches of words without a label nearby, one in so many is learned from.
-KEEP_ONE_IN = 4
+#: Passes over all tokens of the sample, more of them if it is small, in steps of so many texts, at falling rates.
+PASSES, LEAST_STEPS, STEP_TEXTS, RATES, DECAY = 4, 200, 50, (0.1, 0.01), 1e-5
 #: A feature labels tokens from so many toxic documents on, if at least so large a share of its documents is toxic.
 LEAST_DOCS, LEAST_SHARE = 5, 0.85
 
@@ -179,7 +178,7 @@ def label_tokens(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> ToxicModel:
-    """Fit by Adam on the likelihood of the labelled tokens' tags; then calibrate document scores.
+    """Fit by Adam on the likelihood of the tags of all tokens, some texts a step; then calibrate document scores.
 
     With a single document label, or none, scores are constant.
     """
@@ -195,34 +194,35 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicModel:
     doc, features = (np.concatenate(c) for c in zip(*parts))
     del parts
     tag = label_tokens(features, doc, toxic)
-    # words near labelled ones, and stretches of 32 words for a fixed share: the rest would only repeat them
-    near = np.convolve(tag, np.ones(9), "same") > 0.5
-    keep = near | (mix((np.arange(len(doc)) // 32).astype(np.uint64)) % np.uint64(KEEP_ONE_IN) == 0)
-    code = (features[keep] >> SHIFT).astype(np.int32)
-    run = np.cumsum(np.r_[True, (doc[keep][1:] != doc[keep][:-1]) | (np.diff(np.flatnonzero(keep)) > 1)])
-    y = tag[keep].astype(np.float64)
-    inner = np.r_[False, run[1:] == run[:-1]]
-    gold = np.zeros((2, 2))
-    np.add.at(gold, (tag[keep][:-1][inner[1:]].astype(int), tag[keep][1:][inner[1:]].astype(int)), 1)
-    used, packed = np.unique(code, return_inverse=True)
-    packed = packed.reshape(code.shape).astype(np.int32)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    used = np.unique(features >> SHIFT)
+    packed = np.searchsorted(used, features >> SHIFT).astype(np.int32)
     w, b, t = np.zeros(len(used)), model.bias, model.transition
     state = [np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, np.zeros((2, 2)), np.zeros((2, 2))]
-    n = max(1.0, y.sum())
-    for step in range(1, EPOCHS + 1):
-        chance, pairs = marginals(w[packed].sum(axis=1) + b, t, run, pairs=True)
+    order = np.argsort(mix(np.arange(len(texts), dtype=np.uint64)), kind="stable")  # the same in every run
+    groups = [np.sort(order[low : low + STEP_TEXTS]) for low in range(0, len(texts), STEP_TEXTS)]
+    n, steps = max(1.0, float(tag.sum()) / len(groups)), max(LEAST_STEPS, PASSES * len(groups))
+    for step in range(1, steps + 1):
+        rows = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in groups[(step - 1) % len(groups)]])
+        if not len(rows):
+            continue
+        code, of, y = packed[rows], doc[rows], tag[rows]
+        chance, pairs = marginals(w[code].sum(axis=1) + b, t, of, pairs=True)
+        gold, inner = np.zeros((2, 2)), of[1:] == of[:-1]
+        np.add.at(gold, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
         d = (chance - y) / n
-        grads = (np.bincount(packed.ravel(), weights=np.repeat(d, code.shape[1]), minlength=len(used)) + DECAY * w, d.sum(), (pairs - gold) / n)
+        grads = (np.bincount(code.ravel(), weights=np.repeat(d, code.shape[1]), minlength=len(used)) + DECAY * w, d.sum(), (pairs - gold) / n)
+        rate = RATES[0] * (RATES[1] / RATES[0]) ** (step / steps)
         moved = []
         for k, g in enumerate(grads):
             state[2 * k] = 0.9 * state[2 * k] + 0.1 * g
             state[2 * k + 1] = 0.99 * state[2 * k + 1] + 0.01 * g * g
-            moved.append(RATE * state[2 * k] / (1 - 0.9**step) / (np.sqrt(state[2 * k + 1] / (1 - 0.99**step)) + 1e-8))
+            moved.append(rate * state[2 * k] / (1 - 0.9**step) / (np.sqrt(state[2 * k + 1] / (1 - 0.99**step)) + 1e-8))
         w, b, t = w - moved[0], b - moved[1], t - moved[2]
     model.weights[used] = w.astype(np.float32)
     model.bias, model.transition = float(b), t
-    del code, packed, near, keep, run, y, inner, chance
-    x, c, ends = np.zeros((len(texts), 3)), np.zeros(3), np.searchsorted(doc, np.arange(len(texts) + 1))
+    del packed
+    x, c = np.zeros((len(texts), 3)), np.zeros(3)
     for low in range(0, len(texts), 100):
         high = min(low + 100, len(texts))
         words = slice(ends[low], ends[high])

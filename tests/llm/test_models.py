@@ -178,24 +178,36 @@ def test_mixing(spark, docs, labels, odd):
     assert mixing.mix_documents(odd.limit(0), labelled, targets, stored).count() == 0
 
 
+def dense_totals(p, n, wanted, rounds=60_000):
+    """Totals of the least squares over rates >= 0, by plain projected gradient with one fixed small step."""
+    a = p * n[:, None]
+    rate, step = np.ones(len(n)), 1 / np.linalg.eigvalsh(a.T @ a).max()
+    for _ in range(rounds):
+        rate = np.maximum(0, rate + step * (a @ (wanted - rate @ a)))
+    return rate @ a
+
+
 def test_rates_are_the_projected_least_squares(spark):
-    """Against a plain projected gradient on the same weighted misfit, with targets that force rates of 0."""
+    """Against a plain dense solver, with targets that force rates of 0, and with targets out of reach."""
     rng = np.random.default_rng(5)
     p = rng.dirichlet([0.6, 0.6, 0.6], 300)
+    soft = 0.5 * p + 0.5 / 3  # no document has less than a sixth of a domain
     n = rng.integers(1, 900, 300)
-    members = spark.createDataFrame(pa.table({"n_tokens": pa.array(n), "posteriors": pa.array(p.tolist())}))
-    for targets in ([0.3, 0.3, 0.4], [0.96, 0.03, 0.01]):
-        rate = mixing.rates_of(p, mixing.fit_rates(members, targets))
+    for shares, targets in ((p, [0.3, 0.3, 0.4]), (p, [0.96, 0.03, 0.01]), (soft, [0.96, 0.03, 0.01]), (soft, [0.0, 0.5, 0.5])):
+        members = spark.createDataFrame(pa.table({"n_tokens": pa.array(n), "posteriors": pa.array(shares.tolist())}))
         wanted = np.array(targets) * n.sum()
-        inverse, own = np.linalg.inv((p * n[:, None]).T @ p), np.ones(300)
-        for _ in range(mixing.MAX_STEPS):
-            misfit = wanted - (own * n) @ p
-            if np.abs(misfit).max() <= mixing.TOLERANCE * wanted.sum():
-                break
-            own = np.maximum(0, own + p @ (inverse @ misfit))
-        assert np.allclose(rate, own, atol=1e-6) and (rate >= 0).all()
-        if targets[0] < 0.9:
-            assert np.allclose((rate * n) @ p, wanted, rtol=1e-3)
+        if shares is soft:
+            with pytest.warns(UserWarning, match="out of reach"):
+                fit = mixing.fit_rates(members, targets)
+        else:
+            fit = mixing.fit_rates(members, targets)
+        rate = mixing.rates_of(shares, fit.steps)
+        totals, best = (rate * n) @ shares, dense_totals(shares, n.astype(float), wanted)
+        assert (rate >= 0).all() and np.allclose(totals, best, atol=2e-3 * n.sum()), (targets, totals, best)
+        assert ((wanted - totals) ** 2).sum() <= 1.001 * ((wanted - best) ** 2).sum() + (1e-5 * n.sum()) ** 2
+        assert fit.misfit == pytest.approx(np.abs(wanted - totals).max() / n.sum(), abs=1e-9)
+        by_row = mixing.with_rates(members.withColumn("doc_id", F.monotonically_increasing_id()), fit.steps).orderBy("doc_id").collect()
+        assert np.allclose([r["rate"] for r in by_row], rate)
 
 
 def test_neighbours(spark):
@@ -256,33 +268,30 @@ def members_of(spark, shares, peak, n=4000, seed=1):
 
 
 def test_rates_reach_skewed_targets(spark):
-    """Where the capped steps stop short: the targets are met, by the rates nearest to 1 (one step for all documents)."""
+    """Documents of the dominant domain are clipped to 0 on the way, and the targets are met all the same."""
     members, p, n = members_of(spark, [0.1, 0.1, 0.1, 0.7], 2.5)
     targets = np.array([0.5, 0.2, 0.2, 0.1])
-    capped = mixing.rates_of(p, mixing.fit_rates(members, list(targets)))
-    assert np.abs((capped * n) @ p / n.sum() - targets).max() > 1e-3
-    labels = [mixing.fit_targets(members, list(targets)), mixing.fit_targets(members, list(targets), total=2.0 * n.sum())]
-    for fit, scale in zip(labels, (1, 2)):
+    for total, scale in ((None, 1), (2.0 * n.sum(), 2)):
+        fit = mixing.fit_rates(members, list(targets), total=total)
         rate = mixing.rates_of(p, fit.steps)
         assert fit.misfit <= mixing.TOLERANCE and (rate == 0).any() and fit.kept == pytest.approx(scale, abs=1e-3)
         assert np.abs((rate * n) @ p / n.sum() / scale - targets).max() <= mixing.TOLERANCE
-        assert np.allclose(rate, np.maximum(0, 1 + p @ fit.steps[0]))
     same = spark.createDataFrame(pa.table({"n_tokens": pa.array([3, 5]), "posteriors": pa.array([[0.25] * 4] * 2)}))
     with pytest.warns(UserWarning, match="out of reach"):
-        assert mixing.fit_targets(same, list(targets)).misfit == pytest.approx(0.25)
+        assert mixing.fit_rates(same, list(targets)).misfit == pytest.approx(0.25, abs=1e-6)
 
 
 def test_thinning_keeps_the_scarce_domains(spark):
     """With soft posteriors too, only domains with too much lose documents, and more is kept than by rates scaled to 1 for a pure document."""
     members, p, n = members_of(spark, [0.7, 0.15, 0.13, 0.02], 5.0)
     targets = np.array(list(corpus_pipeline.TARGETS.values()))
-    fit = mixing.fit_targets(members, list(targets), largest=1.0)
+    fit = mixing.fit_rates(members, list(targets), largest=1.0)
     rows = mixing.with_rates(members, fit.steps, largest=1.0).orderBy("doc_id").collect()
     rate = np.array([r["rate"] for r in rows])
     taken = (rate * n) @ p
     assert np.allclose(taken / taken.sum(), targets, atol=1e-4) and fit.kept == pytest.approx((rate * n).sum() / n.sum())
     scarce = np.argmin(n @ p / n.sum() / targets)
     assert {r["copies"] for r in rows} <= {0, 1} and (rate[p[:, scarce] > 0.9] == 1).all()
-    scaled = mixing.rates_of(p, mixing.fit_targets(members, list(targets)).steps)
-    pure = mixing.rates_of(np.eye(4), mixing.fit_targets(members, list(targets)).steps).max()
+    scaled = mixing.rates_of(p, mixing.fit_rates(members, list(targets)).steps)
+    pure = mixing.rates_of(np.eye(4), mixing.fit_rates(members, list(targets)).steps).max()
     assert fit.kept > 1.1 * (scaled * n).sum() / pure / n.sum()
