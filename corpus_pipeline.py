@@ -36,15 +36,17 @@ def quality_rules_vote(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies; of wholly repeated rows, one.
+    """Keep one document of each group of near copies, the one with the least id; of wholly repeated rows, one.
 
-    Rows with a null id belong to no group and stay.
+    Rows are told apart by id and text, so rows that share an id are judged each for itself. Rows with a null id belong to
+    no group and stay.
     """
     short_batches(spark)
-    kept = ngram_join.near_copies(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"), F.struct("*").alias("row"))
-    chosen = rows.join(kept, rows["id"] == kept["kept_id"], "left_semi").dropDuplicates(["id", "body"])
-    return chosen.unionByName(rows.where("id is null")).select("row.*")
+    kept = ngram_join.representatives(docs).withColumnRenamed("doc_id", "kept_id").withColumnRenamed("mark", "kept_mark")
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), mark.alias("mark"), F.struct("*").alias("row"))
+    chosen = keyed.join(kept, (keyed["id"] == kept["kept_id"]) & (keyed["mark"] == kept["kept_mark"]), "left_semi")
+    return chosen.dropDuplicates(["id", "mark"]).unionByName(keyed.where("id is null")).select("row.*")
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = mixing.train(docs, labelled, list(TARGETS))
     member = mixing.membership(model, F.col("text")).alias("m")
     members = stored(docs.select(member).select("m.*"), "members")
-    steps = mixing.fit_targets(members, list(TARGETS.values()), largest=1.0).steps
+    steps = mixing.fit_rates(members, list(TARGETS.values()), largest=1.0).steps
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), member).select("row", "doc_id", "m.*")
     return mixing.with_rates(rows, steps, largest=1.0).where("copies > 0").select("row.*")
 
