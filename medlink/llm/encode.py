@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from itertools import repeat
@@ -15,7 +16,7 @@ from medlink.llm.common import KEPT
 #: A tokenizer that drops white space, so words between spaces or line feeds are encoded independently.
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words that a task keeps with their ids; a full store is emptied and filled again.
-MAX_WORDS = 250_000
+MAX_WORDS = 500_000
 
 
 def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
@@ -60,6 +61,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores; threads of their own only cost
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
