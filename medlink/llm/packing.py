@@ -22,11 +22,12 @@ from medlink.llm.common import stored, text_blocks, uniform
 from medlink.llm.encode import encoder, tokenizer_path
 
 CAPACITY = 2048
-#: Rows of a sorted range.
-RANGE_ROWS = 20_000
-#: New sequences open when the open documents need more than this share of the free room: 1 packs a little closer in
-#: many more rounds.
-FILL = 0.98
+#: Rows of a sorted range, and ranges of a sweep: beyond so many, ranges grow with the table.
+RANGE_ROWS, MAX_RANGES = 20_000, 10_000
+#: New sequences open for what the open documents need beyond the free room. Once they hold less than the first share of
+#: all tokens, only the second share of the room counts: that saves most rounds, which would place a few documents each,
+#: for at most their product of all tokens.
+LATE = (0.02, 0.9)
 #: Pieces up to capacity / SMALL are small. About SINGLES of them a sequence are packed alone, more as bundles of them:
 #: so rounds don't grow where all documents are tiny.
 SMALL = 16
@@ -139,7 +140,7 @@ def match_ranges(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) -> DataFrame:
+def best_fit(items: DataFrame, capacity: int = CAPACITY, late: tuple[float, float] = LATE) -> DataFrame:
     """Place items (item: unique long, length: 1 to capacity): rows item, seq, round. seq is its first item's number."""
     if items.where(~F.col("length").between(1, capacity) | F.col("length").isNull()).limit(1).count():
         raise ValueError(f"an item has to hold 1 to {capacity} tokens")
@@ -151,7 +152,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         F.when(opens, F.col("item")).alias("seq"),
         F.when(opens, capacity - F.col("length")).otherwise(F.col("length")).cast("long").alias("size"),
     )
-    state, number = stored(seed, "round0"), 0
+    state, number, everything = stored(seed, "round0"), 0, 0
     placed = [state.where("kind = 'gap'").select("item", "seq", F.lit(0).alias("round"))]
     # two histograms over sizes, of at most capacity rows whatever the data
     sizes = "kind in ('doc', 'gap') and size > 0"
@@ -163,7 +164,9 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         number += 1
         least = min(docs)
         gaps = {s: n for (k, s), n in counts.items() if k == "gap" and s >= least}
-        need = sum(s * n for s, n in docs.items()) - fill * sum(s * n for s, n in gaps.items())
+        waiting = sum(s * n for s, n in docs.items())
+        everything = everything or waiting + sum((capacity - s) * n for (k, s), n in counts.items() if k == "gap")
+        need = waiting - (late[1] if waiting < late[0] * everything else 1.0) * sum(s * n for s, n in gaps.items())
         new = max(0, math.ceil(need / capacity))
         if not new and max(docs) > max(gaps, default=0) and least > max(gaps, default=0):
             new = 1
@@ -175,7 +178,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, fill: float = FILL) ->
         total = sum(docs.values()) + sum(gaps.values())
         order = [F.desc("size"), F.asc("is_doc"), F.asc("id")]
         swept = stored(
-            _ranges(old.unionByName(begun).unionByName(wait), math.ceil(total / RANGE_ROWS), order)
+            _ranges(old.unionByName(begun).unionByName(wait), math.ceil(total / max(RANGE_ROWS, total / MAX_RANGES)), order)
             .sortWithinPartitions(*order)
             .mapInArrow(_sweep, SWEPT),
             f"sweep{number}",

@@ -259,3 +259,24 @@ def test_equal_bundles_are_kept_apart(spark):
     assert index.count() == 240 and index.select("bundle").distinct().count() > 4
     records = warc.read_bundles(spark, folder, index)
     assert records.count() == 240 and records.select("bundle", "frame", "frame_offset").distinct().count() == 240
+
+
+def test_packing_needs_no_more_sequences_than_a_plain_best_fit(spark, monkeypatch):
+    """Against best fit, largest first, over all open gaps; short and long items, also in many ranges."""
+    import bisect
+    import random
+
+    for seed, (n, longest), rows in ((1, (600, 2048), 20_000), (2, (900, 300), 50)):
+        monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+        rng = random.Random(seed)
+        lengths = [min(longest, int(rng.paretovariate(0.7) * 20)) for _ in range(n)]
+        gaps, used = [], 0
+        for length in sorted(lengths, reverse=True):
+            at = bisect.bisect_left(gaps, length)
+            gap = gaps.pop(at) if at < len(gaps) else 2048
+            used += gap == 2048
+            bisect.insort(gaps, gap - length)
+        items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+        placed = packing.best_fit(items).join(items, "item").groupBy("seq").agg({"length": "sum"}).collect()
+        assert all(r[1] <= 2048 for r in placed) and sum(r[1] for r in placed) == sum(lengths)
+        assert len(placed) <= 1.02 * used + 1, (len(placed), used)
