@@ -132,6 +132,10 @@ class LabelModel:
         log = np.exp(log - log.max(axis=1, keepdims=True))
         return log / log.sum(axis=1, keepdims=True)
 
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Of each rule, how often its votes are right on good documents, and on those of the kind it catches."""
+        return {r: (1 - float(self.bad[0, i]), float(self.bad[i + 1, i])) for i, r in enumerate(self.rules)}
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of good."""
         return self.kinds(votes)[:, 0]
@@ -140,6 +144,9 @@ class LabelModel:
 #: What is held before any vote is seen, as (chance, share of the documents that it counts like): that a rule votes bad
 #: on a good document, on the kind it catches, on another bad kind; and that a document is good.
 ON_GOOD, ON_OWN, ON_OTHER, GOOD = (0.01, 0.5), (0.9, 0.002), (0.1, 0.002), (0.85, 0.05)
+#: A rule that alone, with no other bad vote, votes bad on more than this share of all documents is taken to be wrong on
+#: good ones: it has no kind of its own, and its bad votes count only as far as others agree.
+LONE = 0.1
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rules: list[str], rounds: int = 300, tolerance: float = 1e-6) -> LabelModel:
@@ -157,8 +164,12 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rules: list[str], rounds:
     weight[0] = ON_GOOD[1]
     weight *= total
     share = np.r_[GOOD[0], np.full(n, (1 - GOOD[0]) / n)]
-    model = LabelModel(rules, prior.copy(), share.copy())
     said_bad, said = (patterns == 0).astype(float), (patterns >= 0).astype(float)
+    lone = counts @ (said_bad * (said_bad.sum(axis=1, keepdims=True) == 1)) / total
+    weak = np.flatnonzero(lone > LONE)
+    prior[0, weak] = lone[weak]
+    share[1 + weak] = 1e-12
+    model = LabelModel(rules, prior.copy(), share.copy())
     for step in range(1, rounds + 1):
         before = np.r_[model.bad.ravel(), model.share]
         kinds = model.kinds(patterns) * counts[:, None]

@@ -115,6 +115,64 @@ def test_rule_estimates_recover_accuracies():
     assert (model.posterior(votes)[kind == 0] > 0.5).mean() > 0.95 and (model.posterior(votes)[kind > 0] < 0.5).mean() > 0.75
 
 
+def plain_estimate(votes, rules, rounds):
+    """Expectation-maximisation document by document, in plain loops, from the same priors."""
+    n, total = len(rules), len(votes)
+    kinds, good = n + 1, quality_rules.GOOD
+    held = [[quality_rules.ON_GOOD[0] if k == 0 else quality_rules.ON_OWN[0] if k == r + 1 else quality_rules.ON_OTHER[0] for r in range(n)] for k in range(kinds)]
+    weight = [(quality_rules.ON_GOOD if k == 0 else quality_rules.ON_OTHER)[1] * total for k in range(kinds)]
+    first = [good[0], *[(1 - good[0]) / n] * n]
+    bad, share = [], []
+
+    def odds(row):
+        out = []
+        for k in range(kinds):
+            x = share[k]
+            for r, v in enumerate(row):
+                x *= {0: bad[k][r], 1: 1 - bad[k][r], -1: 1.0}[int(v)]
+            out.append(x)
+        return [x / sum(out) for x in out]
+
+    for r in range(n):
+        alone = sum(row[r] == 0 and list(row).count(0) == 1 for row in votes) / total
+        if alone > quality_rules.LONE:
+            held[0][r], first[r + 1] = alone, 1e-12
+    bad, share = [row[:] for row in held], first[:]
+    for _ in range(rounds):
+        belongs = [odds(row) for row in votes]
+        for k in range(kinds):
+            for r in range(n):
+                voted = sum(b[k] for b, row in zip(belongs, votes) if row[r] >= 0)
+                against = sum(b[k] for b, row in zip(belongs, votes) if row[r] == 0)
+                bad[k][r] = (against + held[k][r] * weight[k]) / (voted + weight[k])
+            share[k] = (sum(b[k] for b in belongs) + first[k] * good[1] * total) / (total + good[1] * total)
+    return [odds(row)[0] for row in votes]
+
+
+def test_rule_posteriors_are_plain_expectation_maximisation():
+    rng = np.random.default_rng(4)
+    votes = rng.choice([-1, 0, 1], p=[0.1, 0.15, 0.75], size=(150, 3))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.estimate(patterns, counts.astype(float), ["a", "b", "c"], rounds=12, tolerance=0)
+    assert np.allclose(model.posterior(votes), plain_estimate(votes, ["a", "b", "c"], 12))
+
+
+def test_weak_rule_is_outvoted():
+    """A rule that is right on 0.6 of the documents drops no good one; sharp rules still do their work."""
+    rng = np.random.default_rng(7)
+    kind = rng.choice(4, p=[0.85, 0.06, 0.05, 0.04], size=20_000)
+    bad = np.array([[0.003, 0.003, 0.003], [0.98, 0.02, 0.02], [0.02, 0.98, 0.02], [0.02, 0.02, 0.98]])
+    sharp = np.where(rng.random((len(kind), 3)) < bad[kind], 0, 1)
+    weak = np.where(rng.random(len(kind)) < np.where(kind == 0, 0.4, 0.6), 0, 1)
+    votes = np.c_[sharp, weak]
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.estimate(patterns, counts.astype(float), ["a", "b", "c", "weak"])
+    kept = model.posterior(votes) >= 0.5
+    lone = (sharp == 1).all(axis=1) & (weak == 0)
+    assert kept[lone].all() and kept[kind == 0].mean() > 0.98 and (~kept[kind > 0]).mean() > 0.5
+    assert model.accuracies()["weak"][0] < 0.9 < model.accuracies()["a"][0]
+
+
 def brute_marginals(emission, transition):
     n = len(emission)
     total = np.zeros(n)
