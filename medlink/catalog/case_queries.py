@@ -161,6 +161,57 @@ def whole_details(products: DataFrame, lists: DataFrame, permits: DataFrame) ->
     return rows.select(*columns).unionByName(further.select(*columns))
 
 
+@query(
+    "product_enriched",
+    CTE.rstrip()
+    + """,
+    atc AS (SELECT DISTINCT p_type AS atc_code, 'ATC ' || p_type AS atc_name FROM part WHERE p_size <> 7),
+    permits AS (SELECT p_brand || '-' || p_mfgr AS permit_no, min(p_container) AS dosage_form, bool_and(p_size % 5 = 0) AS is_cancelled FROM part GROUP BY 1),
+    links AS (SELECT DISTINCT 'P' || ps.p_partkey AS product_code, o.p_brand || '-' || o.p_mfgr AS permit_no, CASE WHEN o.p_partkey = ps.p_partkey THEN 'suffix' ELSE 'link' END AS link_source
+        FROM part ps JOIN part o ON o.p_partkey IN (ps.p_partkey, ps.p_partkey + 1, ps.p_partkey + 2)),
+    roles AS (SELECT product_code, ingredient_id, CASE WHEN ingredient_id IN (SELECT ingredient_id FROM concepts WHERE canonical_name LIKE 'Brand#1%') THEN 'excipient' ELSE 'active' END AS role FROM owned),
+    i AS (SELECT product_code, string_agg(canonical_name || ':' || role || ':item', '|' ORDER BY canonical_name) AS ingredients,
+        string_agg(DISTINCT canonical_name, '|' ORDER BY canonical_name) AS ingredient_names, string_agg(canonical_name, '|' ORDER BY canonical_name) FILTER (role = 'active') AS active_names
+        FROM roles JOIN concepts USING (ingredient_id) GROUP BY 1),
+    m AS (SELECT product_code, string_agg(concat_ws(':', permit_no, dosage_form, is_cancelled, link_source), '|' ORDER BY permit_no, link_source) AS permits
+        FROM links JOIN permits USING (permit_no) GROUP BY 1),
+    v AS (SELECT product_code, string_agg(language || ':' || t, '|' ORDER BY language, t) AS variants FROM
+        (SELECT product_code, 'en' AS language, name_en AS t FROM products UNION ALL SELECT product_code, 'zh', name_zh FROM products) GROUP BY 1)
+    SELECT product_code, name_en, name_zh, effective_start, p_type AS atc_code, atc_name, 0 AS chunk_no, ingredients, ingredient_names, active_names, m.permits, variants
+    FROM products JOIN part ON product_code = 'P' || p_partkey LEFT JOIN atc ON atc_code = p_type LEFT JOIN i USING (product_code)
+        LEFT JOIN m USING (product_code) LEFT JOIN v USING (product_code)
+    """,
+)
+def _product_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """Products with their classification, ingredients (and the active ones), permits and name variants."""
+    d, part = dictionary(spark, sf), table(spark, sf, "part")
+    code = lambda c: F.concat(F.lit("P"), F.col(c).cast("string")).alias("product_code")
+    number = F.concat("p_brand", F.lit("-"), "p_mfgr").alias("permit_no")
+    products = d.products.join(part.select(code("p_partkey"), F.col("p_type").alias("atc_code")), "product_code")
+    atc = part.where("p_size <> 7").select(F.col("p_type").alias("atc_code")).distinct().withColumn("atc_name", F.concat(F.lit("ATC "), "atc_code"))
+    none = F.lit(None).cast("string")
+    permits = part.groupBy(number).agg(F.min("p_container").alias("dosage_form"), F.bool_and(F.col("p_size") % 5 == 0).alias("is_cancelled"))
+    permits = permits.withColumns({"product_name": none, "ingredient_text": none})
+    near = part.select("p_partkey", number).withColumn("_of", F.explode(F.array([F.col("p_partkey") - F.lit(k) for k in range(3)])))
+    source = F.when(F.col("_of") == F.col("p_partkey"), "suffix").otherwise("link").alias("link_source")
+    links = near.select(code("_of"), "permit_no", source).distinct()
+    excipient = d.concepts.where(F.col("canonical_name").startswith("Brand#1")).select("ingredient_id", F.lit("excipient").alias("_role"))
+    owned = d.product_ingredients.join(excipient, "ingredient_id", "left").withColumn("role", F.coalesce("_role", "role")).drop("_role")
+    variants = d.variants.where("target_type = 'product'").withColumns({"language": F.when(T.has_cjk("variant_text"), "zh").otherwise("en"), "variant_type": F.lit("name")})
+    rows = R.enriched_products(products, owned, d.concepts, links, permits, atc, variants)
+    active = R.active_ingredients(owned).join(d.concepts.select("ingredient_id", "canonical_name"), "ingredient_id")
+    active = R.nested_lists(active, ["product_code"], [F.col("canonical_name")], F.col("canonical_name"), "active")
+    shown = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[p].cast("string") for p in parts])), "|").alias(c)
+    return rows.join(active, ["product_code", "chunk_no"], "left").select(
+        "product_code", "name_en", "name_zh", "effective_start", "atc_code", "atc_name", "chunk_no",
+        shown("ingredients", "canonical_name", "role", "source"),
+        F.array_join("ingredient_names", "|").alias("ingredient_names"),
+        F.array_join("active", "|").alias("active_names"),
+        shown("permits", "permit_no", "dosage_form", "is_cancelled", "link_source"),
+        shown("variants", "language", "text"),
+    )
+
+
 # --- lists --------------------------------------------------------------------------
 
 DOSED_SQL = """concepts AS (SELECT DISTINCT p_name AS canonical_name FROM part WHERE NOT starts_with(p_name, 'red ')

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlink.functions import text as T
-from medlink.operators.keyed import chunked_lists, positions
+from medlink.operators.keyed import checkpointed, chunked_lists, positions
 
 EXACT, PREFIX, OVERLAP = 1.0, 0.8, 0.6
 
@@ -91,13 +91,18 @@ def ranked_search(
     return asked.join(top, "_q").select("query", "rank", "item_id", "name", "score")
 
 
+#: From this many brands on, a word's brands of a group in one bucket of numbers are kept as a bitmap of 4 KiB.
+BITMAP_BRANDS = 512
+
+
 def grouped_search(queries: DataFrame, items: DataFrame, query_col: str, name_col: str, group_cols: Sequence[str], brand_col: str) -> DataFrame:
     """Per query and group: number of distinct brands among the items the query finds.
 
     An item is found by a shared word, or by a one-word query that begins its first word.
     Items are first reduced to distinct (search key, group, brand). What a one-word query finds is counted per (key, group)
-    before queries join, so a hot word meets each such query as one row a group; only queries of several words, whose
-    words may find the same brand, meet the brands of their words.
+    before queries join, so a hot word meets each such query as one row a group. Words of a query of several may find the
+    same brand, so brands are numbered and the brands of a hot word become bitmaps, one for each group and bucket of
+    32,768 numbers: their union is exact, and the word meets its queries as a few rows whatever it finds.
     """
     asked = queries.select(F.col(query_col).alias("query"), T.normalize_text(query_col).alias("_q")).distinct()
     first = F.substring_index("_n", " ", 1)
@@ -108,10 +113,29 @@ def grouped_search(queries: DataFrame, items: DataFrame, query_col: str, name_co
     counted = own.groupBy("_key", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count"))
     parts = asked.where(F.col("_q") != "").select("_q", F.array_distinct(F.split("_q", " ")).alias("_words")).distinct()
     single = parts.where(F.size("_words") == 1).select("_q", F.col("_words")[0].alias("_key")).join(counted, "_key").drop("_key")
-    by_word = named.select(F.explode(words).alias("_key"), *group_cols, brand_col).distinct()
-    several = parts.where(F.size("_words") > 1).select("_q", F.explode("_words").alias("_key")).join(by_word, "_key")
-    counts = several.groupBy("_q", *group_cols).agg(F.count_distinct(brand_col).alias("brand_count")).unionByName(single)
-    return asked.join(counts, "_q").drop("_q")
+    # words of queries of several
+    numbers = checkpointed(named.select(brand_col).where(F.col(brand_col).isNotNull()).distinct())
+    numbers = numbers.withColumn("_number", F.monotonically_increasing_id()).select(
+        brand_col, F.bitmap_bucket_number("_number").alias("_bucket"), F.bitmap_bit_position("_number").alias("_bit")
+    )
+    by_word = named.select(F.explode(words).alias("_key"), *group_cols, brand_col).distinct().join(numbers, brand_col)
+    place = ["_key", *group_cols, "_bucket"]
+    sizes = by_word.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.bitmap_construct_agg("_bit").alias("_bits"))
+    hot = sizes.where(F.col("_n") >= BITMAP_BRANDS).drop("_n")
+    rare = by_word.join(hot.select(*[F.col(c).alias(f"h_{c}") for c in place]), _same(place, "h_"), "left_anti")
+    several = parts.where(F.size("_words") > 1).select("_q", F.explode("_words").alias("_key"))
+    found = ["_q", *group_cols, "_bucket"]
+    bits = several.join(rare, "_key").groupBy(*found).agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    whole = several.join(hot, "_key").select(*found, "_bits").unionByName(bits).groupBy(*found).agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    union = whole.groupBy("_q", *group_cols).agg(F.sum(F.bitmap_count("_bits")).alias("brand_count"))
+    return asked.join(union.unionByName(single), "_q").drop("_q")
+
+
+def _same(columns: Sequence[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return out
 
 
 def prefix_tree(items: DataFrame, code_col: str, levels: Sequence[int]) -> DataFrame:
@@ -176,3 +200,43 @@ def product_details(
         "permits",
     )
     return {"products": flat, "ingredients": ingredients, "permits": permit_lists}
+
+
+def active_ingredients(product_ingredients: DataFrame, role: str = "active") -> DataFrame:
+    """Ingredients that a product's page shows: those with the active role, others and null roles are left out."""
+    return product_ingredients.where(F.col("role") == role)
+
+
+def enriched_products(
+    products: DataFrame,
+    product_ingredients: DataFrame,
+    concepts: DataFrame,
+    links: DataFrame,
+    permits: DataFrame,
+    atc: DataFrame,
+    variants: DataFrame,
+    chunk: int = 1000,
+) -> DataFrame:
+    """Every product with its classification and its lists: ingredients, ingredient_names, permits and variants.
+
+    ingredients are ordered by name and source, ingredient_names are distinct and ordered, permits go by number, variants
+    by language, type and text. A list of more than ``chunk`` items goes on in further rows of its product, with the next
+    chunk_no; a product without any list has one row, of chunk 0. links(product_code, permit_no, link_source).
+    """
+    named = product_ingredients.join(concepts.select("ingredient_id", "canonical_name"), "ingredient_id")
+    key = ["product_code"]
+    ingredient = F.struct("ingredient_id", "canonical_name", "role", "strength_value", "strength_unit", "source")
+    permit = F.struct("permit_no", "product_name", "dosage_form", "ingredient_text", "is_cancelled", "link_source")
+    of_products = variants.where(F.col("target_type") == "product").withColumnRenamed("target_id", "product_code")
+    variant = F.struct(F.col("variant_text").alias("text"), "language", F.col("variant_type").alias("type"))
+    lists = (
+        nested_lists(named, key, [F.col("canonical_name"), F.col("source"), F.col("ingredient_id")], ingredient, "ingredients", chunk=chunk),
+        nested_lists(named.select("product_code", "canonical_name").distinct(), key, [F.col("canonical_name")], F.col("canonical_name"), "ingredient_names", chunk=chunk),
+        nested_lists(links.join(permits, "permit_no"), key, [F.col("permit_no"), F.col("link_source")], permit, "permits", chunk=chunk),
+        nested_lists(of_products, key, [F.col("language"), F.col("variant_type"), F.col("variant_text")], variant, "variants", chunk=chunk),
+    )
+    chunks = None
+    for df in lists:
+        chunks = df if chunks is None else chunks.join(df, ["product_code", "chunk_no"], "full")
+    flat = products.join(atc, "atc_code", "left")
+    return flat.join(chunks, "product_code", "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))

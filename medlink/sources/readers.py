@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from medlink.functions import fixed_values as V
 from medlink.functions import text as X
+from medlink.sources.quoted import read_quoted
 
 Spec = Sequence[tuple[str, str, str]]
 CASTS = {"text": X.clean_text, "decimal": X.parse_decimal, "date": X.parse_date}
@@ -22,18 +23,19 @@ def read_delimited(
 ) -> DataFrame:
     """Text columns by header; ',' for .csv, else '|'; missing values become ''.
 
-    ``line_breaks``: quoted fields may hold line breaks, so a file is read whole by one task. A data set known to have
-    none sets it to False, and its UTF-8 files are split; other encodings are always read whole.
+    ``line_breaks``: quoted fields may hold line breaks. Files are split all the same, in any encoding (see quoted.py).
+    A data set of UTF-8 files known to have none sets it to False, and is read by Spark's own reader.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     mark = sep or ("," if listed[0].lower().endswith(".csv") else "|")
+    if line_breaks or encoding.upper() not in ("UTF-8", "UTF8"):
+        return read_quoted(spark, listed, mark, encoding)
     df = (
         spark.read.option("header", True)
         .option("sep", mark)
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", line_breaks or encoding.upper() not in ("UTF-8", "UTF8"))
         .csv(listed)
     )
     return df.na.fill("")

@@ -141,6 +141,24 @@ def upsert_table(spark: SparkSession, incoming: DataFrame, keys: Sequence[str],
     publish_release(spark, {table: merged}, root, release, pointer["tables"])
 
 
+#: Rows of a file of a sorted table.
+SORTED_FILE_ROWS = 2_000_000
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], file_format: str = "parquet", **options) -> int:
+    """Write a table in one global order; returns the number of files.
+
+    Ranges are dealt over the cluster and sorted each for itself, so the files, taken by name, hold the rows in ``order``
+    from the first to the last (nulls first), and reading one after the other needs no sort. Rows equal in ``order`` lie
+    in any order, and all in one file. A repeated run replaces the folder.
+    """
+    files = max(1, -(-df.count() // SORTED_FILE_ROWS))
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order]
+    ranged = df.repartitionByRange(files, *keys) if files > 1 else df.coalesce(1)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").options(**options).format(file_format).save(path)
+    return files
+
+
 def content_hash(df: DataFrame) -> str:
     """Order-free SHA-256 of all rows: of the exact sums of the rows' own SHA-256, in four parts.
 
@@ -176,14 +194,16 @@ def export_with_manifest(
     return manifest
 
 
-def write_report(spark: SparkSession, summary: DataFrame, details: dict[str, DataFrame], path: str, title: str) -> None:
-    """One-row summary as Markdown and CSV, bounded detail tables as CSV."""
+def write_report(
+    spark: SparkSession, summary: DataFrame, details: dict[str, DataFrame], path: str, title: str, order: dict[str, Sequence[str]] | None = None
+) -> None:
+    """One-row summary as Markdown and CSV, bounded detail tables as CSV, in the order given for them or of their columns."""
     row = summary.first().asDict()
     lines = [f"# {title}", "", *[f"- {name}: {value}" for name, value in row.items()], ""]
     write_small_text(spark, f"{path}/report.md", "\n".join(lines))
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary")
     for name, df in details.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        write_sorted(df, f"{path}/{name}", (order or {}).get(name, df.columns), "csv", header=True)
 
 
 def write_json_summary(df: DataFrame, path: str) -> None:
