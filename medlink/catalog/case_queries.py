@@ -166,8 +166,8 @@ def whole_details(products: DataFrame, lists: DataFrame, permits: DataFrame) ->
     CTE.rstrip()
     + """,
     atc AS (SELECT DISTINCT p_type AS atc_code, 'ATC ' || p_type AS atc_name FROM part WHERE p_size <> 7),
-    permits AS (SELECT p_brand || '-' || p_mfgr AS permit_no, min(p_container) AS dosage_form, bool_and(p_size % 5 = 0) AS is_cancelled FROM part GROUP BY 1),
-    links AS (SELECT DISTINCT 'P' || ps.p_partkey AS product_code, o.p_brand || '-' || o.p_mfgr AS permit_no, CASE WHEN o.p_partkey = ps.p_partkey THEN 'suffix' ELSE 'link' END AS link_source
+    permits AS (SELECT p_brand || '-' || p_size AS permit_no, min(p_type) AS dosage_form, bool_and(p_size % 5 = 0) AS is_cancelled FROM part GROUP BY 1),
+    links AS (SELECT DISTINCT 'P' || ps.p_partkey AS product_code, o.p_brand || '-' || o.p_size AS permit_no, CASE WHEN o.p_partkey = ps.p_partkey THEN 'suffix' ELSE 'link' END AS link_source
         FROM part ps JOIN part o ON o.p_partkey IN (ps.p_partkey, ps.p_partkey + 1, ps.p_partkey + 2)),
     roles AS (SELECT product_code, ingredient_id, CASE WHEN ingredient_id IN (SELECT ingredient_id FROM concepts WHERE canonical_name LIKE 'Brand#1%') THEN 'excipient' ELSE 'active' END AS role FROM owned),
     i AS (SELECT product_code, string_agg(canonical_name || ':' || role || ':item', '|' ORDER BY canonical_name) AS ingredients,
@@ -186,11 +186,11 @@ def _product_enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Products with their classification, ingredients (and the active ones), permits and name variants."""
     d, part = dictionary(spark, sf), table(spark, sf, "part")
     code = lambda c: F.concat(F.lit("P"), F.col(c).cast("string")).alias("product_code")
-    number = F.concat("p_brand", F.lit("-"), "p_mfgr").alias("permit_no")
+    number = F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("permit_no")
     products = d.products.join(part.select(code("p_partkey"), F.col("p_type").alias("atc_code")), "product_code")
     atc = part.where("p_size <> 7").select(F.col("p_type").alias("atc_code")).distinct().withColumn("atc_name", F.concat(F.lit("ATC "), "atc_code"))
     none = F.lit(None).cast("string")
-    permits = part.groupBy(number).agg(F.min("p_container").alias("dosage_form"), F.bool_and(F.col("p_size") % 5 == 0).alias("is_cancelled"))
+    permits = part.groupBy(number).agg(F.min("p_type").alias("dosage_form"), F.bool_and(F.col("p_size") % 5 == 0).alias("is_cancelled"))
     permits = permits.withColumns({"product_name": none, "ingredient_text": none})
     near = part.select("p_partkey", number).withColumn("_of", F.explode(F.array([F.col("p_partkey") - F.lit(k) for k in range(3)])))
     source = F.when(F.col("_of") == F.col("p_partkey"), "suffix").otherwise("link").alias("link_source")
