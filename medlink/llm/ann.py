@@ -25,22 +25,50 @@ TABLES = 2
 #: Vectors, and queries, of one block of distances.
 BLOCK_ROWS = 8192
 GROUPS = 12
+#: Bound of components and cells of the index, in units of its sample. Squares of numbers below BIG, above its inverse, are safe.
+FAR, BIG = 2.0**40, 2.0**400
+
+
+def unit_of(vectors: np.ndarray) -> float:
+    """A power of two near the largest component."""
+    top = float(np.abs(vectors).max()) if vectors.size else 0.0
+    return float(2.0 ** min(1000, math.frexp(top)[1])) if top else 1.0
+
+
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; scaled where squares would leave its range."""
+    with np.errstate(over="ignore"):
+        gap = vectors - query
+        out = np.sqrt((gap * gap).sum(axis=1))
+    top = np.abs(gap).max(axis=1, initial=0)
+    odd = (top > BIG) | ((top < 1 / BIG) & (top > 0))
+    if odd.any():
+        half = 0.5 * vectors[odd] - 0.5 * query  # a difference of two huge numbers may overflow
+        unit = np.ldexp(1.0, np.clip(np.frexp(np.abs(half).max(axis=1))[1], -1020, 1020))
+        with np.errstate(over="ignore"):
+            out[odd] = 2 * unit * np.sqrt(((half / unit[:, None]) ** 2).sum(axis=1))
+    return out
 
 
 @dataclass
 class Index:
-    """normals: (tables, functions, dimensions); offsets: (tables, functions); probes: cells visited in each table."""
+    """normals: (tables, functions, dimensions); offsets: (tables, functions); probes: cells visited in each table.
+
+    unit: a power of two that vectors are divided by first, so that nothing overflows.
+    """
 
     normals: np.ndarray
     offsets: np.ndarray
     width: float
     probes: int
+    unit: float = 1.0
     sample_recall: float = float("nan")
     sample_visited: float = float("nan")
 
     def places(self, vectors: np.ndarray) -> np.ndarray:
-        """Positions in units of cells: (tables, vectors, functions)."""
-        return np.einsum("tfd,nd->tnf", self.normals, vectors) / self.width + self.offsets[:, None, :]
+        """Positions in units of cells: (tables, vectors, functions), those far beyond the sample at a bound."""
+        near = np.clip(vectors / self.unit, -FAR, FAR)
+        return np.clip(np.einsum("tfd,nd->tnf", self.normals, near) / self.width + self.offsets[:, None, :], -FAR, FAR)
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """The cell of each vector in each table: (tables, vectors)."""
@@ -75,7 +103,9 @@ def fit_index(sample: np.ndarray, k: int = 10, target: float = TARGET_RECALL, se
     rng = np.random.default_rng(seed)
     dim = sample.shape[1] if len(sample) else 1
     if len(sample) < 2:
-        return Index(np.ones((1, 1, dim)), np.full((1, 1), 0.5), 1e300, 1)
+        return one_cell(dim)
+    unit = unit_of(sample)
+    sample = sample / unit
     queries = sample[:SAMPLE_QUERIES]
     gaps = np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * queries @ sample.T))
     gaps[np.arange(len(queries)), np.arange(len(queries))] = np.inf
@@ -106,9 +136,15 @@ def fit_index(sample: np.ndarray, k: int = 10, target: float = TARGET_RECALL, se
             if best is None or score < best[0]:
                 index.probes, index.sample_recall, index.sample_visited = probes, recall, visited
                 best = (score, index)
+    best[1].unit = unit
     return best[1]
 
 
+def one_cell(dim: int) -> Index:
+    """An index that compares everything."""
+    return Index(np.ones((1, 1, dim)), np.full((1, 1), 0.5), 1e300, 1)
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty, without null, NaN or infinite components, not all zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -135,16 +171,18 @@ def _nearest(k: int):
             seen = np.zeros((len(q), len(cells)), bool)
             real = cells[at] == asked
             seen[who[real], at[real]] = True
-            norms = (x * x).sum(axis=1)
+            unit = max(unit_of(x), unit_of(q))
+            scaled = x if 1 / BIG < unit < BIG else x / unit
+            norms = (scaled * scaled).sum(axis=1)
             for low in range(0, len(q), 256):
-                part = q[low : low + 256]
-                gap = norms[None] - 2 * part @ x.T
+                part = q[low : low + 256] if scaled is x else q[low : low + 256] / unit
+                gap = norms[None] - 2 * part @ scaled.T
                 gap[~seen[low : low + 256][:, of] | (names[low : low + 256, None] == ids[None])] = np.inf
                 slack = 1e-9 * (1 + np.abs(norms).max() + (part * part).sum(axis=1).max())
                 kth = np.partition(gap, min(k, gap.shape[1]) - 1, axis=1)[:, min(k, gap.shape[1]) - 1]
                 for i, line in enumerate(gap):
                     near = np.flatnonzero((line <= kth[i] + slack) & np.isfinite(line))
-                    exact = np.sqrt(((x[near] - part[i]) ** 2).sum(axis=1))
+                    exact = distances(x[near], q[low + i])
                     order = np.lexsort((ids[near], exact))[:k]
                     out[0].extend([names[low + i]] * len(order))
                     out[1].extend(ids[near[order]].tolist())
@@ -167,22 +205,28 @@ def search(
 ) -> DataFrame:
     """The k nearest found of each query among all other rows: query_id, rank, vec_id, score (Euclidean distance).
 
-    is_query tells queries by the column "id", the row's id. Rows whose vector isn't usable, or not of the first vector's length, and rows
-    with a null id take no part. Of repeated rows of an id the least vector counts. Ties go to the smaller id. A query
-    that finds fewer than k by its probes is compared with everything.
+    is_query tells queries by the column "id", the row's id. Rows whose vector isn't usable and rows with a null id take no
+    part. Vectors of different lengths have no distance: each length is searched by itself, with an index of its own. Of
+    repeated rows of an id the least vector counts. Ties go to the smaller id. A query that finds fewer than k by its
+    probes is compared with everything of its length. Any finite components are taken, also where their squares overflow;
+    a distance beyond double precision is infinite.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.where("id is not null").where(usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
     rows = stored(rows, "vectors")
-    head = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not head.num_rows:
-        return rows.sparkSession.createDataFrame([], schema)
-    dim = len(head.column("vector")[0])
-    rows = rows.where(F.size("vector") == dim)
+    lengths = sorted(r["size"] for r in rows.select(F.size("vector").alias("size")).distinct().collect())
+    found = None
+    for dim in lengths:
+        some = _search_length(rows if len(lengths) == 1 else rows.where(F.size("vector") == dim), is_query, k, dim, target, index)
+        found = some if found is None else found.unionByName(some)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _search_length(rows: DataFrame, is_query: Column, k: int, dim: int, target: float, index: Index | None) -> DataFrame:
+    """search among stored rows (id, vector) of one length."""
     if index is None:
-        same = [v for v in head.column("vector").to_pylist() if len(v) == dim]
-        index = fit_index(np.array(same, np.float64), k, target)
+        head = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
+        index = fit_index(np.array(head.column("vector").to_pylist(), np.float64), k, target)
     # of equal vectors, only the k + 1 least ids can be among the k nearest of anything
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     kept = rows.withColumn("place", first).where(F.col("place") <= k + 1).drop("place")
@@ -191,8 +235,7 @@ def search(
     found = stored(_best(found, k), "found")
     complete = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     poor = stored(asked.join(complete, asked["query"] == complete["query_id"], "left_anti"), "poor")
-    whole = Index(np.ones((1, 1, dim)), np.full((1, 1), 0.5), 1e300, 1)
-    rest = _best(_probe(poor, kept, whole, k), k)
+    rest = _best(_probe(poor, kept, one_cell(dim), k), k)
     return found.join(poor, found["query_id"] == poor["query"], "left_anti").unionByName(rest)
 
 

@@ -317,6 +317,25 @@ def test_pipeline(spark, docs, labels, odd):
         assert stage(spark, empty, SF).count() == 0, name
 
 
+def test_neighbours_of_every_length_and_size(spark):
+    """Lengths are searched each by itself; components whose squares overflow, or vanish, have their distances."""
+    import math
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=2 if i % 7 == 0 else 4)]) for i in range(80)]
+    rows += [(i, [s * float(v) for v in rng.normal(size=4)]) for i, s in [*((i, 1e160) for i in range(80, 95)), *((i, 1e-170) for i in range(95, 110))]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, F.col("id") % 5 == 0, k=6).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, x in rows:
+        if q % 5 == 0:
+            near = sorted((math.dist(x, y), i) for i, y in rows if i != q and len(y) == len(x))[:6]
+            mine = [(i, s) for _, i, s in sorted(got[q])]
+            assert [s for _, s in mine] == pytest.approx([d for d, _ in near], rel=1e-12), q
+            assert len({i for i, _ in mine}) == 6
+
+
 def members_of(spark, shares, peak, n=4000, seed=1):
     rng = np.random.default_rng(seed)
     z = rng.normal(size=(n, 4)) + peak * np.eye(4)[rng.choice(4, p=shares, size=n)]
