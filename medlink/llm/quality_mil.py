@@ -233,7 +233,11 @@ def quality(model: MilModel, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, model: MilModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, top_passage. Null and empty texts are scored as empty."""
+    """One row per document: doc_id, held_out, score, predicted, top_passage.
+
+    Null and empty texts are scored as empty, with a score of their own; repeated rows are scored alike, each for itself; a
+    null doc_id is not held out; an empty table gives no row; other columns don't matter.
+    """
     scored = docs.select(F.col(doc_id).alias("doc_id"), quality(model, F.col(text)).alias("q"))
     return scored.select(
         "doc_id",

@@ -14,25 +14,30 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths with sums from each length on: a row a length, empty for an empty table."""
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"))
     return token_counts.length_histogram(stored(token_counts.length_counts(lengths), "counts"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of every document; see ngram_join.near_copies for null, empty and repeated rows."""
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.7) and top_passage of every document."""
     docs = table(spark, sf_dir, "documents")
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"))
     return quality_mil.classify(docs, model, threshold=0.7)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base figures, base_failed, posterior and kept of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), store=lambda df: stored(df, "figures"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens: a row a piece with its place."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
@@ -41,6 +46,7 @@ TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, posteriors, rate, copies and misfit of every document, for the shares in TARGETS."""
     docs = table(spark, sf_dir, "documents")
     labelled = mixing.labelled_languages(docs, table(spark, sf_dir, "labels"))
     mixed = mixing.mix_documents(docs, labelled, TARGETS, lambda df: stored(df, "members"))
@@ -49,20 +55,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.3) and spans of every document."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.classify(docs, model, threshold=0.3)
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100: query_id, rank, vec_id, score."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 by its key, its slot there, and its shard with one more."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as written to WARC bundles and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = shared_dir(spark)
     index = stored(warc.write_bundles(warc.classify(table(spark, sf_dir, "pages")), f"{folder}/warc"), "index")
     records = warc.read_bundles(spark, f"{folder}/warc", index)

@@ -257,7 +257,11 @@ def toxicity(model: ToxicModel, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, spans. Null and empty texts have no words and no span."""
+    """One row per document: doc_id, held_out, score, predicted, spans.
+
+    Null and empty texts have no words and no span, and a score all the same; repeated rows are scored alike, each for
+    itself; a null doc_id is not held out; an empty table gives no row; other columns don't matter.
+    """
     scored = docs.select(F.col(doc_id).alias("doc_id"), toxicity(model, F.col(text)).alias("t"))
     return scored.select(
         "doc_id",
