@@ -11,6 +11,7 @@ from medlink.functions import text as T
 from medlink.operators import curate as C
 from medlink.operators import match_index as I
 from medlink.operators import matching as M
+from medlink.sources.writers import has_release
 
 HAN = "[\\x{4E00}-\\x{9FFF}]"
 DIGITS, HAN_DIGITS = "0123456789", "零一二三四五六七八九"
@@ -51,7 +52,7 @@ _STORED: dict[tuple[str, str], str] = {}
 def matching_index(spark: SparkSession, sf: str) -> I.MatchIndex:
     """The index of the dictionary, stored as a release when it is first asked for and then read by all queries."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
+    if key not in _STORED or not has_release(spark, _STORED[key]):
         root = I.new_folder(spark, "match-index")
         I.store_index(dictionary(spark, sf), root, "first")
         _STORED[key] = root

@@ -121,6 +121,11 @@ def _pointer(spark: SparkSession, root: str) -> dict:
     return json.loads(read_small_text(spark, f"{root}/CURRENT"))
 
 
+def has_release(spark: SparkSession, root: str) -> bool:
+    fs, pointer = _fs(spark, f"{root}/CURRENT")
+    return fs.exists(pointer)
+
+
 def current_release(spark: SparkSession, root: str) -> str:
     return _pointer(spark, root)["release"]
 
