@@ -6,13 +6,18 @@
   where they are many.
 * Overlap postings: stem sets of products by pairs of words. Two sets that share m of a line's n known words share two of
   the line's n - m + 2 rarest ones.
-* Han grams: every run of up to GRAM characters of a name, with the number of its products and the longest of its names.
+* Han names, one row a name. Of names longer than WHOLE characters also their grams: every run of up to GRAM characters,
+  with the number of its products and the longest of its names.
+
+Every table may grow with the dictionary while its file stays small (few words, many rows), and Spark sizes a table by its
+file; so all carry a merge hint and none is broadcast.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +27,7 @@ from medlink.functions import fixed_values as V
 from medlink.functions import text as T
 from medlink.operators.curate import token_index, with_name_keys
 from medlink.operators.keyed import checkpointed
-from medlink.sources.writers import current_release, publish_release, read_release
+from medlink.sources.writers import current_release, has_release, publish_release, read_release, release_tables
 
 #: A stem in fewer stem sets than this identifies products by itself.
 RARE_STEM_SETS = 16
@@ -30,6 +35,10 @@ RARE_STEM_SETS = 16
 LISTED_PARTNERS = 64
 #: Longest gram of the Han index.
 GRAM = 4
+#: Han runs with up to this number of characters are looked for whole, among the runs of the names.
+WHOLE = 32
+#: So few tables are built from the dictionary as it is; for more it is written once.
+FEW_TABLES = 4
 #: Stands for the second word of a name of one word.
 NO_WORD = ""
 
@@ -49,7 +58,7 @@ class Dictionary:
     variants: DataFrame
 
     def named_products(self) -> DataFrame:
-        having = self.product_ingredients.select("product_code").distinct().withColumn("_has", F.lit(True))
+        having = self.product_ingredients.select("product_code").distinct().withColumn("_has", F.lit(True)).hint("merge")
         return self.products.join(having, "product_code", "left").select(
             F.col("product_code").alias("product_id"),
             F.coalesce("name_en", "name_zh").alias("product_name"),
@@ -74,22 +83,26 @@ class Dictionary:
 
 @dataclass(frozen=True)
 class MatchIndex:
-    """Tables of the index; their columns are in the functions that build them."""
-
-    exact_keys: DataFrame
-    ingredient_sets: DataFrame
-    ingredient_partners: DataFrame
-    product_sets: DataFrame
-    product_partners: DataFrame
-    overlap_pairs: DataFrame
-    overlap_single: DataFrame
-    overlap_words: DataFrame
-    tokens: DataFrame
-    clean_stems: DataFrame
-    han_names: DataFrame
-    han_grams: DataFrame
-    owned: DataFrame
-    concept_names: DataFrame
+    """Tables of the index; their columns are in the functions that build them.  Of a stored index some may be absent."""
+
+    exact_keys: DataFrame | None = None
+    ingredient_sets: DataFrame | None = None
+    ingredient_partners: DataFrame | None = None
+    product_sets: DataFrame | None = None
+    product_partners: DataFrame | None = None
+    overlap_pairs: DataFrame | None = None
+    overlap_single: DataFrame | None = None
+    overlap_words: DataFrame | None = None
+    tokens: DataFrame | None = None
+    clean_stems: DataFrame | None = None
+    han_names: DataFrame | None = None
+    han_long: DataFrame | None = None
+    han_grams: DataFrame | None = None
+    owned: DataFrame | None = None
+    concept_names: DataFrame | None = None
+
+
+TABLES = tuple(f.name for f in fields(MatchIndex))
 
 
 def newest_first(*ties: str) -> Column:
@@ -125,7 +138,7 @@ def exact_key_table(d: Dictionary) -> DataFrame:
     by_variant = (
         variants.where(F.col("target_type") == "product")
         .select(F.col("normalized_text").alias("key"), F.col("target_id").alias("product_id"))
-        .join(products, "product_id")
+        .join(products.hint("merge"), "product_id")
     )
     by_name_key = with_name_keys(products).withColumn(
         "key", F.explode(F.array_distinct(F.array("ocr_key_en", "ocr_key_zh")))
@@ -134,7 +147,7 @@ def exact_key_table(d: Dictionary) -> DataFrame:
     alias = variants.where(F.col("target_type") == "ingredient").select(
         F.col("normalized_text").alias("key"), F.col("target_id").alias("ingredient_id")
     )
-    alias = alias.join(d.concepts.select("ingredient_id"), "ingredient_id", "left_semi")
+    alias = alias.join(d.concepts.select("ingredient_id").hint("merge"), "ingredient_id", "left_semi")
     paren = alias.unionByName(canonical).where(F.length("key") >= 3)
     return (
         _best_product(by_variant, "product_exact")
@@ -157,11 +170,11 @@ def _ranked(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     exploded = keyed.select("_id", F.size("stems").alias("_n"), F.explode("stems").alias("stem"))
     words = exploded.groupBy("stem").agg(F.count(F.lit(1)).alias("df"), F.max("_n").alias("largest"))
     order = (
-        exploded.join(words, "stem")
+        exploded.join(words.hint("merge"), "stem")
         .groupBy("_id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("_ranked"))
     )
-    return keyed.join(order, "_id").drop("_id"), words
+    return keyed.join(order.hint("merge"), "_id").drop("_id"), words
 
 
 def cover_index(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +187,7 @@ def cover_index(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     postings = ranked.withColumns({"key_a": word(0), "key_b": F.coalesce(word(1), F.lit(NO_WORD))}).drop("_ranked")
     pairs = postings.select("key_a", "key_b").distinct()
     counts = pairs.groupBy("key_a").agg(F.count(F.lit(1)).alias("n_partners"))
-    few = pairs.join(counts.where(F.col("n_partners") <= LISTED_PARTNERS), "key_a")
+    few = pairs.join(counts.where(F.col("n_partners") <= LISTED_PARTNERS).hint("merge"), "key_a")
     listed = few.groupBy("key_a").agg(F.array_sort(F.collect_list("key_b")).alias("partners"))
     many = counts.where(F.col("n_partners") > LISTED_PARTNERS).select("key_a", F.lit(None).cast("array<string>").alias("partners"))
     return postings, listed.unionByName(many)
@@ -279,7 +292,7 @@ def clean_stem_table(tokens: DataFrame, limit: int) -> DataFrame:
     """(token_stem, ingredient_id): a stem of more than ``limit`` ingredients is one row without an id."""
     owners = tokens.select("token_stem", "ingredient_id").distinct()
     wide = owners.groupBy("token_stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("token_stem")
-    return owners.join(wide, "token_stem", "left_anti").unionByName(wide.withColumn("ingredient_id", F.lit(None).cast("string")))
+    return owners.join(wide.hint("merge"), "token_stem", "left_anti").unionByName(wide.withColumn("ingredient_id", F.lit(None).cast("string")))
 
 
 # --- Han names ----------------------------------------------------------------------
@@ -292,21 +305,21 @@ def grams(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def han_index(d: Dictionary) -> tuple[DataFrame, DataFrame]:
-    """(names: gram, product_id, product_name, has_ids, effective_start; grams: gram, products, names, longest name)."""
+def han_index(d: Dictionary) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names: product_id, product_name, has_ids, effective_start; of long ones by gram; grams: gram, products, names, longest)."""
     names = (
         d.variants.where((F.col("target_type") == "product") & T.has_cjk("variant_text"))
         .select(F.col("target_id").alias("product_id"), F.col("variant_text").alias("product_name"))
         .distinct()
-        .join(d.named_products().select("product_id", "has_ids", "effective_start"), "product_id")
+        .join(d.named_products().select("product_id", "has_ids", "effective_start").hint("merge"), "product_id")
     )
     name = F.col("product_name")
     sizes = [grams(name, n) for n in range(1, GRAM + 1)]
-    indexed = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *sizes))))
+    indexed = names.where(F.length(name) > WHOLE).withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *sizes))))
     counts = indexed.groupBy("gram").agg(
         F.count_distinct("product_id").alias("n_products"), F.count(F.lit(1)).alias("n_names"), F.max(F.length("product_name")).alias("longest")
     )
-    return indexed, counts
+    return names, indexed, counts
 
 
 # --- the whole index -------------------------------------------------------------------
@@ -315,7 +328,7 @@ def han_index(d: Dictionary) -> tuple[DataFrame, DataFrame]:
 def build_index(d: Dictionary) -> MatchIndex:
     """The index as plans over the dictionary; nothing is computed yet."""
     tokens = d.ingredient_tokens()
-    return MatchIndex(
+    built = (
         exact_key_table(d),
         *cover_index(ingredient_stem_sets(d)),
         *cover_index(variant_stem_sets(d)),
@@ -326,18 +339,32 @@ def build_index(d: Dictionary) -> MatchIndex:
         d.product_ingredients.select("product_code", "ingredient_id").distinct(),
         d.concepts.select("ingredient_id", "canonical_name"),
     )
+    return MatchIndex(*[df.hint("merge") for df in built])
+
+
+def store_index(d: Dictionary, root: str, release: str, tables: Sequence[str] = TABLES) -> MatchIndex:
+    """Write tables of the index under a new release and read them back; readers follow the release pointer."""
+    spark = d.products.sparkSession
+    index = build_index(d.materialised() if len(tables) > FEW_TABLES else d)
+    publish_release(spark, {name: getattr(index, name) for name in tables}, root, release)
+    return read_index(spark, root)
 
 
-def store_index(d: Dictionary, root: str, release: str) -> MatchIndex:
-    """Write all tables of the index under a new release and read them back; readers follow the release pointer."""
-    spark, index = d.products.sparkSession, build_index(d.materialised())
-    publish_release(spark, {f.name: getattr(index, f.name) for f in fields(MatchIndex)}, root, release)
+def add_tables(d: Dictionary, root: str, release: str, tables: Sequence[str]) -> MatchIndex:
+    """Write those ``tables`` that the release lacks; the others stay."""
+    spark = d.products.sparkSession
+    stored = release_tables(spark, root) if has_release(spark, root) else {}
+    missing = [name for name in tables if name not in stored]
+    if missing:
+        index = build_index(d.materialised() if len(missing) > FEW_TABLES else d)
+        publish_release(spark, {name: getattr(index, name) for name in missing}, root, release, stored)
     return read_index(spark, root)
 
 
 def read_index(spark: SparkSession, root: str) -> MatchIndex:
-    """The index of the current release."""
-    return MatchIndex(**{f.name: read_release(spark, root, f.name) for f in fields(MatchIndex)})
+    """The index of the current release; tables that it lacks are None."""
+    stored = release_tables(spark, root)
+    return MatchIndex(**{name: read_release(spark, root, name).hint("merge") for name in TABLES if name in stored})
 
 
 def index_release(spark: SparkSession, root: str) -> str:

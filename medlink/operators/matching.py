@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlink.functions import fixed_values as V
@@ -28,6 +28,7 @@ from medlink.operators.keyed import checkpointed, left_lookup
 from medlink.operators.match_index import (
     GRAM,
     NO_WORD,
+    WHOLE,
     Dictionary,
     MatchIndex,
     as_index,
@@ -192,7 +193,7 @@ def ocr_clean_hits(texts: DataFrame, d: Known, upper: bool = False, limit: int =
     found = (
         ocr_cleaned(texts, index.tokens, upper)
         .select("input_text", F.explode(stems).alias("token_stem"))
-        .join(listing, "token_stem")
+        .join(listing.hint("merge"), "token_stem")
     )
     # At most ``limit`` ids per stem of one text reach this set.
     per_text = found.groupBy("input_text").agg(
@@ -222,29 +223,52 @@ def _without(text: Column, i: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
 
 
-def near_names(segments: DataFrame, names: DataFrame, gram_counts: DataFrame, limit: int) -> DataFrame:
-    """(segment, name columns): names that contain a segment with one character left out; segments are distinct.
+def runs_of_names(names: DataFrame, lengths: DataFrame, limit: int) -> DataFrame:
+    """(run, name columns): the runs of just these ``lengths`` in each name, with at most ``limit`` + 1 products a run.
+
+    The limit holds where the names lie already, so a run of very many names leaves a task as few rows.
+    """
+    name, size = F.col("product_name"), F.col("_size")
+    places = F.sequence(F.lit(1), F.length(name) - size + 1)
+    runs = (
+        names.withColumn("_size", F.explode(F.sequence(F.lit(0), F.least(F.length(name), F.lit(WHOLE)))))
+        .join(F.broadcast(lengths), "_size", "left_semi")
+        .select(*names.columns, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(name, i, size)))).alias("run"))
+    )
+    product = F.dense_rank().over(Window.partitionBy("run").orderBy("product_id"))
+    return runs.withColumn("_product", product).where(F.col("_product") <= limit + 1).drop("_product")
 
-    A segment with more than ``limit`` products has one row without a product.  (A name that contains the whole segment
-    also contains it without its last character.)
 
-    Short segments: what is left after a deletion is a gram, and found as such.  In a longer one the character is missing
-    from one half, so the other half is whole: names are fetched by that half's rarest gram, then verified.  A segment
-    longer by two than all names with that gram is not looked for, so long runs cost no more than their grams.
+def near_names(segments: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """(input_text, name columns) for segments(input_text, segment) of up to WHOLE + 1 characters: names that contain a
+    segment with one character left out.
+
+    What is left of a segment is a run of the name, so both meet in one equi join, whatever number of names look alike.
+    Of a run in more than ``limit`` products, limit + 1 are given.  (A name that contains the whole segment also contains
+    it without its last character.)
+    """
+    segment, size = F.col("segment"), F.length("segment")
+    needles = segments.where(size <= WHOLE + 1).select(
+        "input_text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: _without(segment, i)))).alias("run")
+    )
+    lengths = segments.select((size - 1).alias("_size")).where(F.col("_size") <= WHOLE).distinct()
+    return needles.join(runs_of_names(names, lengths, limit).hint("merge"), "run").drop("run")
+
+
+def near_long_names(segments: DataFrame, names: DataFrame, gram_counts: DataFrame, limit: int) -> DataFrame:
+    """(segment, name columns): the same for distinct segments of more than WHOLE + 1 characters; names by gram.
+
+    A segment with more than ``limit`` products has one row without a product.  The character is missing from one half, so
+    the other half is whole: names are fetched by that half's rarest gram, then verified.  A segment longer by two than
+    all names with that gram is not looked for, so long runs cost no more than their grams.
     """
     segment, size = F.col("segment"), F.length("segment")
     row = names.drop("gram").columns
     blank = {c: F.lit(None).cast(t) for c, t in names.drop("gram").dtypes}
     places = lambda low, high: F.when(high >= low, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-    # short segments
-    short = segments.where(size <= GRAM + 1).select(
-        "segment", F.explode(F.array_distinct(F.transform(places(F.lit(1), size), lambda i: _without(segment, i)))).alias("gram")
-    ).join(gram_counts.select("gram", "n_products"), "gram")
-    short_rows = short.where(F.col("n_products") <= limit).select("segment", "gram").join(names, "gram").drop("gram")
-    short_over = short.where(F.col("n_products") > limit).select("segment").withColumns(blank)
-    # longer ones: (segment, side that is whole, its grams)
+    # (segment, side that is whole, its grams)
     half = F.floor(size / 2).cast("int")
-    sides = segments.where(size > GRAM + 1).select(
+    sides = segments.where(size > WHOLE + 1).select(
         "segment",
         F.inline(
             F.array(
@@ -253,10 +277,8 @@ def near_names(segments: DataFrame, names: DataFrame, gram_counts: DataFrame, li
             )
         ),
     )
-    length = F.least(F.lit(GRAM), F.length("whole"))
-    every = F.when(length == GRAM, grams(F.col("whole"), GRAM)).otherwise(grams(F.col("whole"), GRAM - 1))
     rarest = (
-        sides.select("segment", "low", "high", F.explode(F.array_distinct(every)).alias("gram"))
+        sides.select("segment", "low", "high", F.explode(F.array_distinct(grams(F.col("whole"), GRAM))).alias("gram"))
         .join(gram_counts.select("gram", "n_names", "longest"), "gram", "left")
         .groupBy("segment", "low", "high")
         .agg(F.min(F.struct(F.coalesce("n_names", F.lit(0)).alias("n"), "gram", "longest")).alias("_min"))
@@ -281,9 +303,9 @@ def near_names(segments: DataFrame, names: DataFrame, gram_counts: DataFrame, li
     )
     found = by_half.unionByName(by_needle)
     n = found.groupBy("segment").agg(F.count_distinct("product_id").alias("_n"))
-    kept = found.join(n.where(F.col("_n") <= limit).select("segment"), "segment")
+    kept = found.join(n.where(F.col("_n") <= limit).select("segment").hint("merge"), "segment")
     over = n.where(F.col("_n") > limit).select("segment").withColumns(blank)
-    return short_rows.unionByName(short_over).unionByName(kept).unionByName(over)
+    return kept.unionByName(over)
 
 
 def cjk_hits(texts: DataFrame, d: Known, limit: int = V.CJK_MAX_PRODUCTS) -> DataFrame:
@@ -293,11 +315,12 @@ def cjk_hits(texts: DataFrame, d: Known, limit: int = V.CJK_MAX_PRODUCTS) -> Dat
     """
     index = as_index(d)
     segments = han_segments(texts)
-    answers = near_names(segments.select("segment").distinct(), index.han_names, index.han_grams, limit)
+    long = segments.where(F.length("segment") > WHOLE + 1)
+    far = near_long_names(long.select("segment").distinct(), index.han_long, index.han_grams, limit)
+    answers = near_names(segments, index.han_names, limit).unionByName(long.join(far.hint("merge"), "segment").drop("segment"))
     product = F.struct("product_id", "product_name", "has_ids")
     return (
-        segments.join(answers, "segment")
-        .groupBy("input_text")
+        answers.groupBy("input_text")
         .agg(
             F.count_distinct("product_id").alias("_n"),
             F.max(F.col("product_id").isNull()).alias("_over"),

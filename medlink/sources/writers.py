@@ -130,6 +130,11 @@ def current_release(spark: SparkSession, root: str) -> str:
     return _pointer(spark, root)["release"]
 
 
+def release_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """The current release's tables and their folders."""
+    return _pointer(spark, root)["tables"]
+
+
 def read_release(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{_pointer(spark, root)['tables'][table]}")
 
