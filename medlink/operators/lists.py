@@ -50,15 +50,19 @@ def base_ingredients(ids: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def list_ingredients(items: DataFrame, product_ingredients: DataFrame, concepts: DataFrame) -> DataFrame:
     """(list_id, ingredient_id): by product code, else by name prefix, then mapped to base concepts."""
+    # Ids are mapped where products and names are distinct, before lists multiply them: a name has far fewer bases than
+    # concepts.  Files of products are small for their rows, so they are not broadcast.
     owned = product_ingredients.select("product_code", "ingredient_id").distinct()
-    by_code = items.join(owned, "product_code").select("list_id", "ingredient_id")
+    based = base_ingredients(owned, concepts)
+    by_code = items.select("list_id", "product_code").join(based.hint("merge"), "product_code").select("list_id", "ingredient_id")
     coded = items.where(F.col("product_code").isNotNull()).join(
-        owned.select("product_code").distinct(), "product_code", "left_anti"
+        owned.select("product_code").distinct().hint("merge"), "product_code", "left_anti"
     )
     unresolved = coded.unionByName(items.where(F.col("product_code").isNull()))
-    named = unresolved.select("list_id", F.regexp_replace("name_en", "^[\"']|[\"']$", "").alias("name"))
-    by_name = named.join(names_starting_with(named, concepts), "name").select("list_id", "ingredient_id")
-    return base_ingredients(by_code.unionByName(by_name).distinct(), concepts)
+    named = unresolved.select("list_id", F.regexp_replace("name_en", "^[\"']|[\"']$", "").alias("name")).distinct()
+    starting = base_ingredients(names_starting_with(named, concepts), concepts)
+    by_name = named.join(starting.hint("merge"), "name").select("list_id", "ingredient_id")
+    return by_code.unionByName(by_name).distinct()
 
 
 def duplicate_members(candidates: DataFrame, items: DataFrame, product_ingredients: DataFrame) -> DataFrame:

@@ -55,3 +55,16 @@ def test_a_query_stores_only_the_tables_it_asks(spark):
     assert index.exact_keys is not None and index.han_names is None
     index = Q.matching_index(spark, sf, "tokens")
     assert index.exact_keys is not None and index.tokens is not None
+
+
+def test_lists_are_mapped_to_bases_before_they_multiply(spark, monkeypatch):
+    from medlink.operators import lists as P
+
+    concepts = spark.createDataFrame([("base", "ring")] + [(f"d{i}", f"ring {i} MG") for i in range(50)], "ingredient_id string, canonical_name string")
+    items = spark.range(200).select(F.col("id").alias("list_id"), F.when(F.col("id") % 2 == 0, "P1").alias("product_code"), F.lit("RING").alias("name_en"))
+    owned = spark.createDataFrame([("P1", "d7")], "product_code string, ingredient_id string")
+    real, rows = P.base_ingredients, []
+    monkeypatch.setattr(P, "base_ingredients", lambda ids, c: rows.append(ids.count()) or real(ids, c))
+    got = P.list_ingredients(items, owned, concepts).collect()
+    assert sorted(tuple(r) for r in got) == [(i, "base") for i in range(200)]
+    assert sum(rows) == 1 + 51  # one product, one name of 51 concepts; it was 100 + 100 * 51
