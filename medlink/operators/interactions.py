@@ -282,8 +282,9 @@ def evaluate_cases(
         .agg(F.min("position").alias("position"))
     )
     owned = product_ingredients.select("product_code", "ingredient_id").distinct()
-    resolved = listed.join(owned, "product_code")
-    unknown = listed.join(owned.select("product_code").distinct(), "product_code", "left_anti")
+    # files of products are small for their rows: they are not broadcast
+    resolved = listed.join(owned.hint("merge"), "product_code")
+    unknown = listed.join(owned.select("product_code").distinct().hint("merge"), "product_code", "left_anti")
     asked = ids.select("case_id", F.trim("ingredient_id").alias("ingredient_id")).where(F.col("ingredient_id") != "")
     # read by four branches below: written once
     wanted = checkpointed(
