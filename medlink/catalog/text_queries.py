@@ -458,16 +458,7 @@ PLANTED_LINES_SQL = f"WITH {DOC_LINES_SQL}, p AS (SELECT doc_id, line_no, {PLANT
 )
 def _line_predicates(spark: SparkSession, sf: str) -> DataFrame:
     lines = document_lines(spark, sf).withColumn("l", planted_line())
-    return lines.select(
-        "doc_id",
-        "line_no",
-        O.has_dosage("l").alias("has_dosage"),
-        O.has_form("l").alias("has_form"),
-        O.has_paren_hint("l").alias("has_hint"),
-        O.is_hard_noise("l").alias("hard_noise"),
-        O.is_worth_keeping("l").alias("keep"),
-        O.is_name_line("l").alias("name_line"),
-    )
+    return lines.select("doc_id", "line_no", F.inline(F.array(O.line_tests("l"))))
 
 
 @query(

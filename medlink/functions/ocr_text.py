@@ -113,6 +113,10 @@ def detection_form(c: Column | str) -> Column:
 def _fix_dose_digits(text: Column) -> Column:
     """O and l read as digits, only inside a number that stands before a unit."""
     dose = ascii_bounds(r"(?i)\b[0-9OIllo]+(?:\.[0-9OIllo]+)?\s*(?:mcg|mg|g|ml|iu|%)\b")
+    return let(text, lambda t: F.when(t.rlike(dose) | F.contains(t, F.lit("\u0001")), _fix_doses(t, dose)).otherwise(t))
+
+
+def _fix_doses(text: Column, dose: str) -> Column:
     pieces = F.split(F.regexp_replace(text, f"({dose})", "\u0001$1\u0001"), "\u0001")
     number = r"(?i)^[0-9OIllo]+(?:\.[0-9OIllo]+)?"
 
@@ -133,21 +137,36 @@ def pre_clean_line(c: Column | str) -> Column:
     return _squeeze(_fix_dose_digits(text))
 
 
+def _finds(line: Column, pattern: str, letters: str) -> Column:
+    """Whether the pattern is found; its matches begin with one of the letters or with a Han sign, only there it is tried."""
+    led = lambda first: line.rlike(f"(?=[{first}])(?:{ascii_bounds(pattern)})")
+    return led(letters) | led("一-鿿")
+
+
 def has_dosage(c: Column | str) -> Column:
-    return col(c).rlike(ascii_bounds(V.DOSAGE))
+    return col(c).rlike(r"\d") & col(c).rlike(ascii_bounds(V.DOSAGE))
+
+
+def _has_puff(c: Column | str) -> Column:
+    return col(c).rlike("(?i)puff") & col(c).rlike(ascii_bounds(V.PUFF))
 
 
 def has_form(c: Column | str) -> Column:
-    return col(c).rlike(ascii_bounds(V.FORM)) | col(c).rlike(ascii_bounds(V.PUFF))
+    return _finds(col(c), V.FORM, "TtCcSsIiRr") | _has_puff(c)
 
 
 def has_paren_hint(c: Column | str) -> Column:
     return col(c).rlike(V.PAREN_HINT)
 
 
-def is_hard_noise(c: Column | str) -> Column:
+def _is_code_or_boilerplate(c: Column | str) -> Column:
     line = col(c)
-    return line.rlike(ascii_bounds(V.PHONE_OR_CODE)) | line.rlike(ascii_bounds(V.BOILERPLATE)) | ((F.length(line) < 4) & ~has_dosage(line))
+    code = line.rlike(r"\d{3}") & line.rlike(ascii_bounds(V.PHONE_OR_CODE))
+    return code | _finds(line, V.BOILERPLATE, "PpQqDdWwSsIiAaUu")
+
+
+def is_hard_noise(c: Column | str) -> Column:
+    return _is_code_or_boilerplate(c) | ((F.length(col(c)) < 4) & ~has_dosage(c))
 
 
 def is_worth_keeping(c: Column | str) -> Column:
@@ -156,6 +175,26 @@ def is_worth_keeping(c: Column | str) -> Column:
     return has_dosage(line) | has_form(line) | has_paren_hint(line) | mixed
 
 
+def line_tests(c: Column | str) -> Column:
+    """has_dosage, has_form, has_hint, hard_noise, keep, name_line of a line as a struct; each pattern is searched once."""
+    line = col(c)
+    found = F.struct(
+        has_dosage(line).alias("dosage"), has_form(line).alias("form"), has_paren_hint(line).alias("hint"),
+        _is_code_or_boilerplate(line).alias("noise"), line.rlike("[A-Za-z]").alias("letter"),
+        line.rlike(r"\d").alias("digit"), (F.length(line) < 4).alias("short"),
+    )
+
+    def tests(s: Column) -> Column:
+        noise = s["noise"] | (s["short"] & ~s["dosage"])
+        keep = s["dosage"] | s["form"] | s["hint"] | (s["letter"] & s["digit"])
+        return F.struct(
+            s["dosage"].alias("has_dosage"), s["form"].alias("has_form"), s["hint"].alias("has_hint"),
+            noise.alias("hard_noise"), keep.alias("keep"), (~noise & (s["letter"] | keep)).alias("name_line"),
+        )
+
+    return let(found, tests)
+
+
 def is_name_line(c: Column | str) -> Column:
     return ~is_hard_noise(c) & (col(c).rlike("[A-Za-z]") | is_worth_keeping(c))
 
@@ -178,7 +217,7 @@ def line_confidence(c: Column | str) -> Column:
         F.lit(50)
         + points(has_dosage(line), 20)
         + points(has_form(line), 20)
-        + points(line.rlike(ascii_bounds(V.PUFF)) & ~has_dosage(line), 20)
+        + points(_has_puff(line) & ~has_dosage(line), 20)
         + points(has_paren_hint(line), 10)
     )
     return F.least(hundredths, F.lit(95)) / F.lit(100.0)
@@ -273,9 +312,17 @@ def merge_item_lines(lines: Column | str) -> Column:
     The fold keeps one held line, so a line is used at most once.
     """
     cleaned = F.filter(F.transform(col(lines), pre_clean_line), lambda x: (x != "") & ~is_hard_noise(x))
+    # no hard noise is left, so a name line is one with a letter or worth keeping; each pattern is searched once
+    found = lambda x: F.struct(
+        x.alias("text"), has_dosage(x).alias("dosage"), has_form(x).alias("form"), has_paren_hint(x).alias("hint"), x.rlike("[A-Za-z]").alias("letter")
+    )
     cells = F.transform(
-        cleaned,
-        lambda x: F.struct(x.alias("text"), is_open_name(x).alias("open"), continues_name(x).alias("more")),
+        F.transform(cleaned, found),
+        lambda s: F.struct(
+            s["text"].alias("text"),
+            ((s["letter"] | s["form"]) & ~s["dosage"] & ~s["hint"]).alias("open"),
+            (s["dosage"] | s["form"] | s["hint"]).alias("more"),
+        ),
     )
 
     def step(state: Column, cell: Column) -> Column:

@@ -172,3 +172,25 @@ def test_case_fields(value):
 def test_response_repair(value):
     for raw in ('```json\n{"k":"v\nw"}\n```', '<think>a {b}</think>{"k":"v w"}', '<think>open {"k":"v w"}'):
         assert value(T.parse_response(lit(raw), "k string"))["k"] == "v w"
+
+
+def test_line_tests_equal_the_plain_patterns(spark):
+    """Patterns are tried only where they can begin; before, every one was tried at every place of a line, some four times."""
+    from medlink.functions.patterns import ascii_bounds
+
+    assert ascii_bounds(r"\b\d+") == r"(?<![A-Za-z0-9_])\d+" and ascii_bounds(r"\b(mg|%)").startswith("(?:")
+    word = "[A-Za-z0-9_]"
+    plain = lambda p: p.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
+    bits = ["5 mg", "12mcg", "3%", "60 puff", "PUFFS", "Tab", "capsule", "錠", "口服", "use before", "Warning", "用法", "藥", "(Ab", ")", "02-2345-6789", "123456789", "123", "x", "_", "é", " ", "-", "\u212a", "m c g", "paff", "O1 mg", "\u0001"]
+    pick = random.Random(5)
+    rows = [("".join(pick.choice(bits) for _ in range(pick.randrange(7))),) for _ in range(3000)] + [(None,)]
+    lines = spark.createDataFrame(rows, "l string")
+    has = {n: F.col("l").rlike(plain(getattr(V, n))) for n in ("DOSAGE", "FORM", "PUFF", "PAREN_HINT", "PHONE_OR_CODE", "BOILERPLATE")}
+    form = has["FORM"] | has["PUFF"]
+    noise = has["PHONE_OR_CODE"] | has["BOILERPLATE"] | ((F.length("l") < 4) & ~has["DOSAGE"])
+    letter = F.col("l").rlike("[A-Za-z]")
+    keep = has["DOSAGE"] | form | has["PAREN_HINT"] | (letter & F.col("l").rlike(r"\d"))
+    want = F.struct(has["DOSAGE"], form, has["PAREN_HINT"], noise, keep, ~noise & (letter | keep))
+    one = F.struct(O.has_dosage("l"), O.has_form("l"), O.has_paren_hint("l"), O.is_hard_noise("l"), O.is_worth_keeping("l"), O.is_name_line("l"))
+    for r in lines.select("l", want.alias("want"), O.line_tests("l").alias("got"), one.alias("one")).collect():
+        assert tuple(r["want"]) == tuple(r["got"]) == tuple(r["one"]), r["l"]
