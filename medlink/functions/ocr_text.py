@@ -257,7 +257,9 @@ def is_quantity_only(c: Column | str) -> Column:
 def is_label_noise(c: Column | str) -> Column:
     def noise(text: Column) -> Column:
         rest = F.regexp_replace(F.regexp_replace(F.lower(text), V.LABEL_WORDS, ""), r"[:：,，.\-()/\s]", "")
-        return text.rlike(ascii_bounds(V.META_LINE)) | text.rlike(ascii_bounds(V.META_PREFIX)) | (rest == "")
+        # nothing can be left only where a label word comes first
+        led = F.lower(text).rlike(rf"^[:：,，.\-()/\s]*(?:$|{V.LABEL_WORDS})")
+        return text.rlike(ascii_bounds(V.META_LINE)) | text.rlike(ascii_bounds(V.META_PREFIX)) | (led & (rest == ""))
 
     return let(strip_inline_header(c), noise)
 

@@ -223,7 +223,7 @@ def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     order = [F.col("reading_no")]
     reached = running(text, keys, order, F.col("_cy"), "_reach", strips, "max", include_current=False)
     cut = F.coalesce(F.col("_cy") > F.col("_reach") + V.MERGE_ROW_TOLERANCE, F.lit(True)).cast("long")
-    cut_lines = running(reached, keys, order, cut, "_stretch", strips)
+    cut_lines = checkpointed(running(reached, keys, order, cut, "_stretch", strips))  # read twice
     codes = lines.where(code)
     bridged = _bridged(cut_lines, codes, keys)
     sizes = [F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]
@@ -327,8 +327,9 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 
         return let(facts, tag)
 
-    filled = lines.where(F.trim("text") != "").withColumn("_read", let(O.detection_form("text"), read))
-    tagged = filled.select("*", F.col("_read.inline").alias("_inline"), F.col("_read.anchors").alias("_anchors")).drop("_read")
+    filled = lines.where(F.trim("text") != "")
+    # read once a line, also where a filter asks for it
+    tagged = filled.select("*", F.inline(F.array(let(O.detection_form("text"), read)))).withColumnsRenamed({"inline": "_inline", "anchors": "_anchors"})
     anchors = tagged.select(*keys, "element_idx", "x", "y", F.explode("_anchors").alias("section"))
     order = F.create_map(*[F.lit(v) for i, (k, _) in enumerate(V.SECTION_ANCHORS) for v in (k, i)])
     anchors = anchors.withColumn("_no", F.element_at(order, F.col("section")))
@@ -370,6 +371,19 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 # --- line groups ------------------------------------------------------------------------
 
 
+def _content(text: str) -> Column:
+    """text without its inline header, from_header, and whether the line is neither label nor quantity."""
+    stripped = F.struct(O.strip_inline_header(text).alias("text"), O.is_inline_header(text).alias("from_header"))
+    return let(
+        stripped,
+        lambda s: F.struct(
+            s["text"].alias("text"),
+            s["from_header"].alias("from_header"),
+            ((F.length(s["text"]) > 0) & ~O.is_quantity_only(s["text"]) & ~O.is_label_noise(s["text"])).alias("_kept"),
+        ),
+    )
+
+
 def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Lines with ``group_no``: continuation lines below an aligned line join its group.
 
@@ -377,8 +391,10 @@ def group_lines(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     frame and the texts of the running group.
     """
     keys = list(keys)
-    cleaned = lines.withColumn("from_header", O.is_inline_header("text")).withColumn("text", O.strip_inline_header("text"))
-    kept = cleaned.where((F.length("text") > 0) & ~O.is_label_noise("text") & ~O.is_quantity_only("text"))
+    # read once a line: columns of a filter would be worked out again for each of its tests
+    kept = lines.select(
+        *[c for c in lines.columns if c != "text"], F.inline(F.filter(F.array(_content("text")), lambda s: s["_kept"]))
+    ).drop("_kept")
     header = F.col("text").rlike(V.HEADER)
     # A header line always opens a group, so the lines between two headers fold on their own.
     strips = _strips(lines, keys)
@@ -506,7 +522,7 @@ def nearest_column(boxes: DataFrame, keys: Sequence[str] = PAGE, band: int = 256
 def grouped_items(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Group lines, then fold attached header groups into their right-hand group."""
     keys = list(keys)
-    grouped = group_lines(lines, keys)
+    grouped = checkpointed(group_lines(lines, keys))  # read twice
     moves = nearest_column(group_boxes(grouped, keys), keys)
     moved = grouped.join(moves, [*keys, "group_no"], "left").withColumns(
         {

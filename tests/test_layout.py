@@ -135,3 +135,16 @@ def test_dose_split_over_two_lines_completes_a_group(spark):
     rows = [(1, 0, "Spiriva 5", 100.0, 0.0, 80.0, 10.0), (1, 1, "mg 吸入", 100.0, 14.0, 60.0, 10.0), (1, 2, "*吸入", 100.0, 28.0, 60.0, 10.0)]
     got = sorted(r["text"] for r in L.grouped_items(spark.createDataFrame(rows, FRAME)).collect())
     assert got == ["*吸入", "Spiriva 5 mg 吸入"]
+
+
+def test_steps_read_twice_are_written_once(spark, monkeypatch):
+    """Groups and cut lines were worked out again for each of their two readers; line texts for each test of a filter."""
+    rows, real, written = [(1, 1, "Medication Abc 5 mg", 10.0, 10.0, 50.0, 10.0), (1, 2, "5 mg", 10.0, 22.0, 50.0, 10.0)], L.checkpointed, []
+    monkeypatch.setattr(L, "checkpointed", lambda df: written.append(df.columns) or real(df))
+    lines = spark.createDataFrame(rows, FRAME)
+    assert [r["text"] for r in L.grouped_items(lines).collect()] == ["Abc 5 mg 5 mg"]
+    assert len(written) == 1 and "group_no" in written[0]
+    L.merge_adjacent(lines)
+    assert len(written) == 2 and "_stretch" in written[1]
+    plan = L.group_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [p for p in plan.split("\n") if p.strip(" :+-").startswith("Filter") and "藥品查詢" in p]
