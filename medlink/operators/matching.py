@@ -48,7 +48,9 @@ Known = Dictionary | MatchIndex
 
 
 def distinct_texts(lines: DataFrame) -> DataFrame:
-    return lines.select("input_text").where(F.col("input_text").isNotNull()).distinct()
+    """Distinct texts; the explode keeps filters on what is made of a text above it, or each line would be worked out for them."""
+    texts = lines.select("input_text").where(F.col("input_text").isNotNull()).distinct()
+    return texts.select(F.explode(F.array("input_text")).alias("input_text"))
 
 
 def line_keys(texts: DataFrame, normalize_han: bool = False) -> DataFrame:

@@ -48,6 +48,16 @@ def test_matching_broadcasts_no_growing_table(spark, tmp_path):
     assert plan_of(M.cjk_hits(texts, d)).count("BroadcastHashJoin") == 1  # lengths of runs, at most 33 rows
 
 
+def test_a_text_is_worked_out_once_not_once_a_line(spark):
+    """Spark moves filters on the keys and stems of a text below the distinct, where they are worked out for every line."""
+    sf = "/root/testdata/sf0.001"
+    texts, d = M.distinct_texts(Q.match_input(spark, sf)), Q.dictionary(spark, sf)
+    for hits in (M.exact_hits, M.ingredient_token_hits, M.product_contain_hits, M.product_token_hits, M.single_clean_hits, M.strict_clean_hits):
+        plan = plan_of(hits(texts, d))
+        joins = [line for line in plan.splitlines() if "SortMergeJoin [l_partkey" in line]
+        assert joins and not [j for j in joins if "regexp_replace" in j], hits.__name__
+
+
 def test_part_work_is_spread_over_the_cores(spark, tmp_path):
     """One small file of parts holds many rows; texts and dictionary were built in one task, texts once a line."""
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
