@@ -10,6 +10,10 @@ from medlink.functions import text as T
 from medlink.operators.keyed import checkpointed, upsert
 
 
+#: About so many rows of cases a task.
+TASK_ROWS = 1_000_000
+
+
 def _rank_name(rank: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, value in V.SEVERITY_RANK.items():
@@ -103,7 +107,8 @@ def patch_name_map(name_map: DataFrame, patches: DataFrame, force: bool = False)
 
 def map_pair_ends(pairs: DataFrame, name_map: DataFrame) -> DataFrame:
     """Pairs of names to ordered pairs of ids; rows with an unmapped or equal end are dropped."""
-    ids = name_map.where(F.col("ingredient_id").isNotNull()).select("drug_name", "ingredient_id")
+    # files of names are small for their rows: they are not broadcast
+    ids = name_map.where(F.col("ingredient_id").isNotNull()).select("drug_name", "ingredient_id").hint("merge")
     side = lambda end: ids.select(F.col("drug_name").alias(f"_n{end}"), F.col("ingredient_id").alias(f"_{end}"))
     joined = (
         pairs.withColumns({"_na": F.trim("drug_a"), "_nb": F.trim("drug_b")})
@@ -192,6 +197,7 @@ def pairs_in_sets(
     at most small_set ** 2 / 2 pairs are looked up by an equi join.  Members of larger sets are probed by the known pairs
     (see probe_sets).  Both ways give the same rows, whatever ``small_set`` is.
     """
+    pairs = checkpointed(pairs)  # read by three branches
     ends = pairs.select(F.explode(F.array("ingredient_a", "ingredient_b")).alias("_id")).distinct()
     members = sets.select(set_key, F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     members = checkpointed(members.join(ends, "_id", "left_semi"))
@@ -275,24 +281,26 @@ def evaluate_cases(
     codes(case_id, product_code, position), ids(case_id, ingredient_id), texts(case_id, raw_text).
     Returns tables ``checked``, ``unchecked``, ``interactions`` and ``counts``.
     """
-    listed = (
-        codes.select("case_id", F.trim("product_code").alias("product_code"), "position")
-        .where(F.col("product_code") != "")
-        .groupBy("case_id", "product_code")
-        .agg(F.min("position").alias("position"))
-    )
-    owned = product_ingredients.select("product_code", "ingredient_id").distinct()
+    listed = codes.select("case_id", F.trim("product_code").alias("product_code"), "position").where(F.col("product_code") != "")
     # files of products are small for their rows: they are not broadcast
-    resolved = listed.join(owned.hint("merge"), "product_code")
-    unknown = listed.join(owned.select("product_code").distinct().hint("merge"), "product_code", "left_anti")
+    owned = product_ingredients.select("product_code", "ingredient_id").distinct().withColumn("_known", F.lit(True)).hint("merge")
+    source = F.struct(F.col("position").isNull(), "position", "product_code")
+    named = listed.join(owned, "product_code", "left").select(
+        "case_id", "ingredient_id", F.when(F.col("_known").isNull(), F.col("product_code")).alias("_unknown"), source.alias("_source")
+    )
     asked = ids.select("case_id", F.trim("ingredient_id").alias("ingredient_id")).where(F.col("ingredient_id") != "")
-    # read by four branches below: written once
-    wanted = checkpointed(
-        resolved.select("case_id", "ingredient_id", "product_code", "position")
-        .unionByName(asked.distinct(), allowMissingColumns=True)
-        .groupBy("case_id", "ingredient_id")
-        .agg(F.min_by("product_code", F.when(F.col("product_code").isNotNull(), F.struct("position", "product_code"))).alias("product_code"))
+    # hardly any row repeats, so nothing is combined before the shuffle; tasks get about TASK_ROWS rows, whatever the input
+    tasks = max(codes.sparkSession.sparkContext.defaultParallelism, -(-(codes.count() + ids.count()) // TASK_ROWS))
+    keys = ["case_id", "ingredient_id", "_unknown"]
+    # read by five branches below: written once
+    entries = checkpointed(
+        named.unionByName(asked, allowMissingColumns=True)
+        .repartition(tasks, *keys)
+        .groupBy(*keys)
+        .agg(F.min("_source")["product_code"].alias("product_code"))
     )
+    unknown = entries.where(F.col("_unknown").isNotNull()).select("case_id", "product_code")
+    wanted = entries.where(F.col("_unknown").isNull()).drop("_unknown")
     names = concepts.select("ingredient_id", "canonical_name")
     checked = wanted.join(names, "ingredient_id").select("case_id", "ingredient_id", "canonical_name")
     missing = wanted.join(names, "ingredient_id", "left_anti")

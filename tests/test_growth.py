@@ -103,3 +103,34 @@ def test_lists_are_mapped_to_bases_before_they_multiply(spark, monkeypatch):
     got = P.list_ingredients(items, owned, concepts).collect()
     assert sorted(tuple(r) for r in got) == [(i, "base") for i in range(200)]
     assert sum(rows) == 1 + 51  # one product, one name of 51 concepts; it was 100 + 100 * 51
+
+
+def test_names_of_pairs_and_rows_of_cases_stay_small_in_a_task(spark, tmp_path, monkeypatch):
+    """The names of pairs were broadcast as their file is small; a task of cases grew with the input."""
+    from medlink.operators import interactions as D
+
+    spark.range(100).select(F.concat(F.lit("N"), "id").alias("drug_name"), F.concat(F.lit("I"), F.col("id") % 9).alias("ingredient_id")).write.parquet(f"{tmp_path}/names")
+    raw = spark.range(50).select(
+        F.concat(F.lit("N"), "id").alias("drug_a"), F.concat(F.lit("N"), F.col("id") + 1).alias("drug_b"),
+        F.lit("minor").alias("severity"), F.lit("a").alias("sources"), F.lit("1").alias("raw_rows"),
+    )
+    pairs = D.import_pairs(raw, spark.read.parquet(f"{tmp_path}/names"))
+    assert "Broadcast" not in plan_of(pairs)
+    written = []
+    monkeypatch.setattr(D, "TASK_ROWS", 10)
+    real = D.checkpointed
+    monkeypatch.setattr(D, "checkpointed", lambda df: written.append(df) or real(df))
+    codes = spark.createDataFrame(
+        [(c, p, n) for c in range(40) for n, p in enumerate(["P1", " P2", "P9", "P1", ""])] + [(1, "P0", None)], "case_id long, product_code string, position int"
+    )
+    ids = spark.createDataFrame([(c, i) for c in range(40) for i in (" I5", "I5", "I7", "")] , "case_id long, ingredient_id string")
+    texts = spark.createDataFrame([(3, " x "), (3, "x")], "case_id long, raw_text string")
+    owned = spark.createDataFrame([("P1", "I1"), ("P2", "I1"), ("P2", "I2"), ("P2", "I2"), ("P0", "I1"), ("P0", "I8")], "product_code string, ingredient_id string")
+    concepts = spark.createDataFrame([(f"I{i}", f"name {i}") for i in (1, 2, 5)], "ingredient_id string, canonical_name string")
+    found = D.evaluate_cases(codes, ids, texts, owned, concepts, pairs)
+    assert written[0].rdd.getNumPartitions() == (201 + 160) // 10 + 1
+    assert sorted(map(tuple, found["checked"].collect())) == sorted((c, i, f"name {i[1]}") for c in range(40) for i in ("I1", "I2", "I5"))
+    lacking = [(c, "missing_ingredient_concept", "I7", None) for c in range(40)] + [(1, "missing_ingredient_concept", "I8", "P0")]
+    unknown = [(c, "unknown_product", None, "P9") for c in range(40)] + [(3, "unknown_product", "x", None)]
+    assert sorted(map(str, map(tuple, found["unchecked"].collect()))) == sorted(map(str, lacking + unknown))
+    assert sorted(tuple(r)[:3] for r in found["interactions"].collect()) == sorted((c, "I1", "I2") for c in range(40))
