@@ -328,14 +328,16 @@ def assign_sections(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         return let(facts, tag)
 
     filled = lines.where(F.trim("text") != "")
-    # read once a line, also where a filter asks for it
-    tagged = filled.select("*", F.inline(F.array(let(O.detection_form("text"), read)))).withColumnsRenamed({"inline": "_inline", "anchors": "_anchors"})
+    # worked out once a line, also where a filter asks for it, and written once: four branches read it
+    tagged = checkpointed(
+        filled.select("*", F.inline(F.array(let(O.detection_form("text"), read)))).withColumnsRenamed({"inline": "_inline", "anchors": "_anchors"})
+    )
     anchors = tagged.select(*keys, "element_idx", "x", "y", F.explode("_anchors").alias("section"))
     order = F.create_map(*[F.lit(v) for i, (k, _) in enumerate(V.SECTION_ANCHORS) for v in (k, i)])
     anchors = anchors.withColumn("_no", F.element_at(order, F.col("section")))
     # Equal anchors of one spot give equal regions, so anchors are reduced to distinct spots first.
     spots = anchors.groupBy(*keys, "section", "_no", "x", "y").agg(F.min("element_idx").alias("element_idx"))
-    bottoms = filled.groupBy(*keys).agg(F.max(F.col("y") + F.col("height")).alias("_bottom"))
+    bottoms = tagged.groupBy(*keys).agg(F.max(F.col("y") + F.col("height")).alias("_bottom"))
     along = Window.partitionBy(*keys).orderBy("y", "x", "element_idx", "_no")
     regions = spots.withColumn("_next", F.lead("y").over(along)).join(bottoms, keys).select(
         *keys,

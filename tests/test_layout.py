@@ -148,3 +148,14 @@ def test_steps_read_twice_are_written_once(spark, monkeypatch):
     assert len(written) == 2 and "_stretch" in written[1]
     plan = L.group_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
     assert not [p for p in plan.split("\n") if p.strip(" :+-").startswith("Filter") and "藥品查詢" in p]
+
+
+def test_lines_are_tagged_once_for_all_readers_of_sections(spark):
+    """Anchors, bands, body and bottoms read the tags; each reader worked out the patterns of every line again."""
+    lines = spark.createDataFrame(
+        [(1, 0, "用法", 0, 0, 50, 10), (1, 1, "take one", 5, 20, 50, 10)],
+        "page_id long, element_idx int, text string, x int, y int, width int, height int",
+    )
+    out = L.assign_sections(lines)
+    assert "^藥名" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["element_idx"], r["section"]) for r in out.collect()] == [(1, "instruction")]
