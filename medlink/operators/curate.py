@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medlink.functions import ingredients as I
 from medlink.functions import text as T
 from medlink.functions.ocr_text import name_key
-from medlink.operators.keyed import anti_insert, keep_first, latest_version, overlay, pick
+from medlink.operators.keyed import anti_insert, distinct_values, keep_first, latest_version, overlay, pick
 
 
 def current_products(items: DataFrame, built_at: Column) -> DataFrame:
@@ -141,10 +141,11 @@ def ingredient_mentions(texts: DataFrame, source: str, kind: str = "item") -> Da
 
 
 def build_concepts(mentions: DataFrame) -> DataFrame:
-    """One concept per normalised name; the smallest spelling is the canonical one."""
+    """One concept per normalised name; the smallest spelling is the canonical one.  A spelling is normalised once, not once a product."""
     name = T.canonical_name("mention")
     return (
-        mentions.select(T.normalize_text(name).alias("canonical_name_normalized"), name.alias("canonical_name"))
+        distinct_values(mentions, "mention")
+        .select(T.normalize_text(name).alias("canonical_name_normalized"), name.alias("canonical_name"))
         .groupBy("canonical_name_normalized")
         .agg(F.min("canonical_name").alias("canonical_name"))
         .withColumn("ingredient_id", T.name_uuid("canonical_name_normalized"))

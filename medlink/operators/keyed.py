@@ -37,6 +37,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return pick(df, keys, [F.col(o) for o in order])
 
 
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values; the explode keeps filters on what is made of a value above it, or each row would be worked out for them."""
+    return df.select(column).distinct().select(F.explode(F.array(column)).alias(column))
+
+
 def overlay(base: DataFrame, top: DataFrame, key: str) -> DataFrame:
     """Lookup overlay: rows of ``top`` replace rows of ``base`` with the same key."""
     kept = base.join(top.select(key).distinct(), key, "left_anti")

@@ -24,7 +24,7 @@ from medlink.functions import fixed_values as V
 from medlink.functions import text as T
 from medlink.functions.ocr_text import clean_head, clean_tail, line_key, strip_dosage_tail, trailing_code
 from medlink.operators.curate import with_name_keys
-from medlink.operators.keyed import checkpointed, left_lookup
+from medlink.operators.keyed import checkpointed, distinct_values, left_lookup
 from medlink.operators.match_index import (
     GRAM,
     NO_WORD,
@@ -40,6 +40,14 @@ from medlink.operators.match_index import (
 PRODUCT_METHODS = ("product_exact", "ocr_product", "product_token_contain", "cjk_fuzzy")
 PRODUCT_IDS_ORDER = ("product_exact", "ocr_product", "cjk_fuzzy", "product_token_contain")
 SINGLE_METHODS = ("canonical_exact", "alias_exact", "paren_alias_exact", "ingredient_token")
+#: The key that each exact method asks for.
+EXACT_KEYS = {
+    "product_exact": "product_key",
+    "ocr_product": "ocr_key",
+    "canonical_exact": "normalized",
+    "alias_exact": "normalized",
+    "paren_alias_exact": "paren",
+}
 HIT = "input_text string, method string, product_id string, product_name string, has_ids boolean, ingredient_id string"
 Known = Dictionary | MatchIndex
 
@@ -48,9 +56,7 @@ Known = Dictionary | MatchIndex
 
 
 def distinct_texts(lines: DataFrame) -> DataFrame:
-    """Distinct texts; the explode keeps filters on what is made of a text above it, or each line would be worked out for them."""
-    texts = lines.select("input_text").where(F.col("input_text").isNotNull()).distinct()
-    return texts.select(F.explode(F.array("input_text")).alias("input_text"))
+    return distinct_values(lines.where(F.col("input_text").isNotNull()), "input_text")
 
 
 def line_keys(texts: DataFrame, normalize_han: bool = False) -> DataFrame:
@@ -80,15 +86,10 @@ def ocr_cleaned(texts: DataFrame, known_tokens: DataFrame, upper: bool = False)
 # --- exact passes ---------------------------------------------------------------
 
 
-def exact_hits(texts: DataFrame, d: Known, normalize_han: bool = False) -> DataFrame:
+def exact_hits(texts: DataFrame, d: Known, normalize_han: bool = False, methods: Sequence[str] = tuple(EXACT_KEYS)) -> DataFrame:
+    """Answers of the exact ``methods``; only the keys of these are made of a text."""
     keys = line_keys(texts, normalize_han)
-    pairs = F.array(
-        F.struct(F.lit("product_exact").alias("method"), F.col("product_key").alias("key")),
-        F.struct(F.lit("ocr_product").alias("method"), F.col("ocr_key").alias("key")),
-        F.struct(F.lit("canonical_exact").alias("method"), F.col("normalized").alias("key")),
-        F.struct(F.lit("alias_exact").alias("method"), F.col("normalized").alias("key")),
-        F.struct(F.lit("paren_alias_exact").alias("method"), F.col("paren").alias("key")),
-    )
+    pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.col(EXACT_KEYS[m]).alias("key")) for m in methods])
     probes = keys.select("input_text", F.inline(F.filter(pairs, lambda p: p["key"].isNotNull())))
     return probes.join(as_index(d).exact_keys, ["method", "key"]).drop("key")
 

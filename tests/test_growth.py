@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from medlink.catalog import matching_queries as Q
+from medlink.catalog.registry import QUERIES
 from medlink.operators import matching as M
 from medlink.operators import match_index as I
 
@@ -58,6 +59,22 @@ def test_a_text_is_worked_out_once_not_once_a_line(spark):
         assert joins and not [j for j in joins if "regexp_replace" in j], hits.__name__
 
 
+def test_lines_of_a_part_meet_it_as_one_row(spark, tmp_path):
+    """Every line was joined with its part's texts, all five keys were made of each text, and a spelling was normalised once a product."""
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, n, p) for k in [*range(12), -5, None] for n in (1, 2, None) for p in (3, 4, None)] * 2
+    spark.createDataFrame(lines, "l_orderkey int, l_linenumber int, l_partkey int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for sf in (str(tmp_path), "/root/testdata/sf0.001"):
+        want = M.distinct_texts(Q.match_input(spark, sf)).collect()
+        assert sorted(Q.match_texts(spark, sf).collect()) == sorted(want)
+    plan = plan_of(QUERIES["match_product_exact"](spark, sf))
+    below = plan[plan.index("SortMergeJoin [l_partkey") :]
+    assert "bit_or" in below and "SortMergeJoin" not in below[20:]
+    assert "總量" not in plan  # of the dosage tail, which another key drops
+    concepts = plan_of(Q.dictionary(spark, sf).concepts.where("length(canonical_name_normalized) >= 3"))
+    assert "regexp_replace" not in concepts[concepts.rindex("HashAggregate(keys=[mention") :]
+
+
 def test_part_work_is_spread_over_the_cores(spark, tmp_path):
     """One small file of parts holds many rows; texts and dictionary were built in one task, texts once a line."""
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
