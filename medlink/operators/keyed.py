@@ -151,6 +151,13 @@ def left_lookup(df: DataFrame, lookup: DataFrame, key: str, spread_by: str, copi
     return keyed.join(lookup.withColumnRenamed(key, "_lookup_key"), "_lookup_key", "left").drop("_lookup_key")
 
 
+def spread_join(df: DataFrame, lookup: DataFrame, key: str, spread_by: str, copies: int = 16) -> DataFrame:
+    """Join on ``key`` where a few keys may have most rows: their rows go to ``copies`` places, each with the key's rows of ``lookup``."""
+    place = F.pmod(F.xxhash64(spread_by), F.lit(copies)).cast("int")
+    copied = lookup.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return df.withColumn("_place", place).join(copied.hint("merge"), [key, "_place"]).drop("_place")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``incoming`` replace rows of ``current`` with the same key."""
     kept = current.join(incoming.select(*keys).distinct(), list(keys), "left_anti")

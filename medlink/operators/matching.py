@@ -24,7 +24,7 @@ from medlink.functions import fixed_values as V
 from medlink.functions import text as T
 from medlink.functions.ocr_text import clean_head, clean_tail, line_key, strip_dosage_tail, trailing_code
 from medlink.operators.curate import with_name_keys
-from medlink.operators.keyed import checkpointed, distinct_values, left_lookup
+from medlink.operators.keyed import checkpointed, distinct_values, left_lookup, spread_join
 from medlink.operators.match_index import (
     GRAM,
     NO_WORD,
@@ -553,7 +553,7 @@ def pharma_stems(words: DataFrame, word_col: str, tokens: DataFrame) -> DataFram
     known_stems = tokens.select(F.col("token_stem").alias("_cut")).distinct().withColumn("_hit", F.lit(True))
     return (
         distinct.withColumn("_cut", T.plural_stem(cut))
-        .join(completed, "word", "left")
+        .join(completed.hint("merge"), "word", "left")
         .join(known_stems, "_cut", "left")
         .select(
             "word",
@@ -573,7 +573,8 @@ def strict_clean_hits(texts: DataFrame, d: Known) -> DataFrame:
     tokens = index.tokens
     cleaned = ocr_cleaned(texts, tokens).select("input_text", F.array_distinct(T.words("cleaned")).alias("_words"))
     exploded = cleaned.select("input_text", F.explode("_words").alias("word"))
-    stemmed = exploded.join(pharma_stems(exploded, "word", tokens), "word").groupBy("input_text").agg(
+    both = spread_join(exploded, pharma_stems(exploded, "word", tokens), "word", "input_text")
+    stemmed = both.groupBy("input_text").agg(
         F.array_union(
             F.collect_set(T.plural_stem("word")), F.collect_set("pharma_stem")
         ).alias("_stems")

@@ -6,6 +6,7 @@ from medlink.catalog import matching_queries as Q
 from medlink.catalog.registry import QUERIES
 from medlink.operators import matching as M
 from medlink.operators import match_index as I
+from medlink.operators.keyed import spread_join
 
 SIGNS = "零一二三四五六七八九"
 
@@ -75,6 +76,25 @@ def test_lines_of_a_part_meet_it_as_one_row(spark, tmp_path):
     assert "regexp_replace" not in concepts[concepts.rindex("HashAggregate(keys=[mention") :]
 
 
+def test_strict_clean_up_broadcasts_no_texts(spark, tmp_path):
+    """Adaptive execution took the words of all texts for the small side while they fitted; the rows of a hot word met in one task."""
+    sf = "/root/testdata/sf0.001"
+    texts, d = M.distinct_texts(Q.match_input(spark, sf)), Q.dictionary(spark, sf)
+    hits = M.strict_clean_hits(texts, d)
+    hits.collect()
+    assert "Broadcast" not in plan_of(hits)
+    hot = spark.range(400).select(F.concat(F.lit("t"), "id").alias("input_text"), F.lit("hot").alias("word"))
+    stems = spark.createDataFrame([("hot", "HOT"), ("cold", "COLD")], "word string, pharma_stem string")
+    joined = spread_join(hot, stems, "word", "input_text")
+    assert sorted(tuple(r) for r in joined.collect()) == sorted(("hot", f"t{i}", "HOT") for i in range(400))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        largest = spread_join(hot, stems, "word", "input_text").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert largest < 300
+
+
 def test_part_work_is_spread_over_the_cores(spark, tmp_path):
     """One small file of parts holds many rows; texts and dictionary were built in one task, texts once a line."""
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
