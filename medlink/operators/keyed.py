@@ -49,17 +49,28 @@ def overlay(base: DataFrame, top: DataFrame, key: str) -> DataFrame:
 
 
 HOT_ROWS = 1_000_000
+#: Keys are counted by so many hashes first.
+HASHES = 65_536
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: a combined count over the key columns, one number to the driver."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(top or 0)
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of more than ``limit`` rows, None if there are none.
+
+    Rows are counted by a hash of their key, so a task hands on at most HASHES numbers and not its keys; just the keys of
+    a hash with more than ``limit`` rows are counted themselves.
+    """
+    rows = F.count(F.lit(1)).alias("_n")
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(*keys), F.lit(HASHES)))
+    full = [r["_hash"] for r in hashed.groupBy("_hash").agg(rows).where(F.col("_n") > limit).collect()]
+    if not full:
+        return None
+    hot = checkpointed(hashed.where(F.col("_hash").isin(full)).groupBy(*keys).agg(rows).where(F.col("_n") > limit).select(*keys))
+    return None if hot.isEmpty() else hot
 
 
 def hot_band(df: DataFrame, keys: Sequence[str], band: Column, limit: int = HOT_ROWS) -> Column | None:
     """``band`` if some key is too large for one task, else None (then a plain window is cheaper)."""
-    return band if largest_group(df, keys) > limit else None
+    return band if hot_keys(df, keys, limit) is not None else None
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ short running fold happens inside each such stretch.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -19,10 +20,14 @@ from medlink.functions import fixed_values as V
 from medlink.functions import ocr_text as O
 from medlink.functions.patterns import ascii_bounds
 from medlink.functions.text import col, let
-from medlink.operators.keyed import checkpointed, hot_band, positions, running
+from medlink.operators.keyed import checkpointed, hot_band, hot_keys, positions, running
 
 PAGE = ("page_id",)
 BAND_PIXELS = 512
+#: Lines at most so far below the first line of a row belong to it when boxes are joined.
+MERGE_ROW_PIXELS = 1.0
+#: Matrix codes of a page are looked up by bands of this height.
+CODE_BAND = 64
 
 
 def _strips(lines: DataFrame, keys: Sequence[str]) -> Column | None:
@@ -209,15 +214,153 @@ def _sorted_labels(
 def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Join neighbouring boxes of one text row: small gap, or a larger one across a matrix code.
 
-    Lines are taken in (row, x) order.  A line can only join the running box if its
-    centre is within reach of some earlier centre, so each page is first cut where the
-    running maximum of the centres falls behind; the fold then runs per stretch.
+    Lines are taken in (row, x) order.  Pages are sorted and folded where one shuffle puts them, with nothing written;
+    pages too large for one task are cut into stretches.
     """
     keys = list(keys)
+    hot = hot_keys(lines, keys)
+    if hot is None:
+        return _folded_boxes(lines, keys).unionByName(_stretched_boxes(lines.where(F.lit(False)), keys, None))
+    hot = F.broadcast(hot)  # at most a row for HOT_ROWS rows
+    strips = F.floor(F.col("row_at") / BAND_PIXELS).cast("int")
+    large = _stretched_boxes(lines.join(hot, keys, "left_semi"), keys, strips)
+    return _folded_boxes(lines.join(hot, keys, "left_anti"), keys).unionByName(large)
+
+
+def _box_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sizes = [F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]
+    return df.select(*keys, "text", *sizes, F.col("element_idx").cast("long").alias("element_idx"))
+
+
+def _folded_boxes(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Boxes of pages that fit a task, by a fold over rows sorted by page, codes first, then from the top.
+
+    The fold keeps the codes of a page, one row of its lines and the texts of the running box.
+    """
+    rows = _box_rows(lines, keys)
+    schema, n_keys = rows.schema, len(keys)
+    tagged = rows.withColumn("_code", is_square_code("text", F.col("width"), F.col("height"))).where("_code is not null")
+    placed = tagged.repartition(*keys).sortWithinPartitions(*keys, F.desc("_code"), F.asc_nulls_last("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, page, types = _PageFold(), None, None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if fold.done:
+                columns = [pa.array(c, t) for c, t in zip(zip(*fold.done, strict=True), types, strict=True)]
+                fold.done = []
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            types = batch.schema.types[:-1]
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:n_keys] != page:
+                    page = row[:n_keys]
+                    fold.open_page(page)
+                if row[-1]:
+                    fold.done.append(row[:-1])
+                    fold.add_code(*row[n_keys + 1 : n_keys + 5])
+                elif None not in page:
+                    fold.add_line(*row[n_keys:-1])
+            yield from made()
+        fold.open_page(None)
+        yield from made()
+
+    return placed.mapInArrow(run, schema)
+
+
+class _PageFold:
+    """Text lines of a page from the top: ordered within their row, joined to boxes (``done``)."""
+
+    def __init__(self) -> None:
+        self.done, self.row = [], []
+        self.box = None
+        self.open_page(None)
+
+    def open_page(self, page: tuple | None) -> None:
+        self._end_row()
+        self._end_box()
+        self.page, self.number, self.codes, self.ordered = page, 0, {}, False
+
+    def add_code(self, x, y, width, height) -> None:
+        # a wider code does not fit into the gap; as codes are almost square, the others reach over few bands
+        if None not in (x, y, width, height) and width < V.MERGE_GAP_ACROSS_BLOB:
+            for band in range(int(y // CODE_BAND), int((y + height) // CODE_BAND) + 1):
+                self.codes.setdefault(band, []).append((x, x + width, y, y + height))
+
+    def add_line(self, text, x, y, width, height, index) -> None:
+        if self.row:
+            first = self.row[0][3]
+            if (first is None) != (y is None) or (y is not None and y - first > MERGE_ROW_PIXELS):
+                self._end_row()
+        self.row.append((x is None, x, index, y, width, height, text))
+
+    def _end_row(self) -> None:
+        if len(self.row) > 1:
+            self.row.sort(key=lambda r: r[:3] if r[1] is not None else (True, 0.0, r[2]))
+        for _, x, _, y, width, height, text in self.row:
+            self.number += 1
+            if self.box is not None and _joins(self.box, x, y, width, height, self._across):
+                self.box = _grown(self.box, x, y, width, height)
+                self.texts.append(text)
+            else:
+                self._end_box()
+                self.box, self.texts, self.first = _sides(x, y, width, height), [text], self.number
+        self.row = []
+
+    def _end_box(self) -> None:
+        if self.box is not None:
+            x, y, right, bottom = self.box
+            texts = [t for t in self.texts if t is not None]
+            width, height = None if right is None else right - x, None if bottom is None else bottom - y
+            self.done.append((*self.page, " ".join(texts) if texts else None, x, y, width, height, self.first))
+        self.box = None
+
+    def _across(self, box: tuple, x: float) -> bool:
+        if not self.ordered:
+            for near in self.codes.values():
+                near.sort()
+            self.ordered = True
+        low, high = box[1] // CODE_BAND, box[3] // CODE_BAND
+        bands = range(int(low), int(high) + 1) if high - low < len(self.codes) else [b for b in self.codes if low <= b <= high]
+        for near in (self.codes[b] for b in bands if b in self.codes):
+            for i in range(bisect_right(near, box[2], key=lambda c: c[0]), len(near)):
+                left, right, top, bottom = near[i]
+                if left >= x:
+                    break
+                if right < x and min(bottom, box[3]) > max(top, box[1]):
+                    return True
+        return False
+
+
+def _sides(x, y, width, height) -> tuple:
+    """Left, top, right, bottom; unknown if a number they come from is."""
+    return x, y, None if x is None or width is None else x + width, None if y is None or height is None else y + height
+
+
+def _grown(box: tuple, x, y, width, height) -> tuple:
+    return min(box[0], x), min(box[1], y), max(box[2], x + width), max(box[3], y + height)
+
+
+def _joins(box: tuple, x, y, width, height, across: Callable) -> bool:
+    """Does a line join the running box?  ``across`` tells whether a code lies between them; nothing joins across unknown sides."""
+    if None in box or None in (x, y, width, height):
+        return False
+    level = abs((y + (y + height)) - (box[1] + box[3])) / 2 <= V.MERGE_ROW_TOLERANCE
+    gap = x - box[2]
+    return level and (gap <= V.MERGE_GAP or (gap <= V.MERGE_GAP_ACROSS_BLOB and across(box, x)))
+
+
+def _stretched_boxes(lines: DataFrame, keys: list[str], strips: Column | None) -> DataFrame:
+    """Boxes of pages of any size.
+
+    A line can only join the running box if its centre is within reach of some earlier
+    centre, so each page is first cut where the running maximum of the centres falls
+    behind; the fold then runs per stretch.
+    """
     code = is_square_code("text", F.col("width").cast("double"), F.col("height").cast("double"))
     tall = lines.withColumn("_cy", F.col("y") + F.col("height") / 2.0)
-    strips = _strips(lines, keys)
-    text = reading_order(tall.where(~code), keys, 1.0, strips)
+    text = reading_order(tall.where(~code), keys, MERGE_ROW_PIXELS, strips)
     if strips is not None:
         text = checkpointed(text)
     order = [F.col("reading_no")]
@@ -238,19 +381,17 @@ def merge_adjacent(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         F.max(F.col("y") + F.col("height")).alias("_bottom"),
         F.min("reading_no").alias("element_idx"),
     )
+    texts = F.array_compact(F.transform("_parts", lambda p: p["text"]))
     merged = boxes.select(
         *keys,
-        F.array_join(F.transform("_parts", lambda p: p["text"]), " ").alias("text"),
+        F.when(F.size(texts) > 0, F.array_join(texts, " ")).alias("text"),
         "x",
         "y",
         (F.col("_right") - F.col("x")).alias("width"),
         (F.col("_bottom") - F.col("y")).alias("height"),
-        F.col("element_idx").cast("long").alias("element_idx"),
-    )
-    kept = codes.select(
-        *keys, "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")], F.col("element_idx").cast("long").alias("element_idx")
+        "element_idx",
     )
-    return merged.unionByName(kept)
+    return _box_rows(merged, keys).unionByName(_box_rows(codes, keys))
 
 
 def _bridged(lines: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
@@ -276,16 +417,14 @@ def _box_step() -> Callable:
 
     def step(key, number, x, y, width, height, bridges) -> int:
         nonlocal group, box, label
-        right, bottom = x + width, y + height
-        joins = False
-        if key == group:
-            crossed = any(c["x"] > box[2] and min(c["bottom"], box[3]) > max(c["y"], box[1]) for c in bridges or ())
-            level = abs((y + bottom) - (box[1] + box[3])) / 2 <= V.MERGE_ROW_TOLERANCE
-            joins = level and x - box[2] <= (V.MERGE_GAP_ACROSS_BLOB if crossed else V.MERGE_GAP)
-        if joins:
-            box = (min(box[0], x), min(box[1], y), max(box[2], right), max(box[3], bottom))
+
+        def across(box, x) -> bool:
+            return any(c["x"] > box[2] and min(c["bottom"], box[3]) > max(c["y"], box[1]) for c in bridges or ())
+
+        if key == group and _joins(box, x, y, width, height, across):
+            box = _grown(box, x, y, width, height)
         else:
-            group, box, label = key, (x, y, right, bottom), number
+            group, box, label = key, _sides(x, y, width, height), number
         return label
 
     return step

@@ -5,6 +5,7 @@ from statistics import median
 
 import pytest
 
+from medlink.catalog import load
 from medlink.operators import layout as L
 
 FRAME = "page_id long, element_idx long, text string, x double, y double, width double, height double"
@@ -159,3 +160,43 @@ def test_lines_are_tagged_once_for_all_readers_of_sections(spark):
     out = L.assign_sections(lines)
     assert "^藥名" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(r["element_idx"], r["section"]) for r in out.collect()] == [(1, "instruction")]
+
+
+def test_pages_are_merged_in_one_shuffle_with_nothing_written(spark, monkeypatch):
+    """Rows of all pages were written uncompressed and shuffled several times, which filled the disk."""
+    real, written = L.checkpointed, []
+    monkeypatch.setattr(L, "checkpointed", lambda df: written.append(df.count()) or real(df))
+    merged = load()[0]["line_merge"](spark, "/root/testdata/sf0.001")
+    plan = merged._jdf.queryExecution().executedPlan().toString().splitlines()
+    of_all_pages = [line for line in plan if line.startswith("   :")]  # the other side of the union has the large pages, of which there are none
+    assert len([line for line in of_all_pages if "Exchange " in line]) == 1 and sum(written) == 0
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_large_pages_are_merged_as_others(spark, monkeypatch, seed):
+    rows, real = random_pages(seed, 30, 60), L.hot_keys
+    monkeypatch.setattr(L, "hot_keys", lambda df, keys: real(df, keys, 30))  # about half of the pages
+    got = {}
+    for r in L.merge_adjacent(spark.createDataFrame(rows, FRAME)).collect():
+        got.setdefault(r["page_id"], []).append((r["text"], r["x"], r["y"], r["width"], r["height"]))
+    assert {p: sorted(boxes) for p, boxes in got.items()} == {p: merged_boxes(items) for p, items in by_page(rows).items()}
+
+
+def test_merge_of_lines_without_place_or_text(spark):
+    """A null side was an error; as in the SQL such a line is a box of its own, the last of its page if it has no y."""
+    rows = [(1, 0, "a", 0.0, 0.0, 20.0, 10.0), (1, 1, "b", None, 0.0, 20.0, 10.0), (1, 2, "c", 30.0, None, 20.0, 10.0), (1, 3, "d", 30.0, 1.0, 20.0, 10.0), (1, 4, None, 60.0, 1.0, 5.0, 5.0), (2, 0, None, 0.0, 0.0, 5.0, 5.0)]
+    got = sorted(map(str, ((r["page_id"], r["element_idx"], r["text"], r["x"], r["y"], r["width"], r["height"]) for r in L.merge_adjacent(spark.createDataFrame(rows, FRAME)).collect())))
+    assert got == sorted(map(str, [
+        (1, 1, "a d", 0.0, 0.0, 65.0, 11.0), (1, 4, "b", None, 0.0, None, 10.0), (1, 5, "c", 30.0, None, 20.0, None), (2, 1, None, 0.0, 0.0, 5.0, 5.0),
+    ]))
+
+
+def test_hot_keys_are_found_by_their_hash_first(spark, monkeypatch):
+    from medlink.operators import keyed as K
+
+    rows = spark.createDataFrame([(k,) for k in [1] * 5 + [2] * 5 + [3, 4, None, None]], "k int")
+    for hashes in (1, 7, 65_536):
+        monkeypatch.setattr(K, "HASHES", hashes)
+        assert sorted(r["k"] for r in K.hot_keys(rows, ["k"], 4).collect()) == [1, 2]
+        assert K.hot_keys(rows, ["k"], 5) is None
+    assert K.hot_band(rows, ["k"], rows["k"], 4) is not None and K.hot_band(rows, ["k"], rows["k"], 5) is None
