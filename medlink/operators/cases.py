@@ -15,7 +15,10 @@ from medlink.functions.case_fields import first_line
 from medlink.functions import fixed_values as V
 from medlink.functions.patterns import ascii_bounds
 from medlink.operators.keyed import checkpointed, chunked_lists, pick, positions
+from medlink.operators.matching import match_rows
 
+#: Lines of cases that a task gets.
+TASK_LINES = 500_000
 ITEM = "case_id, input_index, raw_text, display_name, match_status, ingredient_id, match_method, confidence, product_code"
 
 
@@ -54,13 +57,20 @@ def detected_items(
     brands: DataFrame | None = None,
     brand_map: DataFrame | None = None,
     medication_names: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One card per (case, ingredient); a case without any match gives brand cards, else one text card.
 
-    ``matches`` holds every line of every case, as ``match_lines`` returns them; they are
-    read once.  A single aggregate per (case, ingredient) keeps the first line of each
-    card and, where there is no ingredient, the longest line of the case.
+    ``matches`` holds every line of every case, as ``match_lines`` returns them, nested or not; they
+    are read once.  A single aggregate per (case, ingredient) keeps the first line of each
+    card and, where there is no ingredient, the longest line of the case.  Where every case
+    fits a task, ``tasks`` brings its lines together in one of so many, in one shuffle of lines
+    as they are; otherwise cards are reduced where the lines lie, which moves wider rows twice.
     """
+    if tasks is not None:
+        matches = matches.repartition(tasks, "case_id")
+    if "matches" in matches.columns:
+        matches = match_rows(matches)
     matched = (F.col("match_status") == "matched") & F.col("ingredient_id").isNotNull()
     rows = matches.select(
         "case_id",

@@ -325,7 +325,7 @@ def cjk_hits(texts: DataFrame, d: Known, limit: int = V.CJK_MAX_PRODUCTS) -> Dat
     return (
         answers.groupBy("input_text")
         .agg(
-            F.count_distinct("product_id").alias("_n"),
+            F.size(F.collect_set("product_id")).alias("_n"),  # a few for each run
             F.max(F.col("product_id").isNull()).alias("_over"),
             F.min_by(product, newest_first("product_id", "product_name")).alias("_best"),
         )
@@ -428,18 +428,38 @@ def match_texts(texts: DataFrame, d: Known, ids_policy: str = "mixed", **options
 
 
 def match_lines(
-    lines: DataFrame, d: Known, ids_policy: str = "mixed", store: Callable[[DataFrame], DataFrame] = checkpointed, **options
+    lines: DataFrame,
+    d: Known,
+    ids_policy: str = "mixed",
+    store: Callable[[DataFrame], DataFrame] = checkpointed,
+    texts: DataFrame | None = None,
+    nested: bool = False,
+    **options,
 ) -> DataFrame:
     """Every input line with its match rows; unmatched lines stay as one row.  ``store`` keeps the distinct texts.
 
     The join back to the lines is an equi join on the text whose other side has only a
     few rows per text; adaptive skew handling splits a text repeated in many lines.
+    ``texts`` are the distinct texts, where they are had for less than by reading the lines.
+    ``nested`` gives each line as one row with its match rows as the array ``matches`` (null:
+    unmatched), for steps that move lines on; lines of a text stay side by side.
     """
-    texts = store(distinct_texts(lines))  # read by every pass
+    texts = store(distinct_texts(lines) if texts is None else texts)  # read by every pass
     matched = match_texts(texts, d, ids_policy, **options)
-    return lines.join(matched, "input_text", "left").withColumn(
-        "match_status", F.when(F.col("match_method").isNotNull(), "matched").otherwise("unmatched")
-    )
+    if nested:
+        row = F.struct(*[c for c in matched.columns if c != "input_text"])
+        return lines.join(matched.groupBy("input_text").agg(F.collect_list(row).alias("matches")).hint("merge"), "input_text", "left")
+    return with_status(lines.join(matched, "input_text", "left"))
+
+
+def with_status(matches: DataFrame) -> DataFrame:
+    return matches.withColumn("match_status", F.when(F.col("match_method").isNotNull(), "matched").otherwise("unmatched"))
+
+
+def match_rows(nested: DataFrame) -> DataFrame:
+    """Nested lines as match_lines gives them without ``nested``."""
+    others = [c for c in nested.columns if c != "matches"]
+    return with_status(nested.select(*others, F.explode_outer("matches").alias("_match")).select(*others, "_match.*"))
 
 
 # --- optional passes ----------------------------------------------------------------

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from medlink.catalog import load
 from medlink.catalog import matching_queries as Q
 from medlink.catalog.registry import QUERIES
+from medlink.operators import cases as G
 from medlink.operators import matching as M
 from medlink.operators import match_index as I
 from medlink.operators.keyed import spread_join
@@ -171,3 +173,27 @@ def test_names_of_pairs_and_rows_of_cases_stay_small_in_a_task(spark, tmp_path,
     unknown = [(c, "unknown_product", None, "P9") for c in range(40)] + [(3, "unknown_product", "x", None)]
     assert sorted(map(str, map(tuple, found["unchecked"].collect()))) == sorted(map(str, lacking + unknown))
     assert sorted(tuple(r)[:3] for r in found["interactions"].collect()) == sorted((c, "I1", "I2") for c in range(40))
+
+
+def test_lines_of_cases_move_once_and_as_they_are(spark):
+    """Lines were shuffled as distinct rows, then once an ingredient with every name twice, then again for their case."""
+    sf = "/root/testdata/sf0.001"
+    plan = plan_of(load()[0]["case_items"](spark, sf))
+    assert plan.count("Exchange hashpartitioning(case_id") == 1
+    assert plan.index("Exchange hashpartitioning(case_id") < plan.index("SortMergeJoin [input_text")  # of lines that are not multiplied yet
+
+
+def test_cards_are_the_same_however_lines_are_spread(spark):
+    sf = "/root/testdata/sf0.001"
+    index = Q.matching_index(spark, sf)
+    lines = Q.match_input(spark, sf).selectExpr("l_orderkey as case_id", "l_linenumber as input_index", "input_text")
+    lines = lines.where("case_id % 7 < 2").unionByName(lines.where("case_id % 21 = 0")).selectExpr("case_id", "input_index", "nullif(input_text, 'unknown thing 3') as input_text")
+    flat = M.match_lines(lines, index)
+    nested = M.match_lines(lines, index, texts=M.distinct_texts(lines), nested=True)
+    assert nested.count() == lines.count()
+    rows = M.match_rows(nested).select(flat.columns)
+    assert rows.exceptAll(flat).isEmpty() and flat.exceptAll(rows).isEmpty()
+    want = sorted(map(str, G.detected_items(flat).collect()))
+    assert want == sorted(map(str, G.detected_items(M.match_lines(lines.distinct(), index)).collect()))
+    for matches, tasks in ((nested, 3), (nested, None), (flat, 3)):
+        assert sorted(map(str, G.detected_items(matches, tasks=tasks).collect())) == want
