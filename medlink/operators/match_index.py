@@ -263,7 +263,8 @@ def overlap_index(d: Dictionary) -> tuple[DataFrame, DataFrame, DataFrame]:
     only common stems with it; one with a rare stem in the line is reached through its rarest shared stem with its full
     count, which outranks its common part.
     """
-    ranked, words = _ranked(product_stem_sets(d))
+    sets = product_stem_sets(d)
+    ranked, words = _ranked(sets)
     product = ["product_id", "product_name", "has_ids"]
     rare = (
         ranked.select("stems", *product, F.explode(_pairs(F.col("_ranked"))).alias("p"))
@@ -280,7 +281,7 @@ def overlap_index(d: Dictionary) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.transform("_common", lambda x: x["stem"]).alias("stems"), "_best.*", F.explode(_pairs(F.col("_common"))).alias("p")
     ).select("p.stem_a", "p.stem_b", "stems", *product)
     single = (
-        ranked.select(F.explode("stems").alias("stem"), *product)
+        sets.select(F.explode("stems").alias("stem"), *product)
         .groupBy("stem")
         .agg(F.min(F.struct(*product)).alias("_best"))
         .select("stem", "_best.*")

@@ -321,16 +321,16 @@ def cjk_hits(texts: DataFrame, d: Known, limit: int = V.CJK_MAX_PRODUCTS) -> Dat
     long = segments.where(F.length("segment") > WHOLE + 1)
     far = near_long_names(long.select("segment").distinct(), index.han_long, index.han_grams, limit)
     answers = near_names(segments, index.han_names, limit).unionByName(long.join(far.hint("merge"), "segment").drop("segment"))
-    product = F.struct("product_id", "product_name", "has_ids")
+    best = F.min(F.struct(newest_first("product_id", "product_name").alias("order"), "has_ids")).alias("_best")
     return (
         answers.groupBy("input_text")
         .agg(
             F.size(F.collect_set("product_id")).alias("_n"),  # a few for each run
             F.max(F.col("product_id").isNull()).alias("_over"),
-            F.min_by(product, newest_first("product_id", "product_name")).alias("_best"),
+            best,
         )
         .where(~F.col("_over") & (F.col("_n") <= limit))
-        .select("input_text", F.lit("cjk_fuzzy").alias("method"), "_best.*")
+        .select("input_text", F.lit("cjk_fuzzy").alias("method"), "_best.order.product_id", "_best.order.product_name", "_best.has_ids")
     )
 
 

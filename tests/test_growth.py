@@ -1,5 +1,7 @@
 """Work and broadcasts must grow with the tables, no faster."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from medlink.catalog import load
@@ -197,3 +199,12 @@ def test_cards_are_the_same_however_lines_are_spread(spark):
     assert want == sorted(map(str, G.detected_items(M.match_lines(lines.distinct(), index)).collect()))
     for matches, tasks in ((nested, 3), (nested, None), (flat, 3)):
         assert sorted(map(str, G.detected_items(matches, tasks=tasks).collect())) == want
+
+
+def test_smallest_product_of_a_stem_needs_no_ranking(spark):
+    """Stems were ranked once for the pairs and again for this table; products of a text were counted in two shuffles."""
+    d = Q.dictionary(spark, "/root/testdata/sf0.001")
+    pairs, single, _ = I.overlap_index(d)
+    assert "collect_list" not in plan_of(single) and "collect_list" in plan_of(pairs)
+    hits = plan_of(M.cjk_hits(Q.match_texts(spark, "/root/testdata/sf0.001"), d))
+    assert "collect_set(product_id" in hits and not re.search(r"hashpartitioning\(input_text#\d+, product_id", hits)
