@@ -163,7 +163,7 @@ def test_lines_are_tagged_once_for_all_readers_of_sections(spark):
 
 
 def test_pages_are_merged_in_one_shuffle_with_nothing_written(spark, monkeypatch):
-    """Rows of all pages were written uncompressed and shuffled several times, which filled the disk."""
+    """Lines of all pages were written and shuffled several times, which filled the disk."""
     real, written = L.checkpointed, []
     monkeypatch.setattr(L, "checkpointed", lambda df: written.append(df.count()) or real(df))
     merged = load()[0]["line_merge"](spark, "/root/testdata/sf0.001")
